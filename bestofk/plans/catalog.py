@@ -10,6 +10,8 @@ from bestofk.plans import registry
 MODULES = (
     "metric_queries",
     "scoring_queries",
+    "source_queries",
+    "report_queries",
 )
 
 

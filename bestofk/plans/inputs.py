@@ -206,7 +206,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("prompt_id"),
         F.lit(0).alias("k"),
-        (F.col("l_linenumber") * 1000000000 + F.col("l_partkey")).alias("test_idx"),
+        (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey")).alias("test_idx"),
         F.when(functional, "functional").when(F.col("l_discount") > 0.099, "exotic").otherwise("stdin").alias("testtype"),
         (F.col("l_tax") > 0.079).cast("int").alias("returncode"),
         F.when(functional, _say("[", bit, ", 1]")).otherwise(_say(bit, " \n")).alias("stdout"),
@@ -248,8 +248,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), (s % 5).cast("string")).alias("model"),
         F.concat(F.lit("d"), (d % 4).cast("string"), F.when(d >= 4, "_judge-x").otherwise("")).alias("dataset_id"),
         F.concat(F.lit("d"), (d % 4).cast("string")).alias("dataset"),
-        (n % 3).cast("int").alias("seed"),
-        F.concat(F.lit("f"), n.cast("string")).alias("file_name"),
+        F.floor(n / 6).cast("int").alias("seed"),
         F.when(hyp == "h2", _pick(STAGES, n % 3)).alias("stage"),
         F.when(hyp == "h3", F.when(n % 2 == 0, "sc").otherwise("direct")).alias("procedure"),
         F.when((hyp == "h3") & (n % 2 == 1), _pick(TAUS, F.floor(n / 2) % 3)).alias("tau"),
@@ -260,7 +259,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 5 != 0, F.lit(0.01)).alias("ci_down"),
         F.when((hyp != "h3") & ((hyp != "h4") | (n % 2 == 0)), F.col("qty").cast("double")).alias("sampling_seconds"),
         n.alias("n"),
-    ).withColumn("rvr", F.col("reu") - F.col("aeu"))
+    ).withColumns({
+        "rvr": F.col("reu") - F.col("aeu"),
+        "file_name": F.format_string("%s_%s_seed%d_f%d", "model", "dataset_id", "seed", "n"),
+    })
     point = lambda k: F.struct(
         F.lit(k).alias("k_prefix"),
         (F.col("reu") - F.lit((CURVE_GRID[-1] - k) / 64)).alias("u_circ"),

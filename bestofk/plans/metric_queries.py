@@ -15,7 +15,7 @@ CELL = ["model", "dataset"]
 K = I.K_SAMPLES
 
 
-def rounded(df, *columns, digits=10):
+def rounded(df, *columns, digits=12):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -29,21 +29,21 @@ def prompt_gap(spark, d):
 
 
 @query("cell_gap", S.with_(S.UTILITY, S.PROMPT_GAP) + """
-select model, dataset, round(avg(u_circ), 10) as u_circ, round(avg(u_bar), 10) as u_bar, round(avg(r_hat), 10) as r_hat,
+select model, dataset, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat,
        count(*) as m, max(n_samples) as k_max from prompt_gap group by all""")
 def cell_gap(spark, d):
     return rounded(M.cell_gap(gaps(spark, d), CELL), "u_circ", "u_bar", "r_hat")
 
 
 @query("prefix_gap", S.with_(S.UTILITY) + """
-select model, dataset, round(avg(c), 10) as u_circ, round(avg(b), 10) as u_bar, round(avg(c - b), 10) as r_hat, count(*) as m, 12 as k_prefix
+select model, dataset, round(avg(c), 12) as u_circ, round(avg(b), 12) as u_bar, round(avg(c - b), 12) as r_hat, count(*) as m, 12 as k_prefix
 from (select model, dataset, prompt_id, max(u3) as c, avg(u3) as b from utility where k < 12 group by all) group by all""")
 def prefix_gap(spark, d):
     return rounded(M.prefix_gap(I.cell_utility(spark, d, "u3"), 12, K, CELL), "u_circ", "u_bar", "r_hat")
 
 
 @query("saturation_curve", S.with_(S.UTILITY) + """
-select model, dataset, k_prefix, round(avg(c), 10) as u_circ, round(avg(b), 10) as u_bar, round(avg(c) - avg(b), 10) as r_hat
+select model, dataset, k_prefix, round(avg(c), 12) as u_circ, round(avg(b), 12) as u_bar, round(avg(c) - avg(b), 12) as r_hat
 from (select model, dataset, prompt_id, g.k as k_prefix, max(u) as c, avg(u) as b
       from utility u join (values (1), (2), (4), (8), (16), (32), (64)) g(k) on u.k < g.k group by all) group by all""")
 def saturation_curve(spark, d):
@@ -56,14 +56,14 @@ def p_hat(spark, d):
 
 
 @query("a_k", S.with_(S.UTILITY) + """
-select model, dataset, 16 as k_prefix, round(1 - avg(c), 10) as a_k
+select model, dataset, 16 as k_prefix, round(1 - avg(c), 12) as a_k
 from (select model, dataset, prompt_id, max(u) as c from utility where k < 16 group by all) group by all""")
 def a_k(spark, d):
     return rounded(M.a_k(I.cell_utility(spark, d), 16, K, CELL), "a_k")
 
 
 @query("a_k_extrapolated", S.with_(S.UTILITY) + """
-select model, dataset, t.k as k_target, round(avg(pow(1 - p, t.k)), 10) as a_k
+select model, dataset, t.k as k_target, round(avg(pow(1 - p, t.k)), 12) as a_k
 from (select model, dataset, prompt_id, avg(u) as p from utility group by all), (values (1), (64), (256), (1024)) t(k) group by all""")
 def a_k_extrapolated(spark, d):
     success = M.p_hat(I.cell_utility(spark, d), K, K, CELL)
@@ -74,7 +74,7 @@ CI_COLUMNS = ("mean", "ci_low", "ci_high")
 
 
 @query("bootstrap_ci", S.with_(S.UTILITY, S.PROMPT_GAP, S.bootstrap("prompt_gap", "model, dataset")) + """
-select model, dataset, round(mean, 10) as mean, round(ci_low, 10) as ci_low, round(ci_high, 10) as ci_high,
+select model, dataset, round(mean, 12) as mean, round(ci_low, 12) as ci_low, round(ci_high, 12) as ci_high,
        0.95::double as confidence, 1000 as n_resamples from boot_ci""")
 def bootstrap_ci(spark, d):
     return rounded(R.bootstrap_ci(gaps(spark, d), CELL), *CI_COLUMNS)
@@ -122,8 +122,8 @@ def sc_vote(spark, d):
   union all select 'direct', 0.0, prompt_id, max(u), avg(u), max(u) - avg(u) from keyed where k = 0 group by all
   union all select 'sc', 4.0, prompt_id, max(u), avg(u), max(u) - avg(u) from sc group by all)""",
     S.bootstrap("swept", "procedure, setting", n=100)) + """
-select s.*, round(ci.ci_low, 10) as ci_low, round(ci.ci_high, 10) as ci_high
-from (select procedure, setting, round(avg(u_circ), 10) as u_circ, round(avg(u_bar), 10) as u_bar, round(avg(r_hat), 10) as r_hat,
+select s.*, round(ci.ci_low, 12) as ci_low, round(ci.ci_high, 12) as ci_high
+from (select procedure, setting, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat,
              count(*) as m from swept group by all) s join boot_ci ci on ci.procedure = s.procedure and ci.setting = s.setting""")
 def procedure_sweep(spark, d):
     """Direct sampling at tau 1, greedy (one sample, so no gap) and self-consistency, in one job."""
@@ -142,7 +142,7 @@ def procedure_sweep(spark, d):
 
 
 @query("cross_seed", S.with_(S.RESULTS) + """
-select model, dataset_id, round(avg(rvr), 10) as mean, round(stddev_samp(rvr), 10) as std, count(*) as n_seeds
+select model, dataset_id, round(avg(rvr), 12) as mean, round(stddev_samp(rvr), 12) as std, count(*) as n_seeds
 from (select model, dataset_id, seed, max_by(rvr, file_name) as rvr from results where hyp = 'h1' group by all) group by all""")
 def cross_seed(spark, d):
     seeds = I.results(spark, d).where(F.col("hyp") == "h1").groupBy("model", "dataset_id", "seed").agg(
@@ -159,8 +159,8 @@ subset as (
     select *, row_number() over (partition by model, m_sub order by o, prompt_id) as rn from sized) where rn <= m_sub and m_sub < m_full
   union all select model, count(*) over (partition by model), prompt_id, r_hat from prompt_gap)""",
     S.bootstrap("subset", "model, m_sub", n=200)) + """
-select model, m_sub, round((ci_high - ci_low) / 2, 10) as half_width,
-       round((ci_high - ci_low) / 2 * sqrt(m_sub), 10) as scaled_half_width from boot_ci""")
+select model, m_sub, round((ci_high - ci_low) / 2, 12) as half_width,
+       round((ci_high - ci_low) / 2 * sqrt(m_sub), 12) as scaled_half_width from boot_ci""")
 def m_convergence(spark, d):
     out = R.m_convergence(gaps(spark, d), ["model"], m_grid=(10, 20, 40), n_resamples=200)
     return rounded(out, "half_width", "scaled_half_width")

@@ -98,8 +98,8 @@ def score_numeric(spark, d):
 
 @query("pattern_rates", SCORED_NUMBERS + """
 select 'm' || cast(prompt_id % 3 as varchar) as model, pattern,
-       round(100.0::double * count(*) / sum(count(*)) over (partition by prompt_id % 3), 10) as fires_pct,
-       case when pattern <> 'none' then round(100.0::double * count(*) filter (hit) / count(*), 10) end as accuracy_pct,
+       round(100.0::double * count(*) / sum(count(*)) over (partition by prompt_id % 3), 12) as fires_pct,
+       case when pattern <> 'none' then round(100.0::double * count(*) filter (hit) / count(*), 12) end as accuracy_pct,
        cast(sum(count(*)) over (partition by prompt_id % 3) as bigint) as total
 from scored group by prompt_id % 3, pattern""")
 def pattern_rates(spark, d):
@@ -138,10 +138,10 @@ def score_boxed(spark, d):
 
 @query("failure_mode_rates", BOXED_SCORED + """
 select 'm' || cast(prompt_id % 3 as varchar) as model,
-       round(100.0::double * count(*) filter (reason = 'no_boxed') / count(*), 10) as no_boxed,
-       round(100.0::double * count(*) filter (reason = 'empty_gt') / count(*), 10) as empty_gt,
-       round(100.0::double * count(*) filter (reason = 'incorrect') / count(*), 10) as incorrect,
-       round(100.0::double * count(*) filter (reason = 'correct') / count(*), 10) as correct,
+       round(100.0::double * count(*) filter (reason = 'no_boxed') / count(*), 12) as no_boxed,
+       round(100.0::double * count(*) filter (reason = 'empty_gt') / count(*), 12) as empty_gt,
+       round(100.0::double * count(*) filter (reason = 'incorrect') / count(*), 12) as incorrect,
+       round(100.0::double * count(*) filter (reason = 'correct') / count(*), 12) as correct,
        count(*) as total from scored group by all""")
 def failure_mode_rates(spark, d):
     scored = scoring.score_boxed(I.boxed_samples(spark, d)).withColumn("model", I.model_name(F.col("prompt_id")))
@@ -346,20 +346,20 @@ def majority_vote(spark, d):
 
 
 @query("judge_stats", S.with_(S.CALLS, S.VOTES) + """
-select model, dataset, round(avg((verdict is null)::double), 10) as parse_failure_rate, count(*) as n_judge_calls from votes group by all""")
+select model, dataset, round(avg((verdict is null)::double), 12) as parse_failure_rate, count(*) as n_judge_calls from votes group by all""")
 def judge_stats(spark, d):
     return rounded(J.judge_stats(I.with_cell(I.judge_calls(spark, d)), CELL), "parse_failure_rate")
 
 
 @query("position_bias", S.with_(S.CALLS, S.VOTES) + """
-select model, dataset, round(avg(case when a_is_candidate then vote else 1 - vote end), 10) as a_pick_rate, count(*) as n_decided
+select model, dataset, round(avg(case when a_is_candidate then vote else 1 - vote end), 12) as a_pick_rate, count(*) as n_decided
 from votes where vote <> 0.5 group by all""")
 def position_bias(spark, d):
     return rounded(J.position_bias(I.votes(spark, d), CELL), "a_pick_rate")
 
 
 @query("vote_margin", S.with_(S.CALLS, S.VOTES, S.COUNTS) + """
-select model, dataset, round(avg(abs(n_win - n_lose)), 10) as mean_margin from counts group by all""")
+select model, dataset, round(avg(abs(n_win - n_lose)), 12) as mean_margin from counts group by all""")
 def vote_margin(spark, d):
     return rounded(J.vote_margin(I.votes(spark, d), ["prompt_id", "k"], CELL), "mean_margin")
 
@@ -371,7 +371,7 @@ def vote_margin(spark, d):
     """expected as (select a.model, a.dataset, sum(a.n * b.n * (a.vote - b.vote) * (a.vote - b.vote)) as s
   from marginal a join marginal b on a.model = b.model and a.dataset = b.dataset group by all)""",
     """total as (select model, dataset, count(*)::double as n, count(distinct (prompt_id, k)) as n_items from votes group by all)""") + """
-select p.model, p.dataset, round(1 - p.d_o / (e.s / (t.n - 1)), 10) as alpha, t.n_items
+select p.model, p.dataset, round(1 - p.d_o / (e.s / (t.n - 1)), 12) as alpha, t.n_items
 from pairs p join expected e on e.model = p.model and e.dataset = p.dataset join total t on t.model = p.model and t.dataset = p.dataset""")
 def krippendorff_alpha(spark, d):
     return rounded(J.krippendorff_alpha(I.votes(spark, d), ["prompt_id", "k"], CELL), "alpha")
@@ -394,12 +394,13 @@ def _l_trials() -> str:
 
 
 @query("l_sensitivity", S.with_(S.CALLS, S.VOTES, _l_trials()) + """
-select model, l_votes, round(avg(r), 10) as r_hat, round(stddev_pop(r), 10) as r_hat_std from (
+select model, l_votes, round(avg(r), 12) as r_hat, round(stddev_pop(r), 12) as r_hat_std from (
   select model, l_votes, b, avg(r) as r from (
     select model, l_votes, b, prompt_id, max(u) - avg(u) as r from (
       select model, l_votes, b, prompt_id, k,
              case when count(*) filter (vote = 1) >= (l_votes + 1) // 2 then 1.0 when count(*) filter (vote = 0) >= (l_votes + 1) // 2 then 0.0
-                  else 0.5 end::double as u from trials group by all) group by all) group by all) group by all""")
+                  else 0.5 end as u from trials group by model, l_votes, b, prompt_id, k)
+    group by model, l_votes, b, prompt_id) group by model, l_votes, b) group by model, l_votes""")
 def l_sensitivity(spark, d):
     from bestofk.operators.resample import l_sensitivity as study
 

@@ -111,7 +111,7 @@ AUDIT = """audit as (
   from events)"""
 
 OUTCOMES = """outcomes as (
-  select l_orderkey as prompt_id, 0 as k, l_linenumber * 1000000000 + l_partkey as test_idx,
+  select l_orderkey as prompt_id, 0 as k, l_linenumber::bigint * 1000000000 + l_partkey as test_idx,
          case when l_returnflag = 'N' then 'functional' when l_discount > 0.099 then 'exotic' else 'stdin' end as testtype,
          case when l_tax > 0.079 then 1 else 0 end as returncode,
          case when l_returnflag = 'N' then '[' || bit || ', 1]' else bit || ' ' || chr(10) end as stdout,
@@ -121,10 +121,10 @@ OUTCOMES = """outcomes as (
 
 RESULTS = """results as (
   select *, rvr - ci_down as ci_low, rvr + ci_down * 2 as ci_high from (
-    select *, reu - aeu as rvr from (
+    select *, reu - aeu as rvr, model || '_' || dataset_id || '_seed' || seed || '_f' || n as file_name from (
       select 'h' || cast(s % 4 + 1 as varchar) as hyp, 'm' || cast(s % 5 as varchar) as model,
              'd' || cast(d % 4 as varchar) || case when d >= 4 then '_judge-x' else '' end as dataset_id,
-             'd' || cast(d % 4 as varchar) as dataset, cast(n % 3 as integer) as seed, 'f' || cast(n as varchar) as file_name,
+             'd' || cast(d % 4 as varchar) as dataset, cast(n // 6 as integer) as seed,
              case when s % 4 = 1 then case n % 3 when 0 then 'sft' when 1 then 'dpo' else 'rlvr' end end as stage,
              case when s % 4 = 2 then case when n % 2 = 0 then 'sc' else 'direct' end end as procedure,
              cast(case when s % 4 = 2 and n % 2 = 1 then case (n // 2) % 3 when 0 then 0.0 when 1 then 0.7 else 1.0 end end as double) as tau,
