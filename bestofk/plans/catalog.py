@@ -12,6 +12,7 @@ MODULES = (
     "scoring_queries",
     "source_queries",
     "report_queries",
+    "stream_queries",
 )
 
 

@@ -185,8 +185,13 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only decision log with re-runs: several records per (experiment, prompt_id, k)."""
+    return audit_records(table(spark, sf_dir, "events"))
+
+
+def audit_records(events: DataFrame) -> DataFrame:
+    """Log records from events, stored or streamed."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("ingest_seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(

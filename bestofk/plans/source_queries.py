@@ -172,13 +172,13 @@ def tidy_csv_sink(spark, d):
 
 # --- prompt sets -----------------------------------------------------------
 
-SUBSETS = [f"src{i}" for i in range(9, -1, -1)]
+SUBSETS = sorted((f"src{i}" for i in range(20)), reverse=True)
 
 
 @query("union_subsets", """
 select dense_rank() over (order by subset desc) as subset_no, subset, ordinal, row_no, md5(question) as question_md5, ground_truth from (
   select source as subset, doc_id as ordinal, text as question, cast(n_chars as varchar) as ground_truth,
-         row_number() over (partition by source order by doc_id) as row_no from documents) where row_no <= 25""")
+         cast(row_number() over (partition by source order by doc_id) as integer) as row_no from documents) where row_no <= 25""")
 def union_subsets(spark, d):
     docs = I.table(spark, d, "documents")
     out = P.union_subsets(docs, SUBSETS, 25, "source", "text", "n_chars", "doc_id")
