@@ -41,6 +41,11 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
@@ -48,9 +53,13 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
 # --- numbers ---------------------------------------------------------------
 
 def number_value(token: Column) -> Column:
-    """Numeric value of an answer token; null when what remains is not a number (``-$50``)."""
-    bare = F.regexp_replace(F.replace(strip(token), F.lit(","), F.lit("")), r"^\$+|%+\z", "")
-    return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"), bare.try_cast("double"))
+    """Numeric value of an answer token; null when what remains is not a number (``-$50``).
+
+    One pass drops commas, leading ``$`` and trailing ``%``. A cast alone would also take Java's type
+    suffixes (``1d``), so tokens with those letters have no value.
+    """
+    bare = F.regexp_replace(token, r"^\s*[,$]*|[,%]*\s*\z|,", "")
+    return F.when(~token.rlike("[dDfF]"), bare.try_cast("double"))
 
 
 def last_number(text: Column) -> Column:
@@ -100,8 +109,14 @@ def is_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= margin
 
 
+def both_close(a: Column, b: Column) -> Column:
+    """``is_close`` for costly sides: each is evaluated once. False when a side is null."""
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    return F.coalesce(let(pair, lambda v: is_close(v["a"], v["b"])), F.lit(False))
+
+
 def numeric_utility(text: Column, truth: Column) -> Column:
-    return F.coalesce(is_close(number_in(text), number_in(truth)), F.lit(False)).cast("double")
+    return both_close(number_in(text), number_in(truth)).cast("double")
 
 
 # --- boxed answers ---------------------------------------------------------
@@ -169,17 +184,21 @@ _FRACTION = r"^([+-]?)(?:\\[dt]?frac\{(-?\d+)\}\{(-?\d+)\}|(\d+)/(-?\d+))\z"
 
 def simple_value(expr: Column) -> Column:
     """Value of a plain number or a simple fraction, else null."""
-    top = F.coalesce(F.nullif(F.regexp_extract(expr, _FRACTION, 2), F.lit("")), F.regexp_extract(expr, _FRACTION, 4))
-    bottom = F.coalesce(F.nullif(F.regexp_extract(expr, _FRACTION, 3), F.lit("")), F.regexp_extract(expr, _FRACTION, 5))
-    sign = F.when(F.regexp_extract(expr, _FRACTION, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
-    ratio = F.try_divide(sign * top.try_cast("double"), F.nullif(bottom.try_cast("double"), F.lit(0.0)))
-    return F.when(expr.rlike(_PLAIN_NUMBER), expr.try_cast("double")).when(expr.rlike(_FRACTION), ratio)
+    def ratio(part: Column) -> Column:
+        sign = F.when(part[1] == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+        top = F.when(part[2] != "", part[2]).otherwise(part[4]).try_cast("double")
+        bottom = F.when(part[3] != "", part[3]).otherwise(part[5]).try_cast("double")
+        return F.try_divide(sign * top, F.when(bottom != 0, bottom))
+
+    captured = F.array(*[F.regexp_extract(expr, _FRACTION, i) for i in range(6)])
+    return F.when(expr.rlike(_PLAIN_NUMBER), expr.try_cast("double")).when(expr.rlike(_FRACTION), let(captured, ratio))
 
 
 def same_expression(a: Column, b: Column) -> Column:
     """Equal once white space is gone, or equal as plain numbers / simple fractions."""
-    left, right = squash(a), squash(b)
-    return F.coalesce((left == right) | is_close(simple_value(left), simple_value(right)), F.lit(False))
+    pair = F.struct(squash(a).alias("a"), squash(b).alias("b"))
+    same = let(pair, lambda v: (v["a"] == v["b"]) | both_close(simple_value(v["a"]), simple_value(v["b"])))
+    return F.coalesce(same, F.lit(False))
 
 
 def boxed_reason(answer: Column, truth: Column) -> Column:
@@ -196,23 +215,28 @@ def boxed_truth(truth: Column) -> Column:
     return F.coalesce(last_boxed(truth), strip(truth))
 
 
+def _boxed_match(answer: Column, truth: Column) -> Column:
+    pair = F.struct(answer.alias("answer"), truth.alias("truth"))
+    return let(pair, lambda v: boxed_reason(v["answer"], v["truth"]) == "correct").cast("double")
+
+
 def boxed_utility(text: Column, truth: Column) -> Column:
-    return (boxed_reason(last_boxed(text), boxed_truth(truth)) == "correct").cast("double")
+    return _boxed_match(last_boxed(text), boxed_truth(truth))
 
 
 def stripped_truth_utility(text: Column, truth: Column) -> Column:
     """Boxed answer against a reference that is never boxed itself."""
-    return (boxed_reason(strip(last_boxed(text)), strip(truth)) == "correct").cast("double")
+    return _boxed_match(strip(last_boxed(text)), strip(truth))
 
 
 # --- answers by the shape of the target ------------------------------------
 
 def final_span(text: Column) -> Column:
     """Text after the last answer trigger, else the last line with content, cut to a window."""
-    pieces = F.split(text, TRIGGER, -1)
     lines = F.filter(F.split(text, LINE_BREAK, -1), lambda line: line.rlike(r"\S"))
-    span = F.when(F.size(pieces) > 1, F.element_at(pieces, -1)).otherwise(
-        F.coalesce(F.try_element_at(lines, F.lit(-1)), text)
+    last_line = F.coalesce(F.try_element_at(lines, F.lit(-1)), text)
+    span = let(
+        F.split(text, TRIGGER, -1), lambda pieces: F.when(F.size(pieces) > 1, F.element_at(pieces, -1)).otherwise(last_line)
     )
     return F.substring(span, 1, SPAN_CHARS)
 
@@ -222,7 +246,7 @@ def token_norm(text: Column) -> Column:
 
 
 def _first_letter(text: Column, pattern: str) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    return let(F.lower(F.regexp_extract(text, pattern, 1)), lambda letter: F.when(letter != "", letter))
 
 
 def choice_letter(span: Column, text: Column) -> Column:
@@ -234,7 +258,7 @@ def choice_letter(span: Column, text: Column) -> Column:
 def _plain_integer(token: Column) -> Column:
     """Integer text without leading zeros, of any length."""
     digits = F.regexp_replace(token, r"^(-?)0*(\d)", "$1$2")
-    return F.when(digits == "-0", "0").otherwise(digits)
+    return F.regexp_replace(digits, r"^-0\z", "0")
 
 
 def _contains_word(span: Column, word: Column) -> Column:
@@ -244,20 +268,20 @@ def _contains_word(span: Column, word: Column) -> Column:
 
 def shape_match(span: Column, text: Column, target: Column) -> Column:
     """1.0 when the committed answer meets the target, read by the target's own shape."""
-    gold = token_norm(target)
     counted = F.coalesce(last_match(span, INTEGER, 0), last_match(text, INTEGER, 0))
+    token = let(token_norm(target), lambda gold: (gold != "") & ((token_norm(span) == gold) | _contains_word(span, gold)))
     hit = (
         F.when(target == "", False)
         .when(target.rlike(f"^{PAREN_LETTER}\\z"), choice_letter(span, text) == _first_letter(target, PAREN_LETTER))
         .when(target.rlike(f"^{INTEGER}\\z"), _plain_integer(counted) == _plain_integer(target))
-        .when(gold == "", False)
-        .otherwise((token_norm(span) == gold) | _contains_word(span, gold))
+        .otherwise(token)
     )
     return F.coalesce(hit, F.lit(False)).cast("double")
 
 
 def shape_utility(text: Column, truth: Column) -> Column:
-    return shape_match(final_span(text), text, strip(truth))
+    pair = F.struct(final_span(text).alias("span"), strip(truth).alias("target"))
+    return let(pair, lambda v: shape_match(v["span"], text, v["target"]))
 
 
 # --- code answers ----------------------------------------------------------
@@ -277,7 +301,8 @@ def stdout_match(returncode: Column, stdout: Column, expected: Column) -> Column
 
 def json_match(returncode: Column, stdout: Column, expected: Column) -> Column:
     """Equal as JSON values, or as stripped text when a side is not JSON."""
-    got, want = strip(stdout), strip(expected)
-    got_json, want_json = F.to_json(F.try_parse_json(got)), F.to_json(F.try_parse_json(want))
-    same = F.when(got_json.isNotNull() & want_json.isNotNull(), got_json == want_json).otherwise(got == want)
+    as_json = lambda text: F.to_json(F.try_parse_json(text))
+    sides = F.struct(strip(stdout).alias("got"), strip(expected).alias("want"))
+    parsed = lambda v: F.struct(as_json(v["got"]).alias("got"), as_json(v["want"]).alias("want"))
+    same = let(sides, lambda v: (v["got"] == v["want"]) | let(parsed(v), lambda j: F.coalesce(j["got"] == j["want"], F.lit(False))))
     return F.coalesce((returncode == 0) & same, F.lit(False))

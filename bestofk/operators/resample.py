@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,21 +23,30 @@ def check_bootstrap(n_resamples: int, confidence: float) -> None:
         raise ValueError(f"confidence must be in (0, 1), got {confidence}")
 
 
-def _value_ranges(values: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """Distinct values of a cell with the rank range [lo, hi) they fill, and the cell's size.
+DRAWS_PER_ROW = 4096
 
-    The window runs over distinct values per cell, after the count: utilities are 0, 1/2 or 1, so a
-    mean over K samples takes at most 2K+1 values, whatever the number of prompts.
+
+def _histogram(per_prompt: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
+    """One row per cell: its size m, its distinct values in order, and their cumulative counts.
+
+    Utilities are 0, 1/2 or 1, so a statistic over K samples takes a few K values at most, whatever
+    the number of prompts: after the count, a cell is a short array.
     """
-    counts = values.groupBy(*cell, F.col(value).alias("v")).count()
-    by_value = Window.partitionBy(*cell).orderBy("v")
-    return counts.select(
-        *cell,
-        "v",
-        F.sum("count").over(by_value).alias("hi"),
-        F.sum("count").over(Window.partitionBy(*cell)).alias("m"),
-        "count",
-    ).withColumn("lo", F.col("hi") - F.col("count"))
+    counts = per_prompt.groupBy(*cell, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return _as_arrays(counts, cell)
+
+
+def _as_arrays(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
+    ordered = counts.groupBy(*cell).agg(
+        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("m")
+    )
+    upto = F.transform(
+        F.sequence(F.lit(1), F.size("h")),
+        lambda i: F.aggregate(F.slice("h", F.lit(1), i), F.lit(0).cast("bigint"), lambda total, x: total + x["n"]),
+    )
+    return ordered.where(F.col("m") > 0).select(
+        *cell, "m", F.col("h.v").alias("values"), F.col("h.n").alias("counts"), upto.alias("upto")
+    )
 
 
 def _interval(means: DataFrame, cell: Sequence[str], n_resamples: int, confidence: float) -> DataFrame:
@@ -53,32 +63,43 @@ def bootstrap_means(
 ) -> DataFrame:
     """Means of B resamples of a cell's prompts, drawn with replacement, one row per resample.
 
-    Every prompt contributes one draw per resample, so a resample has exactly M draws and no prompt
-    needs a global number: the draw is a rank, looked up among the cell's few distinct values.
-    The B*M draws are made by the prompts' own tasks and are averaged there before the shuffle.
+    Prompts are exchangeable, so a draw is a rank among the sorted values: it is looked up in the
+    cell's histogram and no prompt row is joined or shuffled again. The M draws of a resample are cut
+    into rows of a few thousand, spread over all cores and averaged in place.
     """
     if n_resamples < 1:
         raise ValueError(f"n_resamples must be >= 1, got {n_resamples}")
-    keys = list(cell)
-    ranges = _value_ranges(per_prompt, keys, value)
-    if keys:
-        sized = per_prompt.select(*keys, "prompt_id").join(ranges.groupBy(*keys).agg(F.max("m").alias("m")), keys)
-    else:
-        sized = per_prompt.select(F.lit(0).alias("__all"), "prompt_id").join(
-            ranges.agg(F.max("m").alias("m")).withColumn("__all", F.lit(0)), "__all"
-        )
-        ranges, keys = ranges.withColumn("__all", F.lit(0)), ["__all"]
-    draws = spread(sized, "prompt_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).select(
-        *keys, "b", draw_index(F.col("m"), F.lit(seed), "b", "prompt_id").alias("rank")
+    pieces = (
+        _histogram(per_prompt, cell, value)
+        .drop("counts")
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+        .withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(DRAWS_PER_ROW).cast("bigint"))))
+    )
+    draws = spread(pieces).withColumn(
+        "j", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS_PER_ROW, F.col("m")) - 1))
     )
-    hit = draws.alias("d").join(
-        ranges.select(*keys, "lo", "hi", "v").alias("r"),
-        [F.col(f"d.{c}") == F.col(f"r.{c}") for c in keys]
-        + [F.col("d.rank") >= F.col("r.lo"), F.col("d.rank") < F.col("r.hi")],
+    rank = draw_index(F.col("m"), F.lit(seed), "b", "j")
+    drawn = draws.withColumn("rank", rank).select(
+        *cell, "b", F.element_at("values", F.size(F.filter("upto", lambda top: top <= F.col("rank"))) + 1).alias("v")
     )
-    return hit.groupBy(*[F.col(f"d.{c}").alias(c) for c in keys], F.col("d.b").alias("b")).agg(
-        F.avg("r.v").alias("resample_mean")
-    ).select(*cell, "b", "resample_mean")
+    return drawn.groupBy(*cell, "b").agg(F.avg("v").alias("resample_mean"))
+
+
+def poisson_means(
+    per_prompt: DataFrame, cell: Sequence[str] = (), value: str = "r_hat", n_resamples: int = 1000, seed: int = 0
+) -> DataFrame:
+    """Resample means with an independent Poisson(1) weight per prompt and resample.
+
+    For values too many to count: row-local, with partial sums only. The resample size varies around
+    M, which a large M makes immaterial.
+    """
+    trials = spread(per_prompt).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    quantile = (hash32(F.lit(seed), "b", "prompt_id") + 0.5) / 2.0**32
+    # Inverse distribution function: the weight counts the cumulative masses the quantile has passed.
+    masses = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(n + 1)) for n in range(12)]
+    weight = sum(((F.col("__q") >= mass).cast("int") for mass in masses), F.lit(0))
+    weighted = trials.withColumn("__q", quantile).withColumn("w", weight)
+    return weighted.groupBy(*cell, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("resample_mean"))
 
 
 def bootstrap_ci(
@@ -98,10 +119,11 @@ def bootstrap_ci(
 # Numpy's generator takes its state from (seed, cell, resample), so a retried task repeats its draw.
 def _multinomial_means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        means = [
-            float(np.random.default_rng([int(s), int(h), int(b)]).multinomial(int(m), np.asarray(c, float) / m) @ np.asarray(v) / m)
-            for s, h, b, m, c, v in zip(batch["seed"], batch["cell_hash"], batch["b"], batch["m"], batch["counts"], batch["values"])
-        ]
+        means = []
+        for row in batch.itertuples(index=False):
+            rng = np.random.default_rng([row.seed, row.cell_hash, row.b])
+            drawn = rng.multinomial(row.m, np.asarray(row.counts, float) / row.m)
+            means.append(float(drawn @ np.asarray(row.values, float)) / row.m)
         yield batch.drop(columns=["seed", "cell_hash", "m", "counts", "values"]).assign(resample_mean=means)
 
 
@@ -118,28 +140,18 @@ def bootstrap_ci_scaled(
 
     A resample of M prompts is a multinomial draw over the distinct values, so after one counting
     aggregate each cell is a short histogram and B draws are B rows. Cells with more than
-    ``max_values`` distinct values (continuous utilities) keep the per-prompt draws instead.
+    ``max_values`` distinct values (continuous utilities) take Poisson weights per prompt instead.
     """
     check_bootstrap(n_resamples, confidence)
     keys = list(cell)
-    counts = per_prompt.groupBy(*keys, F.col(value).alias("v")).count()
-    shape = counts.groupBy(*keys).agg(F.count("*").alias("n_values"))
+    counts = per_prompt.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    large = None
     if keys:
-        small = counts.join(shape.where(F.col("n_values") <= max_values).select(*keys), keys, "left_semi")
+        shape = counts.groupBy(*keys).agg(F.count("*").alias("n_values"))
+        counts = counts.join(shape.where(F.col("n_values") <= max_values).select(*keys), keys, "left_semi")
         large = per_prompt.join(shape.where(F.col("n_values") > max_values).select(*keys), keys, "left_semi")
-    else:
-        small, large = counts, None
-    histogram = (
-        small.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("v", "count"))).alias("h"), F.sum("count").alias("m"))
-        .select(
-            *keys,
-            F.lit(seed).cast("bigint").alias("seed"),
-            hash32(*keys, F.lit("cell")).alias("cell_hash"),
-            "m",
-            F.col("h.count").alias("counts"),
-            F.col("h.v").alias("values"),
-        )
+    histogram = _as_arrays(counts, keys).select(
+        *keys, F.lit(seed).cast("bigint").alias("seed"), hash32(*keys, F.lit("cell")).alias("cell_hash"), "m", "counts", "values"
     )
     resamples = spread(histogram.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))))
     out = T.StructType([histogram.schema[k] for k in keys] + [
@@ -147,7 +159,7 @@ def bootstrap_ci_scaled(
     ])
     drawn = resamples.mapInPandas(_multinomial_means, out)
     if large is not None:
-        drawn = drawn.unionByName(bootstrap_means(large, keys, value, n_resamples, seed))
+        drawn = drawn.unionByName(poisson_means(large, keys, value, n_resamples, seed))
     return _interval(drawn, cell, n_resamples, confidence)
 
 
@@ -171,8 +183,7 @@ def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[s
         F.array_sort(F.collect_list(F.struct("k", "vote_key", "u"))).alias("pool")
     )
     drawn = (
-        spread(pool, *by_prompt)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+        pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
         .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn(
             "pick",

@@ -90,7 +90,7 @@ def numeric_keyed(spark, d):
     from bestofk.functions import text as T
 
     s = I.samples(spark, d).withColumn("answer", T.number_in(F.col("text")))
-    u = F.coalesce(T.is_close(F.col("answer"), T.number_in(F.col("ground_truth"))), F.lit(False)).cast("double")
+    u = T.both_close(F.col("answer"), T.number_in(F.col("ground_truth"))).cast("double")
     return s.select("prompt_id", "k", F.col("answer").alias("vote_key"), u.alias("u"))
 
 

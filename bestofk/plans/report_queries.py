@@ -10,6 +10,7 @@ from bestofk.plans import reports as R
 from bestofk.plans import sqlparts as S
 from bestofk.plans.metric_queries import KEYED_SQL, numeric_keyed, rounded
 from bestofk.plans.registry import query
+from bestofk.session import materialise
 from bestofk.sources import logs
 
 SEED = 0
@@ -265,7 +266,7 @@ select l.bucket, count(distinct l.prompt_id) as n, round(avg(case when p.model =
        round(avg(case when p.model = 'm1' then r end), 12) as m1, round(avg(case when p.model = 'm2' then r end), 12) as m2
 from levels l left join (select * from per_prompt where model in (select model from fits)) p on p.prompt_id = l.prompt_id group by all""")
 def gap_by_bucket(spark, d):
-    per_prompt = M.prompt_gap(part_cells(spark, d), ["model"])
+    per_prompt = materialise(M.prompt_gap(part_cells(spark, d), ["model"]), "gaps")
     return rounded(R.gap_by_bucket(per_prompt, part_levels(spark, d), ["m0", "m1", "m2"]), "m0", "m1", "m2")
 
 
@@ -275,7 +276,7 @@ def gap_by_bucket(spark, d):
 select model, '__all__' as bucket, count(*) as n, round(avg((p = 0)::double), 12) as zero_share from per_prompt group by model
 union all select model, bucket, count(*), round(avg((p = 0)::double), 12) from per_prompt where model in (select model from fits) group by model, bucket""")
 def spike_by_bucket(spark, d):
-    success = M.p_hat(part_cells(spark, d), I.K_TEXTS, I.K_TEXTS, ["model"])
+    success = materialise(M.p_hat(part_cells(spark, d), I.K_TEXTS, I.K_TEXTS, ["model"]), "success")
     return rounded(R.spike_by_bucket(success, part_levels(spark, d), ["model"]), "zero_share")
 
 

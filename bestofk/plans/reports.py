@@ -10,7 +10,6 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Fixed values.
 TIE = 1e-9
@@ -81,19 +80,23 @@ def lookup_cell(
     return found.groupBy(*slots.columns).agg(F.min_by("cell", hit).alias("cell")).select(*slots.columns, "cell.*")
 
 
+def _beside(rows: DataFrame, row: Sequence[str], **facts: Column) -> DataFrame:
+    """Put aggregates of a report row beside its members: partial sums and a join, no window over the row."""
+    found = rows.groupBy(*row).agg(*[fact.alias(name) for name, fact in facts.items()])
+    return rows.join(found, list(row))
+
+
 def mark_extreme(rows: DataFrame, row: Sequence[str], value: str, mode: str, flag: str = "best") -> DataFrame:
     """Flag every value within a tie of the row's minimum or maximum."""
-    over = Window.partitionBy(*row)
-    ref = (F.min(value) if mode == "min" else F.max(value)).over(over)
-    return rows.withColumn(flag, F.coalesce(F.abs(F.col(value) - ref) < TIE, F.lit(False)))
+    ref = F.min(value) if mode == "min" else F.max(value)
+    near = F.abs(F.col(value) - F.col("__ref")) < TIE
+    return _beside(rows, row, __ref=ref).withColumn(flag, F.coalesce(near, F.lit(False))).drop("__ref")
 
 
 def mark_smallest_positive(rows: DataFrame, row: Sequence[str], value: str, order: str, flag: str = "best") -> DataFrame:
     """Flag the single smallest positive value of the row, the first one on ties."""
-    positive = F.when(F.col(value) > 0, F.struct(F.col(value), F.col(order)))
-    return rows.withColumn(
-        flag, F.coalesce(positive == F.min(positive).over(Window.partitionBy(*row)), F.lit(False))
-    )
+    mine = F.when(F.col(value) > 0, F.struct(F.col(value), F.col(order)))
+    return _beside(rows, row, __ref=F.min(mine)).withColumn(flag, F.coalesce(mine == F.col("__ref"), F.lit(False))).drop("__ref")
 
 
 def pivot_models(cells: DataFrame, row: Sequence[str], models: Sequence[str], values: Sequence[str], column: str = "model") -> DataFrame:

@@ -13,8 +13,6 @@ from bestofk.plans import sqlparts as S
 from bestofk.plans.metric_queries import CELL, rounded
 from bestofk.plans.registry import query
 
-text, truth = F.col("text"), F.col("ground_truth")
-
 # The extraction rules again, in the oracle's regular-expression dialect.
 SQL_NUMBER = r"-?\$?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\$?\d+(?:\.\d+)?%?"
 
@@ -128,7 +126,7 @@ BOXED_SCORED = S.with_(S.FORMS, S.BOXED, f"found as (select *, {sql_box('text')}
 
 @query("last_boxed", BOXED_SCORED + "select prompt_id, k, answer from scored")
 def last_boxed(spark, d):
-    return I.boxed_samples(spark, d).select("prompt_id", "k", T.last_boxed(text).alias("answer"))
+    return I.boxed_samples(spark, d).select("prompt_id", "k", T.last_boxed(F.col("text")).alias("answer"))
 
 
 @query("score_boxed", BOXED_SCORED + "select prompt_id, k, (reason = 'correct')::double as utility, reason from scored")
@@ -167,12 +165,12 @@ def sql_token(column: str) -> str:
 
 @query("final_span", f"select doc_id, {sql_span('text')} as span from documents")
 def final_span(spark, d):
-    return I.table(spark, d, "documents").select("doc_id", T.final_span(text).alias("span"))
+    return I.table(spark, d, "documents").select("doc_id", T.final_span(F.col("text")).alias("span"))
 
 
 @query("token_norm", f"select conv_id, turn, {sql_token('text')} as token from conversations")
 def token_norm(spark, d):
-    return I.table(spark, d, "conversations").select("conv_id", "turn", T.token_norm(text).alias("token"))
+    return I.table(spark, d, "conversations").select("conv_id", "turn", T.token_norm(F.col("text")).alias("token"))
 
 
 def sql_letter(span: str, full: str) -> str:
@@ -186,8 +184,8 @@ SPANS = S.with_(S.FORMS, S.SHAPES, f"spans as (select *, {sql_span('text')} as s
 
 @query("choice_letter", SPANS + f"select prompt_id, k, {sql_letter('span', 'text')} as letter from spans")
 def choice_letter(spark, d):
-    s = I.shape_samples(spark, d).withColumn("span", T.final_span(text))
-    return s.select("prompt_id", "k", T.choice_letter(F.col("span"), text).alias("letter"))
+    s = I.shape_samples(spark, d).withColumn("span", T.final_span(F.col("text")))
+    return s.select("prompt_id", "k", T.choice_letter(F.col("span"), F.col("text")).alias("letter"))
 
 
 @query("score_shape", SPANS + rf"""
@@ -215,9 +213,9 @@ select doc_id, md5(code) as code_md5, length(code) as n_chars from (select doc_i
 def strip_fence(spark, d):
     third = F.col("doc_id") % 3
     answer = (
-        F.when(third == 0, F.concat(F.lit("Code:\n```python\n"), text, F.lit("```\ndone")))
-        .when(third == 1, F.concat(F.lit("```\n"), text, F.lit("\n``` ```py\nx```")))
-        .otherwise(text)
+        F.when(third == 0, F.concat(F.lit("Code:\n```python\n"), F.col("text"), F.lit("```\ndone")))
+        .when(third == 1, F.concat(F.lit("```\n"), F.col("text"), F.lit("\n``` ```py\nx```")))
+        .otherwise(F.col("text"))
     )
     docs = I.table(spark, d, "documents").select("doc_id", answer.alias("answer"))
     code = docs.select("doc_id", T.strip_fence(F.col("answer")).alias("code"))
@@ -268,7 +266,7 @@ union all select prompt_id, k, 'math', null, regexp_replace(answer, '\s', '', 'g
 def answer_key(spark, d):
     tag = lambda df, name: df.select("prompt_id", "k", F.lit(name).alias("dataset"), "text")
     both = tag(I.samples(spark, d), "gsm8k").unionByName(tag(I.boxed_samples(spark, d), "math"))
-    keyed = both.withColumn("key", scorers.key_dispatch(F.col("dataset"), text))
+    keyed = both.withColumn("key", scorers.key_dispatch(F.col("dataset"), F.col("text")))
     numeric = F.col("dataset") == "gsm8k"
     return keyed.select(
         "prompt_id", "k", "dataset",
@@ -304,7 +302,7 @@ union all select 'bbh', prompt_id, k, coalesce(case
     or regexp_matches(lower(span), '(?:^|[^a-z])' || regexp_escape({sql_token('ground_truth')}) || '(?:[^a-z]|$)') end, false)::double
 from spans""")
 def score_dispatch(spark, d):
-    scored = dispatch_input(spark, d).withColumn("utility", scorers.score_dispatch(F.col("dataset"), text, truth))
+    scored = dispatch_input(spark, d).withColumn("utility", scorers.score_dispatch(F.col("dataset"), F.col("text"), F.col("ground_truth")))
     return scored.select(F.lower(F.trim("dataset")).alias("dataset"), "prompt_id", "k", "utility")
 
 
@@ -329,7 +327,7 @@ from (select *, {S.hex32("3, doc_id")} % 2 = 1 as c from documents)""")
 def judge_prompt(spark, d):
     from bestofk.functions.hashing import coin
 
-    prompt = J.judge_prompt(F.col("source"), text, F.col("lang"), coin(F.lit(3), "doc_id"))
+    prompt = J.judge_prompt(F.col("source"), F.col("text"), F.col("lang"), coin(F.lit(3), "doc_id"))
     return I.table(spark, d, "documents").select("doc_id", F.md5(prompt).alias("prompt_md5"))
 
 

@@ -174,7 +174,7 @@ def bootstrap(source: str, cell: str, value: str = "r_hat", n: int = 1000, seed:
   from {source}),
 boot_means as (
   select {', '.join('d.' + c.strip() for c in cell.split(','))}, d.b, avg(r.v) as resample_mean
-  from (select {cell}, b.range as b, {hex32(f"{seed}, b.range, prompt_id")} % m as rank
+  from (select {cell}, b.range as b, {hex32(f"{seed}, b.range, rank")} % m as rank
         from boot_ranked, range({n}) b) d
   join boot_ranked r on {' and '.join(f'd.{c.strip()} = r.{c.strip()}' for c in cell.split(','))} and d.rank = r.rank
   group by all),

@@ -19,6 +19,8 @@ def build_session(app_name: str = "bestofk", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Texts are costly per byte: let small shuffles keep more than one partition.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
