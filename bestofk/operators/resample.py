@@ -6,13 +6,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bestofk.functions.hashing import draw_index, hash32
+from bestofk.functions.text import let
 from bestofk.session import spread
 
 
@@ -75,14 +76,15 @@ def bootstrap_means(
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
         .withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(DRAWS_PER_ROW).cast("bigint"))))
     )
-    draws = spread(pieces).withColumn(
-        "j", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS_PER_ROW, F.col("m")) - 1))
-    )
-    rank = draw_index(F.col("m"), F.lit(seed), "b", "j")
-    drawn = draws.withColumn("rank", rank).select(
-        *cell, "b", F.element_at("values", F.size(F.filter("upto", lambda top: top <= F.col("rank"))) + 1).alias("v")
-    )
-    return drawn.groupBy(*cell, "b").agg(F.avg("v").alias("resample_mean"))
+    last = F.least(F.col("first") + DRAWS_PER_ROW, F.col("m")) - 1
+
+    def drawn_value(j: Column) -> Column:
+        rank = draw_index(F.col("m"), F.lit(seed), "b", j)
+        return let(rank, lambda r: F.element_at("values", F.size(F.filter("upto", lambda top: top <= r)) + 1))
+
+    total = F.aggregate(F.sequence("first", last), F.lit(0.0), lambda acc, j: acc + drawn_value(j))
+    sums = spread(pieces).select(*cell, "b", "m", total.alias("part"))
+    return sums.groupBy(*cell, "b").agg((F.sum("part") / F.max("m")).alias("resample_mean"))
 
 
 def poisson_means(
@@ -117,14 +119,16 @@ def bootstrap_ci(
 
 
 # Numpy's generator takes its state from (seed, cell, resample), so a retried task repeats its draw.
-def _multinomial_means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _multinomial_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drawn_from = ["seed", "cell_hash", "m", "counts", "values"]
     for batch in batches:
         means = []
-        for row in batch.itertuples(index=False):
-            rng = np.random.default_rng([row.seed, row.cell_hash, row.b])
-            drawn = rng.multinomial(row.m, np.asarray(row.counts, float) / row.m)
-            means.append(float(drawn @ np.asarray(row.values, float)) / row.m)
-        yield batch.drop(columns=["seed", "cell_hash", "m", "counts", "values"]).assign(resample_mean=means)
+        for row in batch.to_pylist():
+            rng = np.random.default_rng([row["seed"], row["cell_hash"], row["b"]])
+            drawn = rng.multinomial(row["m"], np.asarray(row["counts"], float) / row["m"])
+            means.append(float(drawn @ np.asarray(row["values"], float)) / row["m"])
+        kept = batch.drop_columns(drawn_from)
+        yield kept.append_column("resample_mean", pa.array(means, pa.float64()))
 
 
 def bootstrap_ci_scaled(
@@ -157,7 +161,7 @@ def bootstrap_ci_scaled(
     out = T.StructType([histogram.schema[k] for k in keys] + [
         T.StructField("b", T.IntegerType()), T.StructField("resample_mean", T.DoubleType())
     ])
-    drawn = resamples.mapInPandas(_multinomial_means, out)
+    drawn = resamples.mapInArrow(_multinomial_means, out)
     if large is not None:
         drawn = drawn.unionByName(poisson_means(large, keys, value, n_resamples, seed))
     return _interval(drawn, cell, n_resamples, confidence)
@@ -235,31 +239,25 @@ def m_convergence(
     return ci.select(*keys, "m_sub", half.alias("half_width"), (half * F.sqrt(F.col("m_sub"))).alias("scaled_half_width"))
 
 
-def _vote_counts(columns: Sequence[str], n_votes: int, seed: int) -> tuple[Column, Column]:
-    """Wins and losses among ``n_votes`` of the recorded votes of a row, drawn anew per resample.
+def _drawn_votes(columns: Sequence[str], n_votes: int, seed: int) -> Column:
+    """``n_votes`` of the recorded votes of a row, as an array, drawn anew per resample.
 
-    Up to the recorded number the subset is taken without replacement: vote i is in it when fewer
-    than n_votes votes have a smaller hash. Beyond it, votes are drawn with replacement.
+    Up to the recorded number the subset is taken without replacement, as the votes with the smallest
+    hashes; beyond it, votes are drawn with replacement.
     """
     recorded = len(columns)
     key = ["prompt_id", "k", "b"]
-    if n_votes >= recorded:
-        if n_votes == recorded:
-            votes = [F.col(c) for c in columns]
-        else:
-            pool = F.array(*[F.col(c) for c in columns])
-            votes = [
-                F.element_at(pool, (draw_index(F.lit(recorded), F.lit(seed), F.lit(n_votes), *key, F.lit(t)) + 1).cast("int"))
-                for t in range(n_votes)
-            ]
-    else:
-        order = [hash32(F.lit(seed), F.lit(n_votes), *key, F.lit(i)) * F.lit(recorded) + F.lit(i) for i in range(recorded)]
-        # The n_votes smallest hashes are those up to the n_votes-th in order.
-        bar = F.element_at(F.array_sort(F.array(*order)), F.lit(n_votes))
-        votes = [F.when(order[i] <= bar, F.col(columns[i])) for i in range(recorded)]
-    wins = sum((F.when(v == 1.0, 1).otherwise(0) for v in votes), F.lit(0))
-    losses = sum((F.when(v == 0.0, 1).otherwise(0) for v in votes), F.lit(0))
-    return wins, losses
+    if n_votes > recorded:
+        pool = F.array(*[F.col(c) for c in columns])
+        at = lambda t: draw_index(F.lit(recorded), F.lit(seed), F.lit(n_votes), *key, F.lit(t))
+        return F.array(*[F.element_at(pool, (at(t) + 1).cast("int")) for t in range(n_votes)])
+    if n_votes == recorded:
+        return F.array(*[F.col(c) for c in columns])
+    order = lambda i: hash32(F.lit(seed), F.lit(n_votes), *key, F.lit(i))
+    ranked = F.array_sort(F.array(*[
+        F.struct(order(i).alias("order"), F.lit(i).alias("i"), F.col(c).alias("vote")) for i, c in enumerate(columns)
+    ]))
+    return F.slice(ranked, 1, n_votes)["vote"]
 
 
 def l_sensitivity(
@@ -278,7 +276,12 @@ def l_sensitivity(
     from bestofk.operators.judge import majority
 
     trials = spread(items, *cell, "prompt_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    utilities = {f"u_{n}": majority(*_vote_counts(vote_columns, n, seed), n) for n in l_grid}
+    tally = lambda votes, kind: F.size(F.filter(votes, lambda vote: vote == kind))
+
+    def utility(n_votes: int) -> Column:
+        return let(_drawn_votes(vote_columns, n_votes, seed), lambda v: majority(tally(v, 1.0), tally(v, 0.0), n_votes))
+
+    utilities = {f"u_{n}": utility(n) for n in l_grid}
     scored = trials.select(*cell, "prompt_id", "b", *[u.alias(name) for name, u in utilities.items()])
     per_prompt = scored.groupBy(*cell, "prompt_id", "b").agg(
         *[(F.max(name) - F.avg(name)).alias(name) for name in utilities]
