@@ -299,9 +299,14 @@ def stdout_match(returncode: Column, stdout: Column, expected: Column) -> Column
     return F.coalesce((returncode == 0) & (rstrip(stdout) == rstrip(expected)), F.lit(False))
 
 
+def strict_json(text: Column) -> Column:
+    """The text as one JSON value, null when it is not. Inside an object, trailing text is an error too."""
+    return F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+
+
 def json_match(returncode: Column, stdout: Column, expected: Column) -> Column:
     """Equal as JSON values, or as stripped text when a side is not JSON."""
-    as_json = lambda text: F.to_json(F.try_parse_json(text))
+    as_json = lambda text: F.to_json(strict_json(text))
     sides = F.struct(strip(stdout).alias("got"), strip(expected).alias("want"))
     parsed = lambda v: F.struct(as_json(v["got"]).alias("got"), as_json(v["want"]).alias("want"))
     same = let(sides, lambda v: (v["got"] == v["want"]) | let(parsed(v), lambda j: F.coalesce(j["got"] == j["want"], F.lit(False))))

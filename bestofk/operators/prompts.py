@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bestofk.functions.text import rstrip
+from bestofk.functions.text import rstrip, strict_json
 
 # What stage two of a length-budgeted answer adds, its token cap, the seed step.
 ANSWER_PROMPT = "\n\nFinal answer:"
@@ -86,9 +86,11 @@ TESTS_TYPE = "array<struct<input:string,output:string,testtype:string>>"
 
 def ground_truth_bundle(public: Column, private: Column, starter: Column) -> Column:
     """Both test lists joined, with the starter code; either list unreadable means no tests."""
-    parse = lambda c: F.from_json(F.coalesce(c, F.lit("[]")), TESTS_TYPE)
-    whole = lambda c: F.when(F.try_parse_json(F.coalesce(c, F.lit("[]"))).isNotNull(), parse(c))
-    tests = F.coalesce(F.concat(whole(public), whole(private)), F.array().cast(TESTS_TYPE))
+    def readable(source: Column) -> Column:
+        listed = F.coalesce(source, F.lit("[]"))
+        return F.when(strict_json(listed).isNotNull(), F.from_json(listed, TESTS_TYPE))
+
+    tests = F.coalesce(F.concat(readable(public), readable(private)), F.array().cast(TESTS_TYPE))
     return F.struct(tests.alias("tests"), F.coalesce(starter, F.lit("")).alias("starter_code"))
 
 

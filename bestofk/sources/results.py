@@ -36,7 +36,7 @@ def parse_cell_results(documents: DataFrame, seed: int | None = None) -> DataFra
 
 def read_cell_results(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
     """Result documents below ``path``, one JSON document per file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path, pathGlobFilter="*.json")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     return parse_cell_results(files.select(F.col("_metadata.file_name").alias("file_name"), "value"), seed)
 
 

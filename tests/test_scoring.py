@@ -183,7 +183,7 @@ def test_code_rules(rows):
 
 @pytest.mark.parametrize("got,want,same", [
     ("[1, 2]", "[1,2]", True), ('{"b":1,"a":2}', '{"a": 2, "b": 1}', True), ("1.0", "1", True), ("abc ", "abc", True),
-    ("[1,2]", "[2,1]", False), ("abc", "[1]", False),
+    ("[1,2]", "[2,1]", False), ("5 6", "5", False), ("1, 2", "1,2", False), ("abc", "[1]", False),
 ])
 def test_json_match(rows, got, want, same):
     df = rows([(0, got, want)], "rc int, a string, b string")
