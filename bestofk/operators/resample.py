@@ -25,28 +25,30 @@ def check_bootstrap(n_resamples: int, confidence: float) -> None:
 
 
 DRAWS_PER_ROW = 4096
+# Distinct values a cell's histogram may hold: enough for ternary utilities at K = 2048.
+MAX_VALUES = 4097
 
 
 def _histogram(per_prompt: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """One row per cell: its size m, its distinct values in order, and their cumulative counts.
+    """One row per cell: its size m, its distinct values in order, their counts and cumulative counts.
 
-    Utilities are 0, 1/2 or 1, so a statistic over K samples takes a few K values at most, whatever
-    the number of prompts: after the count, a cell is a short array.
+    Utilities are 0, 1/2 or 1, so a statistic over K samples takes 2K+1 values at most, whatever the
+    number of prompts: after the count, a cell is a short array. The bound is checked before anything
+    is collected; values too many to count belong to ``poisson_means``.
     """
     counts = per_prompt.groupBy(*cell, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    return _as_arrays(counts, cell)
-
-
-def _as_arrays(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
-    ordered = counts.groupBy(*cell).agg(
-        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("m")
+    keys = list(cell) or [F.lit(0)]
+    by_value = Window.partitionBy(*keys).orderBy("v")
+    ranked = counts.withColumns({"i": F.row_number().over(by_value), "upto": F.sum("n").over(by_value)})
+    arrays = ranked.where(F.col("i") <= MAX_VALUES + 1).groupBy(*cell).agg(
+        F.array_sort(F.collect_list(F.struct("v", "n", "upto"))).alias("h")
     )
-    upto = F.transform(
-        F.sequence(F.lit(1), F.size("h")),
-        lambda i: F.aggregate(F.slice("h", F.lit(1), i), F.lit(0).cast("bigint"), lambda total, x: total + x["n"]),
+    too_many = F.raise_error(F.lit(f"more than {MAX_VALUES} distinct values in a cell: use Poisson weights"))
+    checked = arrays.where(F.size("h") > 0).withColumn(
+        "h", F.when(F.size("h") > MAX_VALUES, too_many.cast("array<struct<v:double,n:bigint,upto:bigint>>")).otherwise(F.col("h"))
     )
-    return ordered.where(F.col("m") > 0).select(
-        *cell, "m", F.col("h.v").alias("values"), F.col("h.n").alias("counts"), upto.alias("upto")
+    return checked.select(
+        *cell, F.array_max("h.upto").alias("m"), F.col("h.v").alias("values"), F.col("h.n").alias("counts"), F.col("h.upto").alias("upto")
     )
 
 
@@ -138,33 +140,26 @@ def bootstrap_ci_scaled(
     n_resamples: int = 1000,
     confidence: float = 0.95,
     seed: int = 0,
-    max_values: int = 4096,
+    few_values: bool = True,
 ) -> DataFrame:
     """The same interval with work that does not grow with the number of prompts.
 
     A resample of M prompts is a multinomial draw over the distinct values, so after one counting
-    aggregate each cell is a short histogram and B draws are B rows. Cells with more than
-    ``max_values`` distinct values (continuous utilities) take Poisson weights per prompt instead.
+    aggregate each cell is a short histogram and B draws are B rows. For continuous utilities
+    (``few_values=False``) every prompt gets a Poisson weight per resample instead.
     """
     check_bootstrap(n_resamples, confidence)
     keys = list(cell)
-    counts = per_prompt.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    large = None
-    if keys:
-        shape = counts.groupBy(*keys).agg(F.count("*").alias("n_values"))
-        counts = counts.join(shape.where(F.col("n_values") <= max_values).select(*keys), keys, "left_semi")
-        large = per_prompt.join(shape.where(F.col("n_values") > max_values).select(*keys), keys, "left_semi")
-    histogram = _as_arrays(counts, keys).select(
+    if not few_values:
+        return _interval(poisson_means(per_prompt, keys, value, n_resamples, seed), keys, n_resamples, confidence)
+    histogram = _histogram(per_prompt, keys, value).select(
         *keys, F.lit(seed).cast("bigint").alias("seed"), hash32(*keys, F.lit("cell")).alias("cell_hash"), "m", "counts", "values"
     )
     resamples = spread(histogram.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))))
     out = T.StructType([histogram.schema[k] for k in keys] + [
         T.StructField("b", T.IntegerType()), T.StructField("resample_mean", T.DoubleType())
     ])
-    drawn = resamples.mapInArrow(_multinomial_means, out)
-    if large is not None:
-        drawn = drawn.unionByName(poisson_means(large, keys, value, n_resamples, seed))
-    return _interval(drawn, cell, n_resamples, confidence)
+    return _interval(resamples.mapInArrow(_multinomial_means, out), keys, n_resamples, confidence)
 
 
 def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -227,14 +222,14 @@ def m_convergence(
     ranked = tagged.withColumn(
         "rn", F.row_number().over(Window.partitionBy(*keys, "m_sub").orderBy("order", "prompt_id"))
     ).where(F.col("rn") <= max(m_grid)).where(F.col("rn") <= F.col("m_sub"))
-    full_enough = sizes.select(*keys, "m_full", F.explode(F.array(*[F.lit(int(m)) for m in m_grid])).alias("m_sub")).where(
+    smaller = sizes.select(*keys, "m_full", F.explode(F.array(*[F.lit(int(m)) for m in m_grid])).alias("m_sub")).where(
         F.col("m_sub") < F.col("m_full")
     )
-    subset = ranked.join(full_enough.drop("m_full"), [*keys, "m_sub"], "left_semi").select(*keys, F.col("m_sub").cast("bigint").alias("m_sub"), "prompt_id", value)
-    whole = per_prompt.select(*keys, "prompt_id", value).join(sizes, keys).select(
-        *keys, F.col("m_full").alias("m_sub"), "prompt_id", value
-    )
-    ci = bootstrap_ci(subset.unionByName(whole), [*keys, "m_sub"], value, n_resamples, confidence, seed)
+    subset = ranked.join(smaller.drop("m_full"), [*keys, "m_sub"], "left_semi")
+    bounds = [*keys, "m_sub", "ci_low", "ci_high"]
+    of_subsets = bootstrap_ci(subset, [*keys, "m_sub"], value, n_resamples, confidence, seed).select(*bounds)
+    whole = bootstrap_ci(per_prompt, keys, value, n_resamples, confidence, seed).join(sizes, keys)
+    ci = of_subsets.unionByName(whole.withColumnRenamed("m_full", "m_sub").select(*bounds))
     half = (F.col("ci_high") - F.col("ci_low")) / 2
     return ci.select(*keys, "m_sub", half.alias("half_width"), (half * F.sqrt(F.col("m_sub"))).alias("scaled_half_width"))
 
@@ -271,7 +266,8 @@ def l_sensitivity(
     """Gap and its spread when each sample's utility is voted from L' judge calls.
 
     ``items`` has one row per (cell..., prompt_id, k) with its L recorded votes side by side, so
-    drawing votes is row-local; only the prompt and resample aggregates shuffle.
+    drawing votes is row-local; only the prompt and resample aggregates shuffle. A cell with gaps in
+    its (prompt, k) grid gets nulls.
     """
     from bestofk.operators.judge import majority
 
@@ -282,17 +278,23 @@ def l_sensitivity(
         return let(_drawn_votes(vote_columns, n_votes, seed), lambda v: majority(tally(v, 1.0), tally(v, 0.0), n_votes))
 
     utilities = {f"u_{n}": utility(n) for n in l_grid}
-    scored = trials.select(*cell, "prompt_id", "b", *[u.alias(name) for name, u in utilities.items()])
+    scored = trials.select(*cell, "prompt_id", "b", "k", *[u.alias(name) for name, u in utilities.items()])
     per_prompt = scored.groupBy(*cell, "prompt_id", "b").agg(
-        *[(F.max(name) - F.avg(name)).alias(name) for name in utilities]
+        *[(F.max(name) - F.avg(name)).alias(name) for name in utilities],
+        F.count("*").alias("n_k"),
+        (F.max("k") + 1).alias("k_max"),
+    )
+    per_trial = per_prompt.groupBy(*cell, "b").agg(
+        *[F.avg(name).alias(name) for name in utilities], F.min("n_k").alias("n_k"), F.max("k_max").alias("k_max")
     )
-    per_trial = per_prompt.groupBy(*cell, "b").agg(*[F.avg(name).alias(name) for name in utilities])
     wide = per_trial.groupBy(*cell).agg(
         *[F.avg(f"u_{n}").alias(f"mean_{n}") for n in l_grid],
         *[F.stddev_pop(f"u_{n}").alias(f"std_{n}") for n in l_grid],
+        (F.min("n_k") == F.max("k_max")).alias("complete"),
     )
+    known = lambda name: F.when(F.col("complete"), F.col(name))
     points = F.array(*[
-        F.struct(F.lit(n).alias("l_votes"), F.col(f"mean_{n}").alias("r_hat"), F.col(f"std_{n}").alias("r_hat_std"))
+        F.struct(F.lit(n).alias("l_votes"), known(f"mean_{n}").alias("r_hat"), known(f"std_{n}").alias("r_hat_std"))
         for n in l_grid
     ])
     return wide.select(*cell, F.inline(points))

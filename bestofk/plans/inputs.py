@@ -99,8 +99,8 @@ def _by_form(choices: list[Column]) -> Column:
     return chain
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, k, text, ground_truth): numeric answers in six surface forms."""
+def numeric_case() -> tuple[Column, Column]:
+    """Numeric answers in six surface forms, and the reference."""
     q = F.col("q")
     text = _by_form([
         _say("Work 1,200 then\n#### ", q),
@@ -110,14 +110,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("paid ", q, " then lost -$50"),
         F.lit("no idea"),
     ])
-    return sample_forms(spark, sf_dir).select(
-        "prompt_id", "k", text.alias("text"), _say("explained\n#### ", F.col("g")).alias("ground_truth")
-    )
+    return text, _say("explained\n#### ", F.col("g"))
 
 
-def boxed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxed_case() -> tuple[Column, Column]:
     """Boxed answers: plain, nested braces, several boxes, unbalanced ones, a box in a box, none."""
-    q = F.col("q")
+    q, g = F.col("q"), F.col("g")
     text = _by_form([
         _say("x \\boxed{", q, "}"),
         _say("\\boxed{\\frac{", q, "}{2}}"),
@@ -126,11 +124,10 @@ def boxed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say("\\boxed{open \\boxed{", q, "}"),
         F.lit("nothing"),
     ])
-    truth = F.when(F.col("g") == 3, _say("\\frac{", F.col("g"), "}{2}")).otherwise(F.col("g").cast("string"))
-    return sample_forms(spark, sf_dir).select("prompt_id", "k", text.alias("text"), truth.alias("ground_truth"))
+    return text, F.when(g == 3, _say("\\frac{", g, "}{2}")).otherwise(g.cast("string"))
 
 
-def shape_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape_case() -> tuple[Column, Column]:
     """Answers for letter, token and count targets."""
     q, g = F.col("q"), F.col("g")
     letter = lambda n: F.substring(F.lit("ABCDE"), n + 1, F.lit(1))
@@ -148,7 +145,32 @@ def shape_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("prompt_id") % 3 == 1, "No")
         .otherwise(g.cast("string"))
     )
-    return sample_forms(spark, sf_dir).select("prompt_id", "k", text.alias("text"), truth.alias("ground_truth"))
+    return text, truth
+
+
+def _answers(spark: SparkSession, sf_dir: str, case: tuple[Column, Column]) -> DataFrame:
+    return sample_forms(spark, sf_dir).select("prompt_id", "k", case[0].alias("text"), case[1].alias("ground_truth"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, k, text, ground_truth)."""
+    return _answers(spark, sf_dir, numeric_case())
+
+
+def boxed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, boxed_case())
+
+
+def shape_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir, shape_case())
+
+
+def mixed_samples(spark: SparkSession, sf_dir: str, cases: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Answers of several datasets in one table, from one scan: each form gives a row per dataset."""
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("dataset"), text.alias("text"), truth.alias("ground_truth")) for name, (text, truth) in cases.items()
+    ])
+    return sample_forms(spark, sf_dir).select("prompt_id", "k", F.inline(rows))
 
 
 # Verdict text by event type, in order of precedence within a slot.

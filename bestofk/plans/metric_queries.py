@@ -159,11 +159,11 @@ subset as (
     select *, row_number() over (partition by model, m_sub order by o, prompt_id) as rn from sized) where rn <= m_sub and m_sub < m_full
   union all select model, count(*) over (partition by model), prompt_id, r_hat from prompt_gap)""",
     S.bootstrap("subset", "model, m_sub", n=200)) + """
-select model, m_sub, round((ci_high - ci_low) / 2, 12) as half_width,
+select model, m_sub, round((ci_high - ci_low) / 2, 14) as half_width,
        round((ci_high - ci_low) / 2 * sqrt(m_sub), 12) as scaled_half_width from boot_ci""")
 def m_convergence(spark, d):
     out = R.m_convergence(gaps(spark, d), ["model"], m_grid=(10, 20, 40), n_resamples=200)
-    return rounded(out, "half_width", "scaled_half_width")
+    return rounded(rounded(out, "half_width", digits=14), "scaled_half_width")
 
 
 @query("spike_candidates", S.with_(S.UTILITY, S.PROMPT_GAP) + """

@@ -90,13 +90,13 @@ select hyp, dataset_id, file_name, rvr, abs(rvr - min(rvr) over (partition by hy
        abs(rvr - max(rvr) over (partition by hyp, dataset_id)) < 1e-9 as is_max from results""")
 def mark_extreme(spark, d):
     rows = I.results(spark, d).select("hyp", "dataset_id", "file_name", "rvr")
-    return R.mark_extreme(R.mark_extreme(rows, ["hyp", "dataset_id"], "rvr", "min", "is_min"), ["hyp", "dataset_id"], "rvr", "max", "is_max")
+    return R.mark_extreme(rows, ["hyp", "dataset_id"], "rvr", is_min="min", is_max="max")
 
 
 @query("pivot_models", sql_found() + "select band, dataset_id, " + sql_pivot("model", MODELS, (*ALL_VALUES, "best")) + """
 from (select *, coalesce(abs(rvr - min(rvr) over (partition by band, dataset_id)) < 1e-9, false) as best from found) group by all""")
 def pivot_models(spark, d):
-    marked = R.mark_extreme(looked_up(spark, d, "h1"), ["band", "dataset_id"], "rvr", "min")
+    marked = R.mark_extreme(looked_up(spark, d, "h1"), ["band", "dataset_id"], "rvr", best="min")
     return R.pivot_models(marked, ["band", "dataset_id"], MODELS, [*ALL_VALUES, "best"])
 
 
@@ -131,7 +131,7 @@ select dataset, length, {sql_pivot("model", LENGTH_MODELS, ("reu", "aeu", "rvr",
 where model in ('m0', 'm1', 'm2') group by all""")
 def pivot_length(spark, d):
     index = R.index_cells(of(spark, d, "h4").where(F.col("model").isin(LENGTH_MODELS)), ["model", "dataset", "length"])
-    marked = R.mark_extreme(index, ["dataset", "model"], "rvr", "max", "peak")
+    marked = R.mark_extreme(index, ["dataset", "model"], "rvr", peak="max")
     return R.pivot_models(marked, ["dataset", "length"], LENGTH_MODELS, ["reu", "aeu", "rvr", "peak"])
 
 
@@ -147,7 +147,7 @@ def api_table(spark, d):
     """Keyed by the bare dataset: of a plain and a judge-tagged file the later name counts."""
     index = R.index_cells(of(spark, d, "h1"), ["model", "dataset"]).select("model", "dataset", *ALL_VALUES)
     slots = R.slot_grid(spark, dataset=API_DATASETS, model=API_MODELS)
-    return R.mark_extreme(slots.join(index, ["model", "dataset"], "left"), ["dataset"], "rvr", "min")
+    return R.mark_extreme(slots.join(index, ["model", "dataset"], "left"), ["dataset"], "rvr", best="min")
 
 
 @query("ak_rvr", sql_found() + """

@@ -86,11 +86,11 @@ def _beside(rows: DataFrame, row: Sequence[str], **facts: Column) -> DataFrame:
     return rows.join(found, list(row))
 
 
-def mark_extreme(rows: DataFrame, row: Sequence[str], value: str, mode: str, flag: str = "best") -> DataFrame:
-    """Flag every value within a tie of the row's minimum or maximum."""
-    ref = F.min(value) if mode == "min" else F.max(value)
-    near = F.abs(F.col(value) - F.col("__ref")) < TIE
-    return _beside(rows, row, __ref=ref).withColumn(flag, F.coalesce(near, F.lit(False))).drop("__ref")
+def mark_extreme(rows: DataFrame, row: Sequence[str], value: str, **flags: str) -> DataFrame:
+    """Flag every value within a tie of the row's minimum or maximum: ``best="min"``."""
+    refs = {f"__{flag}": F.min(value) if mode == "min" else F.max(value) for flag, mode in flags.items()}
+    near = lambda ref: F.coalesce(F.abs(F.col(value) - F.col(ref)) < TIE, F.lit(False))
+    return _beside(rows, row, **refs).withColumns({flag: near(f"__{flag}") for flag in flags}).drop(*refs)
 
 
 def mark_smallest_positive(rows: DataFrame, row: Sequence[str], value: str, order: str, flag: str = "best") -> DataFrame:
@@ -200,13 +200,11 @@ def length_terciles(rows: DataFrame, length: str) -> DataFrame:
     """Add short / medium / long by the terciles of the whole column.
 
     Exact percentiles keep one counter per distinct length, so their state is bounded by the
-    longest text, not by the number of rows; one row of cut points joins back.
+    longest text, not by the number of rows; the two cut points are a scalar subquery.
     """
-    cuts = rows.agg(F.percentile(length, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cut")).select(
-        F.col("cut")[0].alias("q1"), F.col("cut")[1].alias("q2"), F.lit(1).alias("one")
-    )
-    bucket = F.when(F.col(length) <= F.col("q1"), "short").when(F.col(length) <= F.col("q2"), "medium").otherwise("long")
-    return rows.withColumn("one", F.lit(1)).join(F.broadcast(cuts), "one").withColumn("bucket", bucket).drop("one", "q1", "q2")
+    cuts = rows.agg(F.percentile(length, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
+    q1, q2 = cuts[0], cuts[1]
+    return rows.withColumn("bucket", F.when(F.col(length) <= q1, "short").when(F.col(length) <= q2, "medium").otherwise("long"))
 
 
 def level_digit(label: Column) -> Column:
@@ -220,11 +218,8 @@ def gap_by_bucket(per_prompt: DataFrame, labels: DataFrame, models: Sequence[str
     ``labels`` is (prompt_id, bucket). A model whose prompt count differs from the label count is not
     comparable and gets nulls.
     """
-    n_labels = labels.agg(F.count("*").alias("n_labels")).withColumn("one", F.lit(1))
-    fits = (
-        per_prompt.groupBy(model).agg(F.count("*").alias("n_prompts")).withColumn("one", F.lit(1))
-        .join(F.broadcast(n_labels), "one").where(F.col("n_prompts") == F.col("n_labels")).select(model)
-    )
+    n_labels = labels.agg(F.count("*")).scalar()
+    fits = per_prompt.groupBy(model).agg(F.count("*").alias("n_prompts")).where(F.col("n_prompts") == n_labels).select(model)
     sizes = labels.groupBy("bucket").agg(F.count("*").alias("n"))
     means = (
         per_prompt.join(fits, model, "left_semi").join(labels, "prompt_id")
@@ -266,13 +261,10 @@ def spike_by_bucket(success: DataFrame, labels: DataFrame, cell: Sequence[str])
     ``success`` is (cell..., prompt_id, p_hat), ``labels`` (prompt_id, bucket). A cell whose prompts do not
     match the labels one to one keeps its overall row only.
     """
-    n_labels = labels.agg(F.count("*").alias("n_labels")).withColumn("one", F.lit(1))
+    n_labels = labels.agg(F.count("*")).scalar()
     tagged = success.join(labels, "prompt_id", "left")
-    zero = F.avg((F.col("p_hat") == 0).cast("double"))
     per_bucket = tagged.groupBy(*cell, "bucket").agg(F.count("*").alias("n"), F.sum((F.col("p_hat") == 0).cast("bigint")).alias("zeros"))
     overall = per_bucket.groupBy(*cell).agg(F.sum("n").alias("n"), F.sum("zeros").alias("zeros"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).alias("n_labelled"))
-    fits = overall.withColumn("one", F.lit(1)).join(F.broadcast(n_labels), "one").where(
-        (F.col("n") == F.col("n_labels")) & (F.col("n_labelled") == F.col("n"))
-    ).select(*cell)
+    fits = overall.where((F.col("n") == n_labels) & (F.col("n_labelled") == F.col("n"))).select(*cell)
     rows = overall.select(*cell, F.lit("__all__").alias("bucket"), "n", "zeros").unionByName(per_bucket.join(fits, list(cell), "left_semi"))
     return rows.select(*cell, "bucket", "n", (F.col("zeros") / F.col("n")).alias("zero_share"))

@@ -264,8 +264,7 @@ def all_tests_pass(spark, d):
 select prompt_id, k, 'gsm8k' as dataset, cast(case when f < 5 then q end as double) as number_key, null as box_key from forms
 union all select prompt_id, k, 'math', null, regexp_replace(answer, '\s', '', 'g') from found""")
 def answer_key(spark, d):
-    tag = lambda df, name: df.select("prompt_id", "k", F.lit(name).alias("dataset"), "text")
-    both = tag(I.samples(spark, d), "gsm8k").unionByName(tag(I.boxed_samples(spark, d), "math"))
+    both = I.mixed_samples(spark, d, {"gsm8k": I.numeric_case(), "math": I.boxed_case()})
     keyed = both.withColumn("key", scorers.key_dispatch(F.col("dataset"), F.col("text")))
     numeric = F.col("dataset") == "gsm8k"
     return keyed.select(
@@ -277,16 +276,6 @@ def answer_key(spark, d):
 
 
 
-def dispatch_input(spark, d):
-    """All answers with the name of the dataset they belong to, spelt with case and blanks."""
-    tag = lambda df, name: df.select(F.lit(name).alias("dataset"), "prompt_id", "k", "text", "ground_truth")
-    return (
-        tag(I.samples(spark, d), " GSM8K")
-        .unionByName(tag(I.boxed_samples(spark, d), "Math "))
-        .unionByName(tag(I.shape_samples(spark, d), "bbh"))
-    )
-
-
 @query("score_dispatch", S.with_(S.FORMS, S.BOXED, S.SHAPES,
     f"found as (select *, {sql_box('text')} as answer from boxed)",
     r"squashed as (select *, regexp_replace(answer, '\s', '', 'g') as l, regexp_replace(ground_truth, '\s', '', 'g') as r from found)",
@@ -302,7 +291,8 @@ union all select 'bbh', prompt_id, k, coalesce(case
     or regexp_matches(lower(span), '(?:^|[^a-z])' || regexp_escape({sql_token('ground_truth')}) || '(?:[^a-z]|$)') end, false)::double
 from spans""")
 def score_dispatch(spark, d):
-    scored = dispatch_input(spark, d).withColumn("utility", scorers.score_dispatch(F.col("dataset"), F.col("text"), F.col("ground_truth")))
+    cases = {" GSM8K": I.numeric_case(), "Math ": I.boxed_case(), "bbh": I.shape_case()}
+    scored = I.mixed_samples(spark, d, cases).withColumn("utility", scorers.score_dispatch(F.col("dataset"), F.col("text"), F.col("ground_truth")))
     return scored.select(F.lower(F.trim("dataset")).alias("dataset"), "prompt_id", "k", "utility")
 
 

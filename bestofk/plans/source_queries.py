@@ -13,7 +13,6 @@ from bestofk.plans import inputs as I
 from bestofk.plans import sqlparts as S
 from bestofk.plans.metric_queries import CELL, rounded
 from bestofk.plans.registry import query
-from bestofk.plans.scoring_queries import dispatch_input
 from bestofk.sources import logs, results as RS, samples as SS
 from bestofk.session import materialise, shared_dir
 

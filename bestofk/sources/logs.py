@@ -34,8 +34,8 @@ def read_verdict_log(
     chosen = log.where(name == experiment if match == "exact" else name.startswith(experiment)).where(F.col(verdicts).isNotNull())
     sized = F.size(verdicts) if dict(log.dtypes)[verdicts].startswith("array") else F.length(verdicts)
     final = latest_per_key(chosen, keys, "ingest_seq").withColumn("n_votes", sized)
-    modal = final.groupBy("n_votes").count().agg(F.max_by("n_votes", F.struct("count", -F.col("n_votes"))).alias("n_votes"))
-    return final.join(modal, "n_votes", "left_semi")
+    modal = final.groupBy("n_votes").count().agg(F.max_by("n_votes", F.struct("count", -F.col("n_votes"))))
+    return final.where(F.col("n_votes") == modal.scalar())
 
 
 def append_verdict_log(records: DataFrame, path: str, partition: str = "dataset") -> None:

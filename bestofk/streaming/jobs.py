@@ -92,7 +92,6 @@ def judge_health(stream: DataFrame, cell: Sequence[str], width: str, lateness: s
     )
     run_batches(rates, path, "complete")
     table = batches(stream.sparkSession, path)
-    last = table.agg(F.max("batch_id").alias("batch_id"))
-    return table.join(last, "batch_id", "left_semi").select(
+    return table.where(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).select(
         F.col("window.start").alias("window_start"), *cell, "n_calls", "parse_failure_rate", "a_pick_rate"
     )

@@ -105,9 +105,12 @@ def test_bootstrap_of_many_draws_per_resample(rows, spark):
 def test_continuous_values_take_poisson_weights(spark):
     cell = spark.range(3000).select(F.lit("c").alias("cell"), F.col("id").alias("prompt_id"), (F.col("id") / 3000).alias("r_hat"))
     exact = one(R.bootstrap_ci(cell, ["cell"], n_resamples=200))
-    rough = one(R.bootstrap_ci_scaled(cell, ["cell"], n_resamples=200, max_values=10))
+    rough = one(R.bootstrap_ci_scaled(cell, ["cell"], n_resamples=200, few_values=False))
     for part in ("mean", "ci_low", "ci_high"):
         assert rough[part] == pytest.approx(exact[part], abs=0.005)
+    many = spark.range(R.MAX_VALUES + 5).select(F.col("id").alias("prompt_id"), (F.col("id") / 7).alias("r_hat"))
+    with pytest.raises(Exception, match="use Poisson weights"):
+        R.bootstrap_ci(many, n_resamples=2).collect()
 
 
 def keyed(rows, keys, us):
@@ -194,6 +197,8 @@ def test_l_sensitivity_at_the_recorded_votes(rows):
     out = {r.l_votes: r for r in R.l_sensitivity(df, ["v0", "v1", "v2", "v3", "v4"], n_resamples=10).collect()}
     assert (out[5].r_hat, out[5].r_hat_std) == (0.5, 0.0)
     assert out[1].r_hat_std > 0 and set(out) == {1, 3, 5, 7, 9}
+    gappy = R.l_sensitivity(df.where("prompt_id = 0 or k = 1"), ["v0", "v1", "v2", "v3", "v4"], n_resamples=2)
+    assert all(r.r_hat is None for r in gappy.collect())
 
 
 def test_m_convergence_shrinks(spark):

@@ -157,7 +157,7 @@ def test_limits_and_filters_reach_the_map_side(spark):
 
 def test_flags(rows):
     df = rows([("r", 1, 0.5), ("r", 2, 0.5 + 1e-12), ("r", 3, 0.9), ("r", 4, None)], "row string, c int, v double")
-    got = R.mark_extreme(df, ["row"], "v", "min").orderBy("c").collect()
+    got = R.mark_extreme(df, ["row"], "v", best="min").orderBy("c").collect()
     assert [r.best for r in got] == [True, True, False, False]
     df = rows([("r", 1, 0.0), ("r", 2, 0.3), ("r", 3, 0.3), ("s", 1, 0.0)], "row string, c int, v double")
     got = R.mark_smallest_positive(df, ["row"], "v", "c").orderBy("row", "c").collect()
