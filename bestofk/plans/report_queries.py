@@ -215,11 +215,11 @@ def sc_series(spark, d):
          case when t = n and n > 0 then 'per-cell' when t = 0 and logged is not null then 'compute_budget' when t = 0 then 'no record'
               else 'per-cell + budget' end as source
   from tally t left join budget b on b.hyp = t.hyp)""") + """
-select hyp, n_cells, n_timed, round(hours, 12) as hours, source from hours
-union all select 'total', cast(sum(n_cells) as bigint), cast(sum(n_timed) as bigint), round(sum(hours), 12), null from hours""")
+select hyp, n_cells, n_timed, round(hours, 6) as hours, source from hours
+union all select 'total', cast(sum(n_cells) as bigint), cast(sum(n_timed) as bigint), round(sum(hours), 6), null from hours""")
 def gpu_hours(spark, d):
     out = R.gpu_hours(of(spark, d, *R.HYPOTHESES), logs.compute_budget(I.compute_log(spark, d)))
-    return rounded(out, "hours")
+    return rounded(out, "hours", digits=6)
 
 
 @query("epsilon_budget", S.with_(S.RESULTS, S.CURVE) + """

@@ -206,3 +206,29 @@ def test_m_convergence_shrinks(spark):
     gaps = spark.createDataFrame([("c", i, rng.randint(0, 8) / 8) for i in range(300)], "cell string, prompt_id int, r_hat double")
     out = {r.m_sub: r for r in R.m_convergence(gaps, ["cell"], m_grid=(20, 80, 1000), n_resamples=300).collect()}
     assert set(out) == {20, 80, 300} and out[20].half_width > out[80].half_width > out[300].half_width
+
+
+def test_whole_study(rows):
+    """Samples of two datasets in, nested result rows out; votes of the same samples at two sizes."""
+    from bestofk.plans import experiments as E
+
+    texts = [("gsm8k", p, k, f"#### {v}", "4") for p, vs in enumerate(["4444", "4445", "5555"]) for k, v in enumerate(vs)]
+    texts += [("math", p, k, f"\\boxed{{{v}}}", "4") for p, vs in enumerate(["5544", "4555"]) for k, v in enumerate(vs)]
+    df = rows(texts, "dataset string, prompt_id int, k int, text string, ground_truth string")
+    keyed = E.score_samples(df, ["dataset"], with_keys=True)
+    cells = {r.dataset: r for r in E.evaluate(keyed, ["dataset"], 4, n_resamples=50).collect()}
+    assert cells["gsm8k"].m == 3 and cells["gsm8k"].aggregates.u_circ == pytest.approx(2 / 3)
+    assert [p.k_prefix for p in cells["math"].curve] == [1, 2, 4] and cells["math"].curve[0].u_circ == 0.5
+    assert cells["math"].bootstrap.ci_low <= cells["math"].aggregates.r_hat <= cells["math"].bootstrap.ci_high
+    votes = {(r.dataset, r.sc_n): r.aggregates.u_bar for r in E.self_consistency(keyed, ["dataset"], [1, 9], 16, 4, 20).collect()}
+    assert set(votes) == {(d, n) for d in ("gsm8k", "math") for n in (1, 9)}
+    assert votes["gsm8k", 9] >= votes["gsm8k", 1] - 0.1 and votes["gsm8k", 9] == pytest.approx(2 / 3, abs=0.1)
+
+
+def test_judged_study(rows):
+    from bestofk.plans import experiments as E
+
+    calls = rows([("c", p, k, l, text, True) for p, k, texts in [(0, 0, "AAB"), (0, 1, "BBA"), (1, 0, "TTT"), (1, 1, "A?T")] for l, text in enumerate(texts)],
+                 "cell string, prompt_id int, k int, l int, verdict_text string, a_is_candidate boolean")
+    got = {(r.prompt_id, r.k): r.u for r in E.judged_utility(calls, ["cell"]).collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 0.0, (1, 0): 0.5, (1, 1): 0.5}
