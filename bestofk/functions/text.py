@@ -6,6 +6,9 @@ Character classes are ASCII (``\\d``, ``\\s``), in Spark as in the SQL oracle.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,16 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
+def render(template: str, fields: Mapping[str, Column]) -> Column:
+    """Fill the ``{name}`` places of a format string (``{{`` is a brace). Field text is never read again."""
+    parts: list[Column] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(fields[name].cast("string"))
+    return F.concat(*parts)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]

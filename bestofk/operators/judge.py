@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bestofk.functions.hashing import coin
-from bestofk.functions.text import strip
+from bestofk.functions.text import render, strip
 
 # The judge's instructions and the layout of its question.
 JUDGE_SYSTEM = (
@@ -16,11 +16,9 @@ JUDGE_SYSTEM = (
     "Answer with exactly one character: A if Response A is better, B if Response B is better, "
     "T if they are equally good."
 )
-JUDGE_PARTS = (
-    "User question:\n",
-    "\n\n--- Response A ---\n",
-    "\n\n--- Response B ---\n",
-    "\n\nWhich is better? Answer with one letter (A, B, or T):",
+JUDGE_QUESTION = (
+    "User question:\n{question}\n\n--- Response A ---\n{a}\n\n--- Response B ---\n{b}\n\n"
+    "Which is better? Answer with one letter (A, B, or T):"
 )
 CALL_SEED_STEP = 100003
 VOTE_VALUES = (0.0, 0.5, 1.0)
@@ -49,8 +47,7 @@ def judge_prompt(question: Column, candidate: Column, reference: Column, a_is_ca
     """Question text with the two responses ordered by the coin."""
     first = F.when(a_is_candidate, candidate).otherwise(reference)
     second = F.when(a_is_candidate, reference).otherwise(candidate)
-    head, a, b, tail = (F.lit(p) for p in JUDGE_PARTS)
-    return F.concat(head, question, a, first, b, second, tail)
+    return render(JUDGE_QUESTION, {"question": question, "a": first, "b": second})
 
 
 def parse_verdict(text: Column, a_is_candidate: Column) -> Column:

@@ -50,21 +50,6 @@ def decode_bytes(column: Column) -> Column:
     return F.decode(column, "UTF-8")
 
 
-def render(template: str, fields: Mapping[str, Column]) -> Column:
-    """Fill ``{name}`` places of a template. Text and fields alternate, so field text is never re-read."""
-    parts: list[Column] = []
-    rest = template
-    while rest:
-        hits = [(rest.find("{" + n + "}"), n) for n in fields if "{" + n + "}" in rest]
-        if not hits:
-            parts.append(F.lit(rest))
-            break
-        at, name = min(hits)
-        parts += [F.lit(rest[:at]), fields[name].cast("string")]
-        rest = rest[at + len(name) + 2:]
-    return F.concat(*parts)
-
-
 def few_shot(examples: str | Column, user: Column) -> Column:
     examples = F.lit(examples) if isinstance(examples, str) else examples
     return F.concat(rstrip(examples), F.lit("\n\n"), user)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bestofk.functions import scorers
+from bestofk.functions import text as T
 from bestofk.functions.hashing import config_fingerprint
 from bestofk.operators import metrics as M
 from bestofk.operators import prompts as P
@@ -207,7 +208,7 @@ def decode_bytes(spark, d):
 select doc_id, md5(user_text) as user_md5, md5('Q: 1+1' || chr(10) || 'A: 2' || chr(10) || chr(10) || user_text) as few_shot_md5
 from (select doc_id, 'Question (' || lang || '):' || chr(10) || text || chr(10) || 'Answer:' as user_text from documents)""")
 def render_prompt(spark, d):
-    user = P.render("Question ({lang}):\n{text}\nAnswer:", {"text": F.col("text"), "lang": F.col("lang")})
+    user = T.render("Question ({lang}):\n{text}\nAnswer:", {"text": F.col("text"), "lang": F.col("lang")})
     return I.table(spark, d, "documents").select("doc_id", user.alias("u")).select(
         "doc_id", F.md5("u").alias("user_md5"), F.md5(P.few_shot("Q: 1+1\nA: 2\n \n", F.col("u"))).alias("few_shot_md5")
     )

@@ -58,4 +58,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Adaptive execution sizes partitions by their bytes, which says nothing about a step that turns
     each row into a thousand; an explicit partition count is kept as it is.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1), *keys)
+    spark = df.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(cores, *keys)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERDICT_SCHEMA = (
-    "ingest_seq bigint, ts timestamp, experiment string, prompt_id string, k int, utility double, "
-    "raw_verdicts array<double>, a_is_candidate array<boolean>, judge string, L int, seed int"
+    "timestamp timestamp, experiment string, prompt_id string, k int, utility double, raw_verdicts array<double>, "
+    "a_is_candidate array<boolean>, judge string, L int, seed int"
 )
 COMPUTE_SCHEMA = "timestamp timestamp, experiment string, gpu_hours double, metadata map<string,string>"
 HYPOTHESES = ("h1", "h2", "h3", "h4")
@@ -39,7 +39,7 @@ def read_verdict_log(
 
 
 def append_verdict_log(records: DataFrame, path: str, partition: str = "dataset") -> None:
-    records.write.mode("append").partitionBy(partition).parquet(path)
+    records.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def compute_budget(log: DataFrame) -> DataFrame:
@@ -50,13 +50,26 @@ def compute_budget(log: DataFrame) -> DataFrame:
     return first.groupBy("hyp").agg(F.sum("gpu_hours").alias("gpu_hours"))
 
 
-def read_compute_log(spark: SparkSession, path: str) -> DataFrame:
-    """Compute-log files of all servers; file name and position give the order of records."""
-    raw = spark.read.schema(COMPUTE_SCHEMA).option("mode", "DROPMALFORMED").json(path, pathGlobFilter="compute_budget*.jsonl")
-    return raw.select(
-        F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("timestamp").alias("at")).alias("ingest_seq"),
-        "experiment", F.col("metadata")["seed"].alias("seed"), "gpu_hours",
+def _json_lines(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Readable lines with their place in the log: file name, then position in the file."""
+    lines = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, **options)
+    place = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
     )
+    return lines.select(place.alias("ingest_seq"), *lines.columns)
+
+
+def verdict_files(spark: SparkSession, path: str) -> DataFrame:
+    """Decision log files as an ordered log; absent fields are null."""
+    return _json_lines(spark, path, VERDICT_SCHEMA)
+
+
+def read_compute_log(spark: SparkSession, path: str) -> DataFrame:
+    """Compute-log files of all servers as one ordered log."""
+    log = _json_lines(spark, path, COMPUTE_SCHEMA, pathGlobFilter="compute_budget*.jsonl")
+    return log.select("ingest_seq", "experiment", F.col("metadata")["seed"].alias("seed"), "gpu_hours")
 
 
 def resume_ledger(lines: DataFrame, keys: Sequence[str] = ("i", "k")) -> DataFrame:

@@ -56,7 +56,7 @@ def assemble_cells(gaps: DataFrame, curve: DataFrame, ci: DataFrame, cell: Seque
 
 def write_cell_results(cells: DataFrame, path: str, partition: str = "hyp") -> None:
     """Append result rows; the judge is a column, so re-judged cells sit side by side."""
-    cells.write.mode("append").partitionBy(partition).parquet(path)
+    cells.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def write_tidy_csv(rows: DataFrame, path: str) -> None:

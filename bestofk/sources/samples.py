@@ -30,14 +30,15 @@ def stored_samples(spark: SparkSession, path: str) -> DataFrame | None:
 def write_samples(samples: DataFrame, path: str) -> None:
     """Add the configurations in ``samples`` (it has a ``fingerprint`` column) to the store.
 
-    A stored configuration is never overwritten; the job commits all its files or none.
+    A stored configuration is never overwritten; the job commits all its files or none. Rebalancing
+    gives small configurations one file each and splits a large one over several tasks.
     """
     stored = stored_samples(samples.sparkSession, path)
     if stored is not None:
         clash = samples.select("fingerprint").join(stored.select("fingerprint"), "fingerprint", "left_semi")
         if not clash.isEmpty():
             raise FileExistsError(f"{path} already holds samples for some of these configurations")
-    samples.write.mode("append").partitionBy("fingerprint").parquet(path)
+    samples.hint("rebalance", "fingerprint").write.mode("append").partitionBy("fingerprint").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, fingerprints: Sequence[str] | DataFrame | None = None) -> DataFrame:

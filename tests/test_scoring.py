@@ -222,6 +222,18 @@ def test_dispatch_and_registry(rows):
     assert by_id(df.withColumn("u", scorers.get_scorer("exact")(F.col("text"), F.col("ground_truth"))), "u") == [0.0] * 4
 
 
+def test_vectorised_python_scorer(rows):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def same_length(text: pd.Series, truth: pd.Series) -> pd.Series:
+        return (text.str.len() == truth.str.len()).astype("float64")
+
+    scorers.register_scorer("length", same_length)
+    df = rows([(0, "ab", "cd"), (1, "ab", "c")], "id int, text string, ground_truth string")
+    assert by_id(df.withColumn("u", scorers.get_scorer("length")(F.col("text"), F.col("ground_truth"))), "u") == [1.0, 0.0]
+
+
 def test_number_rules_on_real_pages(spark):
     """Differential check against the rule in plain Python over whole pages."""
     import re

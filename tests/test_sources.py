@@ -10,6 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from bestofk.functions import text as T
 from bestofk.functions.hashing import CONFIG_FIELDS, config_fingerprint
 from bestofk.operators import prompts as P
 from bestofk.plans import reports as R
@@ -104,6 +105,14 @@ def test_compute_budget_and_log_files(spark, rows, tmp_path):
     assert {r.hyp: r.gpu_hours for r in logs.compute_budget(read).collect()} == {"h1": 1.5, "h2": 2.0}
 
 
+def test_verdict_files_keep_the_last_record(spark, tmp_path):
+    line = lambda u, votes: json.dumps({"timestamp": "2026-01-01T00:00:00", "experiment": "h1_m", "prompt_id": "p", "k": 0, "utility": u, "raw_verdicts": votes})
+    (tmp_path / "uf_log.jsonl").write_text(line(0.0, [0.0]) + "\n\n{torn\n" + line(1.0, [1.0]) + "\n" + line(0.5, None) + "\n")
+    log = logs.verdict_files(spark, str(tmp_path / "uf_log.jsonl"))
+    got = logs.read_verdict_log(log, "h1_m").collect()
+    assert [(r.prompt_id, r.k, r.utility, r.raw_verdicts) for r in got] == [("p", 0, 1.0, [1.0])]
+
+
 def test_resume_ledger(rows):
     lines = rows([(1, '{"i":0,"k":1,"text":"old"}'), (2, '{"i":0,"k":1,"text":"new"}'), (3, '{"i":0,"k":2,"te'), (4, '{"i":1,"k":0}'), (5, "")], "ingest_seq int, value string")
     assert [tuple(r) for r in logs.resume_ledger(lines).collect()] == [(0, 1, "new")]
@@ -132,7 +141,8 @@ def test_ground_truths(rows):
 
 def test_render_does_not_reread_fields(rows):
     df = rows([("{b}", "B")], "a string, b string")
-    assert df.select(P.render("<{a}|{b}|{a}>", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first().t == "<{b}|B|{b}>"
+    assert df.select(T.render("<{a}|{b}|{a}>", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first().t == "<{b}|B|{b}>"
+    assert df.select(T.render("\\boxed{{{b}}}", {"b": F.col("b")}).alias("t")).first().t == "\\boxed{B}"
     assert df.select(P.few_shot("ex \n\n", F.col("b")).alias("t")).first().t == "ex\n\nB"
 
 
