@@ -242,10 +242,11 @@ def difficulty_bucket(spark, d):
 
 
 def part_cells(spark, d):
-    """Two models over all parts (first and second half of the samples) and one that misses some parts."""
+    """Two models over all parts (first and second half of the samples), and one with the right answers only,
+    which therefore lacks the parts that have none."""
     keyed = numeric_keyed(spark, d).select("prompt_id", "k", "u")
     half = F.when(F.col("k") < 4, "m0").otherwise("m1")
-    fewer = F.when(F.col("prompt_id") % 7 != 0, "m2")
+    fewer = F.when(F.col("u") == 1.0, "m2")
     return keyed.select(F.explode(F.array_compact(F.array(half, fewer))).alias("model"), "prompt_id", "k", "u")
 
 
@@ -255,7 +256,7 @@ def part_levels(spark, d):
 
 PART_CELLS = """cells as (
   select case when k < 4 then 'm0' else 'm1' end as model, prompt_id, k, u from keyed
-  union all select 'm2', prompt_id, k, u from keyed where prompt_id % 7 <> 0)"""
+  union all select 'm2', prompt_id, k, u from keyed where u = 1)"""
 LEVELS_SQL = "levels as (select p_partkey as prompt_id, left(cast(p_size as varchar), 1) as bucket from part)"
 
 

@@ -43,12 +43,12 @@ SAMPLE_FP = """substr(sha256('{"K":8,"dataset":"gsm8k","max_tokens":1024,"model"
 
 @query("read_samples", S.with_(S.FORMS, S.SAMPLES) + f"""
 select {SAMPLE_FP} as fingerprint, cast(prompt_id as varchar) as prompt_id, k, text from samples
-where prompt_id % 3 in (select s_suppkey % 2 from supplier)""")
+where 'm' || cast(prompt_id % 3 as varchar) in (select 'm' || cast(s_suppkey % 5 as varchar) from supplier)""")
 def read_samples(spark, d):
-    """Written once per configuration; the requested ones are read back by partition."""
+    """Written once per configuration; the requested ones (stored or not) are read back by partition."""
     path = shared_dir(spark, "samples")
     SS.write_samples(_wide_samples(spark, d), path)
-    model = F.concat(F.lit("m"), (F.col("s_suppkey") % 2).cast("string"))
+    model = F.concat(F.lit("m"), (F.col("s_suppkey") % 5).cast("string"))
     requested = I.table(spark, d, "supplier").select(config_fingerprint(_sample_config(model)).alias("fingerprint"))
     return SS.explode_samples(SS.read_samples(spark, path, requested)).select("fingerprint", "prompt_id", "k", "text")
 

@@ -22,6 +22,8 @@ def build_session(app_name: str = "bestofk", master: str | None = None, **conf:
         # Texts are costly per byte: let small shuffles keep more than one partition.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites in error messages cost a stack walk per column call; plans here are wide.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
