@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,8 +224,6 @@ def test_dispatch_and_registry(rows):
 
 
 def test_vectorised_python_scorer(rows):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def same_length(text: pd.Series, truth: pd.Series) -> pd.Series:
         return (text.str.len() == truth.str.len()).astype("float64")
