@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import mixing, sharding
+from bestofk.llm import mixing, sharding, toxicity, warc
 from bestofk.llm.common import table
+from bestofk.session import materialise, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,35 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_compression_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+first as (select html, min(page_id) as first_id from p where payload_bytes >= 100 group by html)
+select page_id, payload_bytes, sha256(p.html) as payload_digest,
+       case when first_id < page_id then 'revisit' else 'response' end as record_type,
+       case when first_id < page_id then first_id end as refers_to
+from p left join first on p.html = first.html and payload_bytes >= 100
+"""
+
+
+@query("op2_warc_transactions", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    # Parsed once; the link joins then read the id columns alone.
+    records = materialise(warc.read_records(spark, path), "records")
+    captures = warc.with_full_payload(warc.assemble(records))
+    return captures.select(
+        "page_id", "payload_bytes", F.substring_index("digest", ":", -1).alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"),
+    )
+
+
 @query("op6_label_propagation_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
