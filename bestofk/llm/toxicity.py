@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,19 +177,19 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     rows = docs.select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if isinstance(model, Model):
             save = _saver(model.ordinary, model.toxic, model.settings.level)
             centre, scale, b = (np.array(v) for v in (model.centre, model.scale, model.coefficients))
         for batch in batches:
             if isinstance(model, Model):
-                x = np.array([_features(t, save, model.settings) for t in batch["text"]]).reshape(-1, len(centre))
+                x = np.array([_features(t.as_py(), save, model.settings) for t in batch.column("text")]).reshape(-1, len(centre))
                 p = 1 / (1 + np.exp(-np.clip(b[0] + ((x - centre) / scale) @ b[1:], -30, 30)))
             else:
-                p = np.full(len(batch), model)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p})
+                p = np.full(batch.num_rows, float(model))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
-    scored = rows.mapInPandas(run, schema)
+    scored = rows.mapInArrow(run, schema)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
