@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import html, mixing, quality, sharding, toxicity, warc
+from bestofk.llm import html, licenses, mixing, quality, sharding, toxicity, warc
 from bestofk.llm.common import table
 from bestofk.session import materialise, shared_dir
 
@@ -62,6 +62,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_rare_token_licenses")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_block_rules_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
