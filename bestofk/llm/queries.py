@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import html, licenses, mixing, quality, sharding, toxicity, warc
+from bestofk.llm import decontamination, html, licenses, mixing, quality, sharding, toxicity, warc
 from bestofk.llm.common import table
 from bestofk.session import materialise, shared_dir
 
@@ -116,6 +116,11 @@ from laid l left join partial using (mark, start)
 """
 
 
+@query("op9_cgk_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_source_mix", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
