@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bestofk.llm import decontamination, html, licenses, mixing, quality, sharding, toxicity, warc
 from bestofk.llm.common import table
-from bestofk.session import materialise, shared_dir
+from bestofk.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,11 +45,9 @@ from p left join first on p.html = first.html and payload_bytes >= 100
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    # Parsed once; the link joins then read the id columns alone.
-    records = materialise(warc.read_records(spark, path), "records")
-    captures = warc.with_full_payload(warc.assemble(records))
+    captures = warc.with_full_payload(warc.assemble(warc.read_records(spark, path)))
     return captures.select(
-        "page_id", "payload_bytes", F.substring_index("digest", ":", -1).alias("payload_digest"),
+        "page_id", F.col("full_bytes").alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"),
     )
 

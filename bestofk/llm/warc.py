@@ -27,7 +27,7 @@ CRLF = "\r\n"
 #: Payloads below this size are never written as revisits.
 REVISIT_FROM = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, payload binary, head string"
+RECORDS = "record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, payload binary, payload_bytes bigint, head string"
 
 
 def record_id(kind: str, page_id: Column) -> Column:
@@ -127,7 +127,7 @@ def _records(data: bytes) -> Iterator[dict]:
         yield {
             "record_id": one("warc-record-id"), "kind": one("warc-type"), "concurrent_to": fields.get("warc-concurrent-to", []),
             "refers_to": one("warc-refers-to"), "uri": one("warc-target-uri"), "digest": one("warc-payload-digest"),
-            "payload": payload, "head": head.decode("utf-8", "replace"),
+            "payload": payload, "payload_bytes": len(payload), "head": head.decode("utf-8", "replace"),
         }
 
 
@@ -151,15 +151,15 @@ def read_records(spark: SparkSession, path: str, *, batch_bytes: int = 4_000_000
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: record_id, kind, uri, digest, refers_to, head, payload, request and metadata (nested, null if missing).
+    """One row per capture: record_id, kind, uri, digest, refers_to, head, payload, payload_bytes, request and metadata (nested, null if missing).
 
     Links go both ways: who names whom does not matter. A request or metadata record belongs to the answer it is linked with, else to the answer that
     a record linked with it belongs to. Records with no answer are not captures. Only ids move in the link joins; of several requests (or metadata records)
     of one capture the one with the smallest id is kept.
     """
     is_answer = F.col("kind").isin("response", "revisit")
-    ids = records.select("record_id", is_answer.alias("is_answer"))
-    named = records.select(F.col("record_id").alias("x"), F.explode("concurrent_to").alias("y"))
+    ids = materialise(records.select("record_id", is_answer.alias("is_answer"), "concurrent_to"), "record-ids")
+    named = ids.select(F.col("record_id").alias("x"), F.explode("concurrent_to").alias("y"))
     links = named.unionByName(named.select(F.col("y").alias("x"), F.col("x").alias("y")))
     answers = ids.where("is_answer").select(F.col("record_id").alias("y")).distinct()
     direct = links.join(answers, "y").groupBy("x").agg(F.min("y").alias("answer"))
@@ -173,14 +173,15 @@ def assemble(records: DataFrame) -> DataFrame:
         .groupBy("answer").pivot("kind", ["request", "metadata"])
         .agg(F.min(F.struct("record_id", "uri", "head", "payload")))
     )
-    captures = records.where(is_answer).select("record_id", "kind", "uri", "digest", "refers_to", "head", "payload")
+    captures = records.where(is_answer).select("record_id", "kind", "uri", "digest", "refers_to", "head", "payload", "payload_bytes")
     return captures.join(others.withColumnRenamed("answer", "record_id"), "record_id", "left")
 
 
 def with_full_payload(captures: DataFrame) -> DataFrame:
-    """Adds page_id (from the metadata record), payload_bytes and refers_page: for a revisit those of the response it refers to."""
+    """Adds page_id (from the metadata record), full_bytes and refers_page: for a revisit those of the response it refers to."""
     page_id = F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
-    own = captures.withColumn("page_id", F.when(page_id != "", page_id.cast("long"))).withColumn("own_bytes", F.octet_length("payload").cast("long"))
-    target = own.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page"), F.col("own_bytes").alias("full_bytes"))
+    own = captures.withColumn("page_id", F.when(page_id != "", page_id.cast("long")))
+    target = own.where("kind = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page"), F.col("payload_bytes").alias("target_bytes"))
     target = materialise(target.dropDuplicates(["refers_to"]), "responses")
-    return own.join(target, "refers_to", "left").withColumn("payload_bytes", F.coalesce("full_bytes", "own_bytes"))
+    return own.join(target, "refers_to", "left").withColumn("full_bytes", F.coalesce("target_bytes", "payload_bytes")).drop("target_bytes")
