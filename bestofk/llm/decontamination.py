@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ITEMS = 400
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")
 FOUND = "item_id bigint, first_word bigint, n_words bigint, distance int"
 
 
 def normalise(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    return WORD.findall((text or "").lower().replace("_", " "))
 
 
 def _bits(step: int, symbols: np.ndarray) -> np.ndarray:
