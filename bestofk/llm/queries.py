@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import decontamination, html, licenses, mixing, quality, sharding, toxicity, warc
+from bestofk.llm import decontamination, html, licenses, mixing, neardup, quality, sharding, toxicity, warc
 from bestofk.llm.common import table
 from bestofk.session import shared_dir
 
@@ -52,6 +52,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_bayes_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_decision_list")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
