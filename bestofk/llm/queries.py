@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import decontamination, html, licenses, mixing, neardup, quality, sharding, toxicity, warc
+from bestofk.llm import decontamination, html, licenses, mixing, neardup, quality, sharding, substrings, toxicity, warc
 from bestofk.llm.common import table
 from bestofk.session import shared_dir
 
@@ -70,6 +70,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op7_fm_index_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op8_block_rules_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
