@@ -24,25 +24,26 @@ def one(df):
 
 
 def test_binary_matrix(rows):
-    gaps = M.prompt_gap(matrix(rows, ["0000", "1111", "1000", "0101"]))
-    assert [r.r_hat for r in gaps.orderBy("prompt_id").collect()] == [0.0, 0.0, 0.75, 0.5]
+    gaps = M.prompt_gap(matrix(rows, ["10010", "00000", "00001", "11111", "01110"]))
+    assert [r.r_hat for r in gaps.orderBy("prompt_id").collect()] == pytest.approx([0.6, 0.0, 0.8, 0.0, 0.4])
     cell = one(M.cell_gap(gaps))
-    assert (cell["u_circ"], cell["u_bar"], cell["r_hat"], cell["m"], cell["k_max"]) == (0.75, 0.4375, 0.3125, 4, 4)
+    assert (cell["u_circ"], cell["m"], cell["k_max"]) == (0.8, 5, 5)
+    assert cell["u_bar"] == pytest.approx(0.44) and cell["r_hat"] == pytest.approx(0.36)
 
 
 def test_continuous_and_degenerate(rows):
-    gaps = M.prompt_gap(matrix(rows, [(0.2, 0.7, 0.5), (0.9, 0.1, 0.4)])).orderBy("prompt_id").collect()
-    assert [r.u_circ for r in gaps] == [0.7, 0.9] and gaps[0].u_bar == pytest.approx(1.4 / 3)
+    gaps = M.prompt_gap(matrix(rows, [(0.31, 0.05, 0.6, 0.44), (0.12, 0.83, 0.25, 0.2)])).orderBy("prompt_id").collect()
+    assert [r.u_circ for r in gaps] == [0.6, 0.83] and gaps[0].u_bar == pytest.approx(0.35)
     for values in (["000", "000"], ["11", "11"], ["1", "0"]):
         assert one(M.cell_gap(M.prompt_gap(matrix(rows, values))))["r_hat"] == 0.0
 
 
 def test_unreachable_mass(rows):
-    u = matrix(rows, ["0000", "0010", "0000", "1000"])
-    assert one(M.a_k(u, 4, 4))["a_k"] == 0.5 and one(M.a_k(u, 2, 4))["a_k"] == 0.75
-    p = rows([(0, 0.0), (1, 0.5), (2, 0.5)], "prompt_id int, p_hat double")
-    a = {r.k_target: r.a_k for r in M.a_k_extrapolated(p, [1, 1000]).collect()}
-    assert a[1] == pytest.approx(2 / 3) and a[1000] == pytest.approx(1 / 3)
+    u = matrix(rows, ["000001", "000000", "010000", "000000", "001000"])
+    assert one(M.a_k(u, 6, 6))["a_k"] == pytest.approx(0.4) and one(M.a_k(u, 2, 6))["a_k"] == pytest.approx(0.8)
+    p = rows([(0, 0.0), (1, 0.25), (2, 0.75), (3, 1.0)], "prompt_id int, p_hat double")
+    a = {r.k_target: r.a_k for r in M.a_k_extrapolated(p, [2, 5000]).collect()}
+    assert a[2] == pytest.approx((1 + 0.5625 + 0.0625) / 4) and a[5000] == pytest.approx(0.25)
 
 
 def test_curve_matches_prefixes_and_is_monotone(rows):
