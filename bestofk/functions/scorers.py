@@ -25,6 +25,10 @@ _KEYS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Datasets whose answers are programs: judged by recorded test runs, not by their text.
+CODE_DATASETS = ("humaneval", "livecodebench")
+
+
 def register_scorer(name: str, scorer: Scorer) -> None:
     """Add a scorer: a function of the (answer, reference) columns giving a double column.
 
@@ -34,7 +38,7 @@ def register_scorer(name: str, scorer: Scorer) -> None:
 
 
 def known_datasets() -> tuple[str, ...]:
-    return tuple(sorted(_SCORERS))
+    return tuple(sorted({*_SCORERS, *CODE_DATASETS}))
 
 
 def get_scorer(name: str) -> Scorer:
@@ -66,8 +70,11 @@ def _dispatch(dataset: Column, branches: dict[str, Column], what: str) -> Column
     return chain.otherwise(F.raise_error(F.concat(F.lit(f"no {what} for dataset "), F.coalesce(dataset, F.lit("null")), F.lit(f"; known: {known}"))))
 
 
-def score_dispatch(dataset: Column, text: Column, truth: Column) -> Column:
-    return _dispatch(dataset, {n: s(text, truth) for n, s in _SCORERS.items()}, "scorer")
+def score_dispatch(dataset: Column, text: Column, truth: Column, tests_passed: Column | None = None) -> Column:
+    """Utility by the rule of the row's dataset; ``tests_passed`` is the verdict on a program's recorded test runs."""
+    rules = {n: s(text, truth) for n, s in _SCORERS.items()}
+    verdict = F.raise_error(F.lit("programs are scored from recorded test runs: pass outcomes")).cast("double") if tests_passed is None else tests_passed
+    return _dispatch(dataset, rules | {n: verdict for n in CODE_DATASETS if n not in rules}, "scorer")
 
 
 def key_dispatch(dataset: Column, text: Column) -> Column:

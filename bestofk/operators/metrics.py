@@ -63,14 +63,14 @@ def prefix_gap(utility: DataFrame, k: int, k_max: int, cell: Sequence[str] = ())
 def saturation_curve(utility: DataFrame, k_max: int, cell: Sequence[str] = ()) -> DataFrame:
     """The triple at every prefix size, in one pass over the samples.
 
-    Each prompt keeps one running maximum and one sum per grid point instead of one self-join
+    Each prompt keeps one running maximum and one mean (of the samples it has) per grid point instead of one self-join
     per prefix; the curve becomes rows only after the cell aggregate.
     """
     grid = saturation_grid(k_max)
     inside = {g: F.when(F.col("k") < g, F.col("u")) for g in grid}
     per_prompt = utility.groupBy(*cell, "prompt_id").agg(
         *[F.max(inside[g]).alias(f"best_{g}") for g in grid],
-        *[(F.sum(inside[g]) / F.lit(g)).alias(f"mean_{g}") for g in grid],
+        *[F.avg(inside[g]).alias(f"mean_{g}") for g in grid],
     )
     per_cell = per_prompt.groupBy(*cell).agg(
         *[F.avg(f"best_{g}").alias(f"best_{g}") for g in grid],

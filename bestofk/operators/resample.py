@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bestofk.functions.hashing import draw_index, hash32
-from bestofk.functions.text import let
-from bestofk.session import spread
+from bestofk.functions.joins import join_cells
+from bestofk.session import materialise, spread
 
 
 def check_bootstrap(n_resamples: int, confidence: float) -> None:
@@ -24,32 +25,12 @@ def check_bootstrap(n_resamples: int, confidence: float) -> None:
         raise ValueError(f"confidence must be in (0, 1), got {confidence}")
 
 
-DRAWS_PER_ROW = 4096
-# Distinct values a cell's histogram may hold: enough for ternary utilities at K = 2048.
-MAX_VALUES = 4097
-
-
-def _histogram(per_prompt: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """One row per cell: its size m, its distinct values in order, their counts and cumulative counts.
-
-    Utilities are 0, 1/2 or 1, so a statistic over K samples takes 2K+1 values at most, whatever the
-    number of prompts: after the count, a cell is a short array. The bound is checked before anything
-    is collected; values too many to count belong to ``poisson_means``.
-    """
-    counts = per_prompt.groupBy(*cell, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    keys = list(cell) or [F.lit(0)]
-    by_value = Window.partitionBy(*keys).orderBy("v")
-    ranked = counts.withColumns({"i": F.row_number().over(by_value), "upto": F.sum("n").over(by_value)})
-    arrays = ranked.where(F.col("i") <= MAX_VALUES + 1).groupBy(*cell).agg(
-        F.array_sort(F.collect_list(F.struct("v", "n", "upto"))).alias("h")
-    )
-    too_many = F.raise_error(F.lit(f"more than {MAX_VALUES} distinct values in a cell: use Poisson weights"))
-    checked = arrays.where(F.size("h") > 0).withColumn(
-        "h", F.when(F.size("h") > MAX_VALUES, too_many.cast("array<struct<v:double,n:bigint,upto:bigint>>")).otherwise(F.col("h"))
-    )
-    return checked.select(
-        *cell, F.array_max("h.upto").alias("m"), F.col("h.v").alias("values"), F.col("h.n").alias("counts"), F.col("h.upto").alias("upto")
-    )
+# A Poisson(1) weight is the number of these bounds that a 32-bit draw reaches: cumulative masses times 2 ** 32.
+WEIGHT_BOUNDS = tuple(
+    math.ceil(2.0**32 * math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(n + 1)) - 0.5) for n in range(12)
+)
+#: Draws that one md5 gives.
+DRAWS_PER_HASH = 4
 
 
 def _interval(means: DataFrame, cell: Sequence[str], n_resamples: int, confidence: float) -> DataFrame:
@@ -64,46 +45,27 @@ def _interval(means: DataFrame, cell: Sequence[str], n_resamples: int, confidenc
 def bootstrap_means(
     per_prompt: DataFrame, cell: Sequence[str] = (), value: str = "r_hat", n_resamples: int = 1000, seed: int = 0
 ) -> DataFrame:
-    """Means of B resamples of a cell's prompts, drawn with replacement, one row per resample.
+    """Means of B resamples of a cell's prompts, one row per resample, for values of any kind.
 
-    Prompts are exchangeable, so a draw is a rank among the sorted values: it is looked up in the
-    cell's histogram and no prompt row is joined or shuffled again. The M draws of a resample are cut
-    into rows of a few thousand, spread over all cores and averaged in place.
+    A prompt counts Poisson(1) times in a resample, independently of the others: the weight is a hash of (seed, resample, prompt), so
+    the work is row-local, prompts never move and only partial sums are shuffled. The size of a
+    resample varies around M, which the mean divides out; a resample without any prompt has no mean.
     """
     if n_resamples < 1:
         raise ValueError(f"n_resamples must be >= 1, got {n_resamples}")
-    pieces = (
-        _histogram(per_prompt, cell, value)
-        .drop("counts")
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-        .withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1, F.lit(DRAWS_PER_ROW).cast("bigint"))))
+    n_hashes = -(-n_resamples // DRAWS_PER_HASH)
+    hashed = (
+        spread(per_prompt.select(*cell, "prompt_id", F.col(value).alias("v")))
+        .withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_hashes - 1))))
+        .withColumn("md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("h"), F.col("prompt_id").cast("string"))))
     )
-    last = F.least(F.col("first") + DRAWS_PER_ROW, F.col("m")) - 1
-
-    def drawn_value(j: Column) -> Column:
-        rank = draw_index(F.col("m"), F.lit(seed), "b", j)
-        return let(rank, lambda r: F.element_at("values", F.size(F.filter("upto", lambda top: top <= r)) + 1))
-
-    total = F.aggregate(F.sequence("first", last), F.lit(0.0), lambda acc, j: acc + drawn_value(j))
-    sums = spread(pieces).select(*cell, "b", "m", total.alias("part"))
-    return sums.groupBy(*cell, "b").agg((F.sum("part") / F.max("m")).alias("resample_mean"))
-
-
-def poisson_means(
-    per_prompt: DataFrame, cell: Sequence[str] = (), value: str = "r_hat", n_resamples: int = 1000, seed: int = 0
-) -> DataFrame:
-    """Resample means with an independent Poisson(1) weight per prompt and resample.
-
-    For values too many to count: row-local, with partial sums only. The resample size varies around
-    M, which a large M makes immaterial.
-    """
-    trials = spread(per_prompt).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    quantile = (hash32(F.lit(seed), "b", "prompt_id") + 0.5) / 2.0**32
-    # Inverse distribution function: the weight counts the cumulative masses the quantile has passed.
-    masses = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(n + 1)) for n in range(12)]
-    weight = sum(((F.col("__q") >= mass).cast("int") for mass in masses), F.lit(0))
-    weighted = trials.withColumn("__q", quantile).withColumn("w", weight)
-    return weighted.groupBy(*cell, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("resample_mean"))
+    draws = F.array(*[
+        F.struct((F.col("h") * DRAWS_PER_HASH + i).alias("b"), F.conv(F.substring("md5", 1 + 8 * i, 8), 16, 10).cast("bigint").alias("draw"))
+        for i in range(DRAWS_PER_HASH)
+    ])
+    weight = sum(((F.col("draw") >= bound).cast("int") for bound in WEIGHT_BOUNDS), F.lit(0))
+    weighted = hashed.select(*cell, "v", F.inline(draws)).where(F.col("b") < n_resamples).withColumn("w", weight)
+    return weighted.groupBy(*cell, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("resample_mean"))
 
 
 def bootstrap_ci(
@@ -120,17 +82,25 @@ def bootstrap_ci(
     return _interval(means, cell, n_resamples, confidence)
 
 
-# Numpy's generator takes its state from (seed, cell, resample), so a retried task repeats its draw.
-def _multinomial_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drawn_from = ["seed", "cell_hash", "m", "counts", "values"]
-    for batch in batches:
-        means = []
-        for row in batch.to_pylist():
-            rng = np.random.default_rng([row["seed"], row["cell_hash"], row["b"]])
-            drawn = rng.multinomial(row["m"], np.asarray(row["counts"], float) / row["m"])
-            means.append(float(drawn @ np.asarray(row["values"], float)) / row["m"])
-        kept = batch.drop_columns(drawn_from)
-        yield kept.append_column("resample_mean", pa.array(means, pa.float64()))
+def _weighted_sums(cell: Sequence[str], n_resamples: int, seed: int):
+    """Per batch of (cell..., cell_hash, v, n) rows: sums of drawn weights and of weights times values, for each resample.
+
+    The n prompts with one value together weigh Poisson(n). The generator starts from (seed, cell, value), so a retried task
+    repeats its draws whatever batch the row is in.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, rows in batch.groupby("cell_hash", sort=False):
+                total, weights = np.zeros(n_resamples), np.zeros(n_resamples)
+                for v, n in zip(rows["v"].to_numpy(float), rows["n"]):
+                    drawn = np.random.default_rng([seed, int(rows["cell_hash"].iat[0]), int(np.float64(v).view(np.uint64))]).poisson(n, n_resamples)
+                    total += drawn * v
+                    weights += drawn
+                keys = rows.iloc[[0] * n_resamples][list(cell)].reset_index(drop=True)
+                yield keys.assign(b=np.arange(n_resamples, dtype=np.int32), total=total, weights=weights)
+
+    return run
 
 
 def bootstrap_ci_scaled(
@@ -140,33 +110,29 @@ def bootstrap_ci_scaled(
     n_resamples: int = 1000,
     confidence: float = 0.95,
     seed: int = 0,
-    few_values: bool = True,
 ) -> DataFrame:
-    """The same interval with work that does not grow with the number of prompts.
+    """The same interval with work that follows the distinct values of a cell, not its prompts.
 
-    A resample of M prompts is a multinomial draw over the distinct values, so after one counting
-    aggregate each cell is a short histogram and B draws are B rows. For continuous utilities
-    (``few_values=False``) every prompt gets a Poisson weight per resample instead.
+    After one counting aggregate a value that n prompts share is one row, weighted by Poisson(n) per resample. A task adds
+    up its rows, so what is shuffled is B sums per cell and task; values that are all different (continuous utilities) are as many rows as prompts.
     """
     check_bootstrap(n_resamples, confidence)
     keys = list(cell)
-    if not few_values:
-        return _interval(poisson_means(per_prompt, keys, value, n_resamples, seed), keys, n_resamples, confidence)
-    histogram = _histogram(per_prompt, keys, value).select(
-        *keys, F.lit(seed).cast("bigint").alias("seed"), hash32(*keys, F.lit("cell")).alias("cell_hash"), "m", "counts", "values"
-    )
-    resamples = spread(histogram.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))))
-    out = T.StructType([histogram.schema[k] for k in keys] + [
-        T.StructField("b", T.IntegerType()), T.StructField("resample_mean", T.DoubleType())
+    counts = per_prompt.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    counts = counts.withColumn("cell_hash", F.xxhash64(F.lit(0), *keys).bitwiseAND(F.lit((1 << 62) - 1)))
+    out = T.StructType([counts.schema[k] for k in keys] + [
+        T.StructField("b", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("weights", T.DoubleType())
     ])
-    return _interval(resamples.mapInArrow(_multinomial_means, out), keys, n_resamples, confidence)
+    sums = counts.mapInPandas(_weighted_sums(keys, n_resamples, seed), out)
+    means = sums.groupBy(*keys, "b").agg((F.sum("total") / F.nullif(F.sum("weights"), F.lit(0.0))).alias("resample_mean"))
+    return _interval(means, keys, n_resamples, confidence)
 
 
 def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Utility of self-consistency over ``n`` samples, ``n_draws`` draws per prompt.
 
-    ``keyed`` holds (cell..., prompt_id, k, vote_key, u). A draw takes n of the prompt's K samples with
-    replacement; the most frequent key wins, ties go to the key drawn first, and the utility is
+    ``keyed`` holds (cell..., prompt_id, k, vote_key, u). A draw takes n of the prompt's samples (``k_max`` at most, else
+    the job fails) with replacement; the most frequent key wins, ties go to the key drawn first, and the utility is
     that of its first drawn sample; a draw without any key scores 0.
 
     Keys enter here as a column, so the extraction has run once per sample. A prompt's K samples
@@ -181,12 +147,14 @@ def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[s
     pool = keyed.groupBy(*by_prompt).agg(
         F.array_sort(F.collect_list(F.struct("k", "vote_key", "u"))).alias("pool")
     )
+    too_many = F.raise_error(F.lit(f"a prompt has more than {k_max} samples")).cast(pool.schema["pool"].dataType)
+    pool = pool.withColumn("pool", F.when(F.size("pool") > k_max, too_many).otherwise(F.col("pool")))
     drawn = (
         pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
         .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn(
             "pick",
-            F.element_at("pool", (draw_index(F.lit(k_max), F.lit(seed), "prompt_id", "draw", "pos") + 1).cast("int")),
+            F.element_at("pool", (draw_index(F.size("pool"), F.lit(seed), "prompt_id", "draw", "pos") + 1).cast("int")),
         )
         .select(*by_prompt, "draw", "pos", F.col("pick.vote_key").alias("vote_key"), F.col("pick.u").alias("u"))
     )
@@ -215,44 +183,29 @@ def m_convergence(
     Spark applies in every map task before the shuffle; the full set needs no rank at all.
     """
     keys = list(cell)
-    sizes = per_prompt.groupBy(*keys).agg(F.count("*").alias("m_full"))
-    tagged = per_prompt.select(*keys, "prompt_id", value).withColumn(
-        "m_sub", F.explode(F.array(*[F.lit(int(m)) for m in m_grid]))
+    gaps = materialise(per_prompt.select(*keys, "prompt_id", value), "per-prompt")
+    sizes = gaps.groupBy(*keys).agg(F.count("*").alias("m_full"))
+    sized = join_cells(gaps, sizes, keys)
+    tagged = sized.withColumn("m_sub", F.explode(F.array(*[F.lit(int(m)).cast("bigint") for m in m_grid]))).where(
+        F.col("m_sub") < F.col("m_full")
     ).withColumn("order", hash32(F.lit(seed), "m_sub", "prompt_id"))
     ranked = tagged.withColumn(
         "rn", F.row_number().over(Window.partitionBy(*keys, "m_sub").orderBy("order", "prompt_id"))
     ).where(F.col("rn") <= max(m_grid)).where(F.col("rn") <= F.col("m_sub"))
-    smaller = sizes.select(*keys, "m_full", F.explode(F.array(*[F.lit(int(m)) for m in m_grid])).alias("m_sub")).where(
-        F.col("m_sub") < F.col("m_full")
-    )
-    subset = ranked.join(smaller.drop("m_full"), [*keys, "m_sub"], "left_semi")
-    bounds = [*keys, "m_sub", "ci_low", "ci_high"]
-    of_subsets = bootstrap_ci(subset, [*keys, "m_sub"], value, n_resamples, confidence, seed).select(*bounds)
-    whole = bootstrap_ci(per_prompt, keys, value, n_resamples, confidence, seed).join(sizes, keys)
-    ci = of_subsets.unionByName(whole.withColumnRenamed("m_full", "m_sub").select(*bounds))
+    # The whole set is one more size, without a rank.
+    columns = [*keys, "m_sub", "prompt_id", value]
+    subsets = ranked.select(*columns).unionByName(sized.withColumnRenamed("m_full", "m_sub").select(*columns))
+    ci = bootstrap_ci(subsets, [*keys, "m_sub"], value, n_resamples, confidence, seed)
     half = (F.col("ci_high") - F.col("ci_low")) / 2
     return ci.select(*keys, "m_sub", half.alias("half_width"), (half * F.sqrt(F.col("m_sub"))).alias("scaled_half_width"))
 
 
-def _drawn_votes(columns: Sequence[str], n_votes: int, seed: int) -> Column:
-    """``n_votes`` of the recorded votes of a row, as an array, drawn anew per resample.
+def _voted(votes: Column, picks: Sequence[Column], n_votes: int) -> Column:
+    """Utility by the majority of the picked votes of a row."""
+    from bestofk.operators.judge import majority
 
-    Up to the recorded number the subset is taken without replacement, as the votes with the smallest
-    hashes; beyond it, votes are drawn with replacement.
-    """
-    recorded = len(columns)
-    key = ["prompt_id", "k", "b"]
-    if n_votes > recorded:
-        pool = F.array(*[F.col(c) for c in columns])
-        at = lambda t: draw_index(F.lit(recorded), F.lit(seed), F.lit(n_votes), *key, F.lit(t))
-        return F.array(*[F.element_at(pool, (at(t) + 1).cast("int")) for t in range(n_votes)])
-    if n_votes == recorded:
-        return F.array(*[F.col(c) for c in columns])
-    order = lambda i: hash32(F.lit(seed), F.lit(n_votes), *key, F.lit(i))
-    ranked = F.array_sort(F.array(*[
-        F.struct(order(i).alias("order"), F.lit(i).alias("i"), F.col(c).alias("vote")) for i, c in enumerate(columns)
-    ]))
-    return F.slice(ranked, 1, n_votes)["vote"]
+    tally = lambda kind: sum((F.coalesce(F.get(votes, p) == kind, F.lit(False)).cast("int") for p in picks), F.lit(0))
+    return majority(tally(1.0), tally(0.0), n_votes)
 
 
 def l_sensitivity(
@@ -265,19 +218,39 @@ def l_sensitivity(
 ) -> DataFrame:
     """Gap and its spread when each sample's utility is voted from L' judge calls.
 
-    ``items`` has one row per (cell..., prompt_id, k) with its L recorded votes side by side, so
-    drawing votes is row-local; only the prompt and resample aggregates shuffle. A cell with gaps in
-    its (prompt, k) grid gets nulls.
+    ``items`` has one row per (cell..., prompt_id, k) with its L recorded votes side by side. Up to L, a draw is one of the subsets
+    of that size, whose outcomes are worked out once per item; beyond, it is a sequence drawn with replacement, the digits of one number. Either takes 32 bits of a
+    hash of (seed, prompt, sample, resample), four sizes per hash. A cell with gaps in its (prompt, k) grid gets nulls.
     """
-    from bestofk.operators.judge import majority
-
+    recorded, drawn = len(vote_columns), [n for n in l_grid if n != len(vote_columns)]
+    if any(recorded**n > 2**32 for n in drawn if n > recorded):
+        raise ValueError("too many votes for a 32-bit draw")
+    items = items.select(*cell, "prompt_id", "k", F.array(*vote_columns).alias("votes"))
+    subsets = {n: list(combinations(range(recorded), n)) for n in l_grid if n <= recorded}
+    items = items.withColumns({
+        f"of_{n}": F.array(*[_voted(F.col("votes"), [F.lit(i) for i in picks], n) for picks in found]) for n, found in subsets.items()
+    })
     trials = spread(items, *cell, "prompt_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    tally = lambda votes, kind: F.size(F.filter(votes, lambda vote: vote == kind))
-
-    def utility(n_votes: int) -> Column:
-        return let(_drawn_votes(vote_columns, n_votes, seed), lambda v: majority(tally(v, 1.0), tally(v, 0.0), n_votes))
-
-    utilities = {f"u_{n}": utility(n) for n in l_grid}
+    n_hashes = -(-len(drawn) // DRAWS_PER_HASH)
+    trials = trials.withColumns({
+        f"md5_{i}": F.md5(F.concat_ws("|", F.lit(seed), F.lit(i), *[F.col(c).cast("string") for c in ("prompt_id", "k", "b")])) for i in range(n_hashes)
+    })
+
+    def draw(n_votes: int) -> Column:
+        i, part = divmod(drawn.index(n_votes), DRAWS_PER_HASH)
+        return F.conv(F.substring(f"md5_{i}", 1 + 8 * part, 8), 16, 10).cast("bigint")
+
+    trials = trials.withColumns({f"draw_{n}": draw(n) for n in drawn})
+    digit = lambda n, t: (F.floor(F.col(f"draw_{n}") / recorded**t) % recorded).cast("int")
+    utilities = {}
+    for n in l_grid:
+        if n == recorded:
+            u = F.get(f"of_{n}", F.lit(0))
+        elif n < recorded:
+            u = F.get(f"of_{n}", (F.col(f"draw_{n}") % len(subsets[n])).cast("int"))
+        else:
+            u = _voted(F.col("votes"), [digit(n, t) for t in range(n)], n)
+        utilities[f"u_{n}"] = u
     scored = trials.select(*cell, "prompt_id", "b", "k", *[u.alias(name) for name, u in utilities.items()])
     per_prompt = scored.groupBy(*cell, "prompt_id", "b").agg(
         *[(F.max(name) - F.avg(name)).alias(name) for name in utilities],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bestofk.functions import text as T
+from bestofk.functions.joins import join_cells
 
 # Reason codes in report order, and the limits of a test run in seconds.
 BOXED_REASONS = ("no_boxed", "empty_gt", "incorrect", "correct")
@@ -46,7 +47,9 @@ def score_shape(samples: DataFrame) -> DataFrame:
     return spans.withColumn("utility", T.shape_match(F.col("span"), F.col("text"), F.col("target")))
 
 
-def all_tests_pass(samples: DataFrame, outcomes: DataFrame) -> DataFrame:
+def all_tests_pass(
+    samples: DataFrame, outcomes: DataFrame, keys: Sequence[str] = ("prompt_id", "k"), utility: str = "utility"
+) -> DataFrame:
     """1 when every recorded test of a sample passes within the limits, 0 otherwise or without tests.
 
     Seconds never fall below zero, so the time spent before some test first exceeds the limit when
@@ -57,14 +60,15 @@ def all_tests_pass(samples: DataFrame, outcomes: DataFrame) -> DataFrame:
         .when(F.col("testtype") == "functional", T.json_match(F.col("returncode"), F.col("stdout"), F.col("expected")))
         .otherwise(False)
     )
-    run = outcomes.withColumn("ok", ok & (F.col("seconds") <= TEST_SECONDS))
-    verdict = run.groupBy("prompt_id", "k").agg(
+    # A test without a recorded time counts as one over the limit.
+    run = outcomes.withColumn("ok", F.coalesce(ok & (F.col("seconds") <= TEST_SECONDS), F.lit(False)))
+    verdict = run.groupBy(*keys).agg(
         F.bool_and("ok").alias("passed"),
         (F.sum("seconds") - F.max_by("seconds", "test_idx")).alias("before_last"),
     )
     passed = F.col("passed") & (F.col("before_last") <= TOTAL_SECONDS)
-    return samples.join(verdict, ["prompt_id", "k"], "left").select(
-        *samples.columns, F.coalesce(passed, F.lit(False)).cast("double").alias("utility")
+    return join_cells(samples, verdict, keys, "left").select(
+        *samples.columns, F.coalesce(passed, F.lit(False)).cast("double").alias(utility)
     )
 
 

@@ -16,14 +16,25 @@ from bestofk.functions import scorers
 from bestofk.operators import judge as J
 from bestofk.operators import metrics as M
 from bestofk.operators import resample as R
+from bestofk.operators import scoring
 from bestofk.session import materialise
 from bestofk.sources.results import assemble_cells
 
 
-def score_samples(samples: DataFrame, cell: Sequence[str], with_keys: bool = False) -> DataFrame:
-    """Utility table (cell..., prompt_id, k, u[, vote_key]) of samples with a ``dataset`` column."""
+def score_samples(
+    samples: DataFrame, cell: Sequence[str], with_keys: bool = False, outcomes: DataFrame | None = None
+) -> DataFrame:
+    """Utility table (cell..., prompt_id, k, u[, vote_key]) of samples with a ``dataset`` column.
+
+    ``outcomes`` holds the recorded test runs of programs (humaneval, livecodebench); it is joined on the columns of (cell..., dataset, prompt_id, k)
+    that it has.
+    """
     dataset, text, truth = F.col("dataset"), F.col("text"), F.col("ground_truth")
-    columns = [*cell, "prompt_id", "k", scorers.score_dispatch(dataset, text, truth).alias("u")]
+    passed = None
+    if outcomes is not None:
+        keys = [c for c in dict.fromkeys([*cell, "dataset", "prompt_id", "k"]) if c in outcomes.columns]
+        samples, passed = scoring.all_tests_pass(samples, outcomes, keys, "tests_passed"), F.col("tests_passed")
+    columns = [*cell, "prompt_id", "k", scorers.score_dispatch(dataset, text, truth, passed).alias("u")]
     if with_keys:
         columns.append(scorers.key_dispatch(dataset, text).alias("vote_key"))
     return materialise(samples.select(*columns), "utility")
@@ -36,14 +47,19 @@ def judged_utility(calls: DataFrame, cell: Sequence[str]) -> DataFrame:
 
 
 def evaluate(
-    utility: DataFrame, cell: Sequence[str], k_max: int, n_resamples: int = 1000, confidence: float = 0.95, seed: int = 0
+    utility: DataFrame, cell: Sequence[str], k_max: int, n_resamples: int = 1000, confidence: float = 0.95, seed: int = 0,
+    weights: str = "counts",
 ) -> DataFrame:
-    """Nested result rows: aggregates, saturation curve and bootstrap interval per cell."""
+    """Nested result rows: aggregates, saturation curve and bootstrap interval per cell.
+
+    ``weights`` names the bootstrap: "counts" draws one weight per distinct value, "hash" one per prompt, which other engines can repeat.
+    """
+    interval = {"counts": R.bootstrap_ci_scaled, "hash": R.bootstrap_ci}[weights]
     per_prompt = M.prompt_gap(utility, cell)
     return assemble_cells(
         M.cell_gap(per_prompt, cell),
         M.saturation_curve(utility, k_max, cell),
-        R.bootstrap_ci(per_prompt, cell, n_resamples=n_resamples, confidence=confidence, seed=seed),
+        interval(per_prompt, cell, n_resamples=n_resamples, confidence=confidence, seed=seed),
         cell,
     )
 

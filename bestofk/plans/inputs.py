@@ -1,8 +1,7 @@
-"""The package's tables derived from the given ones, whole and without a window on a hot key.
+"""The package's tables derived from the given ones: a projection each, one row out for one row in.
 
-Each derivation is a projection, or one aggregate whose map-side partials are a few numbers per key
-(a bit mask, a packed maximum), so a key that holds a third of the rows still shuffles as a handful
-of partial rows. Matrices come out dense: every prompt has every k.
+Dense keys give dense matrices without a window, a shuffle or an overwritten row: row number n is sample n % K of prompt
+n div K. The last prompt of a table may have fewer samples.
 """
 
 from __future__ import annotations
@@ -11,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K_SAMPLES = 64
-K_TEXTS = 8
+K_TEXTS = 64
 K_JUDGED, L_VOTES = 9, 5
-TEXT_FORMS = 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,26 +30,13 @@ def with_cell(df: DataFrame, key: str = "prompt_id") -> DataFrame:
     return df.withColumns({"model": model_name(F.col(key)), "dataset": dataset_name(F.col(key))})
 
 
-def _slot_mask(slot: Column, condition: Column) -> Column:
-    """Bit mask of the slots in which a row with ``condition`` exists."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.cast("int"))
-    return F.bit_or(F.when(condition, bit).otherwise(F.lit(0).cast("bigint")))
-
-
 def utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, k, u, u3): K=64 samples per user, binary and ternary utility of its event slots."""
-    events = table(spark, sf_dir, "events")
-    slot = F.col("event_id") % K_SAMPLES
+    """(prompt_id, k, u, u3): binary and ternary utility of every event, K=64 samples per prompt."""
     high = F.col("value") > 60
-    masks = events.groupBy(F.col("user_id").alias("prompt_id")).agg(
-        _slot_mask(slot, (F.col("event_type") == "purchase") & high).alias("full"),
-        _slot_mask(slot, (F.col("event_type") == "signup") & high).alias("half"),
-    )
-    grid = masks.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(K_SAMPLES - 1))))
-    full, half = F.getbit("full", F.col("k")) == 1, F.getbit("half", F.col("k")) == 1
-    return grid.select(
-        "prompt_id",
-        "k",
+    full, half = (F.col("event_type") == "purchase") & high, (F.col("event_type") == "signup") & high
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / K_SAMPLES).alias("prompt_id"),
+        (F.col("event_id") % K_SAMPLES).cast("int").alias("k"),
         F.when(full, 1.0).otherwise(0.0).alias("u"),
         F.when(full, 1.0).when(half, 0.5).otherwise(0.0).alias("u3"),
     )
@@ -62,29 +47,25 @@ def cell_utility(spark: SparkSession, sf_dir: str, column: str = "u") -> DataFra
 
 
 def sample_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, k, q, f, g): answer value and surface form of K=8 samples per part.
-
-    A slot keeps the last line written to it, as the maximum of order, line and form packed into one
-    number; an empty slot has null q and f. ``g`` is the reference answer.
-    """
-    lines = table(spark, sf_dir, "lineitem")
-    form = (F.col("l_quantity").cast("int") % 5) * 6 + F.col("l_linenumber") % 6
-    packed = (F.col("l_orderkey") * 16 + F.col("l_linenumber")) * TEXT_FORMS + form
-    slot = (F.col("l_orderkey") + F.col("l_linenumber")) % K_TEXTS
-    wide = lines.groupBy(F.col("l_partkey").alias("prompt_id")).agg(
-        *[F.max(F.when(slot == j, packed)).alias(f"s{j}") for j in range(K_TEXTS)]
+    """(prompt_id, k, q, f, g): answer value and surface form of every order, K=64 samples per prompt; ``g`` is the prompt's
+    reference answer."""
+    return table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / K_TEXTS).alias("prompt_id"),
+        (F.col("o_orderkey") % K_TEXTS).cast("int").alias("k"),
+        (F.floor("o_totalprice") % 5).cast("int").alias("q"),
+        (F.col("o_custkey") % 6).cast("int").alias("f"),
+        (F.floor(F.col("o_orderkey") / K_TEXTS) % 5).cast("int").alias("g"),
     )
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("prompt_id"), (F.col("p_size") % 5).alias("g"))
-    return (
-        wide.join(parts, "prompt_id")
-        .select("prompt_id", "g", F.posexplode(F.array(*[f"s{j}" for j in range(K_TEXTS)])).alias("k", "packed"))
-        .select(
-            "prompt_id",
-            "k",
-            F.floor((F.col("packed") % TEXT_FORMS) / 6).cast("int").alias("q"),
-            (F.col("packed") % 6).cast("int").alias("f"),
-            "g",
-        )
+
+
+def line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns for every line item, for rules that look at one answer at a time."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("prompt_id"),
+        F.col("l_linenumber").cast("int").alias("k"),
+        (F.col("l_quantity").cast("int") % 5).alias("q"),
+        (F.col("l_partkey") % 6).cast("int").alias("f"),
+        (F.col("l_orderkey") % 5).cast("int").alias("g"),
     )
 
 
@@ -93,7 +74,7 @@ def _say(*parts) -> Column:
 
 
 def _by_form(choices: list[Column]) -> Column:
-    chain = F.when(F.col("f").isNull(), "")
+    chain = F
     for form, text in enumerate(choices):
         chain = chain.when(F.col("f") == form, text)
     return chain
@@ -148,21 +129,29 @@ def shape_case() -> tuple[Column, Column]:
     return text, truth
 
 
-def _answers(spark: SparkSession, sf_dir: str, case: tuple[Column, Column]) -> DataFrame:
-    return sample_forms(spark, sf_dir).select("prompt_id", "k", case[0].alias("text"), case[1].alias("ground_truth"))
+def _answers(forms: DataFrame, case: tuple[Column, Column]) -> DataFrame:
+    return forms.select("prompt_id", "k", case[0].alias("text"), case[1].alias("ground_truth"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, k, text, ground_truth)."""
-    return _answers(spark, sf_dir, numeric_case())
+    """(prompt_id, k, text, ground_truth), K=64 per prompt."""
+    return _answers(sample_forms(spark, sf_dir), numeric_case())
+
+
+def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(line_forms(spark, sf_dir), numeric_case())
 
 
 def boxed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir, boxed_case())
+    return _answers(sample_forms(spark, sf_dir), boxed_case())
+
+
+def line_boxed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(line_forms(spark, sf_dir), boxed_case())
 
 
 def shape_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir, shape_case())
+    return _answers(line_forms(spark, sf_dir), shape_case())
 
 
 def mixed_samples(spark: SparkSession, sf_dir: str, cases: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -170,31 +159,24 @@ def mixed_samples(spark: SparkSession, sf_dir: str, cases: dict[str, tuple[Colum
     rows = F.array(*[
         F.struct(F.lit(name).alias("dataset"), text.alias("text"), truth.alias("ground_truth")) for name, (text, truth) in cases.items()
     ])
-    return sample_forms(spark, sf_dir).select("prompt_id", "k", F.inline(rows))
+    return line_forms(spark, sf_dir).select("prompt_id", "k", F.inline(rows))
 
 
-# Verdict text by event type, in order of precedence within a slot.
 VERDICT_TEXT = {"click": "A", "view": " b", "error": "T", "signup": "????", "purchase": "A."}
 
 
 def judge_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt_id, k, l, verdict_text, a_is_candidate): K=9 samples with L=5 votes per user."""
+    """(prompt_id, k, l, verdict_text, a_is_candidate): a call per event, K=9 samples with L=5 votes per prompt."""
     from bestofk.functions.hashing import coin
 
-    events = table(spark, sf_dir, "events")
-    n_slots = K_JUDGED * L_VOTES
-    slot = F.col("event_id") % n_slots
-    masks = events.groupBy(F.col("user_id").alias("prompt_id")).agg(
-        *[_slot_mask(slot, F.col("event_type") == kind).alias(kind) for kind in VERDICT_TEXT]
-    )
-    grid = masks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))))
-    text = F.coalesce(
-        *[F.when(F.getbit(kind, F.col("slot")) == 1, said) for kind, said in VERDICT_TEXT.items()], F.lit("")
-    )
-    return grid.select(
-        "prompt_id",
-        F.floor(F.col("slot") / L_VOTES).cast("int").alias("k"),
-        (F.col("slot") % L_VOTES).alias("l"),
+    slot = F.col("event_id") % (K_JUDGED * L_VOTES)
+    text = F
+    for kind, said in VERDICT_TEXT.items():
+        text = text.when(F.col("event_type") == kind, said)
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / (K_JUDGED * L_VOTES)).alias("prompt_id"),
+        F.floor(slot / L_VOTES).cast("int").alias("k"),
+        (slot % L_VOTES).cast("int").alias("l"),
         text.alias("verdict_text"),
     ).withColumn("a_is_candidate", coin(F.lit(0), "prompt_id", "k", "l"))
 

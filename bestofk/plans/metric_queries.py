@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bestofk.functions.joins import join_cells
 from bestofk.operators import metrics as M
 from bestofk.operators import resample as R
 from bestofk.plans import inputs as I
@@ -80,9 +81,20 @@ def bootstrap_ci(spark, d):
     return rounded(R.bootstrap_ci(gaps(spark, d), CELL), *CI_COLUMNS)
 
 
-@query("bootstrap_ci_scaled")
+@query("bootstrap_ci_scaled", S.with_(S.UTILITY, S.PROMPT_GAP) + """
+select dataset, count(*) as m, true as mean_fits, true as low_fits, true as high_fits from prompt_gap group by all""")
 def bootstrap_ci_scaled(spark, d):
-    return rounded(R.bootstrap_ci_scaled(gaps(spark, d), CELL), *CI_COLUMNS)
+    """Drawn otherwise than SQL can repeat, so it is held against the normal interval of the mean: the mean of 1000 resamples
+    within 5 of its standard errors, the ends within a half of the interval's half-width."""
+    per_prompt = gaps(spark, d)
+    exact = per_prompt.groupBy("dataset").agg(
+        F.count("*").alias("m"), F.avg("r_hat").alias("centre"), (F.stddev_pop("r_hat") / F.sqrt(F.count("*"))).alias("error"))
+    half = 1.959964 * F.col("error")
+    near = lambda value, target, bound: F.abs(F.col(value) - target) <= bound + 1e-9
+    return R.bootstrap_ci_scaled(per_prompt, ["dataset"]).join(exact, "dataset").select(
+        "dataset", "m", near("mean", F.col("centre"), 5 * F.col("error") / F.sqrt(F.lit(1000.0)) + F.col("error") / F.col("m")).alias("mean_fits"),
+        near("ci_low", F.col("centre") - half, half / 2).alias("low_fits"), near("ci_high", F.col("centre") + half, half / 2).alias("high_fits"),
+    )
 
 
 def numeric_keyed(spark, d):
@@ -104,40 +116,59 @@ def sc_sql(n: int, draws: int) -> str:
   select prompt_id, draw as k, coalesce(max_by(u_first, case when vote_key is not null then votes * {n + 1} - first_pos end), 0.0) as u
   from (select d.prompt_id, d.draw, x.vote_key, count(*) as votes, min(d.pos) as first_pos, arg_min(x.u, d.pos) as u_first
         from (select p.prompt_id, cast(a.range as integer) as draw, b.range as pos,
-                     {S.hex32("0, p.prompt_id, a.range, b.range")} % 8 as pick
-              from (select distinct prompt_id from keyed) p, range({draws}) a, range({n}) b) d
+                     {S.hex32("0, p.prompt_id, a.range, b.range")} % p.n as pick
+              from (select prompt_id, count(*) as n from keyed group by all) p, range({draws}) a, range({n}) b) d
         join keyed x on x.prompt_id = d.prompt_id and x.k = d.pick group by all)
   group by all)"""
 
 
-@query("sc_vote", S.with_(S.FORMS, KEYED_SQL, sc_sql(5, 8)) + "select prompt_id, k, u from sc")
+@query("sc_vote", S.with_(S.FORMS, KEYED_SQL, sc_sql(5, 64)) + "select prompt_id, k, u from sc")
 def sc_vote(spark, d):
-    return R.sc_vote(numeric_keyed(spark, d), n=5, n_draws=8, k_max=I.K_TEXTS)
+    return R.sc_vote(numeric_keyed(spark, d), n=5, n_draws=64, k_max=I.K_TEXTS)
+
+
+SWEEP_CELL = ["procedure", "tau", "sc_n", "length", "stage"]
+SWEEP_SIZES, SWEEP_DRAWS = (2, 4, 8), 16
+SWEEP_LENGTHS = (16, 32, 64)
+SWEEP_SC = ",\n".join(sc_sql(n, SWEEP_DRAWS).replace("sc as (", f"sc{n} as (", 1) for n in SWEEP_SIZES)
+_GAP_SQL = "prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat"
 
 
-@query("procedure_sweep", S.with_(
-    S.FORMS, KEYED_SQL, sc_sql(4, 8),
-    """swept as (
-  select 'direct' as procedure, 1.0::double as setting, prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat from keyed group by all
-  union all select 'direct', 0.0, prompt_id, max(u), avg(u), max(u) - avg(u) from keyed where k = 0 group by all
-  union all select 'sc', 4.0, prompt_id, max(u), avg(u), max(u) - avg(u) from sc group by all)""",
-    S.bootstrap("swept", "procedure, setting", n=100)) + """
+@query("procedure_sweep", S.with_(S.FORMS, KEYED_SQL, SWEEP_SC, f"""runs as (
+  select 'direct' as procedure, t.tau::double as tau, null::int as sc_n, null::int as length, null::varchar as stage, prompt_id, u
+  from keyed join (values (0.0, 64), (0.7, 2), (1.0, 1)) t(tau, step) on k % t.step = 0
+  union all select 'budget', null, null, t.l, null, prompt_id, case when k < t.l then u else 0.0 end from keyed, (values (16), (32), (64)) t(l)
+  union all select 'stage', null, null, null, case k % 3 when 0 then 'sft' when 1 then 'dpo' else 'rlvr' end, prompt_id, u from keyed
+  {" ".join(f"union all select 'sc', null, {n}, null, null, prompt_id, u from sc{n}" for n in SWEEP_SIZES)}),
+swept as (select procedure, tau, sc_n, length, stage, {_GAP_SQL} from runs group by all)""",
+    S.bootstrap("swept", "procedure, tau, sc_n, length, stage")) + """
 select s.*, round(ci.ci_low, 12) as ci_low, round(ci.ci_high, 12) as ci_high
-from (select procedure, setting, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat,
-             count(*) as m from swept group by all) s join boot_ci ci on ci.procedure = s.procedure and ci.setting = s.setting""")
+from (select procedure, tau, sc_n, length, stage, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat,
+             count(*) as m from swept group by all) s
+join boot_ci ci on ci.procedure = s.procedure and ci.tau is not distinct from s.tau and ci.sc_n is not distinct from s.sc_n
+  and ci.length is not distinct from s.length and ci.stage is not distinct from s.stage""")
 def procedure_sweep(spark, d):
-    """Direct sampling at tau 1, greedy (one sample, so no gap) and self-consistency, in one job."""
+    """Direct sampling at three temperatures (greedy is one sample, so without a gap), reasoning budgets, training stages and
+    self-consistency at three sizes, in one job; the settings that a procedure does not have are null."""
     keyed = materialise(numeric_keyed(spark, d), "keyed")
-    tag = lambda df, procedure, setting: df.select(
-        F.lit(procedure).alias("procedure"), F.lit(setting).alias("setting"), "prompt_id", "k", "u"
-    )
-    runs = tag(keyed, "direct", 1.0).unionByName(tag(keyed.where(F.col("k") < 1), "direct", 0.0)).unionByName(
-        tag(R.sc_vote(keyed, n=4, n_draws=8, k_max=I.K_TEXTS), "sc", 4.0)
-    )
-    cell = ["procedure", "setting"]
-    per_prompt = materialise(M.prompt_gap(runs, cell), "sweep")
-    ci = R.bootstrap_ci(per_prompt, cell, n_resamples=100).select(*cell, "ci_low", "ci_high")
-    wide = M.cell_gap(per_prompt, cell).drop("k_max").join(ci, cell)
+    kinds = {"tau": "double", "sc_n": "int", "length": "int", "stage": "string"}
+
+    def run(procedure, u, **setting):
+        cell = [F.lit(setting.get(c)).cast(kind).alias(c) if not hasattr(setting.get(c), "alias") else setting[c].alias(c) for c, kind in kinds.items()]
+        return F.struct(F.lit(procedure).alias("procedure"), *cell, u.alias("u"))
+
+    k, u = F.col("k"), F.col("u")
+    stage = F.element_at(F.array(*map(F.lit, I.STAGES)), (k % 3 + 1).cast("int"))
+    cells = [F.when(k % step == 0, run("direct", u, tau=tau)) for tau, step in ((0.0, I.K_TEXTS), (0.7, 2), (1.0, 1))]
+    cells += [run("budget", F.when(k < length, u).otherwise(0.0), length=length) for length in SWEEP_LENGTHS]
+    cells.append(run("stage", u, stage=stage))
+    runs = keyed.select("prompt_id", F.inline(F.array_compact(F.array(*cells))))
+    for n in SWEEP_SIZES:
+        votes = R.sc_vote(keyed, n=n, n_draws=SWEEP_DRAWS, k_max=I.K_TEXTS)
+        runs = runs.unionByName(votes.select("prompt_id", F.inline(F.array(run("sc", u, sc_n=n)))))
+    per_prompt = materialise(M.prompt_gap(runs, SWEEP_CELL), "sweep")
+    ci = R.bootstrap_ci(per_prompt, SWEEP_CELL).select(*SWEEP_CELL, "ci_low", "ci_high")
+    wide = join_cells(M.cell_gap(per_prompt, SWEEP_CELL).drop("k_max"), ci, SWEEP_CELL)
     return rounded(wide, "u_circ", "u_bar", "r_hat", "ci_low", "ci_high")
 
 
@@ -153,16 +184,16 @@ def cross_seed(spark, d):
 
 @query("m_convergence", S.with_(S.UTILITY, S.PROMPT_GAP, f"""sized as (
   select g.*, cast(t.m as bigint) as m_sub, {S.hex32("0, t.m, prompt_id")} as o, count(*) over (partition by model, t.m) as m_full
-  from prompt_gap g, (values (10), (20), (40)) t(m)),
+  from prompt_gap g, (values (50), (100), (200), (500), (1000)) t(m)),
 subset as (
   select model, m_sub, prompt_id, r_hat from (
     select *, row_number() over (partition by model, m_sub order by o, prompt_id) as rn from sized) where rn <= m_sub and m_sub < m_full
   union all select model, count(*) over (partition by model), prompt_id, r_hat from prompt_gap)""",
-    S.bootstrap("subset", "model, m_sub", n=200)) + """
+    S.bootstrap("subset", "model, m_sub")) + """
 select model, m_sub, round((ci_high - ci_low) / 2, 14) as half_width,
        round((ci_high - ci_low) / 2 * sqrt(m_sub), 12) as scaled_half_width from boot_ci""")
 def m_convergence(spark, d):
-    out = R.m_convergence(gaps(spark, d), ["model"], m_grid=(10, 20, 40), n_resamples=200)
+    out = R.m_convergence(gaps(spark, d), ["model"])
     return rounded(rounded(out, "half_width", digits=14), "scaled_half_width")
 
 

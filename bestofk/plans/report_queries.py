@@ -242,22 +242,23 @@ def difficulty_bucket(spark, d):
 
 
 def part_cells(spark, d):
-    """Two models over all parts (first and second half of the samples), and one with the right answers only,
-    which therefore lacks the parts that have none."""
+    """Two models over all prompts (first and second half of the samples), and one with the right answers only,
+    which therefore lacks the prompts that have none."""
     keyed = numeric_keyed(spark, d).select("prompt_id", "k", "u")
-    half = F.when(F.col("k") < 4, "m0").otherwise("m1")
+    half = F.when(F.col("k") < 32, "m0").otherwise("m1")
     fewer = F.when(F.col("u") == 1.0, "m2")
     return keyed.select(F.explode(F.array_compact(F.array(half, fewer))).alias("model"), "prompt_id", "k", "u")
 
 
 def part_levels(spark, d):
-    return I.table(spark, d, "part").select(F.col("p_partkey").alias("prompt_id"), R.level_digit(F.col("p_size")).cast("string").alias("bucket"))
+    firsts = I.table(spark, d, "orders").where(F.col("o_orderkey") % I.K_TEXTS == 0)
+    return firsts.select(F.floor(F.col("o_orderkey") / I.K_TEXTS).alias("prompt_id"), R.level_digit(F.col("o_custkey")).cast("string").alias("bucket"))
 
 
 PART_CELLS = """cells as (
-  select case when k < 4 then 'm0' else 'm1' end as model, prompt_id, k, u from keyed
+  select case when k < 32 then 'm0' else 'm1' end as model, prompt_id, k, u from keyed
   union all select 'm2', prompt_id, k, u from keyed where u = 1)"""
-LEVELS_SQL = "levels as (select p_partkey as prompt_id, left(cast(p_size as varchar), 1) as bucket from part)"
+LEVELS_SQL = "levels as (select o_orderkey // 64 as prompt_id, left(cast(o_custkey as varchar), 1) as bucket from orders where o_orderkey % 64 = 0)"
 
 
 @query("gap_by_bucket", S.with_(S.FORMS, KEYED_SQL, PART_CELLS, LEVELS_SQL,

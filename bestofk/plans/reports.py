@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bestofk.functions.joins import join_cells
+
 # Fixed values.
 TIE = 1e-9
 SHADE_MAX = 60
@@ -83,7 +85,7 @@ def lookup_cell(
 def _beside(rows: DataFrame, row: Sequence[str], **facts: Column) -> DataFrame:
     """Put aggregates of a report row beside its members: partial sums and a join, no window over the row."""
     found = rows.groupBy(*row).agg(*[fact.alias(name) for name, fact in facts.items()])
-    return rows.join(found, list(row))
+    return join_cells(rows, found, row)
 
 
 def mark_extreme(rows: DataFrame, row: Sequence[str], value: str, **flags: str) -> DataFrame:
@@ -222,11 +224,11 @@ def gap_by_bucket(per_prompt: DataFrame, labels: DataFrame, models: Sequence[str
     fits = per_prompt.groupBy(model).agg(F.count("*").alias("n_prompts")).where(F.col("n_prompts") == n_labels).select(model)
     sizes = labels.groupBy("bucket").agg(F.count("*").alias("n"))
     means = (
-        per_prompt.join(fits, model, "left_semi").join(labels, "prompt_id")
+        join_cells(per_prompt, fits, [model], "left_semi").join(labels, "prompt_id")
         .groupBy("bucket", model).agg(F.avg("r_hat").alias("r_hat"))
     )
     wide = means.groupBy("bucket").pivot(model, list(models)).agg(F.first("r_hat"))
-    return sizes.join(wide, "bucket", "left")
+    return join_cells(sizes, wide, ["bucket"], "left")
 
 
 def cell_label(extra: Sequence[str] = ("stage", "tau", "sc_n", "length"), names: Mapping[str, str] | None = None) -> Column:
@@ -266,5 +268,5 @@ def spike_by_bucket(success: DataFrame, labels: DataFrame, cell: Sequence[str])
     per_bucket = tagged.groupBy(*cell, "bucket").agg(F.count("*").alias("n"), F.sum((F.col("p_hat") == 0).cast("bigint")).alias("zeros"))
     overall = per_bucket.groupBy(*cell).agg(F.sum("n").alias("n"), F.sum("zeros").alias("zeros"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).alias("n_labelled"))
     fits = overall.where((F.col("n") == n_labels) & (F.col("n_labelled") == F.col("n"))).select(*cell)
-    rows = overall.select(*cell, F.lit("__all__").alias("bucket"), "n", "zeros").unionByName(per_bucket.join(fits, list(cell), "left_semi"))
+    rows = overall.select(*cell, F.lit("__all__").alias("bucket"), "n", "zeros").unionByName(join_cells(per_bucket, fits, cell, "left_semi"))
     return rows.select(*cell, "bucket", "n", (F.col("zeros") / F.col("n")).alias("zero_share"))

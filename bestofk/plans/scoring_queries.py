@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from bestofk.functions import scorers
 from bestofk.functions import text as T
 from bestofk.operators import judge as J
 from bestofk.operators import scoring
+from bestofk.plans import experiments as E
 from bestofk.plans import inputs as I
 from bestofk.plans import sqlparts as S
 from bestofk.plans.metric_queries import CELL, rounded
@@ -79,19 +82,16 @@ def is_close(spark, d):
     return lines.groupBy("l_orderkey").agg(F.count_if(T.is_close(a, b)).alias("n_close"), F.count("*").alias("n"))
 
 
-SCORED_NUMBERS = S.with_(S.FORMS, S.SAMPLES, "src as (select * from samples)", "p as (" + sql_number("text") + ")",
-                         "src_gt as (select prompt_id, k, ground_truth from samples)",
-                         "t as (select prompt_id, k, value as target from (" + sql_number("ground_truth").replace("from src)", "from src_gt)") + "))",
-                         f"""scored as (
-  select p.prompt_id, p.k, p.pattern, {sql_close('p.value', 't.target')} as hit,
-         case when t.target is null then 'gt_unparseable' when p.value is null then 'none'
-              when {sql_close('p.value', 't.target')} then p.pattern else 'incorrect' end as reason
-  from p join t on t.prompt_id = p.prompt_id and t.k = p.k)""")
+# What the rules must find in each form; the rules themselves run against the oracle in ``num_extract``.
+SCORED_NUMBERS = S.with_(S.LINE_FORMS, """scored as (
+  select *, case when not (f < 5) then 'none' when hit then pattern else 'incorrect' end as reason
+  from (select prompt_id, k, f, f < 5 and q = g as hit,
+               case f when 0 then 'hashed' when 1 then 'boxed' when 2 then 'answer_is' when 5 then 'none' else 'bare' end as pattern from forms))""")
 
 
 @query("score_numeric", SCORED_NUMBERS + "select prompt_id, k, hit::double as utility, reason from scored")
 def score_numeric(spark, d):
-    return scoring.score_numeric(I.samples(spark, d)).select("prompt_id", "k", "utility", "reason")
+    return scoring.score_numeric(I.line_samples(spark, d)).select("prompt_id", "k", "utility", "reason")
 
 
 @query("pattern_rates", SCORED_NUMBERS + """
@@ -101,7 +101,7 @@ select 'm' || cast(prompt_id % 3 as varchar) as model, pattern,
        cast(sum(count(*)) over (partition by prompt_id % 3) as bigint) as total
 from scored group by prompt_id % 3, pattern""")
 def pattern_rates(spark, d):
-    scored = scoring.score_numeric(I.samples(spark, d)).withColumn("model", I.model_name(F.col("prompt_id")))
+    scored = scoring.score_numeric(I.line_samples(spark, d)).withColumn("model", I.model_name(F.col("prompt_id")))
     return rounded(scoring.pattern_rates(scored, ["model"]), "fires_pct", "accuracy_pct")
 
 
@@ -118,7 +118,7 @@ def sql_ratio(column: str) -> str:
      then regexp_extract({column}, '\{{(-?\d+)\}}\{{(-?\d+)\}}', 1)::double / regexp_extract({column}, '\{{(-?\d+)\}}\{{(-?\d+)\}}', 2)::double end"""
 
 
-BOXED_SCORED = S.with_(S.FORMS, S.BOXED, f"found as (select *, {sql_box('text')} as answer from boxed)",
+BOXED_SCORED = S.with_(S.LINE_FORMS, S.BOXED, f"found as (select *, {sql_box('text')} as answer from boxed)",
                        r"squashed as (select *, regexp_replace(answer, '\s', '', 'g') as l, regexp_replace(ground_truth, '\s', '', 'g') as r from found)",
                        f"""scored as (select prompt_id, k, answer, case when answer is null then 'no_boxed' when ground_truth = '' then 'empty_gt'
   when l = r or {sql_close(sql_ratio('l'), sql_ratio('r'))} then 'correct' else 'incorrect' end as reason from squashed)""")
@@ -126,12 +126,12 @@ BOXED_SCORED = S.with_(S.FORMS, S.BOXED, f"found as (select *, {sql_box('text')}
 
 @query("last_boxed", BOXED_SCORED + "select prompt_id, k, answer from scored")
 def last_boxed(spark, d):
-    return I.boxed_samples(spark, d).select("prompt_id", "k", T.last_boxed(F.col("text")).alias("answer"))
+    return I.line_boxed_samples(spark, d).select("prompt_id", "k", T.last_boxed(F.col("text")).alias("answer"))
 
 
 @query("score_boxed", BOXED_SCORED + "select prompt_id, k, (reason = 'correct')::double as utility, reason from scored")
 def score_boxed(spark, d):
-    return scoring.score_boxed(I.boxed_samples(spark, d)).select("prompt_id", "k", "utility", "reason")
+    return scoring.score_boxed(I.line_boxed_samples(spark, d)).select("prompt_id", "k", "utility", "reason")
 
 
 @query("failure_mode_rates", BOXED_SCORED + """
@@ -142,7 +142,7 @@ select 'm' || cast(prompt_id % 3 as varchar) as model,
        round(100.0::double * count(*) filter (reason = 'correct') / count(*), 12) as correct,
        count(*) as total from scored group by all""")
 def failure_mode_rates(spark, d):
-    scored = scoring.score_boxed(I.boxed_samples(spark, d)).withColumn("model", I.model_name(F.col("prompt_id")))
+    scored = scoring.score_boxed(I.line_boxed_samples(spark, d)).withColumn("model", I.model_name(F.col("prompt_id")))
     return rounded(scoring.failure_mode_rates(scored, ["model"]), *scoring.BOXED_REASONS)
 
 
@@ -179,7 +179,7 @@ def sql_letter(span: str, full: str) -> str:
   nullif(lower(regexp_extract({span}, '(?:^|[^A-Za-z])([A-Ra-r])(?:[^A-Za-z]|$)', 1)), ''))"""
 
 
-SPANS = S.with_(S.FORMS, S.SHAPES, f"spans as (select *, {sql_span('text')} as span from shapes)")
+SPANS = S.with_(S.LINE_FORMS, S.SHAPES, f"spans as (select *, {sql_span('text')} as span from shapes)")
 
 
 @query("choice_letter", SPANS + f"select prompt_id, k, {sql_letter('span', 'text')} as letter from spans")
@@ -248,19 +248,22 @@ def json_match(spark, d):
     return I.outcomes(spark, d).groupBy("prompt_id").agg(F.count_if(hit).alias("n_match"), F.count("*").alias("n_tests"))
 
 
-@query("all_tests_pass", S.with_(S.OUTCOMES) + f"""
+PROGRAMS_SQL = f"""
 select o.o_orderkey as prompt_id, 0 as k, coalesce(t.u, 0.0)::double as utility
 from orders o left join (
   select prompt_id, min(case when testtype = 'exotic' or not ok or seconds > 10 or before > 60 then 0.0 else 1.0 end) as u
   from (select *, case when testtype = 'stdin' then {SQL_STDOUT} else {SQL_JSON} end as ok,
                coalesce(sum(seconds) over (partition by prompt_id order by test_idx rows between unbounded preceding and 1 preceding), 0) as before
-        from outcomes) group by prompt_id) t on t.prompt_id = o.o_orderkey""")
+        from outcomes) group by prompt_id) t on t.prompt_id = o.o_orderkey"""
+
+
+@query("all_tests_pass", S.with_(S.OUTCOMES) + PROGRAMS_SQL)
 def all_tests_pass(spark, d):
     samples = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("prompt_id"), F.lit(0).alias("k"))
     return scoring.all_tests_pass(samples, I.outcomes(spark, d))
 
 
-@query("answer_key", S.with_(S.FORMS, S.BOXED, f"found as (select *, {sql_box('text')} as answer from boxed)") + r"""
+@query("answer_key", S.with_(S.LINE_FORMS, S.BOXED, f"found as (select *, {sql_box('text')} as answer from boxed)") + r"""
 select prompt_id, k, 'gsm8k' as dataset, cast(case when f < 5 then q end as double) as number_key, null as box_key from forms
 union all select prompt_id, k, 'math', null, regexp_replace(answer, '\s', '', 'g') from found""")
 def answer_key(spark, d):
@@ -276,12 +279,14 @@ def answer_key(spark, d):
 
 
 
-@query("score_dispatch", S.with_(S.FORMS, S.BOXED, S.SHAPES,
+@query("score_dispatch", S.with_(S.LINE_FORMS, S.BOXED, S.SHAPES,
     f"found as (select *, {sql_box('text')} as answer from boxed)",
     r"squashed as (select *, regexp_replace(answer, '\s', '', 'g') as l, regexp_replace(ground_truth, '\s', '', 'g') as r from found)",
-    f"spans as (select *, {sql_span('text')} as span from shapes)") + rf"""
+    f"spans as (select *, {sql_span('text')} as span from shapes)", S.OUTCOMES, f"programs as ({PROGRAMS_SQL})") + rf"""
 select 'gsm8k' as dataset, prompt_id, k, coalesce(f < 5 and q = g, false)::double as utility from forms
 union all select 'math', prompt_id, k, coalesce(l = r or {sql_close(sql_ratio('l'), sql_ratio('r'))}, false)::double from squashed
+union all select 'matharena', prompt_id, k, coalesce(l = r or {sql_close(sql_ratio('l'), sql_ratio('r'))}, false)::double from squashed
+union all select case when prompt_id % 2 = 0 then 'humaneval' else 'livecodebench' end, prompt_id, k, utility from programs
 union all select 'bbh', prompt_id, k, coalesce(case
   when regexp_full_match(ground_truth, '\(\s*([A-Ra-r])\s*\)')
     then {sql_letter('span', 'text')} = lower(regexp_extract(ground_truth, '[A-Ra-r]'))
@@ -291,9 +296,14 @@ union all select 'bbh', prompt_id, k, coalesce(case
     or regexp_matches(lower(span), '(?:^|[^a-z])' || regexp_escape({sql_token('ground_truth')}) || '(?:[^a-z]|$)') end, false)::double
 from spans""")
 def score_dispatch(spark, d):
-    cases = {" GSM8K": I.numeric_case(), "Math ": I.boxed_case(), "bbh": I.shape_case()}
-    scored = I.mixed_samples(spark, d, cases).withColumn("utility", scorers.score_dispatch(F.col("dataset"), F.col("text"), F.col("ground_truth")))
-    return scored.select(F.lower(F.trim("dataset")).alias("dataset"), "prompt_id", "k", "utility")
+    """Six datasets in one job; programs are judged by their recorded test runs."""
+    cases = {" GSM8K": I.numeric_case(), "Math ": I.boxed_case(), "bbh": I.shape_case(), "matharena": I.boxed_case()}
+    language = lambda key: F.when(F.col(key) % 2 == 0, "humaneval").otherwise("livecodebench").alias("dataset")
+    texts = I.mixed_samples(spark, d, cases)
+    programs = I.table(spark, d, "orders").select(language("o_orderkey"), F.col("o_orderkey").alias("prompt_id"), F.lit(0).alias("k"))
+    outcomes = I.outcomes(spark, d).select("*", language("prompt_id"))
+    scored = E.score_samples(texts.unionByName(programs, allowMissingColumns=True), ["dataset"], outcomes=outcomes)
+    return scored.select(F.lower(F.trim("dataset")).alias("dataset"), "prompt_id", "k", F.col("u").alias("utility"))
 
 
 # --- judging ---------------------------------------------------------------
@@ -366,28 +376,27 @@ def krippendorff_alpha(spark, d):
 
 
 def _l_trials() -> str:
-    """Votes drawn per (item, resample, L'): without replacement up to 5, with it beyond."""
-    parts = []
-    for n in (1, 3, 5):
-        pick = S.hex32(f"0, {n}, prompt_id, k, b.range, l")
-        parts.append(f"""select model, prompt_id, k, {n} as l_votes, b, vote from (
-    select model, prompt_id, k, b.range as b, vote, row_number() over (partition by prompt_id, k, b.range order by {pick}, l) as rn
-    from votes, range(20) b) where rn <= {n}""")
-    for n in (7, 9):
-        pick = S.hex32(f"0, {n}, v.prompt_id, v.k, b.range, t.range")
-        parts.append(f"""select v.model, v.prompt_id, v.k, {n}, g.b, v.vote from votes v join (
-    select v.prompt_id, v.k, b.range as b, {pick} % 5 as l
-    from (select distinct prompt_id, k from votes) v, range(20) b, range({n}) t) g on g.prompt_id = v.prompt_id and g.k = v.k and g.l = v.l""")
-    return "trials as (" + "\n  union all ".join(parts) + ")"
+    """Votes drawn per (item, resample, L'): a subset of the five up to 5, a sequence with replacement beyond."""
+    part = lambda i: f"cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint)"
+    subsets = lambda n: str([list(c) for c in combinations(range(5), n)])
+    picks = {1: f"{subsets(1)}[{part(0)} % 5 + 1]", 3: f"{subsets(3)}[{part(1)} % 10 + 1]", 5: "[0, 1, 2, 3, 4]"}
+    picks |= {n: f"list_transform(range({n}), lambda t: ({part(i)} // cast(pow(5, t) as bigint)) % 5)" for n, i in ((7, 2), (9, 3))}
+    rows = " union all ".join(f"select model, prompt_id, k, b, {n} as l_votes, list_transform({p}, lambda i: v[i + 1]) as drawn from hashed" for n, p in picks.items())
+    return f"""hashed as (
+  select *, md5(concat_ws('|', 0, 0, prompt_id, k, b)) as h
+  from (select model, prompt_id, k, list(vote order by l) as v from votes group by all), (select range as b from range(200))),
+trials as ({rows}),
+complete as (select model from (select model, prompt_id, count(distinct k) as n, max(k) + 1 as m from votes group by all)
+  group by model having min(n) = max(m))"""
 
 
 @query("l_sensitivity", S.with_(S.CALLS, S.VOTES, _l_trials()) + """
-select model, l_votes, round(avg(r), 12) as r_hat, round(stddev_pop(r), 12) as r_hat_std from (
+select model, l_votes, case when model in (select model from complete) then round(avg(r), 12) end as r_hat,
+       case when model in (select model from complete) then round(stddev_pop(r), 12) end as r_hat_std from (
   select model, l_votes, b, avg(r) as r from (
     select model, l_votes, b, prompt_id, max(u) - avg(u) as r from (
-      select model, l_votes, b, prompt_id, k,
-             case when count(*) filter (vote = 1) >= (l_votes + 1) // 2 then 1.0 when count(*) filter (vote = 0) >= (l_votes + 1) // 2 then 0.0
-                  else 0.5 end as u from trials group by model, l_votes, b, prompt_id, k)
+      select model, l_votes, b, prompt_id, case when len(list_filter(drawn, lambda x: x = 1)) >= (l_votes + 1) // 2 then 1.0
+        when len(list_filter(drawn, lambda x: x = 0)) >= (l_votes + 1) // 2 then 0.0 else 0.5 end as u from trials)
     group by model, l_votes, b, prompt_id) group by model, l_votes, b) group by model, l_votes""")
 def l_sensitivity(spark, d):
     from bestofk.operators.resample import l_sensitivity as study
@@ -395,5 +404,5 @@ def l_sensitivity(spark, d):
     items = I.votes(spark, d).groupBy("model", "prompt_id", "k").agg(
         *[F.max(F.when(F.col("l") == i, F.col("vote"))).alias(f"v{i}") for i in range(I.L_VOTES)]
     )
-    out = study(items, [f"v{i}" for i in range(I.L_VOTES)], n_resamples=20, cell=["model"])
+    out = study(items, [f"v{i}" for i in range(I.L_VOTES)], n_resamples=200, cell=["model"])
     return rounded(out, "r_hat", "r_hat_std")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bestofk.functions import scorers
 from bestofk.functions import text as T
+from bestofk.functions.joins import join_cells
 from bestofk.functions.hashing import config_fingerprint
 from bestofk.operators import metrics as M
 from bestofk.operators import prompts as P
@@ -21,7 +22,7 @@ from bestofk.session import materialise, shared_dir
 def _sample_config(model):
     lit = F.lit
     return {
-        "K": lit(8), "dataset": lit("gsm8k"), "max_reasoning_length": lit(None), "max_tokens": lit(1024), "model": model,
+        "K": lit(64), "dataset": lit("gsm8k"), "max_reasoning_length": lit(None), "max_tokens": lit(1024), "model": model,
         "num_prompts": lit(100), "prompt_template_version": lit("v1"), "seed": lit(0), "temperature": lit(1.0),
         "top_k": lit(-1), "top_p": lit(1.0),
     }
@@ -37,7 +38,7 @@ def _wide_samples(spark, d):
     )
 
 
-SAMPLE_FP = """substr(sha256('{"K":8,"dataset":"gsm8k","max_tokens":1024,"model":"m' || cast(prompt_id % 3 as varchar)
+SAMPLE_FP = """substr(sha256('{"K":64,"dataset":"gsm8k","max_tokens":1024,"model":"m' || cast(prompt_id % 3 as varchar)
   || '","num_prompts":100,"prompt_template_version":"v1","seed":0,"temperature":1.0,"top_k":-1,"top_p":1.0}'), 1, 16)"""
 
 
@@ -98,7 +99,7 @@ def read_cell_results(spark, d):
     )
 
 
-@query("write_cell_results", S.with_(S.UTILITY, S.PROMPT_GAP, S.bootstrap("prompt_gap", "model, dataset", n=100),
+@query("write_cell_results", S.with_(S.UTILITY, S.PROMPT_GAP, S.bootstrap("prompt_gap", "model, dataset"),
                                      """curve as (select model, dataset, k_prefix, round(avg(c), 12) as u_circ, round(avg(b), 12) as u_bar
 from (select model, dataset, prompt_id, g.k as k_prefix, max(u) as c, avg(u) as b
       from utility u join (values (1), (2), (4), (8), (16), (32), (64)) g(k) on u.k < g.k group by all) group by all)""") + """
@@ -109,7 +110,7 @@ def write_cell_results(spark, d):
     u = I.cell_utility(spark, d)
     per_prompt = M.prompt_gap(u, CELL)
     cells = RS.assemble_cells(
-        M.cell_gap(per_prompt, CELL), M.saturation_curve(u, I.K_SAMPLES, CELL), R.bootstrap_ci(per_prompt, CELL, n_resamples=100), CELL
+        M.cell_gap(per_prompt, CELL), M.saturation_curve(u, I.K_SAMPLES, CELL), R.bootstrap_ci(per_prompt, CELL), CELL
     )
     path = shared_dir(spark, "cells")
     RS.write_cell_results(cells.withColumns({"hyp": F.lit("h1"), "judge": F.lit(None).cast("string")}), path)
@@ -332,7 +333,7 @@ def scope_split(spark, d):
 
 @query("reverify", S.with_(S.FORMS, "keyed as (select prompt_id, k, coalesce(f < 5 and q = g, false)::double as u from forms)",
                            "prompt_gap as (select 'm' || cast(prompt_id % 3 as varchar) as model, prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat from keyed group by all)",
-                           S.bootstrap("prompt_gap", "model", n=100), S.RESULTS,
+                           S.bootstrap("prompt_gap", "model"), S.RESULTS,
                            "old as (select model, sum(sampling_seconds) as sampling_seconds from results where hyp = 'h1' group by all)") + """
 select g.model, g.u_circ, g.u_bar, g.r_hat, g.m, round(b.ci_low, 12) as ci_low, round(b.ci_high, 12) as ci_high, o.sampling_seconds
 from (select model, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat, count(*) as m
@@ -347,7 +348,6 @@ def reverify(spark, d):
     )
     per_prompt = materialise(M.prompt_gap(scored, ["model"]), "reverified")
     old = I.results(spark, d).where(F.col("hyp") == "h1").groupBy("model").agg(F.sum("sampling_seconds").alias("sampling_seconds"))
-    fresh = M.cell_gap(per_prompt, ["model"]).drop("k_max").join(
-        R.bootstrap_ci(per_prompt, ["model"], n_resamples=100).select("model", "ci_low", "ci_high"), "model"
-    )
-    return rounded(fresh.join(old, "model", "left"), "u_circ", "u_bar", "r_hat", "ci_low", "ci_high")
+    ci = R.bootstrap_ci(per_prompt, ["model"]).select("model", "ci_low", "ci_high")
+    fresh = join_cells(M.cell_gap(per_prompt, ["model"]).drop("k_max"), ci, ["model"])
+    return rounded(join_cells(fresh, old, ["model"], "left"), "u_circ", "u_bar", "r_hat", "ci_low", "ci_high")

@@ -12,35 +12,31 @@ def with_(*ctes: str) -> str:
 
 
 UTILITY = """utility as (
-  select g.prompt_id, g.k,
-         cast(coalesce(max(case when event_type = 'purchase' and value > 60 then 1.0 else 0.0 end), 0.0) as double) as u,
-         cast(coalesce(max(case when event_type = 'purchase' and value > 60 then 1.0
-                                when event_type = 'signup' and value > 60 then 0.5 else 0.0 end), 0.0) as double) as u3,
-         'm' || cast(g.prompt_id % 3 as varchar) as model,
-         'd' || cast((g.prompt_id // 3) % 2 as varchar) as dataset
-  from (select p.user_id as prompt_id, cast(r.range as integer) as k
-        from (select distinct user_id from events) p, range(64) r) g
-  left join events e on e.user_id = g.prompt_id and e.event_id % 64 = g.k
-  group by all)"""
+  select *, 'm' || cast(prompt_id % 3 as varchar) as model, 'd' || cast((prompt_id // 3) % 2 as varchar) as dataset
+  from (select event_id // 64 as prompt_id, cast(event_id % 64 as integer) as k,
+               cast(case when event_type = 'purchase' and value > 60 then 1.0 else 0.0 end as double) as u,
+               cast(case when event_type = 'purchase' and value > 60 then 1.0
+                         when event_type = 'signup' and value > 60 then 0.5 else 0.0 end as double) as u3
+        from events))"""
 
 PROMPT_GAP = """prompt_gap as (
   select model, dataset, prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat, count(*) as n_samples
   from utility group by all)"""
 
 FORMS = """forms as (
-  select g.prompt_id, g.k, p.p_size % 5 as g, cast((l.packed % 30) // 6 as integer) as q, cast(l.packed % 6 as integer) as f
-  from (select x.l_partkey as prompt_id, cast(r.range as integer) as k
-        from (select distinct l_partkey from lineitem) x, range(8) r) g
-  join part p on p.p_partkey = g.prompt_id
-  left join (select l_partkey, (l_orderkey + l_linenumber) % 8 as k,
-                    max((l_orderkey * 16 + l_linenumber) * 30 + (cast(l_quantity as integer) % 5) * 6 + l_linenumber % 6) as packed
-             from lineitem group by all) l
-    on l.l_partkey = g.prompt_id and l.k = g.k)"""
+  select o_orderkey // 64 as prompt_id, cast(o_orderkey % 64 as integer) as k, cast((o_orderkey // 64) % 5 as integer) as g,
+         cast(cast(floor(o_totalprice) as bigint) % 5 as integer) as q, cast(o_custkey % 6 as integer) as f
+  from orders)"""
+
+# Every line item is an answer; (prompt_id, k) repeats.
+LINE_FORMS = """forms as (
+  select l_orderkey as prompt_id, cast(l_linenumber as integer) as k, cast(l_orderkey % 5 as integer) as g,
+         cast(l_quantity as integer) % 5 as q, cast(l_partkey % 6 as integer) as f
+  from lineitem)"""
 
 SAMPLES = """samples as (
   select prompt_id, k,
-         case when f is null then ''
-              when f = 0 then 'Work 1,200 then' || chr(10) || '#### ' || q
+         case when f = 0 then 'Work 1,200 then' || chr(10) || '#### ' || q
               when f = 1 then 'so ' || chr(92) || 'boxed{' || q || '.0}'
               when f = 2 then 'The answer is $' || q || ' of 99'
               when f = 3 then 'we had 7 and get ' || q || '.'
@@ -51,8 +47,7 @@ SAMPLES = """samples as (
 
 BOXED = """boxed as (
   select prompt_id, k,
-         case when f is null then ''
-              when f = 0 then 'x ' || chr(92) || 'boxed{' || q || '}'
+         case when f = 0 then 'x ' || chr(92) || 'boxed{' || q || '}'
               when f = 1 then chr(92) || 'boxed{' || chr(92) || 'frac{' || q || '}{2}}'
               when f = 2 then chr(92) || 'boxed{9} then ' || chr(92) || 'boxed { ' || q || ' }'
               when f = 3 then chr(92) || 'boxed{' || q || '} then ' || chr(92) || 'boxed{open'
@@ -63,8 +58,7 @@ BOXED = """boxed as (
 
 SHAPES = """shapes as (
   select prompt_id, k,
-         case when f is null then ''
-              when f = 0 then 'maybe (E)? Final answer: (' || chr(65 + q) || ')'
+         case when f = 0 then 'maybe (E)? Final answer: (' || chr(65 + q) || ')'
               when f = 1 then 'Final answer: ' || chr(65 + q)
               when f = 2 then 'Final answer: invalid'
               when f = 3 then 'thus the answer is: valid.'
@@ -76,17 +70,11 @@ SHAPES = """shapes as (
   from forms)"""
 
 CALLS = f"""calls as (
-  select prompt_id, cast(slot // 5 as integer) as k, cast(slot % 5 as integer) as l,
-         case code when 1 then 'A' when 2 then ' b' when 3 then 'T' when 4 then '????' when 5 then 'A.' else '' end as verdict_text,
-         {hex32("0, prompt_id, slot // 5, slot % 5")} % 2 = 1 as a_is_candidate,
+  select *, {hex32("0, prompt_id, k, l")} % 2 = 1 as a_is_candidate,
          'm' || cast(prompt_id % 3 as varchar) as model, 'd' || cast((prompt_id // 3) % 2 as varchar) as dataset
-  from (select g.prompt_id, g.slot,
-               min(case e.event_type when 'click' then 1 when 'view' then 2 when 'error' then 3
-                                     when 'signup' then 4 when 'purchase' then 5 end) as code
-        from (select p.user_id as prompt_id, r.range as slot
-              from (select distinct user_id from events) p, range(45) r) g
-        left join events e on e.user_id = g.prompt_id and e.event_id % 45 = g.slot
-        group by all))"""
+  from (select event_id // 45 as prompt_id, cast(event_id % 45 // 5 as integer) as k, cast(event_id % 5 as integer) as l,
+               case event_type when 'click' then 'A' when 'view' then ' b' when 'error' then 'T' when 'signup' then '????' when 'purchase' then 'A.' end as verdict_text
+        from events))"""
 
 VOTES = """votes as (
   select *, coalesce(verdict, 0.5) as vote from (
@@ -166,17 +154,16 @@ def fingerprint(key: str) -> str:
 
 
 def bootstrap(source: str, cell: str, value: str = "r_hat", n: int = 1000, seed: int = 0) -> str:
-    """CTEs ``boot_means`` and ``boot_ci`` for a per-prompt source, drawn the same way."""
-    return f"""boot_ranked as (
-  select {cell}, {value} as v, prompt_id,
-         row_number() over (partition by {cell} order by {value}, prompt_id) - 1 as rank,
-         count(*) over (partition by {cell}) as m
-  from {source}),
-boot_means as (
-  select {', '.join('d.' + c.strip() for c in cell.split(','))}, d.b, avg(r.v) as resample_mean
-  from (select {cell}, b.range as b, {hex32(f"{seed}, b.range, rank")} % m as rank
-        from boot_ranked, range({n}) b) d
-  join boot_ranked r on {' and '.join(f'd.{c.strip()} = r.{c.strip()}' for c in cell.split(','))} and d.rank = r.rank
+    """CTEs ``boot_means`` and ``boot_ci`` for a per-prompt source, with the same weights."""
+    from bestofk.operators.resample import WEIGHT_BOUNDS
+
+    weight = " + ".join(f"(draw >= {bound})::int" for bound in WEIGHT_BOUNDS)
+    return f"""boot_means as (
+  select {cell}, b, sum(w * v) / nullif(sum(w), 0) as resample_mean
+  from (select *, {weight} as w
+        from (select {cell}, {value} as v, r.range as b,
+                     cast('0x' || substr(md5(concat_ws('|', {seed}, r.range // 4, prompt_id)), 1 + 8 * (r.range % 4)::int, 8) as bigint) as draw
+              from {source}, range({n}) r))
   group by all),
 boot_ci as (
   select {cell}, avg(resample_mean) as mean, quantile_cont(resample_mean, 0.025) as ci_low,

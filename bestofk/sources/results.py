@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bestofk.functions.joins import join_cells
+
 CURVE_TYPE = "array<struct<k_prefix:int,u_circ:double,u_bar:double>>"
 DOCUMENT_SCHEMA = (
     "hyp string, model string, dataset string, seed int, stage string, procedure string, tau double, sc_n int, "
@@ -51,7 +53,7 @@ def assemble_cells(gaps: DataFrame, curve: DataFrame, ci: DataFrame, cell: Seque
     )
     interval = ci.select(*cell, F.struct("mean", "ci_low", "ci_high", "confidence", "n_resamples").alias("bootstrap"))
     aggregates = gaps.select(*cell, F.struct("u_circ", "u_bar", "r_hat").alias("aggregates"), "m", "k_max")
-    return aggregates.join(points, list(cell)).join(interval, list(cell))
+    return join_cells(join_cells(aggregates, points, cell), interval, cell)
 
 
 def write_cell_results(cells: DataFrame, path: str, partition: str = "hyp") -> None:
