@@ -200,5 +200,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     marked = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
     rules = learn(materialise(text_stats(docs.join(marked, "doc_id", "left_semi")), "stats"), labels, **options)
     names = docs.columns
-    judged = text_stats(docs, carry=names).where(~base_failed() & ~verdict_rejects(rules))
+    # The verdict goes through a generator: Catalyst would push a filter on it below the projections and work out the statistics once
+    # more for every place that uses them.
+    verdict = F.explode_outer(F.array(~base_failed() & ~verdict_rejects(rules)))
+    judged = text_stats(docs, carry=names).withColumn("keep", verdict).where("keep")
     return judged.select(*[F.col(f"carry_{i}").alias(c) for i, c in enumerate(names)])
