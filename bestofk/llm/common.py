@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bestofk.session import shared_dir
+
 #: What separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -13,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes ``df``, well packed, to the shared folder and reads it back; then lets go of the shuffle files of finished steps.
+
+    Spark deletes them once nothing refers to them, which it notices when the driver collects its garbage.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

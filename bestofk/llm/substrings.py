@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bestofk.llm.common import stored
 from bestofk.llm.neardup import _mix, _parts, _POWER, word_hashes
-from bestofk.session import materialise
 
 WINDOW, GRAM = 20, 5
 #: Segments have at most this many windows.
@@ -299,26 +299,31 @@ def _removed(found: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row of ``docs``."""
-    survey = materialise(_survey(docs), "survey")
-    firsts = materialise(survey.groupBy("key_a", "key_b").agg(F.min("did").alias("first_did")), "first-copies")
+    survey = stored(_survey(docs).withColumn("rid", F.monotonically_increasing_id()), "survey")
+    firsts = stored(survey.groupBy("key_a", "key_b").agg(F.min(F.struct("did", "rid")).alias("p")), "first-copies")
+    firsts = firsts.select("key_a", "key_b", F.col("p.did").alias("first_did"), F.col("p.rid").alias("first_rid"))
     plain = survey.select("did", "doc_id", "n_words", "key_a", "key_b", "sha").join(firsts, ["key_a", "key_b"])
-    owners = survey.join(firsts, ["key_a", "key_b"]).where(F.col("did") == F.col("first_did")).where(F.size("name") > 0)
-    parts = owners.select("did", "key_a", F.inline(F.arrays_zip("name", "first", "last", "times")))
+    owners = survey.join(firsts, ["key_a", "key_b"]).where("rid = first_rid and size(name) > 0")
+    # A segment in one number: its place and its length; the document in another.
+    place = lambda x: F.struct(x["name"].alias("name"), (x["first"] * 64 + x["last"] - x["first"]).alias("at"), x["times"].alias("times"))
+    parts = owners.select("rid", F.inline(F.transform(F.arrays_zip("name", "first", "last", "times"), place)))
     names = parts.groupBy("name").agg(F.sum("times").alias("n")).where("n > 1")
-    names = materialise(names.select("name", (F.col("n") > HOT_NAME).alias("hot")), "names")
-    hits = parts.join(names, "name").groupBy("did", "key_a").agg(F.collect_set(F.struct("name", "first", "last", "hot")).alias("hits"))
-    found = materialise(_with_texts(docs, hits).dropDuplicates(["did", "key_a"]), "texts")
-    places = _cut_out(found)
+    names = stored(names.select("name", (F.col("n") > HOT_NAME).alias("hot")), "names")
+    hit = F.struct("name", F.floor(F.col("at") / 64).cast("int").alias("first"), (F.floor(F.col("at") / 64) + F.col("at") % 64).cast("int").alias("last"), "hot")
+    hits = stored(parts.select("rid", "name", "at").join(names, "name").groupBy("rid").agg(F.collect_list(hit).alias("hits")), "hits")
+    hits = survey.select("rid", "did", "key_a").join(hits, "rid").drop("rid")
+    found = stored(_with_texts(docs, hits), "texts")
     earliest = F.min(F.struct("did", "key_a", "first")).alias("p")
-    distinct = materialise(places.groupBy("route", "segment").agg(earliest).select("route", "segment", "p.*"), "segments")
+    distinct = stored(_cut_out(found).groupBy("route", "segment").agg(earliest).select("route", "segment", "p.*"), "segments")
     words = distinct.agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, int(words / 6 / SHARD_WORDS))
     stay = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(
         first_windows, "did bigint, key_a bigint, first int, last int"
     )
-    stay = stay.groupBy("did", "key_a").agg(F.collect_list(F.struct("first", "last")).alias("stay"))
+    stay = stored(stay.groupBy("did", "key_a").agg(F.collect_list(F.struct("first", "last")).alias("stay")), "first-windows")
     removed = _removed(found.join(stay, ["did", "key_a"], "left").select("did", "key_a", "hits", "stay", "text"))
-    removed = materialise(removed, "removed")
+    # Repeated rows of a document were worked out once each, with the same result.
+    removed = stored(removed.dropDuplicates(["did", "key_a"]), "removed")
     is_copy, long = F.col("did") > F.col("first_did"), F.col("n_words") >= WINDOW
     nothing = hashlib.sha256(b"").hexdigest()
     return plain.join(removed, ["did", "key_a"], "left").select(
