@@ -34,7 +34,7 @@ BANDS, ROWS = 30, 5
 #: MinHash values looked at per step of the comparison.
 STEP = 15
 TOLERANCE = 1e-7
-BLOCK = 1024
+BLOCK = 256
 _RANDOM = np.random.default_rng(11)
 _A, _B = (_RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 _POWER = np.uint64(0x9E3779B97F4A7C15)
