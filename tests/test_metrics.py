@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bestofk.operators import judge as J
 from bestofk.operators import metrics as M
 from bestofk.operators import resample as R
+from bestofk.plans import experiments as E
 
 UTILITY = "prompt_id int, k int, u double"
 
@@ -96,22 +97,30 @@ def test_bootstrap_brackets_and_repeats(rows):
         assert scaled[part] == pytest.approx(exact[part], abs=0.02)
 
 
-def test_bootstrap_of_many_draws_per_resample(rows, spark):
-    """M above one row of draws: the pieces of a resample add up to exactly M draws."""
-    gaps = spark.range(R.DRAWS_PER_ROW * 2 + 5).select(F.col("id").alias("prompt_id"), F.lit(0.25).alias("r_hat"))
-    means = R.bootstrap_means(gaps, n_resamples=3).collect()
-    assert len(means) == 3 and all(r.resample_mean == 0.25 for r in means)
+def test_bootstrap_of_one_value(spark):
+    gaps = spark.range(9000).select(F.col("id").alias("prompt_id"), F.lit(0.25).alias("r_hat"))
+    means = R.bootstrap_means(gaps, n_resamples=6).collect()
+    assert sorted(r.b for r in means) == list(range(6)) and all(r.resample_mean == 0.25 for r in means)
 
 
-def test_continuous_values_take_poisson_weights(spark):
-    cell = spark.range(3000).select(F.lit("c").alias("cell"), F.col("id").alias("prompt_id"), (F.col("id") / 3000).alias("r_hat"))
-    exact = one(R.bootstrap_ci(cell, ["cell"], n_resamples=200))
-    rough = one(R.bootstrap_ci_scaled(cell, ["cell"], n_resamples=200, few_values=False))
-    for part in ("mean", "ci_low", "ci_high"):
-        assert rough[part] == pytest.approx(exact[part], abs=0.005)
-    many = spark.range(R.MAX_VALUES + 5).select(F.col("id").alias("prompt_id"), (F.col("id") / 7).alias("r_hat"))
-    with pytest.raises(Exception, match="use Poisson weights"):
-        R.bootstrap_ci(many, n_resamples=2).collect()
+@pytest.mark.parametrize("study", [R.bootstrap_ci, R.bootstrap_ci_scaled])
+def test_bootstrap_of_all_different_values(spark, study):
+    """As many values as prompts: the interval is that of the normal approximation, and no window is in the plan."""
+    n, b = 5000, 200
+    cell = spark.range(n).select(F.lit("c").alias("cell"), F.col("id").alias("prompt_id"), (F.col("id") / n).alias("r_hat"))
+    found = study(cell, ["cell"], n_resamples=b)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got, half = one(found), 1.96 * (1 / 12 / n) ** 0.5
+    assert got["mean"] == pytest.approx(0.4999, abs=0.001)
+    assert got["ci_low"] == pytest.approx(0.4999 - half, abs=half / 3) and got["ci_high"] == pytest.approx(0.4999 + half, abs=half / 3)
+
+
+def test_null_cell_keys_stay(rows):
+    u = rows([(None, p, k, float(p == k)) for p in range(3) for k in range(2)] + [("sft", p, k, 1.0) for p in range(3) for k in range(2)],
+             "stage string, prompt_id int, k int, u double")
+    for weights in ("counts", "hash"):
+        got = {r.stage: r for r in E.evaluate(u, ["stage"], 2, n_resamples=8, weights=weights).collect()}
+        assert set(got) == {None, "sft"} and got["sft"].aggregates.r_hat == 0.0 and len(got[None].curve) == 2
 
 
 def keyed(rows, keys, us):
@@ -211,8 +220,6 @@ def test_m_convergence_shrinks(spark):
 
 def test_whole_study(rows):
     """Samples of two datasets in, nested result rows out; votes of the same samples at two sizes."""
-    from bestofk.plans import experiments as E
-
     texts = [("gsm8k", p, k, f"#### {v}", "4") for p, vs in enumerate(["4444", "4445", "5555"]) for k, v in enumerate(vs)]
     texts += [("math", p, k, f"\\boxed{{{v}}}", "4") for p, vs in enumerate(["5544", "4555"]) for k, v in enumerate(vs)]
     df = rows(texts, "dataset string, prompt_id int, k int, text string, ground_truth string")
@@ -227,8 +234,6 @@ def test_whole_study(rows):
 
 
 def test_judged_study(rows):
-    from bestofk.plans import experiments as E
-
     calls = rows([("c", p, k, l, text, True) for p, k, texts in [(0, 0, "AAB"), (0, 1, "BBA"), (1, 0, "TTT"), (1, 1, "A?T")] for l, text in enumerate(texts)],
                  "cell string, prompt_id int, k int, l int, verdict_text string, a_is_candidate boolean")
     got = {(r.prompt_id, r.k): r.u for r in E.judged_utility(calls, ["cell"]).collect()}

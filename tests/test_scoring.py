@@ -178,16 +178,17 @@ def test_json_match(rows, got, want, same):
 
 
 def test_all_tests_pass(rows):
-    samples = rows([(p, 0) for p in "abcdefg"], "prompt_id string, k int")
+    samples = rows([(p, 0) for p in "abcdefgh"], "prompt_id string, k int")
     run = lambda p, i, kind="stdin", rc=0, out="1", want="1", sec=1.0: (p, 0, i, kind, rc, out, want, sec)
     outcomes = rows(
         [run("a", 0), run("a", 1, "functional", out="[1, 2]", want="[1,2]"), run("b", 0), run("b", 1, out="2"), run("c", 0, "exotic"),
-         run("d", 0, sec=10.5), *[run("f", i, sec=9.0) for i in range(8)], *[run("g", i, sec=9.0) for i in range(7)]],
+         run("d", 0, sec=10.5), *[run("f", i, sec=9.0) for i in range(8)], *[run("g", i, sec=9.0) for i in range(7)],
+         run("h", 0, sec=None), run("h", 1)],
         "prompt_id string, k int, test_idx int, testtype string, returncode int, stdout string, expected string, seconds double",
     )
     got = {r.prompt_id: r.utility for r in scoring.all_tests_pass(samples, outcomes).collect()}
-    # e has no test; f had 63 seconds behind it before its last test, g 54.
-    assert got == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0, "g": 1.0}
+    # e has no test; f had 63 seconds behind it before its last test, g 54; a test of h has no time.
+    assert got == {"a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.0, "f": 0.0, "g": 1.0, "h": 0.0}
 
 
 def test_dispatch_and_registry(rows):

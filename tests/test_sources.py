@@ -81,6 +81,14 @@ def test_import_jsonl(spark, tmp_path):
     for path, expected in ((old, CONFIG), (bare, None), (good, {**CONFIG, "seed": 9})):
         with pytest.raises(Exception, match="without the expected header"):
             samples.import_sample_jsonl(spark, str(path), expected).collect()
+    twice, torn, none = tmp_path / "twice.jsonl", tmp_path / "torn.jsonl", tmp_path / "none.jsonl"
+    header = {"_cache_key": key, "_format_version": 2}
+    twice.write_text("\n".join(json.dumps(x) for x in (header, record, header, record)))
+    torn.write_text(json.dumps(header) + "\n" + json.dumps(record) + "\n" + json.dumps(record)[:-9])
+    none.write_text(json.dumps(header) + "\n")
+    for path, message in ((twice, "without the expected header"), (torn, "torn line"), (none, "without samples")):
+        with pytest.raises(Exception, match=message):
+            samples.import_sample_jsonl(spark, str(path), CONFIG).collect()
 
 
 def test_verdict_log(rows):
