@@ -38,6 +38,7 @@ DATASET_ALIASES = {
 }
 
 
-def settings(procedure: str, values) -> list[dict]:
-    """Rows (procedure, value) for a work grid."""
-    return [{"procedure": procedure, "value": float(v)} for v in values]
+def settings(procedure: str, values, datasets=None) -> list[dict]:
+    """Rows (procedure, value) for a work grid, limited to ``datasets`` where given."""
+    limit = {} if datasets is None else {"datasets": list(datasets)}
+    return [{"procedure": procedure, "value": float(v), **limit} for v in values]

@@ -103,14 +103,19 @@ def _literal_rows(rows: Sequence[Mapping]) -> Column:
 def cell_grid(models: DataFrame, datasets: Sequence[Mapping], seeds: Sequence[int], settings: Sequence[Mapping]) -> DataFrame:
     """Every (model, dataset, seed, setting) with the dataset's K, M and token cap.
 
-    ``settings`` are rows (procedure, value); direct sampling at temperature 0 needs one sample only,
-    and a setting may be limited to some datasets by the ``datasets`` parameter of its own call.
+    ``settings`` are rows (procedure, value); direct sampling at temperature 0 needs one sample only. A row may
+    also name the ``datasets`` it is for: self-consistency needs datasets with an answer key.
     """
+    limits = [F.array(*map(F.lit, s["datasets"])) if "datasets" in s else F.lit(None).cast("array<string>") for s in settings]
+    procedures = F.array(*[
+        F.struct(F.lit(s["procedure"]).alias("procedure"), F.lit(float(s["value"])).alias("value"), limit.alias("only"))
+        for s, limit in zip(settings, limits)
+    ])
     grid = (
         models.select("model")
         .select("model", F.inline(_literal_rows(datasets)))
         .select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-        .select("*", F.inline(_literal_rows(settings)))
+        .select("*", F.inline(procedures)).where(F.col("only").isNull() | F.array_contains("only", F.col("dataset"))).drop("only")
     )
     greedy = (F.col("procedure") == "direct") & (F.col("value") == 0)
     return grid.withColumn("k", F.when(greedy, 1).otherwise(F.col("k")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bestofk.functions import registry as REG
 from bestofk.functions import scorers
 from bestofk.functions import text as T
 from bestofk.functions.joins import join_cells
@@ -265,25 +266,23 @@ def prompt_ids(spark, d):
     )
 
 
-GRID_DATASETS = [
-    {"dataset": "gsm8k", "k": 64, "m": 500, "max_tokens": 1024},
-    {"dataset": "matharena", "k": 64, "m": 60, "max_tokens": 1024},
-    {"dataset": "ultrafeedback", "k": 32, "m": 500, "max_tokens": 512},
-]
-GRID_SETTINGS = [{"procedure": "direct", "value": v} for v in (0.0, 0.7, 1.0)] + [
-    {"procedure": "sc", "value": v} for v in (2.0, 8.0)
-] + [{"procedure": "budget", "value": v} for v in (0.0, 512.0)]
+GRID_SETTINGS = (
+    REG.settings("direct", REG.TEMPERATURES) + REG.settings("sc", REG.VOTE_SIZES, REG.VOTE_DATASETS) + REG.settings("budget", (0, 512))
+)
 
 
 @query("cell_grid", """
 select s_name as model, d.dataset, d.m, d.max_tokens, z.seed, p.procedure, p.value::double as value,
        case when p.procedure = 'direct' and p.value = 0 then 1 else d.k end as k
-from supplier, (values ('gsm8k', 64, 500, 1024), ('matharena', 64, 60, 1024), ('ultrafeedback', 32, 500, 512)) d(dataset, k, m, max_tokens),
+from supplier, (values ('gsm8k', 64, 500, 1024), ('math', 64, 500, 1024), ('humaneval', 64, 164, 1024), ('matharena', 64, 60, 1024),
+                       ('livecodebench', 64, 75, 1024), ('ultrafeedback', 32, 500, 512), ('alpaca_eval', 32, 300, 512)) d(dataset, k, m, max_tokens),
   (values (0), (1)) z(seed),
-  (values ('direct', 0.0), ('direct', 0.7), ('direct', 1.0), ('sc', 2.0), ('sc', 8.0), ('budget', 0.0), ('budget', 512.0)) p(procedure, value)""")
+  (values ('direct', 0.0), ('direct', 0.7), ('direct', 1.0), ('sc', 2.0), ('sc', 4.0), ('sc', 8.0), ('sc', 16.0), ('sc', 32.0),
+          ('budget', 0.0), ('budget', 512.0)) p(procedure, value)
+where p.procedure <> 'sc' or d.dataset in ('gsm8k', 'math', 'matharena')""")
 def cell_grid(spark, d):
     models = I.table(spark, d, "supplier").select(F.col("s_name").alias("model"))
-    return P.cell_grid(models, GRID_DATASETS, [0, 1], GRID_SETTINGS)
+    return P.cell_grid(models, REG.INFERENCE_PANEL, [0, 1], GRID_SETTINGS)
 
 
 @query("sample_worklist", """
