@@ -111,7 +111,8 @@ def krippendorff_alpha(votes: DataFrame, item: Sequence[str], cell: Sequence[str
     """Agreement of the votes over {0, 1/2, 1} with squared differences.
 
     Disagreement is a quadratic form in the per-item category counts, so three sums of products
-    and three totals per cell are the whole state; no pair of votes is ever formed.
+    and three totals per cell are the whole state; no pair of votes is ever formed. Undefined (null) with fewer than two votes or
+    categories, or where items have different numbers of votes.
     """
     counts = vote_counts(votes, [*cell, *item])
     lose, tie, win = F.col("n_lose"), F.col("n_tie"), F.col("n_win")
@@ -122,7 +123,7 @@ def krippendorff_alpha(votes: DataFrame, item: Sequence[str], cell: Sequence[str
         F.sum(lose * tie).cast("double").alias("lose_tie"),
         F.sum(tie * win).cast("double").alias("tie_win"),
         F.sum(lose * win).cast("double").alias("lose_win"),
-        F.max("n_votes").cast("double").alias("l_votes"),
+        F.when(F.min("n_votes") == F.max("n_votes"), F.max("n_votes")).cast("double").alias("l_votes"),
         F.count("*").alias("n_items"),
     )
     # Neighbouring categories differ by 1/2, the outer two by 1; equal ones drop out.
@@ -133,7 +134,7 @@ def krippendorff_alpha(votes: DataFrame, item: Sequence[str], cell: Sequence[str
         / (total - 1)
     )
     seen = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in ("t_lose", "t_tie", "t_win")), F.lit(0))
-    alpha = F.when((F.col("l_votes") < 2) | (seen < 2), F.lit(None).cast("double")).when(expected == 0, 1.0).otherwise(
+    alpha = F.when(F.col("l_votes").isNull() | (F.col("l_votes") < 2) | (seen < 2), F.lit(None).cast("double")).when(expected == 0, 1.0).otherwise(
         1.0 - observed / expected
     )
     return sums.select(*cell, alpha.alias("alpha"), "n_items")

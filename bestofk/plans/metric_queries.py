@@ -172,14 +172,14 @@ def procedure_sweep(spark, d):
     return rounded(wide, "u_circ", "u_bar", "r_hat", "ci_low", "ci_high")
 
 
-@query("cross_seed", S.with_(S.RESULTS) + """
-select model, dataset_id, round(avg(rvr), 12) as mean, round(stddev_samp(rvr), 12) as std, count(*) as n_seeds
-from (select model, dataset_id, seed, max_by(rvr, file_name) as rvr from results where hyp = 'h1' group by all) group by all""")
+@query("cross_seed", S.with_(S.UTILITY, S.PROMPT_GAP, "seeded as (select *, prompt_id // 6 % 3 as seed from prompt_gap)",
+                             S.bootstrap("seeded", "model, seed")) + """
+select model, round(avg(mean), 12) as mean, round(stddev_samp(mean), 12) as std, count(*) as n_seeds from boot_ci group by all""")
 def cross_seed(spark, d):
-    seeds = I.results(spark, d).where(F.col("hyp") == "h1").groupBy("model", "dataset_id", "seed").agg(
-        F.max_by("rvr", "file_name").alias("rvr")
-    )
-    return rounded(M.cross_seed(seeds, ["model", "dataset_id"], "rvr"), "mean", "std")
+    """Mean and spread over seeds of each seed's bootstrap mean."""
+    seeded = gaps(spark, d).withColumn("seed", F.floor(F.col("prompt_id") / 6) % 3)
+    means = R.bootstrap_ci(seeded, ["model", "seed"]).select("model", "seed", "mean")
+    return rounded(M.cross_seed(means, ["model"], "mean"), "mean", "std")
 
 
 @query("m_convergence", S.with_(S.UTILITY, S.PROMPT_GAP, f"""sized as (

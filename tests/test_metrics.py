@@ -190,6 +190,7 @@ def test_alpha(rows):
     assert alpha([(1, 1, 1), (0, 0, 0), (0.5, 0.5, 0.5)]) == pytest.approx(1.0)
     assert alpha([(1, 0), (0, 1)]) < 0
     assert alpha([(1,)]) is None and alpha([(1, 1), (1, 1)]) is None
+    assert alpha([(1, 0, 1), (0, 1)]) is None
 
 
 def test_position_bias_and_margin(rows):
