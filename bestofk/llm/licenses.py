@@ -82,28 +82,30 @@ def _idf(hits: DataFrame) -> list[float]:
     return [math.log((1 + total) / (1 + counts.get(i, 0))) for i in range(len(VOCABULARY))]
 
 
-def match_templates(hits: DataFrame, *, rare_words: int = 8, min_votes: int = 2, min_cover: float = 0.6) -> DataFrame:
+def match_templates(hits: DataFrame, *, rare_words: int = 2, min_cover: float = 0.6) -> DataFrame:
     """rid, label, cover for each template found in a text; ``hits`` has a row number rid.
 
     cover is the IDF share of the template's words that stand where they should, 1 for the whole notice.
     """
     spark = hits.sparkSession
     idf = _idf(hits)
-    postings = [(WORD_ID[w], t, p) for t, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split())]
-    index = spark.createDataFrame(postings, "w int, template int, place int")
+    keys = {t: (notice.split(), key.split()) for t, (_, notice, key) in enumerate(TEMPLATES)}
+    postings = []  # the rarest places of every key phrase: a notice cannot be found without them
+    for t, (notice, key) in keys.items():
+        first = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        rarest = sorted(range(first, first + len(key)), key=lambda p: (-idf[WORD_ID[notice[p]]], p))[:rare_words]
+        postings += [(WORD_ID[notice[p]], t, p, len(rarest)) for p in rarest]
+    index = spark.createDataFrame(postings, "w int, template int, place int, needed int")
     weight = F.get(F.array(*[F.lit(x) for x in idf]), F.col("w"))
-    by_rarity = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(
-        (-F.get(F.array(*[F.lit(x) for x in idf]), h["w"])).alias("minus_idf"), h["w"].alias("w")))))
-    rare = F.transform(F.slice(by_rarity, 1, rare_words), lambda x: x["w"])
+    rare = sorted({w for w, *_ in postings})
     looked_up = (
-        hits.where(F.size("hits") > 1).withColumn("rare", rare)
-        .select("rid", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["w"]))).alias("h")).select("rid", "h.w", "h.at")
+        hits.where(F.size("hits") > 1)
+        .select("rid", F.explode(F.filter("hits", lambda h: h["w"].isin(rare))).alias("h")).select("rid", "h.w", "h.at")
     )
     candidates = (
         looked_up.join(F.broadcast(index), "w").withColumn("start", F.col("at") - F.col("place"))
-        .groupBy("rid", "template", "start").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes).drop("votes")
+        .groupBy("rid", "template", "start", "needed").agg(F.count("*").alias("votes")).where("votes = needed").drop("votes", "needed")
     )
-    keys = {t: (notice.split(), key.split()) for t, (_, notice, key) in enumerate(TEMPLATES)}
     wanted = []
     for t, (notice, key) in keys.items():
         first = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)

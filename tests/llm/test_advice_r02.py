@@ -1,0 +1,45 @@
+"""Cases where operators once did less than the whole job."""
+
+from __future__ import annotations
+
+import random
+import re
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).parents[2]))
+
+from bestofk.llm import licenses
+
+
+def scan_templates(text, idf, min_cover=0.6):
+    """Labels and best cover by a look at every place of every template."""
+    words, labels, best = re.findall(r"[a-z0-9]+", text.lower()), set(), 0.0
+    for label, notice, key in licenses.TEMPLATES:
+        notice, key = notice.split(), key.split()
+        first = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        for k in range(len(words) - len(key) + 1):
+            if words[k : k + len(key)] == key:
+                weight = [idf[licenses.WORD_ID[w]] for w in notice]
+                there = sum(x for p, (w, x) in enumerate(zip(notice, weight)) if 0 <= k - first + p < len(words) and words[k - first + p] == w)
+                if (cover := min(1.0, there / max(sum(weight), 1e-9))) >= min_cover:
+                    labels, best = labels | {label}, max(best, cover)
+    return labels, best
+
+
+def test_op5_several_notices_and_long_prose(spark):
+    rng = random.Random(3)
+    notices = [n for _, n, _ in licenses.TEMPLATES]
+    prose = lambda n: " ".join(rng.choice([*licenses.VOCABULARY, *(f"x{i}" for i in range(200))]) for _ in range(n))
+    texts = [prose(30) for _ in range(40)] + [" text. ".join(notices), f"{notices[2]}. {notices[0]}", f"{notices[0]} {notices[4]}"]
+    texts += [f"{prose(3000)} {n} {prose(3000)}" for n in notices] + [f"{n} {prose(400)} {rng.choice(notices)}" for n in notices]
+    texts += ["apache license version 2 0", "the mit license " * 50, "cc by nc 4 0", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hits = licenses.find_hits(docs).cache()
+    idf = licenses._idf(hits)
+    hits.unpersist()
+    for r in licenses.scan(docs).collect():
+        labels, cover = scan_templates(texts[r.doc_id], idf)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base, r.doc_id
+        assert abs(r.score - max(cover, bool(base))) < 1e-9, r.doc_id
