@@ -2,9 +2,9 @@
 
 The first pass looks at each block alone: what stands in a menu, header, footer, sidebar, form, notice, advert or comment section is
 boilerplate, as is a block of links; long blocks with many stop words are text, and so is every longer block of an article element that is not
-made of links. Short blocks stay open. The second pass gives an open block the label of its nearest decided neighbours. In an article these
-are the article's own blocks: one with text, or with nothing decided, keeps its short blocks. Elsewhere they are the blocks on both sides; where those differ,
-stop words decide.
+made of links. Short blocks stay open. The second pass keeps the open blocks of an article, and gives one elsewhere the label of its nearest decided
+neighbours on both sides; where those differ, stop words decide. A page that has no text by these rules (short paragraphs, another language) is judged by
+length and links alone.
 
 Pages are independent, so this is one narrow step over batches of rows.
 
@@ -166,10 +166,6 @@ def classify(found: list[Block]) -> None:
         else:
             b.label = "other"
     labels = [b.label for b in found]
-    decided: dict[int, set[str]] = {b.article: set() for b in found}
-    for b in found:
-        if b.label in ("text", "other"):
-            decided[b.article].add(b.label)
     before, last = [], None
     for label in labels:
         before.append(last)
@@ -182,12 +178,27 @@ def classify(found: list[Block]) -> None:
     for i, b in enumerate(found):
         if labels[i] in ("text", "other"):
             continue
-        if b.article:
-            near = decided[b.article]
-            b.label = "text" if not near or "text" in near else "other"
+        if b.article:  # what is left of an article without adverts, share boxes and lists of links is its own
+            b.label = "text"
             continue
         sides = {before[i], after[i]} - {None}
         b.label = "text" if sides == {"text"} or (labels[i] == "likely" and "text" in sides) else "other"
+    if all(b.label == "other" for b in found):
+        _without_stops(found)
+
+
+def _without_stops(found: list[Block]) -> None:
+    """A page with no text by stop words: what stands between boilerplate is text if it is long enough together, all of it if nothing is."""
+    runs: list[list[Block]] = [[]]
+    for b in found:
+        if b.outside or b.linked > LINKS * len(b.text.replace(" ", "")):
+            runs.append([])
+        else:
+            runs[-1].append(b)
+    long = [run for run in runs if sum(len(b.text) for b in run) >= SHORT]
+    for run in long or runs:
+        for b in run:
+            b.label = "text"
 
 
 def main_text(page: str | None) -> str:

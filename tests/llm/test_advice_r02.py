@@ -9,7 +9,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
-from bestofk.llm import licenses
+from bestofk.llm import html, licenses
 
 
 def scan_templates(text, idf, min_cover=0.6):
@@ -43,3 +43,15 @@ def test_op5_several_notices_and_long_prose(spark):
         base = set(filter(None, r.base_labels.split(",")))
         assert set(filter(None, r.labels.split(","))) == labels | base, r.doc_id
         assert abs(r.score - max(cover, bool(base))) < 1e-9, r.doc_id
+
+
+def test_op8_short_articles_and_pages_without_stop_words():
+    for box in ('<div class="ad">Buy now</div>', '<aside>Aside</aside>', '<nav><a href=x>Up</a></nav>', '<form><input>Name</form>', '<ul><li><a href=x>Tag</a></ul>'):
+        page = f"<nav><a href=a>Home</a></nav><article><h1>Title</h1><p>One line.</p>{box}<p>Two lines.</p></article><footer>Foot</footer>"
+        assert html.main_text(page) == "Title\n\nOne line.\n\nTwo lines.", box
+    for paragraph in ("Short line.", "Talo seisoi kukkulalla lähellä jokea joka virtasi kohti merta koko pitkän kesän ajan hiljaa. " * 4):
+        page = f"<nav><a href=a>Home</a></nav><div>{'<p>' + paragraph.strip() + '</p>'}{'<p>' + paragraph.strip() + '</p>'}</div><ul><li><a href=b>Link</a></ul><footer>Foot</footer>"
+        assert html.main_text(page) == "\n\n".join([paragraph.strip()] * 2)
+    some = "<div><p>Label</p></div><nav><a href=a>Home</a></nav>" + "<p>Rivi tekstiä vain.</p>" * 9 + "<footer>Foot</footer>"
+    assert html.main_text(some) == "\n\n".join(["Rivi tekstiä vain."] * 9)
+    assert html.main_text("<nav><a href=a>Home</a></nav><footer>Foot</footer>") == ""
