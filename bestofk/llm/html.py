@@ -9,7 +9,7 @@ length and links alone.
 Pages are independent, so this is one narrow step over batches of rows.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as far as it makes sense (an article start ends an open menu, a
-comment or script that never ends takes the rest). Repeated rows are extracted each for itself. Extra columns are ignored.
+comment or script that never ends takes the rest); an article in an element that is hidden by a name like search-results only is inside again. Repeated rows are extracted each for itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,13 @@ MARKS = frozenset(
     "cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related recommended comment comments disqus "
     "reply replies responses respond footer masthead toolbar pagination pager widget login signup search copyright".split()
 )
+#: Of these, the ones that no main article stands in, also as a part of a longer name.
+CONTAINERS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent popup modal newsletter subscribe "
+    "related recommended comment comments disqus reply replies responses respond".split()
+)
+#: Names that say what a page has or lacks, like has-sidebar or no-comments; they mark nothing.
+STATE = re.compile(r"(?:has|no|not|with|without)[-_]")
 #: Function words of the four languages, English, German, French, Spanish.
 STOPS = frozenset(
     "the of and to in is a that it was for on with as by at from be are this an or not have he they his her "
@@ -62,20 +69,25 @@ class Block:
     label: str = ""
 
 
-def _is_marked(attributes: str) -> bool:
+def _mark(attributes: str) -> int:
+    """0: not marked; 1: by a longer name with a mark in it (search-results), which may go round a main article; 2: for certain."""
     if HIDDEN.search(attributes):
-        return True
+        return 2
+    found = 0
     for groups in CLASS.findall(attributes):
         value = "".join(groups).lower()
-        if value in ROLES or MARKS & set(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        if value in ROLES:
+            return 2
+        for name in value.split():
+            if not STATE.match(name) and (marks := MARKS & set(re.split(r"[^a-z]+", name))):
+                found = max(found, 2 if name in MARKS or marks & CONTAINERS else 1)
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, with what surrounds them."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool]] = []  # each with: does it put its content outside the article
+    open_tags: list[tuple[str, int, bool]] = []  # each with: does it put its content outside the article (below 0: inside again), for certain
     outside = articles = inside = links = 0
     current: Block | None = None
 
@@ -93,7 +105,7 @@ def blocks(page: str) -> list[Block]:
     def close(upto: int) -> None:
         nonlocal outside, inside, links
         while len(open_tags) > upto:
-            name, hides = open_tags.pop()
+            name, hides, _ = open_tags.pop()
             outside -= hides
             inside -= name in ("article", "main")
             links -= name == "a"
@@ -117,9 +129,10 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             put(" ")
         else:
-            if name in ("article", "main") and outside and not inside and not _is_marked(m[3]):
-                first = next(i for i, t in enumerate(open_tags) if t[1])
-                if open_tags[first][0] in UNCLOSED:
+            mark = _mark(m[3])
+            if name in ("article", "main") and outside and not inside and mark < 2:
+                first = next((i for i, t in enumerate(open_tags) if t[2]), None)
+                if first is not None and open_tags[first][0] in UNCLOSED:
                     close(first)
             if name in ("p", "li", "a", "option"):  # these never nest: a new one ends the last, and what is open in it
                 stop = {"li": ("ul", "ol")}.get(name, ("div", "article", "main", "section", "td", "body", "li") if name != "a" else BLOCKS)
@@ -130,10 +143,14 @@ def blocks(page: str) -> list[Block]:
                     if open_tags[i][0] in stop:
                         break
             if name not in VOID and not m[3].endswith("/"):
-                hides = name in SKIPPED and not (name == "header" and inside) or (name not in ("html", "body", "article", "main") and _is_marked(m[3]))
-                if name in ("article", "main") and _is_marked(m[3]) and inside:
-                    hides = True
-                open_tags.append((name, hides))
+                tag = name in SKIPPED and not (name == "header" and inside)
+                hides = int(tag or (mark > 0 and name not in ("html", "body", "article", "main")))
+                if name in ("article", "main"):
+                    if mark == 2 or any(t[0] == "article" for t in open_tags):
+                        hides = int(mark > 0 and inside > 0)
+                    elif outside and not any(t[2] for t in open_tags):
+                        hides = -outside  # only names like search-results hide it: inside again
+                open_tags.append((name, hides, hides > 0 and (tag or mark == 2)))
                 outside += hides
                 if name in ("article", "main"):
                     articles += not inside

@@ -55,3 +55,18 @@ def test_op8_short_articles_and_pages_without_stop_words():
     some = "<div><p>Label</p></div><nav><a href=a>Home</a></nav>" + "<p>Rivi tekstiä vain.</p>" * 9 + "<footer>Foot</footer>"
     assert html.main_text(some) == "\n\n".join(["Rivi tekstiä vain."] * 9)
     assert html.main_text("<nav><a href=a>Home</a></nav><footer>Foot</footer>") == ""
+
+
+def test_op8_wrappers_with_marks_in_their_names():
+    prose = "The house stood on the hill and it was not far from the river that ran to the sea. " * 4
+    for wrapper in ('class="has-sidebar"', 'id="page" class="no-comments"', 'class="search-results"', 'class="site with_menu layout-sidebar"'):
+        for article in ("<article>", "<main>", '<main class="site-main"><article class="post category-social">'):
+            page = f"<div {wrapper}><nav>Menu</nav>{article}<h1>Title</h1><p>{prose}</p><div class=ad>Buy</div></article></main><p>{prose}</p></div>"
+            assert html.main_text(page).startswith("Title\n\n" + prose.strip()) and "Menu" not in html.main_text(page) and "Buy" not in html.main_text(page), page
+    inner = f'<div class="search-results"><article><p>{prose}</p></article><p>After {prose}</p></div><p>{prose}</p>'
+    assert "After" not in html.main_text(inner) and html.main_text(inner).count("The house") == 8
+    assert html.main_text(f'<div class="has-sidebar"><p>{prose}</p></div>') == prose.strip()
+    for wrapper in ('class="comments"', 'id="comments-area"', 'class="related-posts"', 'class="promo-box"', 'class="sidebar"', "hidden", 'role="navigation"'):
+        for outer in ("", '<div class="search-results">'):
+            assert html.main_text(f"{outer}<div {wrapper}><article><p>{prose}</p></article></div>") == "", wrapper
+    assert html.main_text(f'<article><p>{prose}</p><div class="post-share"><article>Card</article></div></article>') == prose.strip()
