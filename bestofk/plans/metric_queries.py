@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bestofk.functions.joins import join_cells
+from bestofk.functions.registry import VOTE_SIZES
 from bestofk.operators import metrics as M
 from bestofk.operators import resample as R
 from bestofk.plans import inputs as I
@@ -130,26 +131,36 @@ def sc_vote(spark, d):
 SWEEP_CELL = ["procedure", "tau", "sc_n", "length", "stage"]
 SWEEP_SIZES, SWEEP_DRAWS = (2, 4, 8), 16
 SWEEP_LENGTHS = (16, 32, 64)
-SWEEP_SC = ",\n".join(sc_sql(n, SWEEP_DRAWS).replace("sc as (", f"sc{n} as (", 1) for n in SWEEP_SIZES)
 _GAP_SQL = "prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat"
 
 
-@query("procedure_sweep", S.with_(S.FORMS, KEYED_SQL, SWEEP_SC, f"""runs as (
+def sweep_sql(sizes, draws) -> str:
+    votes = ",\n".join(sc_sql(n, draws).replace("sc as (", f"sc{n} as (", 1) for n in sizes)
+    return S.with_(S.FORMS, KEYED_SQL, votes, f"""runs as (
   select 'direct' as procedure, t.tau::double as tau, null::int as sc_n, null::int as length, null::varchar as stage, prompt_id, u
   from keyed join (values (0.0, 64), (0.7, 2), (1.0, 1)) t(tau, step) on k % t.step = 0
   union all select 'budget', null, null, t.l, null, prompt_id, case when k < t.l then u else 0.0 end from keyed, (values (16), (32), (64)) t(l)
   union all select 'stage', null, null, null, case k % 3 when 0 then 'sft' when 1 then 'dpo' else 'rlvr' end, prompt_id, u from keyed
-  {" ".join(f"union all select 'sc', null, {n}, null, null, prompt_id, u from sc{n}" for n in SWEEP_SIZES)}),
+  {" ".join(f"union all select 'sc', null, {n}, null, null, prompt_id, u from sc{n}" for n in sizes)}),
 swept as (select procedure, tau, sc_n, length, stage, {_GAP_SQL} from runs group by all)""",
     S.bootstrap("swept", "procedure, tau, sc_n, length, stage")) + """
 select s.*, round(ci.ci_low, 12) as ci_low, round(ci.ci_high, 12) as ci_high
 from (select procedure, tau, sc_n, length, stage, round(avg(u_circ), 12) as u_circ, round(avg(u_bar), 12) as u_bar, round(avg(r_hat), 12) as r_hat,
              count(*) as m from swept group by all) s
 join boot_ci ci on ci.procedure = s.procedure and ci.tau is not distinct from s.tau and ci.sc_n is not distinct from s.sc_n
-  and ci.length is not distinct from s.length and ci.stage is not distinct from s.stage""")
-def procedure_sweep(spark, d):
+  and ci.length is not distinct from s.length and ci.stage is not distinct from s.stage"""
+
+
+@query("procedure_sweep_full", sweep_sql(VOTE_SIZES, I.K_TEXTS))
+def procedure_sweep_full(spark, d):
+    """The sweep with as many self-consistency draws per prompt as direct samples, at every size of the study, so that the cells compare."""
+    return procedure_sweep(spark, d, VOTE_SIZES, I.K_TEXTS)
+
+
+@query("procedure_sweep", sweep_sql(SWEEP_SIZES, SWEEP_DRAWS))
+def procedure_sweep(spark, d, sizes=SWEEP_SIZES, draws=SWEEP_DRAWS):
     """Direct sampling at three temperatures (greedy is one sample, so without a gap), reasoning budgets, training stages and
-    self-consistency at three sizes, in one job; the settings that a procedure does not have are null."""
+    self-consistency at ``sizes``, in one job; the settings that a procedure does not have are null."""
     keyed = materialise(numeric_keyed(spark, d), "keyed")
     kinds = {"tau": "double", "sc_n": "int", "length": "int", "stage": "string"}
 
@@ -163,8 +174,8 @@ def procedure_sweep(spark, d):
     cells += [run("budget", F.when(k < length, u).otherwise(0.0), length=length) for length in SWEEP_LENGTHS]
     cells.append(run("stage", u, stage=stage))
     runs = keyed.select("prompt_id", F.inline(F.array_compact(F.array(*cells))))
-    for n in SWEEP_SIZES:
-        votes = R.sc_vote(keyed, n=n, n_draws=SWEEP_DRAWS, k_max=I.K_TEXTS)
+    for n in sizes:
+        votes = R.sc_vote(keyed, n=n, n_draws=draws, k_max=I.K_TEXTS)
         runs = runs.unionByName(votes.select("prompt_id", F.inline(F.array(run("sc", u, sc_n=n)))))
     per_prompt = materialise(M.prompt_gap(runs, SWEEP_CELL), "sweep")
     ci = R.bootstrap_ci(per_prompt, SWEEP_CELL).select(*SWEEP_CELL, "ci_low", "ci_high")

@@ -1,0 +1,14 @@
+"""Cases where queries once did less than the whole job."""
+
+from __future__ import annotations
+
+import __spark_entry__ as entry
+from bestofk.functions.registry import VOTE_SIZES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_full_sweep_has_every_size_and_draw(spark):
+    part, full = ({r.sc_n: r for r in entry.queries()[name](spark, SF_DIR).where("procedure = 'sc'").collect()} for name in ("procedure_sweep", "procedure_sweep_full"))
+    assert set(full) == set(VOTE_SIZES)
+    assert all(full[n].u_circ >= part[n].u_circ for n in part) and any(full[n].u_circ > part[n].u_circ for n in part)
