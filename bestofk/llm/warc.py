@@ -30,9 +30,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, payload binary, payload_bytes bigint, head string"
 
 
-def record_id(kind: str, page_id: Column) -> Column:
-    """A urn:uuid made from the page id, so that a repeated task writes the same record."""
-    h = F.md5(F.concat(F.lit(kind + "|"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def record_id(kind: str, page_id: Column, digest: Column) -> Column:
+    """A urn:uuid made from the page id and the payload's digest, so that a repeated task writes the same record and no two payloads share one."""
+    h = F.md5(F.concat(F.lit(kind + "|"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit("|"), digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -66,8 +66,8 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
     """Writes ``pages`` (page_id, url, html) as gzip WARC files under ``path``."""
     rows = with_first(pages)
     pid, uri = F.col("page_id"), F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    response, first = record_id("response", pid), record_id("response", F.col("first_id"))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
+    response, first = record_id("response", pid, digest), record_id("response", F.col("first_id"), digest)
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", uri)]
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     answer = F.when(F.col("first_id").isNull(), _record(
@@ -79,11 +79,11 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
         http,
     ))
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", pid)), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", record_id("request", pid, digest)), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}")),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", pid)), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id("metadata", pid, digest)), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("page-id: "), F.coalesce(pid.cast("string"), F.lit("")), F.lit(CRLF)),
     )
     (

@@ -9,7 +9,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
-from bestofk.llm import html, licenses
+from bestofk.llm import html, licenses, warc
 
 
 def scan_templates(text, idf, min_cover=0.6):
@@ -70,3 +70,13 @@ def test_op8_wrappers_with_marks_in_their_names():
         for outer in ("", '<div class="search-results">'):
             assert html.main_text(f"{outer}<div {wrapper}><article><p>{prose}</p></article></div>") == "", wrapper
     assert html.main_text(f'<article><p>{prose}</p><div class="post-share"><article>Card</article></div></article>') == prose.strip()
+
+
+def test_op2_one_page_id_with_several_payloads(spark, tmp_path):
+    rows = [(1, "u", "a" * 120), (1, "u", "b" * 340), (2, "v", "a" * 120), (3, "w", "b" * 340), (None, "x", "c" * 150), (None, "x", "d" * 160)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    got = warc.with_full_payload(warc.assemble(warc.read_records(spark, str(tmp_path / "w")))).collect()
+    assert sorted((str(r.page_id), r.kind, r.full_bytes, r.refers_page) for r in got) == [
+        ("1", "response", 120, None), ("1", "response", 340, None), ("2", "revisit", 120, 1), ("3", "revisit", 340, 1),
+        ("None", "response", 150, None), ("None", "response", 160, None)]
+    assert len({r.record_id for r in got}) == len(rows)
