@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bestofk.llm import decontamination, html, licenses, mixing, neardup, quality, sharding, substrings, toxicity, warc
+from bestofk.llm import bpe, decontamination, hardneg, html, lexical, licenses, mixing, neardup, quality, sharding, substrings, toxicity, warc
 from bestofk.llm.common import table
 from bestofk.session import shared_dir
 
@@ -132,3 +132,60 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+# All pairs of anchors and rows.
+OP12_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vec, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings
+  where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: x[1] * x[2]))::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.other_id as positive_id, row_number() over (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id)::int as rank,
+       n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5
+"""
+
+
+@query("op12_one_bit_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(vectors.withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+SQL_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+# Every posting of every item term.
+OP13_SQL = f"""
+with d as (select doc_id, {SQL_TERMS} as terms from documents where text is not null),
+sized as (select doc_id, terms, len(terms)::bigint as n from d where len(terms) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from sized),
+asked as (select item_id, term, count(*)::bigint as times from (select item_id, unnest({SQL_TERMS}) as term from benchmark) group by all),
+postings as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, n, unnest(terms) as term from sized)
+             where term in (select term from asked) group by all),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from postings, whole group by term, docs),
+gains as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) as gain
+          from postings join weights using (term), whole),
+scored as (select item_id, doc_id, sum(times * gain)::bigint as score from asked join gains using (term) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20
+"""
+
+
+@query("op13_nra_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
