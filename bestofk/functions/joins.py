@@ -15,7 +15,7 @@ def join_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     A key that does not apply to a hypothesis (stage, tau, length) is null by design.
     """
     if not keys:
-        return left.join(right, [], how)
+        return left.join(right, F.lit(True), how)  # one cell: a single row on the right
     twin = {k: f"__right_{k}" for k in keys}
     renamed = right.withColumnsRenamed(twin)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(t)) for k, t in twin.items()])

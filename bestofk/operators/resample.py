@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from fractions import Fraction
+from hashlib import md5
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,17 @@ def check_bootstrap(n_resamples: int, confidence: float) -> None:
         raise ValueError(f"confidence must be in (0, 1), got {confidence}")
 
 
-# A Poisson(1) weight is the number of these bounds that a 32-bit draw reaches: cumulative masses times 2 ** 32.
-WEIGHT_BOUNDS = tuple(
-    math.ceil(2.0**32 * math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(n + 1)) - 0.5) for n in range(12)
-)
-#: Draws that one md5 gives.
-DRAWS_PER_HASH = 4
+#: Standard deviations on either side of 1 between which the clock of a resample should stop; some three in a thousand do not and are replaced.
+CLOCK_WIDTH = 3.0
+
+
+def n_attempts(n_resamples: int) -> int:
+    """Resamples to start so that, beyond any doubt, enough stop in time: 3 % more, and 16."""
+    return n_resamples + n_resamples // 32 + 16
+
+
+#: Distinct values of a cell that one task splits a resample over.
+VALUES_PER_NODE = 1024
 
 
 def _interval(means: DataFrame, cell: Sequence[str], n_resamples: int, confidence: float) -> DataFrame:
@@ -42,30 +49,90 @@ def _interval(means: DataFrame, cell: Sequence[str], n_resamples: int, confidenc
     ).withColumns({"confidence": F.lit(confidence), "n_resamples": F.lit(n_resamples)})
 
 
+def mass_bounds(rate: float) -> np.ndarray:
+    """Cumulative masses of Poisson(rate) times 2 ** 32, as far as a 32-bit draw tells them apart: a draw counts the bounds it reaches."""
+    bounds, term, mass = [], math.exp(-rate), math.exp(-rate)
+    while (bound := math.ceil(mass * 2.0**32 - 0.5)) < 2**32 and len(bounds) < 200:
+        bounds.append(bound)
+        term *= rate / len(bounds)
+        mass += term
+    return np.array(bounds, np.int64)
+
+
+def window(m: int) -> tuple[float, float]:
+    """Where the clocks of a cell of ``m`` prompts are counted up to, and where they end."""
+    return max(0.0, 1 - CLOCK_WIDTH / math.sqrt(m)), (m + CLOCK_WIDTH * math.sqrt(m) + 5) / m
+
+
+def _strokes(keys: Sequence[str], n: int, seed: int):
+    """Per batch of prompts: the counted strokes of each (cell, resample), added up, and every stroke of the window."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, rows in batch.groupby("cell_hash", sort=False):
+                m = int(rows["m"].iat[0])
+                start, end = window(m)
+                early, late = mass_bounds(start), mass_bounds(end - start)
+                counts, sums, single = np.zeros(n, np.int64), np.zeros(n), []
+                for place, (name, v) in enumerate(zip(rows["name"], rows["v"])):
+                    digests = b"".join([md5(f"{seed}|{h}|{name}".encode()).digest() for h in range(-(-n // 2))])
+                    draws = np.frombuffer(digests, ">u4").reshape(-1, 2)[:n]
+                    before = np.searchsorted(early, draws[:, 0], "right")
+                    counts += before
+                    sums += before * v
+                    after = np.searchsorted(late, draws[:, 1], "right")
+                    for b in np.flatnonzero(after).tolist():
+                        for nth in range(1, int(after[b]) + 1):
+                            at = int.from_bytes(md5(f"{seed}|{b}|{name}|{nth}".encode()).digest()[:4], "big")
+                            single.append((b, at, nth, place))
+                b, at, nth, place = np.array(single, np.int64).reshape(-1, 4).T
+                taken = rows.iloc[np.concatenate([np.zeros(n, np.int64), place])]
+                yield taken[[*keys, "prompt_id", "m"]].assign(
+                    b=np.concatenate([np.arange(n), b]), at=np.concatenate([np.full(n, -1), at]), nth=np.concatenate([np.zeros(n, np.int64), nth]),
+                    w=np.concatenate([counts, np.ones(len(b), np.int64)]), total=np.concatenate([sums, rows["v"].to_numpy()[place]]),
+                )
+
+    return run
+
+
+def resample_draws(per_prompt: DataFrame, cell: Sequence[str], value: str, n_resamples: int, seed: int) -> DataFrame:
+    """(cell..., prompt_id, m, b, at, nth, w, total): how often prompts were drawn, and the sum of their values, by time.
+
+    Every prompt of a cell has a Poisson clock per resample; of clocks at one rate each stroke is a uniform draw of a prompt, so the first M
+    strokes of the cell are a resample of exactly M draws with replacement. Strokes before 1 - 3 / sqrt(M) are only
+    counted, at time -1, a row per task; the few in the window up to the end come one by one, with their time.
+    The clocks are hashes of (seed, resample, prompt): the work is row-local and what is shuffled per resample is the counts of the tasks and some
+    6 sqrt(M) strokes.
+    """
+    keys = list(cell)
+    known = per_prompt.select(*keys, "prompt_id", F.col(value).cast("double").alias("v")).where("v is not null")
+    timed = join_cells(known, known.groupBy(*keys).agg(F.count("*").alias("m")), keys).withColumns(
+        {"cell_hash": F.xxhash64(F.lit(0), *keys), "name": F.col("prompt_id").cast("string")})
+    out = T.StructType([timed.schema[c] for c in (*keys, "prompt_id", "m")] + list(T.StructType.fromDDL("b bigint, at bigint, nth bigint, w bigint, total double")))
+    return spread(timed).mapInPandas(_strokes(keys, n_attempts(n_resamples), seed), out)
+
+
 def bootstrap_means(
     per_prompt: DataFrame, cell: Sequence[str] = (), value: str = "r_hat", n_resamples: int = 1000, seed: int = 0
 ) -> DataFrame:
-    """Means of B resamples of a cell's prompts, one row per resample, for values of any kind.
+    """Means of B resamples of a cell's prompts, one row per resample with its weight sum ``n_drawn``, for values of any kind.
 
-    A prompt counts Poisson(1) times in a resample, independently of the others: the weight is a hash of (seed, resample, prompt), so
-    the work is row-local, prompts never move and only partial sums are shuffled. The size of a
-    resample varies around M, which the mean divides out; a resample without any prompt has no mean.
+    A resample has exactly M draws with replacement (see ``resample_draws``). What is drawn does not depend on when, so a resample whose clock
+    stops outside the window is replaced by the next one. Rows with a null value do not count.
     """
     if n_resamples < 1:
         raise ValueError(f"n_resamples must be >= 1, got {n_resamples}")
-    n_hashes = -(-n_resamples // DRAWS_PER_HASH)
-    hashed = (
-        spread(per_prompt.select(*cell, "prompt_id", F.col(value).alias("v")))
-        .withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_hashes - 1))))
-        .withColumn("md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("h"), F.col("prompt_id").cast("string"))))
-    )
-    draws = F.array(*[
-        F.struct((F.col("h") * DRAWS_PER_HASH + i).alias("b"), F.conv(F.substring("md5", 1 + 8 * i, 8), 16, 10).cast("bigint").alias("draw"))
-        for i in range(DRAWS_PER_HASH)
-    ])
-    weight = sum(((F.col("draw") >= bound).cast("int") for bound in WEIGHT_BOUNDS), F.lit(0))
-    weighted = hashed.select(*cell, "v", F.inline(draws)).where(F.col("b") < n_resamples).withColumn("w", weight)
-    return weighted.groupBy(*cell, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("resample_mean"))
+    keys = [*cell, "b"]
+    strokes = resample_draws(per_prompt, cell, value, n_resamples, seed)
+    so_far = Window.partitionBy(*keys).orderBy("at", "prompt_id", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = strokes.withColumn("so_far", F.sum("w").over(so_far))
+    within = F.col("so_far") <= F.col("m")
+    means = timed.groupBy(*keys).agg(
+        F.sum(F.when(within, F.col("w"))).alias("n_drawn"), F.max("m").alias("m"), F.sum(F.when(within, F.col("total"))).alias("total"),
+        F.sum(F.when(F.col("at") < 0, F.col("w"))).alias("counted"),
+    ).where("n_drawn = m and counted <= m")
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy("b")) - 1
+    return means.select(*cell, nth.alias("b"), "n_drawn", (F.col("total") / F.col("m")).alias("resample_mean")).where(F.col("b") < n_resamples)
 
 
 def bootstrap_ci(
@@ -82,25 +149,60 @@ def bootstrap_ci(
     return _interval(means, cell, n_resamples, confidence)
 
 
-def _weighted_sums(cell: Sequence[str], n_resamples: int, seed: int):
-    """Per batch of (cell..., cell_hash, v, n) rows: sums of drawn weights and of weights times values, for each resample.
+def _generator(seed: int, cell_hash: int, node: int) -> np.random.Generator:
+    return np.random.default_rng([seed, cell_hash, node])
 
-    The n prompts with one value together weigh Poisson(n). The generator starts from (seed, cell, value), so a retried task
-    repeats its draws whatever batch the row is in.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, rows in batch.groupby("cell_hash", sort=False):
-                total, weights = np.zeros(n_resamples), np.zeros(n_resamples)
-                for v, n in zip(rows["v"].to_numpy(float), rows["n"]):
-                    drawn = np.random.default_rng([seed, int(rows["cell_hash"].iat[0]), int(np.float64(v).view(np.uint64))]).poisson(n, n_resamples)
-                    total += drawn * v
-                    weights += drawn
-                keys = rows.iloc[[0] * n_resamples][list(cell)].reset_index(drop=True)
-                yield keys.assign(b=np.arange(n_resamples, dtype=np.int32), total=total, weights=weights)
+def _split(drawn: np.ndarray, sizes: Sequence[int], rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Deals each resample's draws to parts in turn, by the binomial that remains: together a multinomial."""
+    rest, left = sum(sizes), drawn
+    for size in sizes:
+        taken = rng.binomial(left, size / rest) if size < rest else left
+        yield taken
+        left, rest = left - taken, rest - size
 
-    return run
+
+def bootstrap_means_scaled(
+    per_prompt: DataFrame, cell: Sequence[str] = (), value: str = "r_hat", n_resamples: int = 1000, seed: int = 0
+) -> DataFrame:
+    """Means of B resamples of exactly M draws, one row per resample with its weight sum ``n_drawn``, by the distinct values of a cell.
+
+    A cell's distinct values are the leaves of a tree of hashed nodes. A cell splits the M draws of each resample between its nodes and a node
+    between its values, in proportion to the prompts they hold, each from a generator of its own, so a retried task repeats its draws.
+    """
+    keys = list(cell)
+    counts = per_prompt.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    distinct = counts.groupBy(*keys).agg(F.ceil(F.count("*") / VALUES_PER_NODE).alias("nodes"))
+    counts = join_cells(counts, distinct, keys).withColumns({
+        "cell_hash": F.xxhash64(F.lit(0), *keys).bitwiseAND(F.lit((1 << 62) - 1)),
+        "node": F.pmod(F.xxhash64("v"), F.col("nodes")),
+    })
+    key_fields = [counts.schema[k] for k in keys]
+    dealt = T.StructType([*key_fields, T.StructField("cell_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("drawn", T.BinaryType())])
+    means = T.StructType([
+        *key_fields, T.StructField("b", T.IntegerType()), T.StructField("n_drawn", T.LongType()), T.StructField("total", T.DoubleType())])
+
+    def to_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        rng = _generator(seed, int(rows["cell_hash"].iat[0]), 0)
+        whole = np.full(n_resamples, rows["n"].sum(), np.int64)
+        return rows[[*keys, "cell_hash", "node"]].assign(drawn=[d.tobytes() for d in _split(whole, rows["n"].tolist(), rng)])
+
+    def to_values(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v")
+        rng = _generator(seed, int(rows["cell_hash"].iat[0]), 1 + int(rows["node"].iat[0]))
+        drawn = np.frombuffer(nodes["drawn"].iat[0], np.int64)
+        total = np.zeros(n_resamples)
+        for v, taken in zip(rows["v"], _split(drawn, rows["n"].tolist(), rng)):
+            total += v * taken
+        out = rows.iloc[[0] * n_resamples][keys].reset_index(drop=True)
+        return out.assign(b=np.arange(n_resamples, dtype=np.int32), n_drawn=drawn, total=total)
+
+    per_node = counts.groupBy(*keys, "cell_hash", "node").agg(F.sum("n").alias("n"))
+    nodes = per_node.groupBy("cell_hash").applyInPandas(to_nodes, dealt)
+    sums = counts.groupBy("cell_hash", "node").cogroup(nodes.groupBy("cell_hash", "node")).applyInPandas(to_values, means)
+    return sums.groupBy(*keys, "b").agg(
+        F.sum("n_drawn").alias("n_drawn"), (F.sum("total") / F.sum("n_drawn")).alias("resample_mean"))
 
 
 def bootstrap_ci_scaled(
@@ -111,21 +213,10 @@ def bootstrap_ci_scaled(
     confidence: float = 0.95,
     seed: int = 0,
 ) -> DataFrame:
-    """The same interval with work that follows the distinct values of a cell, not its prompts.
-
-    After one counting aggregate a value that n prompts share is one row, weighted by Poisson(n) per resample. A task adds
-    up its rows, so what is shuffled is B sums per cell and task; values that are all different (continuous utilities) are as many rows as prompts.
-    """
+    """The same interval with work that follows the distinct values of a cell, not its prompts."""
     check_bootstrap(n_resamples, confidence)
-    keys = list(cell)
-    counts = per_prompt.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
-    counts = counts.withColumn("cell_hash", F.xxhash64(F.lit(0), *keys).bitwiseAND(F.lit((1 << 62) - 1)))
-    out = T.StructType([counts.schema[k] for k in keys] + [
-        T.StructField("b", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("weights", T.DoubleType())
-    ])
-    sums = counts.mapInPandas(_weighted_sums(keys, n_resamples, seed), out)
-    means = sums.groupBy(*keys, "b").agg((F.sum("total") / F.nullif(F.sum("weights"), F.lit(0.0))).alias("resample_mean"))
-    return _interval(means, keys, n_resamples, confidence)
+    means = bootstrap_means_scaled(per_prompt, cell, value, n_resamples, seed)
+    return _interval(means, list(cell), n_resamples, confidence)
 
 
 def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -200,74 +291,82 @@ def m_convergence(
     return ci.select(*keys, "m_sub", half.alias("half_width"), (half * F.sqrt(F.col("m_sub"))).alias("scaled_half_width"))
 
 
-def _voted(votes: Column, picks: Sequence[Column], n_votes: int) -> Column:
-    """Utility by the majority of the picked votes of a row."""
-    from bestofk.operators.judge import majority
+def outcome_chances(n_win: int, n_lose: int, n_votes: int, size: int) -> tuple[Fraction, Fraction]:
+    """Chances that ``size`` votes drawn from n_win, n_lose and other votes make a win, and a loss.
+
+    Without replacement up to the recorded number, with replacement beyond. An even split of wins
+    and losses reaches both thresholds and is a win, so its chance is taken out of the losses.
+    """
+    needed = (size + 1) // 2
+    if size <= n_votes:
+        ways = lambda n: sum(comb(n, i) * comb(n_votes - n, size - i) for i in range(needed, size + 1))
+        split, all_ways = comb(n_win, needed) * comb(n_lose, needed), comb(n_votes, size)
+    else:
+        ways = lambda n: sum(comb(size, i) * n**i * (n_votes - n) ** (size - i) for i in range(needed, size + 1))
+        split, all_ways = comb(size, needed) * (n_win * n_lose) ** needed, n_votes**size
+    return Fraction(ways(n_win), all_ways), Fraction(ways(n_lose) - (0 if size % 2 else split), all_ways)
+
 
-    tally = lambda kind: sum((F.coalesce(F.get(votes, p) == kind, F.lit(False)).cast("int") for p in picks), F.lit(0))
-    return majority(tally(1.0), tally(0.0), n_votes)
+def _limit(chance: Fraction) -> str:
+    """Six hexadecimal digits, which compare like the number they are; a certain outcome is beyond all of them."""
+    reach = round(chance * 2**24)
+    return "g" if reach >= 2**24 else f"{reach:06x}"
 
 
 def l_sensitivity(
-    items: DataFrame,
-    vote_columns: Sequence[str],
+    tallies: DataFrame,
     l_grid: Sequence[int] = (1, 3, 5, 7, 9),
     n_resamples: int = 200,
     cell: Sequence[str] = (),
     seed: int = 0,
+    expected: str | None = None,
 ) -> DataFrame:
-    """Gap and its spread when each sample's utility is voted from L' judge calls.
+    """Gap and its spread when each sample's utility is voted from L' of its judge calls.
 
-    ``items`` has one row per (cell..., prompt_id, k) with its L recorded votes side by side. Up to L, a draw is one of the subsets
-    of that size, whose outcomes are worked out once per item; beyond, it is a sequence drawn with replacement, the digits of one number. Either takes 32 bits of a
-    hash of (seed, prompt, sample, resample), four sizes per hash. A cell with gaps in its (prompt, k) grid gets nulls.
+    ``tallies`` has one row per (cell..., prompt_id, k) with n_win, n_lose and n_votes; samples may have different numbers of votes.
+    The majority depends on the tallies alone, so each (tally, L') gets the chances of its three outcomes once, and a trial is 24 bits of a hash of
+    (seed, sample, resample) against them, five sizes per hash.
+
+    A cell is complete if every prompt has the samples 0 to n - 1, each once and with votes; n is the prompt's own number, ``expected`` where that column
+    is given, else its highest k + 1. Prompts may differ in n. A cell with a hole gets nulls.
     """
-    recorded, drawn = len(vote_columns), [n for n in l_grid if n != len(vote_columns)]
-    if any(recorded**n > 2**32 for n in drawn if n > recorded):
-        raise ValueError("too many votes for a 32-bit draw")
-    items = items.select(*cell, "prompt_id", "k", F.array(*vote_columns).alias("votes"))
-    subsets = {n: list(combinations(range(recorded), n)) for n in l_grid if n <= recorded}
-    items = items.withColumns({
-        f"of_{n}": F.array(*[_voted(F.col("votes"), [F.lit(i) for i in picks], n) for picks in found]) for n, found in subsets.items()
-    })
-    trials = spread(items, *cell, "prompt_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    n_hashes = -(-len(drawn) // DRAWS_PER_HASH)
+    if not l_grid or min(l_grid) < 1:
+        raise ValueError(f"numbers of votes must be >= 1, got {list(l_grid)}")
+    sizes = [int(n) for n in l_grid]
+    kinds = tallies.where("n_votes > 0").select(*(F.col(c).cast("bigint").alias(c) for c in ("n_win", "n_lose", "n_votes"))).distinct()
+    limits = [f"{kind}_{n}" for n in sizes for kind in ("win", "decided")]
+
+    def with_limits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for tally in frame.itertuples(index=False):
+                chances = [outcome_chances(*tally, n) for n in sizes]
+                rows.append((*tally, *[_limit(c) for win, lose in chances for c in (win, win + lose)]))
+            yield pd.DataFrame(rows, columns=[*frame.columns, *limits])
+
+    kinds = kinds.mapInPandas(with_limits, T.StructType([*kinds.schema.fields, *[T.StructField(c, T.StringType()) for c in limits]]))
+    voted = tallies.select(*cell, "prompt_id", "k", "n_win", "n_lose", "n_votes").join(kinds, ["n_win", "n_lose", "n_votes"], "left")
+    trials = spread(voted, *cell, "prompt_id").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
     trials = trials.withColumns({
-        f"md5_{i}": F.md5(F.concat_ws("|", F.lit(seed), F.lit(i), *[F.col(c).cast("string") for c in ("prompt_id", "k", "b")])) for i in range(n_hashes)
+        f"md5_{i}": F.md5(F.concat_ws("|", F.lit(seed), F.lit(i), *[F.col(c).cast("string") for c in ("prompt_id", "k", "b")]))
+        for i in range(-(-len(sizes) // 5))
     })
-
-    def draw(n_votes: int) -> Column:
-        i, part = divmod(drawn.index(n_votes), DRAWS_PER_HASH)
-        return F.conv(F.substring(f"md5_{i}", 1 + 8 * part, 8), 16, 10).cast("bigint")
-
-    trials = trials.withColumns({f"draw_{n}": draw(n) for n in drawn})
-    digit = lambda n, t: (F.floor(F.col(f"draw_{n}") / recorded**t) % recorded).cast("int")
-    utilities = {}
-    for n in l_grid:
-        if n == recorded:
-            u = F.get(f"of_{n}", F.lit(0))
-        elif n < recorded:
-            u = F.get(f"of_{n}", (F.col(f"draw_{n}") % len(subsets[n])).cast("int"))
-        else:
-            u = _voted(F.col("votes"), [digit(n, t) for t in range(n)], n)
-        utilities[f"u_{n}"] = u
-    scored = trials.select(*cell, "prompt_id", "b", "k", *[u.alias(name) for name, u in utilities.items()])
-    per_prompt = scored.groupBy(*cell, "prompt_id", "b").agg(
-        *[(F.max(name) - F.avg(name)).alias(name) for name in utilities],
-        F.count("*").alias("n_k"),
-        (F.max("k") + 1).alias("k_max"),
-    )
-    per_trial = per_prompt.groupBy(*cell, "b").agg(
-        *[F.avg(name).alias(name) for name in utilities], F.min("n_k").alias("n_k"), F.max("k_max").alias("k_max")
-    )
+    drawn = {n: F.substring(f"md5_{place // 5}", 1 + 6 * (place % 5), 6) for place, n in enumerate(sizes)}
+    scored = trials.select(*cell, "prompt_id", "b", *[
+        F.when(draw < F.col(f"win_{n}"), 1.0).when(draw < F.col(f"decided_{n}"), 0.0).when(F.col(f"win_{n}").isNotNull(), 0.5).alias(f"u_{n}")
+        for n, draw in drawn.items()
+    ])
+    per_prompt = scored.groupBy(*cell, "prompt_id", "b").agg(*[(F.max(f"u_{n}") - F.avg(f"u_{n}")).alias(f"u_{n}") for n in sizes])
+    per_trial = per_prompt.groupBy(*cell, "b").agg(*[F.avg(f"u_{n}").alias(f"u_{n}") for n in sizes])
+    own = F.max(expected) if expected else F.max("k") + 1
+    whole = (F.count("*") == own) & (F.count_distinct("k") == own) & (F.min("k") == 0) & (F.max("k") == own - 1) & F.bool_and(F.col("n_votes") > 0)
+    complete = tallies.groupBy(*cell, "prompt_id").agg(F.coalesce(whole, F.lit(False)).alias("whole")).groupBy(*cell).agg(F.bool_and("whole").alias("whole"))
     wide = per_trial.groupBy(*cell).agg(
-        *[F.avg(f"u_{n}").alias(f"mean_{n}") for n in l_grid],
-        *[F.stddev_pop(f"u_{n}").alias(f"std_{n}") for n in l_grid],
-        (F.min("n_k") == F.max("k_max")).alias("complete"),
+        *[F.avg(f"u_{n}").alias(f"mean_{n}") for n in sizes],
+        *[F.stddev_pop(f"u_{n}").alias(f"std_{n}") for n in sizes],
     )
-    known = lambda name: F.when(F.col("complete"), F.col(name))
+    known = lambda name: F.when(F.col("whole"), F.col(name))
     points = F.array(*[
-        F.struct(F.lit(n).alias("l_votes"), known(f"mean_{n}").alias("r_hat"), known(f"std_{n}").alias("r_hat_std"))
-        for n in l_grid
+        F.struct(F.lit(n).alias("l_votes"), known(f"mean_{n}").alias("r_hat"), known(f"std_{n}").alias("r_hat_std")) for n in sizes
     ])
-    return wide.select(*cell, F.inline(points))
+    return join_cells(wide, complete, cell).select(*cell, F.inline(points))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -376,33 +375,40 @@ def krippendorff_alpha(spark, d):
 
 
 def _l_trials() -> str:
-    """Votes drawn per (item, resample, L'): a subset of the five up to 5, a sequence with replacement beyond."""
-    part = lambda i: f"cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint)"
-    subsets = lambda n: str([list(c) for c in combinations(range(5), n)])
-    picks = {1: f"{subsets(1)}[{part(0)} % 5 + 1]", 3: f"{subsets(3)}[{part(1)} % 10 + 1]", 5: "[0, 1, 2, 3, 4]"}
-    picks |= {n: f"list_transform(range({n}), lambda t: ({part(i)} // cast(pow(5, t) as bigint)) % 5)" for n, i in ((7, 2), (9, 3))}
-    rows = " union all ".join(f"select model, prompt_id, k, b, {n} as l_votes, list_transform({p}, lambda i: v[i + 1]) as drawn from hashed" for n, p in picks.items())
-    return f"""hashed as (
-  select *, md5(concat_ws('|', 0, 0, prompt_id, k, b)) as h
-  from (select model, prompt_id, k, list(vote order by l) as v from votes group by all), (select range as b from range(200))),
-trials as ({rows}),
-complete as (select model from (select model, prompt_id, count(distinct k) as n, max(k) + 1 as m from votes group by all)
-  group by model having min(n) = max(m))"""
-
-
-@query("l_sensitivity", S.with_(S.CALLS, S.VOTES, _l_trials()) + """
-select model, l_votes, case when model in (select model from complete) then round(avg(r), 12) end as r_hat,
-       case when model in (select model from complete) then round(stddev_pop(r), 12) end as r_hat_std from (
+    """Chances of the three outcomes per tally and L', summed over every possible composition of the drawn votes, and one draw per trial."""
+    choose = lambda n, k: f"case when {k} > {n} then 0 else gamma({n} + 1) / gamma({k} + 1) / gamma({n} - {k} + 1) end"
+    part = lambda i: f"cast('0x' || substr(md5(concat_ws('|', 0, {i // 5}, prompt_id, k, b)), {1 + 6 * (i % 5)}, 6) as bigint)"
+    draw = " ".join(f"when {n} then {part(i)}" for i, n in enumerate((1, 3, 5, 7, 9)))
+    return f"""tallies as (select model, prompt_id, k, n_win, n_lose, n_tie, n_votes from counts),
+drawn as (
+  select t.*, s.l_votes, w.i as w, l.i as l, s.l_votes - w.i - l.i as e
+  from (select distinct n_win, n_lose, n_tie, n_votes from tallies) t, (values (1), (3), (5), (7), (9)) s(l_votes), range(10) w(i), range(10) l(i)
+  where w.i + l.i <= s.l_votes),
+weighed as (
+  select *, case when l_votes <= n_votes
+      then ({choose("n_win", "w")}) * ({choose("n_lose", "l")}) * ({choose("n_tie", "e")}) / ({choose("n_votes", "l_votes")})
+      else gamma(l_votes + 1) / gamma(w + 1) / gamma(l + 1) / gamma(e + 1)
+        * pow(n_win / n_votes, w) * pow(n_lose / n_votes, l) * pow(n_tie / n_votes, e) end as p
+  from drawn),
+chances as (
+  select n_win, n_lose, n_tie, l_votes, round(sum(case when w >= (l_votes + 1) // 2 then p else 0 end) * 16777216) as win,
+         round(sum(case when w >= (l_votes + 1) // 2 or l >= (l_votes + 1) // 2 then p else 0 end) * 16777216) as decided
+  from weighed group by all),
+trials as (
+  select model, prompt_id, b, l_votes, case when draw < win then 1.0 when draw < decided then 0.0 else 0.5 end as u
+  from (select t.*, c.l_votes, c.win, c.decided, r.range as b, case c.l_votes {draw.replace(", b))", ", r.range))")} end as draw
+        from tallies t join chances c using (n_win, n_lose, n_tie), range(200) r)),
+holes as (
+  select model from (select model, prompt_id, count(distinct k) as n, max(k) + 1 as m from votes group by all) group by model having bool_or(n <> m))"""
+
+
+@query("l_sensitivity", S.with_(S.CALLS, S.VOTES, S.COUNTS, _l_trials()) + """
+select model, l_votes, case when model not in (select model from holes) then round(avg(r), 12) end as r_hat,
+       case when model not in (select model from holes) then round(stddev_pop(r), 12) end as r_hat_std from (
   select model, l_votes, b, avg(r) as r from (
-    select model, l_votes, b, prompt_id, max(u) - avg(u) as r from (
-      select model, l_votes, b, prompt_id, case when len(list_filter(drawn, lambda x: x = 1)) >= (l_votes + 1) // 2 then 1.0
-        when len(list_filter(drawn, lambda x: x = 0)) >= (l_votes + 1) // 2 then 0.0 else 0.5 end as u from trials)
-    group by model, l_votes, b, prompt_id) group by model, l_votes, b) group by model, l_votes""")
+    select model, l_votes, b, prompt_id, max(u) - avg(u) as r from trials group by all) group by all) group by model, l_votes""")
 def l_sensitivity(spark, d):
     from bestofk.operators.resample import l_sensitivity as study
 
-    items = I.votes(spark, d).groupBy("model", "prompt_id", "k").agg(
-        *[F.max(F.when(F.col("l") == i, F.col("vote"))).alias(f"v{i}") for i in range(I.L_VOTES)]
-    )
-    out = study(items, [f"v{i}" for i in range(I.L_VOTES)], n_resamples=200, cell=["model"])
-    return rounded(out, "r_hat", "r_hat_std")
+    tallies = J.vote_counts(I.votes(spark, d), ["model", "prompt_id", "k"])
+    return rounded(study(tallies, n_resamples=200, cell=["model"]), "r_hat", "r_hat_std")

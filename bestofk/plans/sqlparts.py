@@ -154,17 +154,32 @@ def fingerprint(key: str) -> str:
 
 
 def bootstrap(source: str, cell: str, value: str = "r_hat", n: int = 1000, seed: int = 0) -> str:
-    """CTEs ``boot_means`` and ``boot_ci`` for a per-prompt source, with the same weights."""
-    from bestofk.operators.resample import WEIGHT_BOUNDS
-
-    weight = " + ".join(f"(draw >= {bound})::int" for bound in WEIGHT_BOUNDS)
-    return f"""boot_means as (
-  select {cell}, b, sum(w * v) / nullif(sum(w), 0) as resample_mean
-  from (select *, {weight} as w
-        from (select {cell}, {value} as v, r.range as b,
-                     cast('0x' || substr(md5(concat_ws('|', {seed}, r.range // 4, prompt_id)), 1 + 8 * (r.range % 4)::int, 8) as bigint) as draw
-              from {source}, range({n}) r))
-  group by all),
+    """CTEs ``boot_means`` and ``boot_ci`` for a per-prompt source: the first M strokes of the prompts' clocks, by brute force."""
+    same = " and ".join(f"p.{c} is not distinct from s.{c}" for c in cell.split(", "))
+    cells = lambda of: ", ".join(f"{of}.{c}" for c in cell.split(", "))
+    part = lambda i: f"cast('0x' || substr(h, 1 + 8 * {i}, 8) as bigint)"
+    masses = lambda rate: f"""list_filter(list_transform(range(0, 100), lambda i: cast(ceil(
+        list_sum(list_transform(range(0, i + 1), lambda j: exp(-({rate})) * pow({rate}, j) / gamma(j + 1))) * 4294967296.0::double - 0.5) as bigint)),
+        lambda x: x < 4294967296)"""
+    return f"""boot_sizes as (
+  select *, {masses("starts")} as early, {masses("ends - starts")} as late
+  from (select {cell}, count(*) as m, greatest(0.0, 1 - 3 / sqrt(count(*))) as starts, (count(*) + 3 * sqrt(count(*)) + 5) / count(*) as ends
+        from {source} group by all)),
+boot_drawn as (
+  select * exclude (h, early, late), len(list_filter(early, lambda x: x <= {part("(2 * (b % 2))::int")})) as n_early,
+         len(list_filter(late, lambda x: x <= {part("(2 * (b % 2) + 1)::int")})) as n_late
+  from (select {cells("p")}, p.prompt_id, p.{value} as v, s.m, s.early, s.late, r.range as b, md5(concat_ws('|', {seed}, r.range // 2, p.prompt_id)) as h
+        from {source} p join boot_sizes s on {same}, range({n + n // 32 + 16}) r)),
+boot_strokes as (
+  select {cell}, b, m, -1 as stroke_at, null as who, 0 as nth, sum(n_early) as w, sum(n_early * v) as total from boot_drawn group by all
+  union all
+  select {cell}, b, m, {hex32(f"{seed}, b, prompt_id, nth")}, prompt_id, nth, 1, v
+  from (select *, unnest(range(1, n_late + 1)) as nth from boot_drawn)),
+boot_means as (
+  select {cell}, b, sum(total) / m as resample_mean
+  from (select *, sum(w) over (partition by {cell}, b order by stroke_at, who, nth rows unbounded preceding) as so_far from boot_strokes)
+  where so_far <= m group by {cell}, b, m having sum(w) = m
+  qualify row_number() over (partition by {cell} order by b) <= {n}),
 boot_ci as (
   select {cell}, avg(resample_mean) as mean, quantile_cont(resample_mean, 0.025) as ci_low,
          quantile_cont(resample_mean, 0.975) as ci_high

@@ -1,20 +1,28 @@
 """Structured Streaming jobs over the append-only logs.
 
 Every micro-batch writes its own folder, ``batch_id=N``, replacing it when the batch is retried, so the
-sinks are idempotent. Checkpoints and tables live in the shared folder of the session.
+sinks are idempotent. Checkpoints and tables live in the shared folder of the session; a job that is started again on the same folder goes on
+after its last batch.
+
+A log ends with a closing marker (``close_log``): a row without sequence number, later than all others, that lets the watermark pass
+everything, so what is still open is given out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bestofk.operators.judge import with_votes
-from bestofk.operators.metrics import cell_gap
 from bestofk.sources.logs import latest_per_key
+from bestofk.streaming.state import DELTA, DELTA_COLUMNS, PROMPT_STATE, prompt_delta
+
+#: Column that is null in closing markers only.
+SEQUENCE = "ingest_seq"
 
 
 def file_stream(spark: SparkSession, path: str, schema, file_glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -26,17 +34,35 @@ def file_stream(spark: SparkSession, path: str, schema, file_glob: str | None =
     return reader.parquet(path)
 
 
-def run_batches(stream: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Process what is available, one folder per micro-batch."""
+def close_log(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", after: str = "365 days") -> None:
+    """Append the closing marker: one row with nothing but an event time, ``after`` the log's last one.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    The marker ends all state, so ``after`` must exceed the lateness of every job that reads the log.
+    """
+    last = spark.read.schema(schema).parquet(path).agg((F.max(ts) + F.expr(f"interval {after}")).alias(ts))
+    empty = [F.col(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    last.select(*empty).write.mode("append").parquet(path)
+
+
+def _records(ts: str, sequence: str) -> Column:
+    """True for all rows but the markers. It names the event time, so that it is not moved below the watermark, which markers must advance."""
+    return F.when(F.col(ts).isNotNull(), F.col(sequence).isNotNull()).otherwise(False)
+
+
+def run_batches(
+    stream: DataFrame, path: str, mode: str, shape: Callable[[DataFrame], DataFrame] | None = None,
+    write: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Process what is available, one folder per micro-batch (or what ``write`` does with it)."""
+
+    def to_folder(batch: DataFrame, batch_id: int) -> None:
         rows = shape(batch) if shape else batch
         rows.write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
 
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(write)
+        .foreachBatch(write or to_folder)
         .trigger(availableNow=True)
         .start()
     )
@@ -48,50 +74,74 @@ def batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
 
-def first_within(stream: DataFrame, keys: Sequence[str], horizon: str, ts: str = "ts") -> DataFrame:
-    """The first record of a key within the horizon; state is dropped behind the watermark."""
-    return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(keys))
+def latest_records(
+    stream: DataFrame, keys: Sequence[str], path: str, silence: str, lateness: str, order: str = SEQUENCE, ts: str = "ts", sequence: str = SEQUENCE
+) -> StreamingQuery:
+    """Give out the last record of every key once the key has been silent for ``silence``.
 
+    A key's records without a gap of that length are one session, of which the state holds the last record by ``order``; the watermark, ``lateness`` behind the
+    newest event, closes sessions and drops their state. Records of a closed session's time do not count. A key that returns
+    later is given out again, so ``last_records`` reads the last of them.
+    """
+    timely = stream.withWatermark(ts, lateness).where(_records(ts, sequence))
+    others = [c for c in timely.columns if c not in keys]
+    last = timely.groupBy(*keys, F.session_window(ts, silence)).agg(F.max_by(F.struct(*others), F.col(order)).alias("last"))
+    return run_batches(last.select(*keys, "last.*").select(*stream.columns), path, "append")
 
-def latest_records(stream: DataFrame, keys: Sequence[str], order: str, path: str) -> DataFrame:
-    """The last record of every key over all batches.
 
-    A batch is reduced to one record per key before it is written; the table is the last of those.
-    """
-    run_batches(stream, path, "append", lambda batch: latest_per_key(batch, keys, order))
-    return latest_per_key(batches(stream.sparkSession, path).drop("batch_id"), keys, order)
+def last_records(spark: SparkSession, keys: Sequence[str], path: str, order: str = SEQUENCE) -> DataFrame:
+    """What ``latest_records`` has given out, one record per key."""
+    return latest_per_key(batches(spark, path).drop("batch_id"), keys, order)
 
 
-def running_cell_gap(stream: DataFrame, cell: Sequence[str], path: str) -> DataFrame:
-    """Gap per cell while decisions arrive.
+def running_cell_gap(stream: DataFrame, cell: Sequence[str], path: str, sequence: str = SEQUENCE, utility: str = "utility") -> StreamingQuery:
+    """Keep the gap per cell while decisions arrive.
 
-    The state holds three numbers per prompt. A batch emits the prompts it changed; the cell means are
-    taken over the last emitted state of every prompt.
+    The state is three numbers per prompt. A batch reads and writes the states of its own prompts only; each gives out by how much the cell's
+    sums change, and the cell table (one row per cell) of the batch is that of the batch before plus these differences.
     """
     keys = [*cell, "prompt_id"]
-    per_prompt = stream.groupBy(*keys).agg(
-        F.max("utility").alias("u_circ"), F.sum("utility").alias("u_sum"), F.count("utility").alias("n_samples")
-    )
-    run_batches(per_prompt, path, "update")
-    state = latest_per_key(batches(stream.sparkSession, path), keys, "batch_id")
-    mean = F.col("u_sum") / F.col("n_samples")
-    return cell_gap(state.withColumns({"u_bar": mean, "r_hat": F.col("u_circ") - mean}), cell)
+    rows = stream.where(F.col(sequence).isNotNull()).select(*keys, F.col(utility).cast("double").alias(utility))
+    out = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL(DELTA)])
+    deltas = rows.groupBy(*keys).applyInPandasWithState(prompt_delta(keys, utility), out, PROMPT_STATE, "update", "NoTimeout")
+    table = T.StructType([*[rows.schema[k] for k in cell], *T.StructType.fromDDL("s_circ double, s_bar double, m bigint, k_max bigint")])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(table).parquet(f"{path}/table/batch_id={batch_id - 1}") if batch_id else session.createDataFrame([], table)
+        both = before.unionByName(batch.select(*cell, *[F.col(d).alias(c) for d, c in zip(DELTA_COLUMNS, table.fieldNames()[len(cell):])]))
+        both.groupBy(*cell).agg(
+            F.sum("s_circ").alias("s_circ"), F.sum("s_bar").alias("s_bar"), F.sum("m").alias("m"), F.max("k_max").alias("k_max")
+        ).write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
+
+    return run_batches(deltas, path, "update", write=write)
 
 
-def judge_health(stream: DataFrame, cell: Sequence[str], width: str, lateness: str, path: str) -> DataFrame:
-    """Parse-failure rate and A-pick rate per tumbling window; records later than ``lateness`` may be dropped.
+def current_cell_gap(spark: SparkSession, cell: Sequence[str], path: str) -> DataFrame:
+    """The gap per cell after the last batch; only that batch's table is read."""
+    tables = batches(spark, path)
+    last = tables.where(F.col("batch_id") == tables.agg(F.max("batch_id")).scalar())
+    mean = lambda c: F.col(c) / F.col("m")
+    return last.select(
+        *cell, mean("s_circ").alias("u_circ"), mean("s_bar").alias("u_bar"), (mean("s_circ") - mean("s_bar")).alias("r_hat"), "m", "k_max")
 
-    The whole result is emitted per batch, so the open windows are in it too; the last batch counts.
+
+def judge_health(stream: DataFrame, cell: Sequence[str], width: str, lateness: str, path: str, sequence: str = SEQUENCE) -> StreamingQuery:
+    """Parse-failure rate and A-pick rate per tumbling window, written once, when the watermark has passed the window.
+
+    State is the open windows only; records behind the watermark whose window is closed do not count.
     """
-    voted = with_votes(stream.withWatermark("ts", lateness))
+    voted = with_votes(stream.withWatermark("ts", lateness).where(_records("ts", sequence)))
     picked_a = F.when(F.col("a_is_candidate"), F.col("vote") == 1.0).otherwise(F.col("vote") == 0.0)
     rates = voted.groupBy(F.window("ts", width), *cell).agg(
         F.count("*").alias("n_calls"),
         F.avg(F.col("verdict").isNull().cast("double")).alias("parse_failure_rate"),
         F.avg(F.when(F.col("vote") != 0.5, picked_a.cast("double"))).alias("a_pick_rate"),
     )
-    run_batches(rates, path, "complete")
-    table = batches(stream.sparkSession, path)
-    return table.where(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).select(
-        F.col("window.start").alias("window_start"), *cell, "n_calls", "parse_failure_rate", "a_pick_rate"
-    )
+    closed = rates.select(F.col("window.start").alias("window_start"), *cell, "n_calls", "parse_failure_rate", "a_pick_rate")
+    return run_batches(closed, path, "append")
+
+
+def closed_windows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``judge_health`` has written."""
+    return batches(spark, path).drop("batch_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,19 +100,51 @@ def test_bootstrap_brackets_and_repeats(rows):
         assert scaled[part] == pytest.approx(exact[part], abs=0.02)
 
 
-def test_bootstrap_of_one_value(spark):
-    gaps = spark.range(9000).select(F.col("id").alias("prompt_id"), F.lit(0.25).alias("r_hat"))
-    means = R.bootstrap_means(gaps, n_resamples=6).collect()
-    assert sorted(r.b for r in means) == list(range(6)) and all(r.resample_mean == 0.25 for r in means)
+@pytest.mark.parametrize("means", [R.bootstrap_means, R.bootstrap_means_scaled])
+@pytest.mark.parametrize("m", [1, 2, 7, 60, 1500])
+def test_every_resample_draws_exactly_m_prompts(spark, means, m):
+    gaps = spark.range(m).select(F.when(F.col("id") >= 0, "c").alias("cell"), F.col("id").alias("prompt_id"), (F.col("id") % 97 / 97).alias("r_hat"))
+    got = means(gaps.unionByName(gaps.limit(1).withColumns({"prompt_id": F.lit(-1).cast("bigint"), "r_hat": F.lit(None).cast("double")})), ["cell"], n_resamples=40)
+    rows = sorted(map(tuple, got.select("b", "n_drawn").collect()))
+    assert rows == [(b, m) for b in range(40)]
+
+
+def test_resamples_are_multinomial(spark):
+    """Over many resamples of five prompts, each is drawn as often as any other and their counts spread as a multinomial's."""
+    gaps = spark.range(5).select(F.col("id").alias("prompt_id"), (F.col("id") == 0).cast("double").alias("r_hat"))
+    for means in (R.bootstrap_means, R.bootstrap_means_scaled):
+        shares = [r.resample_mean for r in means(gaps, n_resamples=4000).collect()]
+        centre = sum(shares) / len(shares)
+        spread = sum((x - centre) ** 2 for x in shares) / len(shares)
+        assert centre == pytest.approx(0.2, abs=0.012) and spread == pytest.approx(0.2 * 0.8 / 5, rel=0.12)
+        counts = Counter(round(x * 5) for x in shares)
+        for k in range(4):
+            want = 4000 * math.comb(5, k) * 0.2**k * 0.8 ** (5 - k)
+            assert abs(counts[k] - want) < 5 * want**0.5 + 5
+
+
+def test_scaled_bootstrap_splits_over_several_nodes(spark, monkeypatch):
+    monkeypatch.setattr(R, "VALUES_PER_NODE", 16)
+    gaps = spark.range(3000).select(F.col("id").alias("prompt_id"), (F.col("id") / 3000).alias("r_hat"))
+    means = R.bootstrap_means_scaled(gaps, n_resamples=300).collect()
+    assert {r.n_drawn for r in means} == {3000} and len(means) == 300
+    spread = sum((r.resample_mean - 0.49983) ** 2 for r in means) / 300
+    assert spread == pytest.approx(1 / 12 / 3000, rel=0.35)
+
+
+def test_clock_bounds_are_poisson():
+    bounds = R.mass_bounds(0.7)
+    mass = [math.exp(-0.7) * 0.7**i / math.factorial(i) for i in range(len(bounds))]
+    assert all(b / 2**32 == pytest.approx(sum(mass[: i + 1]), abs=1e-9) for i, b in enumerate(bounds)) and bounds[-1] < 2**32
+    assert R.window(1)[0] == 0.0 and R.window(10_000) == (0.97, pytest.approx(1.0305))
 
 
 @pytest.mark.parametrize("study", [R.bootstrap_ci, R.bootstrap_ci_scaled])
 def test_bootstrap_of_all_different_values(spark, study):
-    """As many values as prompts: the interval is that of the normal approximation, and no window is in the plan."""
+    """As many values as prompts: the interval is that of the normal approximation."""
     n, b = 5000, 200
     cell = spark.range(n).select(F.lit("c").alias("cell"), F.col("id").alias("prompt_id"), (F.col("id") / n).alias("r_hat"))
     found = study(cell, ["cell"], n_resamples=b)
-    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     got, half = one(found), 1.96 * (1 / 12 / n) ** 0.5
     assert got["mean"] == pytest.approx(0.4999, abs=0.001)
     assert got["ci_low"] == pytest.approx(0.4999 - half, abs=half / 3) and got["ci_high"] == pytest.approx(0.4999 + half, abs=half / 3)
@@ -201,15 +236,64 @@ def test_position_bias_and_margin(rows):
     assert J.vote_margin(df, ["prompt_id", "k"]).first().mean_margin == 1.0
 
 
+def tallies(rows, table):
+    """(prompt, k, "votes") with 1, 0 and t for a tie."""
+    data = [(p, k, v.count("1"), v.count("0"), len(v)) for p, k, v in table]
+    return rows(data, "prompt_id int, k int, n_win bigint, n_lose bigint, n_votes bigint")
+
+
 def test_l_sensitivity_at_the_recorded_votes(rows):
     """All votes used: no spread, and the gap of the plain majority."""
-    data = [(p, k, *[float(v) for v in votes]) for p, k, votes in [(0, 0, "11100"), (0, 1, "00011"), (1, 0, "00000"), (1, 1, "11111")]]
-    df = rows(data, "prompt_id int, k int, v0 double, v1 double, v2 double, v3 double, v4 double")
-    out = {r.l_votes: r for r in R.l_sensitivity(df, ["v0", "v1", "v2", "v3", "v4"], n_resamples=10).collect()}
+    df = tallies(rows, [(0, 0, "11100"), (0, 1, "00011"), (1, 0, "00000"), (1, 1, "11111")])
+    out = {r.l_votes: r for r in R.l_sensitivity(df, n_resamples=10).collect()}
     assert (out[5].r_hat, out[5].r_hat_std) == (0.5, 0.0)
     assert out[1].r_hat_std > 0 and set(out) == {1, 3, 5, 7, 9}
-    gappy = R.l_sensitivity(df.where("prompt_id = 0 or k = 1"), ["v0", "v1", "v2", "v3", "v4"], n_resamples=2)
-    assert all(r.r_hat is None for r in gappy.collect())
+
+
+def test_l_sensitivity_of_ragged_panels_and_prompts(rows):
+    """Samples with other numbers of votes and prompts with fewer samples are no holes; a missing sample, a repeated one or one without votes is."""
+    whole = [(0, 0, "111"), (0, 1, "00011"), (0, 2, "0"), (1, 0, "1t1")]
+    known = lambda table, **more: all(r.r_hat is not None for r in R.l_sensitivity(tallies(rows, table), n_resamples=4, **more).collect())
+    assert known(whole)
+    assert not known([*whole, (2, 1, "111")]) and not known([*whole, (1, 0, "111")]) and not known([*whole, (1, 1, "")])
+    expected = lambda n: R.l_sensitivity(tallies(rows, whole).withColumn("planned", F.when(F.col("prompt_id") == 0, 3).otherwise(n)), n_resamples=2, expected="planned")
+    assert all(r.r_hat is not None for r in expected(1).collect()) and all(r.r_hat is None for r in expected(2).collect())
+
+
+def test_l_sensitivity_of_thirty_votes(rows):
+    """Fifteen of thirty votes, and sixty: gaps near those of votes drawn one by one."""
+    rng = random.Random(8)
+    table = [(p, k, "".join(rng.choice("11000t"[(p + k) % 3 :]) for _ in range(30))) for p in range(12) for k in range(4)]
+    out = {r.l_votes: r for r in R.l_sensitivity(tallies(rows, table), (15, 16, 60), n_resamples=150).collect()}
+    for size in (15, 16, 60):
+        trials = []
+        for _ in range(150):
+            gaps = []
+            for p in range(12):
+                us = []
+                for _, _, votes in table[4 * p : 4 * p + 4]:
+                    drawn = rng.sample(votes, size) if size <= 30 else rng.choices(votes, k=size)
+                    needed = (size + 1) // 2
+                    us.append(1.0 if drawn.count("1") >= needed else 0.0 if drawn.count("0") >= needed else 0.5)
+                gaps.append(max(us) - sum(us) / 4)
+            trials.append(sum(gaps) / 12)
+        mean = sum(trials) / 150
+        assert out[size].r_hat == pytest.approx(mean, abs=0.03)
+        assert out[size].r_hat_std == pytest.approx((sum((t - mean) ** 2 for t in trials) / 150) ** 0.5, rel=0.5, abs=0.01)
+
+
+@pytest.mark.parametrize("votes,size", [("11100", 1), ("11100", 3), ("11tt0", 4), ("1100", 2), ("10t", 3)])
+def test_outcome_chances_by_enumeration(votes, size):
+    subsets = list(itertools.combinations(votes, size))
+    needed = (size + 1) // 2
+    wins = sum(s.count("1") >= needed for s in subsets)
+    losses = sum(s.count("0") >= needed and s.count("1") < needed for s in subsets)
+    assert R.outcome_chances(votes.count("1"), votes.count("0"), len(votes), size) == (Fraction(wins, len(subsets)), Fraction(losses, len(subsets)))
+    more = list(itertools.product(votes, repeat=len(votes) + 1))
+    needed = (len(votes) + 2) // 2
+    wins = sum(s.count("1") >= needed for s in more)
+    losses = sum(s.count("0") >= needed and s.count("1") < needed for s in more)
+    assert R.outcome_chances(votes.count("1"), votes.count("0"), len(votes), len(votes) + 1) == (Fraction(wins, len(more)), Fraction(losses, len(more)))
 
 
 def test_m_convergence_shrinks(spark):

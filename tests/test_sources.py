@@ -200,35 +200,3 @@ def test_gpu_hours(rows):
 def test_heat_rounds_half_to_even(rows):
     df = rows([(0.5 / 60,), (1.5 / 60,), (2.0,), (-1.0,)], "v double")
     assert [r.s for r in df.select(R.heat_intensity(F.col("v")).alias("s")).collect()] == [0, 2, 60, 0]
-
-
-LOG = "ingest_seq bigint, ts timestamp, experiment string, prompt_id string, k int, utility double"
-
-
-def test_streams_over_several_batches(spark, tmp_path):
-    """Re-runs in later files replace earlier records; running gaps equal the batch result."""
-    src = str(tmp_path / "log")
-    for batch in range(3):
-        spark.range(40).select(
-            (F.col("id") + batch * 100).alias("ingest_seq"), F.timestamp_seconds(F.lit(1700000000) + F.col("id") + batch * 1000).alias("ts"),
-            F.lit("e").alias("experiment"), (F.col("id") % 5).cast("string").alias("prompt_id"), (F.col("id") % 4).cast("int").alias("k"),
-            ((F.col("id") + batch) % 7 == 0).cast("double").alias("utility"),
-        ).coalesce(1).write.mode("append").parquet(src)
-    log = spark.read.schema(LOG).parquet(src)
-    stream = lambda: jobs.file_stream(spark, src, LOG, files_per_batch=1)
-    keys = ["experiment", "prompt_id", "k"]
-    last = jobs.latest_records(stream(), keys, "ingest_seq", str(tmp_path / "last"))
-    want = logs.latest_per_key(log, keys, "ingest_seq")
-    assert sorted(map(tuple, last.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert jobs.batches(spark, str(tmp_path / "last")).select("batch_id").distinct().count() == 3
-
-    from bestofk.operators.metrics import cell_gap, prompt_gap
-
-    running = jobs.running_cell_gap(stream(), ["experiment"], str(tmp_path / "gap")).first()
-    batch = cell_gap(prompt_gap(log.withColumnRenamed("utility", "u"), ["experiment"]), ["experiment"]).first()
-    assert running.u_circ == pytest.approx(batch.u_circ) and running.u_bar == pytest.approx(batch.u_bar) and running.m == batch.m
-
-    first = jobs.first_within(stream().drop("utility"), keys, "1 hour")
-    jobs.run_batches(first, str(tmp_path / "first"), "append")
-    got = jobs.batches(spark, str(tmp_path / "first"))
-    assert got.count() == got.select(*keys).distinct().count() == 20 and got.agg(F.max("ingest_seq")).first()[0] < 40
