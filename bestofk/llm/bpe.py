@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,7 +229,7 @@ class Encoder:
 
 def _slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose ``column`` holds few bytes, one row at least."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and held + n > most_bytes:

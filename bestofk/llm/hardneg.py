@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def _pack_rows(df: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             whole = batch.column("whole")
-            lengths = np.asarray(pa.compute.list_value_length(whole))
+            lengths = np.asarray(pc.list_value_length(whole))
             flat = np.zeros((batch.num_rows, width), "<i4")
             flat[np.arange(width) < lengths[:, None]] = np.asarray(whole.flatten())
             packed = pa.array([row.tobytes() for row in flat], pa.binary())
