@@ -29,12 +29,25 @@ _KEYS: dict[str, Callable[[Column], Column]] = {
 CODE_DATASETS = ("humaneval", "livecodebench")
 
 
-def register_scorer(name: str, scorer: Scorer) -> None:
+#: Names whose scorer runs Python.
+_PYTHON: set[str] = set()
+
+
+def register_scorer(name: str, scorer: Scorer, python: bool | None = None) -> None:
     """Add a scorer: a function of the (answer, reference) columns giving a double column.
 
-    Wrap vectorised Python in ``pandas_udf('double')`` where no column expression exists.
+    Wrap vectorised Python in ``pandas_udf('double')`` where no column expression exists; say ``python=True`` where the function only
+    calls such a wrapped one. Python scorers get a table of their own rows (``experiments.score_samples``).
     """
-    _SCORERS[name.strip().lower()] = scorer
+    key = name.strip().lower()
+    _SCORERS[key] = scorer
+    runs_python = hasattr(scorer, "evalType") if python is None else python
+    (_PYTHON.add if runs_python else _PYTHON.discard)(key)
+
+
+def unregister_scorer(name: str) -> None:
+    _SCORERS.pop(name.strip().lower(), None)
+    _PYTHON.discard(name.strip().lower())
 
 
 def known_datasets() -> tuple[str, ...]:
@@ -60,22 +73,55 @@ def answer_key(name: str, text: Column) -> Column:
     return _KEYS[key](text)
 
 
-def _dispatch(dataset: Column, branches: dict[str, Column], what: str) -> Column:
-    """One CASE per dataset name: a row evaluates its own branch only; unknown names fail."""
-    name = F.lower(T.strip(dataset))
+def dataset_key(dataset: Column) -> Column:
+    """The name by which rules are registered: without outer white space, in lower case."""
+    return F.lower(T.strip(dataset))
+
+
+def _dispatch(name: Column, branches: dict[str, Column], what: str) -> Column:
+    """One CASE per registered name, which ``name`` holds; unknown names fail."""
     known = ", ".join(sorted(branches))
     chain = None
     for key, value in branches.items():
         chain = F.when(name == key, value) if chain is None else chain.when(name == key, value)
-    return chain.otherwise(F.raise_error(F.concat(F.lit(f"no {what} for dataset "), F.coalesce(dataset, F.lit("null")), F.lit(f"; known: {known}"))))
+    unknown = F.raise_error(F.concat(F.lit(f"no {what} for dataset "), F.coalesce(name, F.lit("null")), F.lit(f"; known: {known}")))
+    return unknown if chain is None else chain.otherwise(unknown)
+
+
+def registered() -> tuple[str, ...]:
+    return tuple(sorted(_SCORERS))
+
+
+def python_scorers() -> dict[str, Scorer]:
+    return {name: _SCORERS[name] for name in sorted(_PYTHON)}
+
+
+def _without_outcomes() -> dict[str, Column]:
+    refused = F.raise_error(F.lit("programs are scored from recorded test runs: pass outcomes")).cast("double")
+    return {n: refused for n in CODE_DATASETS}
+
+
+def native_dispatch(name: Column, text: Column, truth: Column) -> Column:
+    """Utility by the column-expression rule of ``name``, a key of ``dataset_key``; unknown names fail."""
+    rules = {n: s(text, truth) for n, s in _SCORERS.items() if n not in _PYTHON}
+    return _dispatch(name, _without_outcomes() | rules, "scorer")
 
 
 def score_dispatch(dataset: Column, text: Column, truth: Column, tests_passed: Column | None = None) -> Column:
-    """Utility by the rule of the row's dataset; ``tests_passed`` is the verdict on a program's recorded test runs."""
+    """Utility by the rule of the row's dataset; ``tests_passed`` is the verdict on a program's recorded test runs.
+
+    A row evaluates its own column expression only. Spark runs Python ahead of the projection, for every row, so a Python scorer sees all
+    rows of the table here; ``experiments.score_samples`` gives each of them a table of its own.
+    """
     rules = {n: s(text, truth) for n, s in _SCORERS.items()}
-    verdict = F.raise_error(F.lit("programs are scored from recorded test runs: pass outcomes")).cast("double") if tests_passed is None else tests_passed
-    return _dispatch(dataset, rules | {n: verdict for n in CODE_DATASETS if n not in rules}, "scorer")
+    verdicts = _without_outcomes() if tests_passed is None else {n: tests_passed for n in CODE_DATASETS}
+    return _dispatch(dataset_key(dataset), verdicts | rules, "scorer")
+
+
+def named_key(name: Column, text: Column) -> Column:
+    """Vote key by the rule of ``name``, a key of ``dataset_key``."""
+    return _dispatch(name, {n: k(text) for n, k in _KEYS.items()}, "answer key")
 
 
 def key_dispatch(dataset: Column, text: Column) -> Column:
-    return _dispatch(dataset, {n: k(text) for n, k in _KEYS.items()}, "answer key")
+    return named_key(dataset_key(dataset), text)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from bestofk.functions.hashing import draw_index, hash32
 from bestofk.functions.joins import join_cells
+from bestofk.functions.text import let
 from bestofk.session import materialise, spread
 
 
@@ -219,44 +220,80 @@ def bootstrap_ci_scaled(
     return _interval(means, list(cell), n_resamples, confidence)
 
 
-def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Utility of self-consistency over ``n`` samples, ``n_draws`` draws per prompt.
+def sc_votes(keyed: DataFrame, sizes: Sequence[int], n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Utility of self-consistency over each of ``sizes`` samples, ``n_draws`` draws per prompt: (cell..., prompt_id, k, sc_n, u), k being the draw.
 
     ``keyed`` holds (cell..., prompt_id, k, vote_key, u). A draw takes n of the prompt's samples (``k_max`` at most, else
     the job fails) with replacement; the most frequent key wins, ties go to the key drawn first, and the utility is
-    that of its first drawn sample; a draw without any key scores 0.
+    that of its first drawn sample; a draw without any key scores 0. A smaller size uses the first samples of the same draw.
 
-    Keys enter here as a column, so the extraction has run once per sample. A prompt's K samples
-    (K is bounded by design) sit in one array: drawing is an array lookup, and both vote counts stay
-    in the prompt's partition without another shuffle.
+    A prompt's K samples (K is bounded by design) are gathered once, in one row, and their keys get small numbers there. Everything else
+    happens inside that row: no exchange follows.
     """
-    if n < 1:
-        raise ValueError(f"n must be >= 1, got {n}")
+    if min(sizes, default=0) < 1:
+        raise ValueError(f"sizes must be >= 1, got {list(sizes)}")
     if n_draws < 1:
         raise ValueError(f"the number of draws must be >= 1, got {n_draws}")
     by_prompt = [*cell, "prompt_id"]
-    pool = keyed.groupBy(*by_prompt).agg(
-        F.array_sort(F.collect_list(F.struct("k", "vote_key", "u"))).alias("pool")
-    )
+    pool = keyed.groupBy(*by_prompt).agg(F.array_sort(F.collect_list(F.struct("k", "vote_key", "u"))).alias("pool"))
     too_many = F.raise_error(F.lit(f"a prompt has more than {k_max} samples")).cast(pool.schema["pool"].dataType)
-    pool = pool.withColumn("pool", F.when(F.size("pool") > k_max, too_many).otherwise(F.col("pool")))
-    drawn = (
-        pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-        .withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .withColumn(
-            "pick",
-            F.element_at("pool", (draw_index(F.size("pool"), F.lit(seed), "prompt_id", "draw", "pos") + 1).cast("int")),
-        )
-        .select(*by_prompt, "draw", "pos", F.col("pick.vote_key").alias("vote_key"), F.col("pick.u").alias("u"))
-    )
-    votes = drawn.groupBy(*by_prompt, "draw", "vote_key").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first_pos"), F.min_by("u", "pos").alias("u_first")
-    )
-    # Null keys form their own group: it only matters when a draw has nothing else.
-    rank = F.when(F.col("vote_key").isNotNull(), F.col("votes") * (n + 1) - F.col("first_pos"))
-    return votes.groupBy(*by_prompt, "draw").agg(
-        F.coalesce(F.max_by("u_first", rank), F.lit(0.0)).alias("u")
-    ).withColumnRenamed("draw", "k")
+    checked = F.when(F.size("pool") > k_max, too_many).otherwise(F.col("pool"))
+    fields = [pool.schema[c] for c in by_prompt]
+    out = T.StructType([*fields, *(T.StructField(c, t) for c, t in (
+        ("k", T.IntegerType()), ("sc_n", T.IntegerType()), ("u", T.DoubleType())))])
+    key_numbers = let(F.transform(F.col("pool"), lambda x: x["vote_key"]), lambda names: F.transform(
+        names, lambda name: F.when(name.isNotNull(), F.array_position(names, name)).otherwise(0)))
+    coded = pool.withColumn("pool", checked).select(
+        *by_prompt, F.col("prompt_id").cast("string").alias("__name"), key_numbers.alias("__codes"),
+        F.transform("pool", lambda x: x["u"].cast("double")).alias("__us"))
+    return coded.mapInPandas(_voted_draws(by_prompt, sorted(set(sizes)), n_draws, seed), out)
+
+
+def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """``sc_votes`` at one size."""
+    return sc_votes(keyed, [n], n_draws, k_max, cell, seed).drop("sc_n")
+
+
+def _voted_draws(by_prompt: Sequence[str], sizes: Sequence[int], n_draws: int, seed: int):
+    """Per prompt: the winner of every draw by counts over key numbers, all draws at once."""
+    longest = max(sizes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            results = []
+            for name, codes, us in zip(frame["__name"], frame["__codes"], frame["__us"]):
+                hashes = b"".join([md5(f"{seed}|{name}|{d}|{h}".encode()).digest() for d in range(n_draws) for h in range(-(-longest // 4))])
+                picks = np.frombuffer(hashes, ">u4").reshape(n_draws, -1)[:, :longest].astype(np.int64) % len(codes)
+                drawn, gains = np.asarray(codes, np.int64)[picks], np.asarray(us, float)[picks]
+                results.append(_winners(drawn, gains, sizes))
+            values = np.array(results).reshape(len(frame), len(sizes), n_draws)
+            each = frame[list(by_prompt)].iloc[np.repeat(np.arange(len(frame)), len(sizes) * n_draws)].reset_index(drop=True)
+            yield each.assign(
+                k=np.tile(np.arange(n_draws, dtype=np.int32), len(frame) * len(sizes)),
+                sc_n=np.tile(np.repeat(np.array(sizes, np.int32), n_draws), len(frame)), u=values.reshape(-1))
+
+    return run
+
+
+def _winners(drawn: np.ndarray, gains: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """Utility of the winning key of each row's first n draws; 0 is no key. Counts grow with the positions, so every size reads them on the way."""
+    n_draws = len(drawn)
+    rows = np.arange(n_draws)
+    counts = np.zeros((n_draws, int(drawn.max(initial=0)) + 1), np.int64)
+    first = np.full(counts.shape, drawn.shape[1], np.int64)
+    out = []
+    for at in range(max(sizes)):
+        key = drawn[:, at]
+        counts[rows, key] += 1
+        first[rows, key] = np.minimum(first[rows, key], at)
+        if at + 1 in sizes:
+            rank = counts * (drawn.shape[1] + 1) - first
+            rank[:, 0] = -1
+            rank[counts == 0] = -1
+            best = rank.argmax(1)
+            some = rank[rows, best] >= 0
+            out.append(np.where(some, gains[rows, np.where(some, first[rows, best], 0)], 0.0))
+    return out
 
 
 def m_convergence(

@@ -21,23 +21,37 @@ from bestofk.session import materialise
 from bestofk.sources.results import assemble_cells
 
 
+#: Column of the normalised dataset name.
+NAME = "__dataset_key"
+
+
 def score_samples(
     samples: DataFrame, cell: Sequence[str], with_keys: bool = False, outcomes: DataFrame | None = None
 ) -> DataFrame:
     """Utility table (cell..., prompt_id, k, u[, vote_key]) of samples with a ``dataset`` column.
 
-    ``outcomes`` holds the recorded test runs of programs (humaneval, livecodebench); it is joined on the columns of (cell..., dataset, prompt_id, k)
-    that it has.
+    Names of datasets count without outer white space and case. The rows are routed by name: those with a column-expression rule are
+    scored where they are, those of each Python scorer go through Python alone, and programs (humaneval, livecodebench) get the verdict on their recorded
+    test runs, so only their keys are joined with ``outcomes``, on the columns of (cell..., dataset, prompt_id, k) that it has. Texts are never shuffled.
     """
-    dataset, text, truth = F.col("dataset"), F.col("text"), F.col("ground_truth")
-    passed = None
-    if outcomes is not None:
-        keys = [c for c in dict.fromkeys([*cell, "dataset", "prompt_id", "k"]) if c in outcomes.columns]
-        samples, passed = scoring.all_tests_pass(samples, outcomes, keys, "tests_passed"), F.col("tests_passed")
-    columns = [*cell, "prompt_id", "k", scorers.score_dispatch(dataset, text, truth, passed).alias("u")]
-    if with_keys:
-        columns.append(scorers.key_dispatch(dataset, text).alias("vote_key"))
-    return materialise(samples.select(*columns), "utility")
+    rows = samples.withColumn(NAME, scorers.dataset_key(F.col("dataset")))
+    text, truth, name = F.col("text"), F.col("ground_truth"), F.col(NAME)
+    python = scorers.python_scorers()
+    programs = [n for n in scorers.CODE_DATASETS if n not in scorers.registered()] if outcomes is not None else []
+    keys = [*cell, "prompt_id", "k"]
+    vote_key = [scorers.named_key(name, text).alias("vote_key")] if with_keys else []
+    apart = [*python, *programs]
+    here = rows.where(~name.isin(apart) | name.isNull()) if apart else rows
+    scored = here.select(*keys, scorers.native_dispatch(name, text, truth).alias("u"), *vote_key)
+    for python_name, scorer in python.items():
+        own = rows.where(name == python_name)
+        scored = scored.unionByName(own.select(*keys, scorer(text, truth).alias("u"), *vote_key))
+    if programs:
+        runs = outcomes.withColumn(NAME, scorers.dataset_key(F.col("dataset"))) if "dataset" in outcomes.columns else outcomes
+        on = [c for c in dict.fromkeys([*(c for c in cell if c != "dataset"), NAME, "prompt_id", "k"]) if c in runs.columns]
+        own = rows.where(name.isin(programs)).select(*dict.fromkeys([*keys, NAME]), *vote_key)
+        scored = scored.unionByName(scoring.all_tests_pass(own, runs, on, "u").drop(NAME))
+    return materialise(scored, "utility")
 
 
 def judged_utility(calls: DataFrame, cell: Sequence[str]) -> DataFrame:
@@ -68,8 +82,5 @@ def self_consistency(
     keyed: DataFrame, cell: Sequence[str], sizes: Sequence[int], n_draws: int, k_max: int, n_resamples: int = 1000, seed: int = 0
 ) -> DataFrame:
     """Result rows of self-consistency at several sample sizes, ``sc_n`` being part of the cell."""
-    runs = None
-    for n in sizes:
-        votes = R.sc_vote(keyed, n, n_draws, k_max, cell, seed).withColumn("sc_n", F.lit(n))
-        runs = votes if runs is None else runs.unionByName(votes)
+    runs = R.sc_votes(keyed, sizes, n_draws, k_max, cell, seed)
     return evaluate(materialise(runs, "votes"), [*cell, "sc_n"], n_draws, n_resamples, seed=seed)

@@ -154,12 +154,12 @@ def shape_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(line_forms(spark, sf_dir), shape_case())
 
 
-def mixed_samples(spark: SparkSession, sf_dir: str, cases: dict[str, tuple[Column, Column]]) -> DataFrame:
+def mixed_samples(spark: SparkSession, sf_dir: str, cases: dict[str, tuple[Column, Column]], forms: DataFrame | None = None) -> DataFrame:
     """Answers of several datasets in one table, from one scan: each form gives a row per dataset."""
     rows = F.array(*[
         F.struct(F.lit(name).alias("dataset"), text.alias("text"), truth.alias("ground_truth")) for name, (text, truth) in cases.items()
     ])
-    return line_forms(spark, sf_dir).select("prompt_id", "k", F.inline(rows))
+    return (line_forms(spark, sf_dir) if forms is None else forms).select("prompt_id", "k", F.inline(rows))
 
 
 VERDICT_TEXT = {"click": "A", "view": " b", "error": "T", "signup": "????", "purchase": "A."}

@@ -117,7 +117,7 @@ def sc_sql(n: int, draws: int) -> str:
   select prompt_id, draw as k, coalesce(max_by(u_first, case when vote_key is not null then votes * {n + 1} - first_pos end), 0.0) as u
   from (select d.prompt_id, d.draw, x.vote_key, count(*) as votes, min(d.pos) as first_pos, arg_min(x.u, d.pos) as u_first
         from (select p.prompt_id, cast(a.range as integer) as draw, b.range as pos,
-                     {S.hex32("0, p.prompt_id, a.range, b.range")} % p.n as pick
+                     cast('0x' || substr(md5(concat_ws('|', 0, p.prompt_id, a.range, b.range // 4)), 1 + 8 * (b.range % 4)::int, 8) as bigint) % p.n as pick
               from (select prompt_id, count(*) as n from keyed group by all) p, range({draws}) a, range({n}) b) d
         join keyed x on x.prompt_id = d.prompt_id and x.k = d.pick group by all)
   group by all)"""
@@ -129,7 +129,6 @@ def sc_vote(spark, d):
 
 
 SWEEP_CELL = ["procedure", "tau", "sc_n", "length", "stage"]
-SWEEP_SIZES, SWEEP_DRAWS = (2, 4, 8), 16
 SWEEP_LENGTHS = (16, 32, 64)
 _GAP_SQL = "prompt_id, max(u) as u_circ, avg(u) as u_bar, max(u) - avg(u) as r_hat"
 
@@ -152,15 +151,11 @@ join boot_ci ci on ci.procedure = s.procedure and ci.tau is not distinct from s.
 
 
 @query("procedure_sweep_full", sweep_sql(VOTE_SIZES, I.K_TEXTS))
-def procedure_sweep_full(spark, d):
-    """The sweep with as many self-consistency draws per prompt as direct samples, at every size of the study, so that the cells compare."""
-    return procedure_sweep(spark, d, VOTE_SIZES, I.K_TEXTS)
-
-
-@query("procedure_sweep", sweep_sql(SWEEP_SIZES, SWEEP_DRAWS))
-def procedure_sweep(spark, d, sizes=SWEEP_SIZES, draws=SWEEP_DRAWS):
+@query("procedure_sweep", sweep_sql(VOTE_SIZES, I.K_TEXTS))
+def procedure_sweep(spark, d, sizes=VOTE_SIZES, draws=I.K_TEXTS):
     """Direct sampling at three temperatures (greedy is one sample, so without a gap), reasoning budgets, training stages and
-    self-consistency at ``sizes``, in one job; the settings that a procedure does not have are null."""
+    self-consistency at every size of the study with as many draws per prompt as direct samples, in one job; the settings that a procedure
+    does not have are null."""
     keyed = materialise(numeric_keyed(spark, d), "keyed")
     kinds = {"tau": "double", "sc_n": "int", "length": "int", "stage": "string"}
 
@@ -174,9 +169,8 @@ def procedure_sweep(spark, d, sizes=SWEEP_SIZES, draws=SWEEP_DRAWS):
     cells += [run("budget", F.when(k < length, u).otherwise(0.0), length=length) for length in SWEEP_LENGTHS]
     cells.append(run("stage", u, stage=stage))
     runs = keyed.select("prompt_id", F.inline(F.array_compact(F.array(*cells))))
-    for n in sizes:
-        votes = R.sc_vote(keyed, n=n, n_draws=draws, k_max=I.K_TEXTS)
-        runs = runs.unionByName(votes.select("prompt_id", F.inline(F.array(run("sc", u, sc_n=n)))))
+    votes = R.sc_votes(keyed, sizes, n_draws=draws, k_max=I.K_TEXTS)
+    runs = runs.unionByName(votes.select("prompt_id", F.inline(F.array(run("sc", u, sc_n=F.col("sc_n"))))))
     per_prompt = materialise(M.prompt_gap(runs, SWEEP_CELL), "sweep")
     ci = R.bootstrap_ci(per_prompt, SWEEP_CELL).select(*SWEEP_CELL, "ci_low", "ci_high")
     wide = join_cells(M.cell_gap(per_prompt, SWEEP_CELL).drop("k_max"), ci, SWEEP_CELL)

@@ -263,13 +263,20 @@ LEVELS_SQL = "levels as (select o_orderkey // 64 as prompt_id, left(cast(o_custk
 
 @query("gap_by_bucket", S.with_(S.FORMS, KEYED_SQL, PART_CELLS, LEVELS_SQL,
        "per_prompt as (select model, prompt_id, max(u) - avg(u) as r from cells group by all)",
-       """fits as (select model from per_prompt group by model having count(*) = (select count(*) from levels))""") + """
+       """planned as (select 'm0' as model, prompt_id from forms group by all union all select 'm1', prompt_id from forms where k >= 32 group by all
+                     union all select 'm2', prompt_id from forms group by all)""",
+       """misfits as (select model from ((select model, prompt_id from per_prompt except select * from planned)
+                      union all (select * from planned except select model, prompt_id from per_prompt)))""") + """
 select l.bucket, count(distinct l.prompt_id) as n, round(avg(case when p.model = 'm0' then r end), 12) as m0,
        round(avg(case when p.model = 'm1' then r end), 12) as m1, round(avg(case when p.model = 'm2' then r end), 12) as m2
-from levels l left join (select * from per_prompt where model in (select model from fits)) p on p.prompt_id = l.prompt_id group by all""")
+from levels l left join (select * from per_prompt where model not in (select model from misfits)) p on p.prompt_id = l.prompt_id group by all""")
 def gap_by_bucket(spark, d):
+    """The last prompt may have no sample from 32 on, so that it is not planned for m1; m2 truly lacks prompts and gets nulls."""
     per_prompt = materialise(M.prompt_gap(part_cells(spark, d), ["model"]), "gaps")
-    return rounded(R.gap_by_bucket(per_prompt, part_levels(spark, d), ["m0", "m1", "m2"]), "m0", "m1", "m2")
+    drawn = I.sample_forms(spark, d).groupBy("prompt_id").agg(F.max("k").alias("last"))
+    all_of_it = F.array_compact(F.array(F.lit("m0"), F.when(F.col("last") >= 32, "m1"), F.lit("m2")))
+    planned = drawn.select("prompt_id", F.explode(all_of_it).alias("model"))
+    return rounded(R.gap_by_bucket(per_prompt, part_levels(spark, d), ["m0", "m1", "m2"], planned=planned), "m0", "m1", "m2")
 
 
 @query("spike_by_bucket", S.with_(S.FORMS, KEYED_SQL, PART_CELLS, LEVELS_SQL,

@@ -5,6 +5,7 @@ Result rows are one per experiment; pivot columns are parameters, so no extra jo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import product
 
@@ -198,14 +199,61 @@ def gpu_hours(results: DataFrame, budget: DataFrame) -> DataFrame:
     return rows.unionByName(total.withColumns({"hyp": F.lit("total"), "source": F.lit(None).cast("string")}))
 
 
-def length_terciles(rows: DataFrame, length: str) -> DataFrame:
-    """Add short / medium / long by the terciles of the whole column.
+#: Bins a pass divides each open range into, so the rows that come back to the driver: this many per wanted value.
+QUANTILE_BINS = 1024
+
+
+def order_values(rows: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
+    """Values at the given ranks (from 0) of the sorted non-null values, exactly, without sorting.
 
-    Exact percentiles keep one counter per distinct length, so their state is bounded by the
-    longest text, not by the number of rows; the two cut points are a scalar subquery.
+    Each pass counts the rows of every range that still holds a wanted rank in equal bins and goes on with the bin of the rank, from its least to
+    its greatest value; a range of one value is the answer. A pass collects at most QUANTILE_BINS rows per rank, however many distinct values there are.
     """
-    cuts = rows.agg(F.percentile(length, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
-    q1, q2 = cuts[0], cuts[1]
+    value = F.col(column).cast("double")
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    open_ranges = {rank: (low, high, rank) for rank in ranks}  # rank: least and greatest value of its range, place in it
+    found: dict[int, float] = {}
+    while open_ranges:
+        for rank, (least, most, _) in list(open_ranges.items()):
+            if least == most:
+                found[rank] = least
+                del open_ranges[rank]
+        ranges = sorted({(least, most) for least, most, _ in open_ranges.values()})
+        if not ranges:
+            break
+        # Steps that would overflow or vanish are halved first; the ends always fall into different bins.
+        place = F
+        for i, (least, most) in enumerate(ranges):
+            share = (value / 2 - least / 2) / (most / 2 - least / 2)
+            inside = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)) + i * QUANTILE_BINS
+            place = place.when(value.between(least, most), inside)
+        counted = rows.select(value.alias("v"), place.alias("bin")).where("bin is not null").groupBy("bin").agg(
+            F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy("bin").collect()
+        for rank, (least, most, at) in list(open_ranges.items()):
+            first = ranges.index((least, most)) * QUANTILE_BINS
+            for row in counted:
+                if first <= row["bin"] < first + QUANTILE_BINS:
+                    if at < row["n"]:
+                        open_ranges[rank] = (row["least"], row["most"], at)
+                        break
+                    at -= row["n"]
+    return [found[rank] for rank in ranks]
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between the two neighbouring values, equal to those of the whole sorted column; None without values."""
+    n = rows.agg(F.count(column)).first()[0]
+    if not n:
+        return [None] * len(shares)
+    at = [share * (n - 1) for share in shares]
+    ranks = sorted({rank for a in at for rank in (math.floor(a), math.ceil(a))})
+    value = dict(zip(ranks, order_values(rows, column, ranks)))
+    return [value[math.floor(a)] + (value[math.ceil(a)] - value[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
+def length_terciles(rows: DataFrame, length: str) -> DataFrame:
+    """Add short / medium / long by the terciles of the whole column."""
+    q1, q2 = exact_quantiles(rows, length, (1 / 3, 2 / 3))
     return rows.withColumn("bucket", F.when(F.col(length) <= q1, "short").when(F.col(length) <= q2, "medium").otherwise("long"))
 
 
@@ -214,14 +262,26 @@ def level_digit(label: Column) -> Column:
     return F.nullif(F.regexp_extract(label.cast("string"), r"(\d)", 1), F.lit("")).try_cast("int")
 
 
-def gap_by_bucket(per_prompt: DataFrame, labels: DataFrame, models: Sequence[str], model: str = "model") -> DataFrame:
+def key_print(key: str) -> list[Column]:
+    """Aggregates that two equal sets of keys share and others do not: number, sum and exclusive or of hashes. They merge, so no set is built."""
+    h = F.xxhash64(key)
+    return [F.count("*").alias("n_keys"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("hash_sum"), F.bit_xor(h).alias("hash_xor")]
+
+
+def gap_by_bucket(
+    per_prompt: DataFrame, labels: DataFrame, models: Sequence[str], model: str = "model", planned: DataFrame | None = None
+) -> DataFrame:
     """Bucket size and mean gap per bucket and model.
 
-    ``labels`` is (prompt_id, bucket). A model whose prompt count differs from the label count is not
-    comparable and gets nulls.
+    ``labels`` is (prompt_id, bucket). ``planned`` holds the (model, prompt_id) that were to be sampled, without it every labelled prompt of
+    every model. A model is comparable if its prompts are exactly its planned ones, not just as many; others get nulls.
     """
-    n_labels = labels.agg(F.count("*")).scalar()
-    fits = per_prompt.groupBy(model).agg(F.count("*").alias("n_prompts")).where(F.col("n_prompts") == n_labels).select(model)
+    if planned is None:
+        planned = labels.select("prompt_id", F.explode(F.array(*map(F.lit, models))).alias(model))
+    prints = ("n_keys", "hash_sum", "hash_xor")
+    wanted = planned.groupBy(model).agg(*key_print("prompt_id"))
+    found = per_prompt.groupBy(model).agg(*key_print("prompt_id")).withColumnsRenamed({c: f"own_{c}" for c in prints})
+    fits = join_cells(found, wanted, [model]).where(" and ".join(f"{c} = own_{c}" for c in prints)).select(model)
     sizes = labels.groupBy("bucket").agg(F.count("*").alias("n"))
     means = (
         join_cells(per_prompt, fits, [model], "left_semi").join(labels, "prompt_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -174,25 +175,22 @@ def test_sc_vote(rows):
 
 def test_sc_vote_ties_go_to_the_first_key(rows):
     """Against a direct count over the same draws."""
-    from bestofk.functions.hashing import draw_index
-
     rng = random.Random(3)
     keys = [[rng.choice(["a", "b", "c", None]) for _ in range(6)] for _ in range(20)]
     us = [[rng.randint(0, 1) for _ in range(6)] for _ in range(20)]
     df = keyed(rows, keys, us)
-    grid = df.select("prompt_id").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
-        "pos", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    picks = {}
-    for r in grid.withColumn("i", draw_index(F.lit(6), F.lit(0), "prompt_id", "draw", "pos")).orderBy("pos").collect():
-        picks.setdefault((r.prompt_id, r.draw), []).append(r.i)
-    for r in R.sc_vote(df, n=4, n_draws=5, k_max=6).collect():
-        drawn = picks[(r.prompt_id, r.k)]
+    word = lambda p, d, i: hashlib.md5(f"0|{p}|{d}|{i // 4}".encode()).hexdigest()[8 * (i % 4) : 8 * (i % 4) + 8]
+    picks = {(p, d): [int(word(p, d, i), 16) % 6 for i in range(9)] for p in range(20) for d in range(5)}
+    for r in R.sc_votes(df, sizes=[4, 1, 9], n_draws=5, k_max=6).collect():
+        drawn = picks[(r.prompt_id, r.k)][: r.sc_n]
         counts = Counter(keys[r.prompt_id][i] for i in drawn if keys[r.prompt_id][i] is not None)
         want = 0.0
         if counts:
             mode = counts.most_common(1)[0][0]
             want = float(us[r.prompt_id][next(i for i in drawn if keys[r.prompt_id][i] == mode)])
         assert r.u == want
+    plan = R.sc_votes(df, sizes=[2], n_draws=2, k_max=6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 VERDICTS = [("A", True, 1.0), ("A", False, 0.0), ("B", True, 0.0), (" b", False, 1.0), ("T", True, 0.5), ("\n a.", True, 1.0), ("", True, None), ("?", False, None)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from bestofk.functions import scorers
 from bestofk.functions import text as T
 from bestofk.operators import scoring
+from bestofk.plans import experiments as E
 
 # Made from the rules: how a number may be marked, and how it may be written.
 MARKED = {
@@ -168,13 +171,27 @@ def test_code_rules(rows):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(0, "x=1\n", "f", True), (1, "x=1", None, False)]
 
 
-@pytest.mark.parametrize("got,want,same", [
-    ("[1, 2]", "[1,2]", True), ('{"b":1,"a":2}', '{"a": 2, "b": 1}', True), ("1.0", "1", True), ("abc ", "abc", True),
-    ("[1,2]", "[2,1]", False), ("5 6", "5", False), ("1, 2", "1,2", False), ("abc", "[1]", False),
-])
-def test_json_match(rows, got, want, same):
-    df = rows([(0, got, want)], "rc int, a string, b string")
-    assert df.select(T.json_match(F.col("rc"), F.col("a"), F.col("b")).alias("x")).first()["x"] is same
+JSON_TEXTS = [
+    "[1, 2]", "[1,2]", "[2,1]", '{"b":1,"a":2}', '{"a": 2, "b": 1}', '{"a": 2.0, "b": true}', "1.0", "1", "1e0", "10E-1", "true", "0", "-0", "-0.0", "false",
+    "0.5", "5e-1", "[]", "[[]]", "{}", "null", '"1"', '"true"', '" a"', '"\\u0061"', '"a"', '["a,b"]', '["a","b"]', "9007199254740993", "9007199254740992.0",
+    "9007199254740992", "1e3", "1000", "[true, [false, {\"x\": 1.50}]]", "[1, [0, {\"x\": 1.5}]]", "[1, [0, {\"x\": \"1.5\"}]]", "abc", "5 6", "1, 2", "",
+    "123456789012345678901234567890", "123456789012345678901234567891", '{"a":{"b":[1,{"c":null}]}}', '{"a":{"b":[1.0,{"c":null}]}}',
+]
+
+
+def test_json_match_is_equality_of_parsed_values(rows):
+    """Every pair of texts against Python's own parser, with text equality where a side is not JSON."""
+    def same(a, b):
+        try:
+            return json.loads(a) == json.loads(b)
+        except ValueError:
+            return a.strip() == b.strip()
+
+    pairs = [(i, j) for i in range(len(JSON_TEXTS)) for j in range(len(JSON_TEXTS))]
+    df = rows([(i, j, 0, JSON_TEXTS[i], JSON_TEXTS[j]) for i, j in pairs], "i int, j int, rc int, a string, b string")
+    got = {(r.i, r.j): r.x for r in df.select("i", "j", T.json_match(F.col("rc"), F.col("a"), F.col("b")).alias("x")).collect()}
+    assert [(JSON_TEXTS[i], JSON_TEXTS[j]) for i, j in pairs if got[i, j] != same(JSON_TEXTS[i], JSON_TEXTS[j])] == []
+    assert df.where("i = 0 and j = 1").select(T.json_match(F.lit(1), F.col("a"), F.col("b")).alias("x")).first().x is False
 
 
 def test_all_tests_pass(rows):
@@ -210,14 +227,44 @@ def test_dispatch_and_registry(rows):
     assert by_id(df.withColumn("u", scorers.get_scorer("exact")(F.col("text"), F.col("ground_truth"))), "u") == [0.0] * 4
 
 
-def test_vectorised_python_scorer(rows):
+def test_python_scorer_sees_its_own_rows_only(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
     @F.pandas_udf("double")
     def same_length(text: pd.Series, truth: pd.Series) -> pd.Series:
+        seen.add(len(text))
         return (text.str.len() == truth.str.len()).astype("float64")
 
-    scorers.register_scorer("length", same_length)
-    df = rows([(0, "ab", "cd"), (1, "ab", "c")], "id int, text string, ground_truth string")
-    assert by_id(df.withColumn("u", scorers.get_scorer("length")(F.col("text"), F.col("ground_truth"))), "u") == [1.0, 0.0]
+    scorers.register_scorer(" Length", same_length)
+    try:
+        df = rows([("LENGTH ", 0, 0, "ab", "cd"), ("length", 1, 0, "ab", "c"), ("gsm8k", 2, 0, "#### 4", "4"), (" Math", 3, 0, "\\boxed{4}", "5")],
+                  "dataset string, prompt_id int, k int, text string, ground_truth string")
+        got = E.score_samples(df, ["dataset"]).collect()
+    finally:
+        scorers.unregister_scorer("length")
+    assert {(r.dataset, r.prompt_id): r.u for r in got} == {("LENGTH ", 0): 1.0, ("length", 1): 0.0, ("gsm8k", 2): 1.0, (" Math", 3): 0.0}
+    assert seen.value == 2
+    with pytest.raises(Exception, match="no scorer for dataset length"):
+        E.score_samples(df, ["dataset"])
+
+
+def test_programs_are_found_however_their_dataset_is_spelled(rows, monkeypatch):
+    """Verdicts join on the normalised name; only keys of programs are shuffled."""
+    df = rows([(" HumanEval", 0, 0, "code", ""), ("humaneval\n", 1, 0, "code", ""), ("LIVECODEBENCH", 0, 0, "code", ""), ("gsm8k", 0, 0, "#### 4", "4")],
+              "dataset string, prompt_id int, k int, text string, ground_truth string")
+    runs = rows([("HUMANEVAL ", p, 0, 0, "stdin", 0, "1", "1", 1.0) for p in (0, 1)],
+                "dataset string, prompt_id int, k int, test_idx int, testtype string, returncode int, stdout string, expected string, seconds double")
+    plans = []
+    monkeypatch.setattr(E, "materialise", lambda scored, name: plans.append(scored) or scored)
+    got = E.score_samples(df, ["dataset"], outcomes=runs).collect()
+    assert {(r.dataset.strip().lower(), r.prompt_id): r.u for r in got} == {
+        ("humaneval", 0): 1.0, ("humaneval", 1): 1.0, ("livecodebench", 0): 0.0, ("gsm8k", 0): 1.0}
+    assert {r.dataset for r in got} == {" HumanEval", "humaneval\n", "LIVECODEBENCH", "gsm8k"}
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not any("text" in line or "ground_truth" in line for line in moved)
+    with pytest.raises(Exception, match="recorded test runs"):
+        E.score_samples(df, ["dataset"]).collect()
 
 
 def test_number_rules_on_real_pages(spark):
