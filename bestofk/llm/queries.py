@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bestofk.llm import bpe, decontamination, hardneg, html, lexical, licenses, mixing, neardup, quality, sharding, substrings, toxicity, warc
-from bestofk.llm.common import table
+from bestofk.llm.common import stored, table
 from bestofk.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,9 +45,10 @@ from p left join first on p.html = first.html and payload_bytes >= 100
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.with_full_payload(warc.assemble(warc.read_records(spark, path)))
+    records = stored(warc.read_records(spark, path, payloads=False), "records")  # read once; digests are those of the bytes read
+    captures = warc.with_full_payload(warc.assemble(records))
     return captures.select(
-        "page_id", F.col("full_bytes").alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"),
+        "page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_sha256").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"),
     )
 

@@ -4,8 +4,8 @@ A page becomes a request, a response (or a revisit of an earlier response with t
 metadata name the response in WARC-Concurrent-To. Reading splits archives into records and joins the records of
 a capture through those headers, whichever side carries them and also at second hand (metadata that names the request).
 
-Archives are files of whole records. The writer caps a file at ``records_per_file`` records, so that a reader, which holds one file at a time,
-needs bounded memory; files of other writers are read likewise, plain or gzip with one or more members.
+Archives are files of whole records, of ``records_per_file`` at most from this writer; a reader holds one compressed file and unpacks it as a stream.
+Files of other writers are read likewise, plain or gzip with one or more members.
 
 Defined cases: a null payload is an empty one; a null url is left out of the headers; white space and control characters in a url are
 percent-encoded; repeated rows give captures with the same ids, one per row of the table; an empty table gives an empty archive. Extra columns
@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ CRLF = "\r\n"
 #: Payloads below this size are never written as revisits.
 REVISIT_FROM = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, payload binary, payload_bytes bigint, head string"
+RECORDS = "record_id string, kind string, concurrent_to array<string>, refers_to string, uri string, digest string, payload binary, payload_bytes bigint, payload_sha256 string, head string"
+ANSWERS = ("response", "revisit")
 
 
 def record_id(kind: str, page_id: Column, digest: Column) -> Column:
@@ -92,34 +94,89 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00
     )
 
 
-def _plain(content: bytes) -> bytes:
-    """Undoes gzip, member after member."""
-    parts = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        parts += [member.decompress(content), member.flush()]
-        content = member.unused_data
-    return b"".join(parts) if parts else content
-
-
-def _records(data: bytes) -> Iterator[dict]:
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
+#: Compressed bytes taken at once, and bytes a step unpacks at most.
+TAKE, UNPACK = 1 << 18, 1 << 22
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """Content in pieces, gzip undone member after member."""
+    view = memoryview(content)
+    if content[:2] != b"\x1f\x8b":
+        yield from (bytes(view[i : i + UNPACK]) for i in range(0, len(view), UNPACK))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(view) or member.unconsumed_tail:
+        data = member.unconsumed_tail or bytes(view[at : at + TAKE])
+        if not member.unconsumed_tail:
+            at += len(data)
+        yield member.decompress(data, UNPACK)
+        if member.eof:
+            at -= len(member.unused_data)
+            member = zlib.decompressobj(31)
+            while at < len(view) and view[at] == 0:  # padding between members
+                at += 1
+    yield member.flush()
+
+
+class _Buffer:
+    """Bytes of a stream of pieces, as many as a record needs at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at, self.passed = pieces, bytearray(), 0, 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.passed += self.at
+        del self.held[: self.at]
+        self.at = 0
+        self.held += piece
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes up to ``mark``, which is passed over."""
+        seen = 0
+        while (end := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark))
+            if not self.more():
+                return None
+        out, self.at = bytes(self.held[self.at : end]), end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self.more():
+            pass
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+    def skip_lines(self) -> bool:
+        """Passes over line ends; False at the end of the stream."""
+        while True:
+            while self.at < len(self.held) and self.held[self.at] in b"\r\n":
+                self.at += 1
+            if self.at < len(self.held):
+                return True
+            if not self.more():
+                return False
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[dict]:
+    stream = _Buffer(pieces)
+    while stream.skip_lines():
+        begin = stream.passed + stream.at
+        header = stream.until(b"\r\n\r\n")
+        if header is None or not header.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {begin}")
         fields: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
+        for line in header.decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
             fields.setdefault(name.strip().lower(), []).append(value.strip())
         length = int(fields["content-length"][0])
-        body = data[end + 4 : end + 4 + length]
+        body = stream.take(length)
         if len(body) < length:
-            raise ValueError(f"the record at byte {at} is cut off")
-        at = end + 4 + length
+            raise ValueError(f"the record at byte {begin} is cut off")
         one = lambda name: fields.get(name, [None])[0]  # noqa: B023, E731
         head, payload = b"", body
         if (one("content-type") or "").startswith("application/http"):
@@ -127,20 +184,26 @@ def _records(data: bytes) -> Iterator[dict]:
         yield {
             "record_id": one("warc-record-id"), "kind": one("warc-type"), "concurrent_to": fields.get("warc-concurrent-to", []),
             "refers_to": one("warc-refers-to"), "uri": one("warc-target-uri"), "digest": one("warc-payload-digest"),
-            "payload": payload, "payload_bytes": len(payload), "head": head.decode("utf-8", "replace"),
+            "payload": payload, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "head": head.decode("utf-8", "replace"),
         }
 
 
-def read_records(spark: SparkSession, path: str, *, batch_bytes: int = 4_000_000) -> DataFrame:
-    """One row per record of the archives under ``path``."""
+def read_records(spark: SparkSession, path: str, *, batch_bytes: int = 4_000_000, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives under ``path``.
+
+    ``payload_bytes`` and ``payload_sha256`` are measured on the payload as it is read. Without ``payloads`` those of
+    responses and revisits are null. Archives are unpacked as a stream: a task holds one compressed file and the records of a batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 rows, size = [], 0
-                for row in _records(_plain(bytes(content))):
-                    rows.append(row)
+                for row in _records(_unpacked(bytes(content))):
                     size += len(row["payload"])
+                    if not payloads and row["kind"] in ANSWERS:
+                        row["payload"] = None
+                    rows.append(row)
                     if size >= batch_bytes:
                         yield pd.DataFrame(rows)
                         rows, size = [], 0
@@ -157,7 +220,7 @@ def assemble(records: DataFrame) -> DataFrame:
     a record linked with it belongs to. Records with no answer are not captures. Only ids move in the link joins; of several requests (or metadata records)
     of one capture the one with the smallest id is kept.
     """
-    is_answer = F.col("kind").isin("response", "revisit")
+    is_answer = F.col("kind").isin(*ANSWERS)
     ids = materialise(records.select("record_id", is_answer.alias("is_answer"), "concurrent_to"), "record-ids")
     named = ids.select(F.col("record_id").alias("x"), F.explode("concurrent_to").alias("y"))
     links = named.unionByName(named.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -173,15 +236,18 @@ def assemble(records: DataFrame) -> DataFrame:
         .groupBy("answer").pivot("kind", ["request", "metadata"])
         .agg(F.min(F.struct("record_id", "uri", "head", "payload")))
     )
-    captures = records.where(is_answer).select("record_id", "kind", "uri", "digest", "refers_to", "head", "payload", "payload_bytes")
+    captures = records.where(is_answer).select("record_id", "kind", "uri", "digest", "refers_to", "head", "payload", "payload_bytes", "payload_sha256")
     return captures.join(others.withColumnRenamed("answer", "record_id"), "record_id", "left")
 
 
 def with_full_payload(captures: DataFrame) -> DataFrame:
-    """Adds page_id (from the metadata record), full_bytes and refers_page: for a revisit those of the response it refers to."""
+    """Adds page_id (from the metadata record), full_bytes, full_sha256 and refers_page: for a revisit those of the response it refers to."""
     page_id = F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
     own = captures.withColumn("page_id", F.when(page_id != "", page_id.cast("long")))
     target = own.where("kind = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page"), F.col("payload_bytes").alias("target_bytes"))
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page"), F.col("payload_bytes").alias("target_bytes"),
+        F.col("payload_sha256").alias("target_sha256"))
     target = materialise(target.dropDuplicates(["refers_to"]), "responses")
-    return own.join(target, "refers_to", "left").withColumn("full_bytes", F.coalesce("target_bytes", "payload_bytes")).drop("target_bytes")
+    return own.join(target, "refers_to", "left").withColumns({
+        "full_bytes": F.coalesce("target_bytes", "payload_bytes"), "full_sha256": F.coalesce("target_sha256", "payload_sha256"),
+    }).drop("target_bytes", "target_sha256")
