@@ -10,7 +10,8 @@ A candidate group of any size is cut into blocks of classes; a task sees two blo
 and a spanning forest of its links, never the pairs. Classes carry their number of documents, so copies count without being compared.
 
 Defined cases: null and wordless texts have no shingles, are linked to nothing and stay; a text of fewer than five words is one shingle; repeated
-rows are copies like any others (``distinct_documents`` keeps one); ids may be null. Extra columns are ignored, or kept by ``distinct_documents``.
+rows are copies like any others (``distinct_documents`` keeps one); ids may be null or repeat, since a row is known by its id and 128 bits of its text. Extra
+columns are ignored, or kept by ``distinct_documents``.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bestofk.llm.common import fresh
+from bestofk.functions.joins import join_cells
+from bestofk.llm.common import fresh, stored, text_key
 from bestofk.llm.components import connected_components
-from bestofk.session import materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -126,10 +127,21 @@ def _set_hash(s: np.ndarray, salt: int) -> int:
     return int(_mix(s * _POWER + np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
 
 
+#: What tells rows of a table apart, but for exact repeats.
+KEY = ["doc_id", "text_a", "text_b"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the two halves of the text's key."""
+    key = text_key(F.col("text"))
+    return docs.select("doc_id", "text", key["a"].alias("text_a"), key["b"].alias("text_b"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), set_a and set_b (128 bits that stand for the shingle set) and the band values of every row."""
-    rows = docs.select("doc_id", "text")
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, set_a bigint, set_b bigint, bands array<bigint>"
+    """doc_id, text_a, text_b, n (shingles), set_a and set_b (128 bits that stand for the shingle set) and the band values of every row."""
+    rows = _keyed(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text_a bigint, text_b bigint, n int, set_a bigint, set_b bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,25 +156,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_hash(s, 1) for s in sets], pa.int64()),
                     pa.array([_set_hash(s, 2) for s in sets], pa.int64()), bands,
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), *columns], [*KEY, "n", "set_a", "set_b", "bands"])
 
     return rows.mapInArrow(run, schema)
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, copies, root, block, blocks with signature and shingles: the texts of ``wanted`` (one doc_id per class) are read again."""
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    """cls, copies, root, block, blocks with signature and shingles: the texts of ``wanted`` (one row of ``docs`` per class) are read again."""
+    rows = join_cells(_keyed(docs), wanted, KEY)
     schema = "cls bigint, copies bigint, root bigint, block int, blocks int, signature binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 sets = shingle_sets(part.column("text").to_pylist())
-                right = [a == _set_hash(s, 1) for a, s in zip(part.column("set_a").to_pylist(), sets)]  # another text may have the same id
-                kept = part.filter(pa.array(right, pa.bool_()))
-                sets = [s for s, ok in zip(sets, right) if ok]
                 yield pa.RecordBatch.from_arrays(
-                    [*(kept.column(c) for c in ("cls", "copies", "root", "block", "blocks")),
+                    [*(part.column(c) for c in ("cls", "copies", "root", "block", "blocks")),
                      pa.array([minhash(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["cls", "copies", "root", "block", "blocks", "signature", "shingles"],
                 )
@@ -222,27 +231,31 @@ def _links_of_blocks(threshold: float, tolerance: float):
     return run
 
 
+def _first(name: str = "first") -> Column:
+    """The row that stands for a class or group: smallest id, ids before nulls, then by text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)).alias(name)
+
+
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and per class of equal shingle sets: set_a, set_b, copies, first_id, links, class_id."""
-    rows = materialise(sketches(docs), "sketches")
-    per_class = (
-        rows.where("n > 0").groupBy("set_a", "set_b").agg(
-            F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("first_id"),
-        ).withColumn("cls", F.monotonically_increasing_id())
-    )
-    per_class = materialise(per_class, "classes")
-    # One row stands for the class: its bands and sets are the same in every row of it.
-    ranked = rows.where("n > 0").dropDuplicates(["set_a", "set_b"]).select("set_a", "set_b", "bands").join(per_class, ["set_a", "set_b"])
-    bands = materialise(ranked.select("cls", F.posexplode("bands").alias("band", "value")), "bands")
+    """The sketches of all rows, and per class of equal shingle sets: set_a, set_b, copies, links, ``first`` of the class and ``group_first`` of all classes
+    linked with it (rows no_id, doc_id, text_a, text_b)."""
+    rows = stored(sketches(docs), "sketches")
+    some = rows.where("n > 0")
+    per_class = stored(
+        some.groupBy("set_a", "set_b").agg(F.count("*").alias("copies"), _first(), F.first("bands").alias("bands"))
+        .withColumn("cls", F.monotonically_increasing_id()), "classes")
+    # Only the buckets that several classes share go on; a class's bands are unpacked in place, never written out one by one.
+    bands = per_class.select("cls", F.posexplode("bands").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most")
-    near = bands.join(materialise(shared.select("band", "value", "least"), "buckets"), ["band", "value"])
-    candidates = connected_components(near.select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    near = bands.join(stored(shared.select("band", "value", "least"), "buckets"), ["band", "value"])
+    near = stored(near.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct(), "near")
+    candidates = stored(connected_components(near), "groups")
     sizes = candidates.groupBy("root").agg(F.count("*").alias("members"))
-    placed = candidates.join(materialise(sizes, "groups"), "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    placed = candidates.join(stored(sizes, "sizes"), "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.withColumnRenamed("node", "cls").join(per_class, "cls").select(
-        F.col("first_id").alias("doc_id"), "cls", "copies", "root", "block", "blocks", "set_a")
-    content = materialise(_contents(docs, wanted), "candidates")
+    wanted = placed.withColumnRenamed("node", "cls").join(per_class.select("cls", "copies", "first.*"), "cls").select(
+        *KEY, "cls", "copies", "root", "block", "blocks")
+    content = stored(_contents(docs, stored(wanted, "wanted")), "candidates")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))
     )
@@ -250,41 +263,49 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     found = dealt.select("root", "pair.i", "pair.j", "block", "cls", "copies", "signature", "shingles").groupBy("root", "i", "j").applyInPandas(
         _links_of_blocks(threshold, tolerance), "a bigint, b bigint, links bigint"
     )
-    found = materialise(found, "found")
+    found = stored(found, "found")
     groups = connected_components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     out = (
-        per_class.join(links.withColumnRenamed("a", "cls"), "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("set_a", "set_b", "copies", "first_id", F.coalesce("root", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+        per_class.drop("bands").join(links.withColumnRenamed("a", "cls"), "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+        .select("set_a", "set_b", "copies", "first", F.coalesce("root", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    firsts = out.groupBy("group").agg(F.min("first_id").alias("class_id"))
-    return rows, materialise(out.join(firsts, "group"), "classes")
+    firsts = out.groupBy("group").agg(F.min("first").alias("group_first"))
+    return rows, stored(out.join(firsts, "group"), "linked")
+
+
+def _members(docs: DataFrame, **options) -> DataFrame:
+    """Every row's key and n with what is known of its class, null for wordless texts."""
+    rows, found = classes(docs, **options)
+    return rows.select(*KEY, "n", "set_a", "set_b").join(found, ["set_a", "set_b"], "left")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (smallest doc_id of all texts linked with it, over any number of steps), copy_of (smallest doc_id with the
-    same shingle set), n_links (documents of similarity at the threshold or above, copies included)."""
-    rows, found = classes(docs, **options)
-    narrow = rows.select("doc_id", "n", "set_a", "set_b")
-    return narrow.join(found, ["set_a", "set_b"], "left").select(
+    same shingle set), n_links (documents of similarity at the threshold or above, copies included). Where no text has an id, class_id and copy_of are null."""
+    return _members(docs, **options).select(
         "doc_id",
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("copy_of"),
+        F.when(F.col("n") > 0, F.col("group_first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("copy_of"),
         F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
     )
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` per class, that with the smallest id, all columns unchanged; wordless texts all stay.
+    """One row of ``docs`` per class, that with the smallest id (without ids, that with the smallest text key), all columns unchanged; wordless texts all stay.
 
-    Only rows that leave are joined; of the rows of one id that stay, repeats with the same text are dropped.
+    Only rows that leave or repeat are joined; of the rows of one id and text that stay, one is kept.
     """
-    found = near_duplicates(docs, **options)
-    leaving = materialise(found.where("n_links > 0").groupBy("doc_id").agg(
-        F.min(F.when(F.col("doc_id") == F.col("class_id"), 0).otherwise(1)).alias("leaves"), F.count("*").alias("rows")), "leaving")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)
+    linked = _members(docs, **options).where("links + copies > 1")
+    known = stored(linked.groupBy(*KEY).agg(F.min((key != F.col("group_first")).cast("int")).alias("leaves"), F.count("*").alias("rows")), "leaving")
     flag, times = fresh(docs, "leaves"), fresh(docs, "times")
-    marked = docs.join(leaving.select(F.col("doc_id").alias("doc_id"), F.col("leaves").alias(flag), F.col("rows").alias(times)), "doc_id", "left")
+    halves = [fresh(docs, c) for c in ("text_a", "text_b")]
+    whole = text_key(F.col("text"))
+    keyed = docs.withColumns({halves[0]: whole["a"], halves[1]: whole["b"]})
+    known = known.withColumnsRenamed({"text_a": halves[0], "text_b": halves[1], "leaves": flag, "rows": times})
+    marked = join_cells(keyed, known, ["doc_id", *halves], "left")
     staying = marked.where(F.coalesce(F.col(flag), F.lit(0)) == 0)
     alone = staying.where(F.coalesce(F.col(times), F.lit(1)) == 1)
-    repeated = staying.where(F.col(times) > 1).dropDuplicates(["doc_id", "text"])
+    repeated = staying.where(F.col(times) > 1).dropDuplicates(["doc_id", *halves])
     return alone.unionByName(repeated).select(*docs.columns)
