@@ -32,7 +32,7 @@ class Settings(NamedTuple):
     #: A negative's score lies between low / 100 and high / 100 of the positive's.
     low: int = 80
     high: int = 100
-    n_codes: int = 4
+    n_codes: int = 6
     query_bits: int = 8
     rows_per_block: int = 65_536
     anchors_per_block: int = 4_096
@@ -174,6 +174,8 @@ def _names(ddl: str) -> list[str]:
 
 def _positives(s: Settings):
     def run(rows: pa.Table, anchors: pa.Table) -> pa.Table:
+        if not rows.num_rows or not anchors.num_rows:
+            return _collect(_names(POSITIVE), [])
         block, out = _block(rows, s), []
         turned = rotate(wanted := _vectors(anchors), s.seed)
         for i, (anchor, anchor_id, label) in enumerate(zip(*(anchors.column(c).to_pylist() for c in ("anchor", "vec_id", "label")))):
@@ -191,6 +193,8 @@ def _positives(s: Settings):
 
 def _negatives(s: Settings):
     def run(rows: pa.Table, anchors: pa.Table) -> pa.Table:
+        if not rows.num_rows or not anchors.num_rows:
+            return _collect(_names(NEGATIVE), [])
         block, out = _block(rows, s), []
         turned = rotate(wanted := _vectors(anchors), s.seed)
         names = ("anchor", "vec_id", "label", "positives")
