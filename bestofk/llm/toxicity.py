@@ -1,9 +1,10 @@
 """Toxicity by compression distance: what a dictionary of toxic text saves over one of ordinary text.
 
-Two zstandard dictionaries are trained: one on windows of ordinary texts, one on the parts of toxic texts that ordinary
+Two zstandard dictionaries are made: one trained on windows of ordinary texts, one of the commonest parts of toxic texts that ordinary
 texts hardly have. Both compressors hold the ordinary dictionary, and one of them the toxic part in front of it, so that
-the length difference of a window is what the toxic part saves. How many windows of a text pass each of a row of
-thresholds is turned into a probability by a logistic curve, fitted on labelled texts that no dictionary has seen.
+the length difference of a window is what the toxic part saves. How many windows of a text, and what share, pass each of a row of
+thresholds is turned into a probability by a logistic curve, fitted on labelled texts that no dictionary has seen. Windows have two lengths: in long
+ones the ordinary dictionary takes hold, in short ones a single part shows.
 
 Training reads a bounded sample of labelled rows: ``Settings.max_toxic`` and ``Settings.max_ordinary`` rows in the order of a hash
 of their id, texts of ``Settings.max_train_chars`` at most. Scoring reads every text whole, a batch at a time in each task.
@@ -15,6 +16,7 @@ scored each for itself. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
+PENALTY = 2e-3
 
 
 @dataclass(frozen=True)
@@ -34,12 +37,14 @@ class Settings:
     max_ordinary: int = 3000
     max_train_chars: int = 50_000
     level: int = 6
-    ordinary_bytes: int = 8192
-    toxic_bytes: int = 1024
-    window_words: int = 8
-    step_words: int = 6
-    gram: int = 5
+    ordinary_bytes: int = 16384
+    toxic_bytes: int = 2048
+    #: Lengths of windows in words, and by how many words the next one starts later. Dictionaries are trained on windows of the first kind.
+    windows: tuple[tuple[int, int], ...] = ((8, 6), (4, 3))
+    #: Lengths in bytes of the parts of words that are compared, how much more often toxic texts must hold one, and how surely (log-likelihood ratio).
+    grams: tuple[int, ...] = (5, 6, 7, 8, 9, 10)
     min_lift: float = 20.0
+    min_evidence: float = 25.0
     seed: int = 0
 
 
@@ -63,34 +68,52 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
 
-def _windows(words: list[bytes], s: Settings) -> list[bytes]:
-    last = max(1, len(words) - s.window_words + s.step_words)
-    return [b" " + b" ".join(words[i : i + s.window_words]) + b" " for i in range(0, last, s.step_words)] if words else []
+def _windows(words: list[bytes], length: int, step: int) -> list[bytes]:
+    last = max(1, len(words) - length + step)
+    return [b" " + b" ".join(words[i : i + length]) + b" " for i in range(0, last, step)] if words else []
 
 
-def _grams(word: bytes, n: int) -> set[bytes]:
+def _grams(word: bytes, lengths: tuple[int, ...]) -> set[bytes]:
     word = b" " + word + b" "
-    return {word[i : i + n] for i in range(len(word) - n + 1)}
+    return {word[i : i + n] for n in lengths for i in range(len(word) - n + 1)}
+
+
+def _evidence(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """Log-likelihood ratio of the two shares being different."""
+    share = n_bad / (n_bad + n_good)
+    part = lambda seen, wanted: seen * math.log(seen / wanted) if seen else 0.0
+    return 2 * (part(bad, (bad + good) * share) + part(good, (bad + good) * (1 - share)))
 
 
 def _marks(toxic: list[list[bytes]], ordinary: list[list[bytes]], s: Settings) -> set[bytes]:
-    """Byte grams found in far more toxic than ordinary texts."""
+    """Parts of words, with their edges, found in far more toxic than ordinary texts, however small the share of texts (a language, say) that has them.
+
+    Of parts that hold one another only the shorter ones are needed.
+    """
     seen = []
     for texts in (toxic, ordinary):
         count: Counter = Counter()
         for words in texts:
-            count.update(set().union(*(_grams(w, s.gram) for w in set(words))) if words else ())
+            count.update(set().union(*(_grams(w, s.grams) for w in set(words))) if words else ())
         seen.append(count)
     lift = lambda g: (seen[0][g] + 0.5) / (len(toxic) + 1) / ((seen[1][g] + 0.5) / (len(ordinary) + 1))
-    return {g for g, n in seen[0].items() if n >= max(2, len(toxic) / 100) and lift(g) >= s.min_lift}
+    found = sorted((
+        g for g, n in seen[0].items()
+        if n >= 2 and lift(g) >= s.min_lift and _evidence(n, seen[1][g], len(toxic), len(ordinary)) >= s.min_evidence), key=len)
+    marks: set[bytes] = set()
+    for g in found:
+        if not any(g[i : i + n] in marks for n in s.grams if n < len(g) for i in range(len(g) - n + 1)):
+            marks.add(g)
+    return marks
 
 
-def _marked_part(word: bytes, marks: set[bytes], n: int) -> bytes:
+def _marked_part(word: bytes, marks: set[bytes], lengths: tuple[int, ...]) -> bytes:
     word = b" " + word + b" "
     inside = set()
-    for i in range(len(word) - n + 1):
-        if word[i : i + n] in marks:
-            inside.update(range(i, i + n))
+    for n in lengths:
+        for i in range(len(word) - n + 1):
+            if word[i : i + n] in marks:
+                inside.update(range(i, i + n))
     return bytes(word[i] for i in sorted(inside))
 
 
@@ -102,6 +125,18 @@ def _dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _commonest(parts: list[bytes], size: int) -> bytes:
+    """The commonest parts as dictionary content, the most common at the end, where matches cost least."""
+    chosen, held = [], 0
+    for part, _ in sorted(Counter(parts).items(), key=lambda x: (-x[1], x[0])):
+        if held + len(part) > size:
+            break
+        if not any(part in c for c in chosen):
+            chosen.append(part)
+            held += len(part)
+    return b"".join(reversed(chosen))
+
+
 def _saver(model_ordinary: bytes, model_toxic: bytes, level: int) -> Callable[[bytes], int]:
     """Bytes that the toxic part saves on a window."""
     packers = []
@@ -117,18 +152,22 @@ def _saver(model_ordinary: bytes, model_toxic: bytes, level: int) -> Callable[[b
 
 
 def _features(text: str | None, save: Callable[[bytes], int], s: Settings) -> list[float]:
-    saved = Counter(save(w) for w in _windows(_words(text), s))
-    reached = [np.log1p(sum(n for v, n in saved.items() if v >= t)) for t in THRESHOLDS]
-    return [*reached, np.log1p(sum(saved.values())), float(max([0, *saved]))]
+    words, out = _words(text), []
+    for length, step in s.windows:
+        saved = Counter(save(w) for w in _windows(words, length, step))
+        n = max(1, sum(saved.values()))
+        over = [sum(m for v, m in saved.items() if v >= t) for t in THRESHOLDS]
+        out += [*np.log1p(over), *(np.sqrt(o / n) for o in over), np.log1p(n), float(max([0, *saved]))]
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted, slightly regularised logistic regression by Newton steps."""
+    """Weighted, regularised logistic regression by Newton steps; features of neighbouring thresholds say nearly the same."""
     b = np.zeros(x.shape[1])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        curve = x.T @ (x * (weight * q * (1 - q))[:, None]) + np.eye(len(b)) * 1e-4
-        b = b + np.linalg.solve(curve, x.T @ (weight * (y - q)) - 1e-4 * b)
+        curve = x.T @ (x * (weight * q * (1 - q))[:, None]) + np.eye(len(b)) * PENALTY
+        b = b + np.linalg.solve(curve, x.T @ (weight * (y - q)) - PENALTY * b)
     return b
 
 
@@ -141,11 +180,11 @@ def fit(toxic: list[str], ordinary: list[str], rate: float, settings: Settings =
     rng = np.random.default_rng(s.seed)
     bad, good = ([_words(t) for t in part(x, False)] for x in (toxic, ordinary))
     marks = _marks(bad, good, s)
-    marked = [m for words in bad for w in words if (m := _marked_part(w, marks, s.gram))]
-    plain = [w for words in good for w in _windows(words, s)]
+    marked = [m for words in bad for w in words if (m := _marked_part(w, marks, s.grams))]
+    plain = [w for words in good for w in _windows(words, *s.windows[0])]
     pick = lambda items, n: [items[i] for i in rng.permutation(len(items))[:n]]
     dictionary = _dictionary(pick(plain, 80_000), s.ordinary_bytes, 32, 8)
-    extra = _dictionary(pick(marked, 80_000), s.toxic_bytes + 600, 12, 6)[-s.toxic_bytes :]
+    extra = _commonest(marked, s.toxic_bytes)
     save = _saver(dictionary, extra, s.level)
     x = np.array([_features(t, save, s) for t in (*part(toxic, True), *part(ordinary, True))])
     n_bad, n_good = len(part(toxic, True)), len(part(ordinary, True))
@@ -166,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         ids = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
         rows = (
             docs.select("doc_id", "text").where(F.length("text").between(1, settings.max_train_chars))
-            .join(F.broadcast(ids.distinct()), "doc_id", "left_semi").collect()
+            .join(F.broadcast(ids.distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one row per id
         )
         texts[label] = list(dict.fromkeys(r["text"] for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"]))))[: most]
     return fit(texts[1], texts[0], rate, settings)
