@@ -2,8 +2,8 @@
 
 Every source is one line of words, its documents laid end to end in a seeded order and cut into blocks of equal
 length. Blocks are the seats: they go to the sources by highest quotients target / (2 * seats + 1), so that each
-output shard gets an integer quota of blocks per source. A source takes its blocks in a seeded order, over
-and over if its quota is larger than what it has.
+output shard gets an integer quota of blocks per source. A source's blocks are visited in a seeded order, over
+and over if its seats are more than its blocks; every shard selects its own quota, the visits that follow those of the shard before.
 
 Defined cases: a null or empty text has size 0 and takes nothing; null is a source of its own, the last; a table
 without words has targets 0; repeated rows and repeated ids count as separate documents. Extra columns are ignored.
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bestofk.functions.text import let
 from bestofk.llm.common import running_start, words
 
 #: Two primes; a step that shares no factor with the number of blocks visits every block.
@@ -78,7 +79,7 @@ def apportion(parties: DataFrame, house: str, seats: str) -> DataFrame:
 
 
 def shard_quotas(targets: DataFrame, block_words: int, cap: int, n_shards: int) -> DataFrame:
-    """Blocks per (source, shard): key, source_size, target, place, n_blocks, shard, quota.
+    """Blocks per (source, shard): key, source_size, target, place, n_blocks, shard, quota, and ``won``, the quotas up to this shard.
 
     Shard i takes the seats that Sainte-Lague adds between the houses of i and i + 1 shards; the rule never takes a seat
     back when the house grows, so quotas are not negative and add up to the whole. A source gives at most ``cap`` times its blocks.
@@ -93,7 +94,7 @@ def shard_quotas(targets: DataFrame, block_words: int, cap: int, n_shards: int)
     along = Window.partitionBy("key").orderBy("shard")
     capped = apportion(houses, "shard", "seats").withColumn("won", F.least("won", cap * F.col("n_blocks")))
     return capped.select(
-        "key", "source_size", "target", "place", "n_blocks", "shard",
+        "key", "source_size", "target", "place", "n_blocks", "shard", "won",
         (F.col("won") - F.coalesce(F.lag("won").over(along), F.lit(0))).alias("quota"),
     )
 
@@ -107,7 +108,7 @@ def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 16, n_shards: int = 8,
     seed: int = 0, bucket_digits: int = 3, carry: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, n_blocks, quota and ``taken`` (words taken, repeats counted) per document.
+    """doc_id, size, source_size, target, n_blocks, quota, ``by_shard`` (words that each shard takes, repeats counted) and ``taken``, their sum, per document.
 
     The place of a document in its source comes from md5(seed, doc_id); the hex prefix is the bucket of a two-level
     running sum, so a source that holds a third of all rows is never one task. The i-th column named in ``carry`` is kept
@@ -121,27 +122,31 @@ def mix(
     ).withColumn("bucket", F.substring("mark", 1, bucket_digits))
     sizes = base.groupBy("key").agg(F.sum("size").alias("source_size"))
     quotas = shard_quotas(source_targets(sizes, weights, cap), block_words, cap, n_shards)
-    sources = quotas.groupBy("key", "source_size", "target", "n_blocks").agg(F.sum("quota").alias("quota"))
+    sources = quotas.groupBy("key", "source_size", "target", "n_blocks").agg(
+        F.sum("quota").alias("quota"), F.transform(F.array_sort(F.collect_list(F.struct("shard", "won"))), lambda x: x["won"]).alias("ends"))
     laid = running_start(base, ["key"], "bucket", [F.col("mark"), F.col("size")], "size", "start")
     step = F.when(F.col("n_blocks") % STEPS[0] != 0, STEPS[0]).otherwise(STEPS[1]).cast("long")
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key"))), 1, 7), 16, 10).cast("long")
     placed = (
         laid.join(sources, "key").withColumn("finish", F.col("start") + F.col("size"))
         .withColumn("step", step).withColumn("shift", shift)
-        .withColumn("rounds", F.floor(F.col("quota") / F.col("n_blocks")).cast("long"))
-        .withColumn("extra", F.col("quota") % F.col("n_blocks"))
     )
     block_of = lambda word: F.least(F.floor(word / block_words).cast("long"), F.col("n_blocks") - 1)
     block_end = lambda j: F.when(j == F.col("n_blocks") - 1, F.col("source_size")).otherwise((j + 1) * block_words)
     overlap = lambda j: F.least("finish", block_end(j)) - F.greatest(F.col("start"), j * block_words)
-    chosen = lambda j: (j * F.col("step") + F.col("shift")) % F.col("n_blocks") < F.col("extra")
-    some = F.aggregate(
-        F.sequence(block_of(F.col("start")), block_of(F.col("finish") - 1)), F.lit(0).cast("long"),
-        lambda acc, j: acc + F.when(chosen(j), overlap(j)).otherwise(0),
-    )
-    taken = F.col("rounds") * F.col("size") + F.when((F.col("extra") > 0) & (F.col("size") > 0), some).otherwise(0)
+    # A document's blocks: their first visit and the words they share with it. Visits of a block come every n_blocks seats.
+    first_visit = lambda j: (j * F.col("step") + F.col("shift")) % F.col("n_blocks")
+    blocks = F.transform(
+        F.sequence(block_of(F.col("start")), block_of(F.col("finish") - 1)), lambda j: F.struct(first_visit(j).alias("visit"), overlap(j).alias("words")))
+    visits = lambda end, block: F.greatest(F.lit(0).cast("long"), F.ceil((end - block["visit"]) / F.col("n_blocks")).cast("long"))
+    up_to = lambda parts, end: F.aggregate(parts, F.lit(0).cast("long"), lambda sum_, block: sum_ + visits(end, block) * block["words"])
+    ends = let(blocks, lambda parts: F.transform("ends", lambda end: up_to(parts, end)))
+    each = let(ends, lambda sums: F.transform(sums, lambda x, i: x - F.when(i > 0, F.get(sums, i - 1)).otherwise(0)))
+    nothing = F.transform("ends", lambda end: F.lit(0).cast("long"))
+    placed = placed.withColumn("by_shard", F.when(F.col("size") > 0, each).otherwise(nothing))
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda sum_, x: sum_ + x)
     return placed.select(
-        "doc_id", "size", "source_size", "target", "n_blocks", "quota", taken.alias("taken"),
+        "doc_id", "size", "source_size", "target", "n_blocks", "quota", "by_shard", taken.alias("taken"),
         *[f"carry_{i}" for i in range(len(kept))],
     )
 

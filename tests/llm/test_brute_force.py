@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
@@ -214,3 +215,34 @@ def test_minhash_estimates_similarity():
     a, b = np.unique(base[:1000]), np.unique(base[200:])
     same = (neardup.minhash(a) == neardup.minhash(b)).mean()
     assert abs(same - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.15
+
+
+def test_op3_classes_without_ids(spark):
+    """Links of texts whose rows all lack an id count, for them and for those linked with them; one of each group stays."""
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join([*words[:i], "other", *words[i:]]) for i in (2, 57)]
+    rows = [(None, near[0]), (None, near[1]), (5, " ".join(words)), (None, "alone here with a few words of its own"), (None, near[0]), (5, "a second text of the same id, without a twin")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(docs).collect()]
+    assert collections.Counter(got) == collections.Counter([(None, 5, 3)] * 3 + [(5, 5, 3), (5, 5, 0), (None, None, 0)])
+    kept = sorted(r.text for r in neardup.distinct_documents(docs).collect())
+    assert kept == sorted([rows[2][1], rows[3][1], rows[5][1]])
+    nameless = docs.where("doc_id is null")
+    kept = [r.text for r in neardup.distinct_documents(nameless).collect()]
+    assert len(kept) == 2 and rows[3][1] in kept
+
+
+def test_op10_every_shard_takes_its_own_quota(spark):
+    """Per source and shard the words taken are its quota of whole blocks; laid out again here, block by block and seat by seat."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{i}" for _ in range(16 * rng.randrange(0, 7))), rng.choice(["a", "b", "c", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = docs.groupBy(mixing.source_key(F.col("source")).alias("key")).agg(F.sum(F.size(mixing.words(F.col("text")))).alias("source_size"))
+    quotas = {(r.key, r.shard): r.quota for r in mixing.shard_quotas(mixing.source_targets(sizes, (1, 2, 3), 3), 16, 3, 8).collect()}
+    source = {i: "1" if s is None else "0" + s for i, _, s in rows}
+    found = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        assert len(r.by_shard) == 8 and sum(r.by_shard) == r.taken <= 3 * r.size
+        for shard, taken in enumerate(r.by_shard):
+            found[source[r.doc_id], shard] += taken
+    assert {k: 16 * q for k, q in quotas.items()} == {k: found[k] for k in quotas} and len({q for q in quotas.values()}) > 2
