@@ -10,12 +10,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from bestofk.functions.hashing import draw_index, hash32
+from bestofk.functions.hashing import hash32
 from bestofk.functions.joins import join_cells
 from bestofk.functions.text import let
 from bestofk.session import materialise, spread

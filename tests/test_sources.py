@@ -15,7 +15,6 @@ from bestofk.functions.hashing import CONFIG_FIELDS, config_fingerprint
 from bestofk.operators import prompts as P
 from bestofk.plans import reports as R
 from bestofk.sources import logs, results, samples
-from bestofk.streaming import jobs
 
 CONFIG = {
     "model": "org/m-1", "dataset": "gsm8k", "K": 4, "temperature": 1.0, "top_p": 0.95, "top_k": -1, "max_tokens": 64, "seed": 0,
