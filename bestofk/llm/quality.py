@@ -195,10 +195,10 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass the base rule and the learned list, all their columns unchanged.
 
-    Rules are learned from labelled rows alone (their statistics), then every row is measured and judged in one scan.
+    Every row is measured in place, and the rules are learned from the statistics of labelled rows: texts are never shuffled. Then every row is measured
+    again and judged in one scan.
     """
-    marked = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    rules = learn(materialise(text_stats(docs.join(marked, "doc_id", "left_semi")), "stats"), labels, **options)
+    rules = learn(materialise(text_stats(docs), "stats"), labels, **options)
     names = docs.columns
     # The verdict goes through a generator: Catalyst would push a filter on it below the projections and work out the statistics once
     # more for every place that uses them.
