@@ -298,7 +298,8 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)
     linked = _members(docs, **options).where("links + copies > 1")
-    known = stored(linked.groupBy(*KEY).agg(F.min((key != F.col("group_first")).cast("int")).alias("leaves"), F.count("*").alias("rows")), "leaving")
+    known = linked.groupBy(*KEY).agg(F.min((key != F.col("group_first")).cast("int")).alias("leaves"), F.count("*").alias("rows"))
+    known = stored(known.where("leaves = 1 or rows > 1"), "leaving")
     flag, times = fresh(docs, "leaves"), fresh(docs, "times")
     halves = [fresh(docs, c) for c in ("text_a", "text_b")]
     whole = text_key(F.col("text"))
