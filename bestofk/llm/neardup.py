@@ -255,7 +255,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.withColumnRenamed("node", "cls").join(per_class.select("cls", "copies", "first.*"), "cls").select(
         *KEY, "cls", "copies", "root", "block", "blocks")
-    content = stored(_contents(docs, stored(wanted, "wanted")), "candidates")
+    content = stored(_contents(docs, wanted), "candidates")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))
     )
