@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bestofk.operators.judge import with_votes
 from bestofk.sources.logs import latest_per_key
-from bestofk.streaming.state import DELTA, DELTA_COLUMNS, PROMPT_STATE, prompt_delta
+from bestofk.streaming.state import BUCKET, BUCKET_STATE, DELTA, DELTA_COLUMNS, PROMPT_ID, prompt_delta, prompt_identity
 
 #: Column that is null in closing markers only.
 SEQUENCE = "ingest_seq"
@@ -97,13 +97,13 @@ def last_records(spark: SparkSession, keys: Sequence[str], path: str, order: str
 def running_cell_gap(stream: DataFrame, cell: Sequence[str], path: str, sequence: str = SEQUENCE, utility: str = "utility") -> StreamingQuery:
     """Keep the gap per cell while decisions arrive.
 
-    The state is three numbers per prompt. A batch reads and writes the states of its own prompts only; each gives out by how much the cell's
-    sums change, and the cell table (one row per cell) of the batch is that of the batch before plus these differences.
+    The state is three numbers per prompt, kept in buckets of prompts. A batch reads and writes the buckets of its own prompts only; each prompt gives out by
+    how much the cell's sums change, and the cell table (one row per cell) of the batch is that of the batch before plus these differences.
     """
-    keys = [*cell, "prompt_id"]
-    rows = stream.where(F.col(sequence).isNotNull()).select(*keys, F.col(utility).cast("double").alias(utility))
-    out = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL(DELTA)])
-    deltas = rows.groupBy(*keys).applyInPandasWithState(prompt_delta(keys, utility), out, PROMPT_STATE, "update", "NoTimeout")
+    rows = stream.where(F.col(sequence).isNotNull()).withColumns(prompt_identity([*cell, "prompt_id"])).select(
+        BUCKET, *PROMPT_ID, *cell, F.col(utility).cast("double").alias(utility))
+    out = T.StructType([*[rows.schema[k] for k in cell], *T.StructType.fromDDL(DELTA)])
+    deltas = rows.groupBy(BUCKET).applyInPandasWithState(prompt_delta(cell, utility), out, BUCKET_STATE, "update", "NoTimeout")
     table = T.StructType([*[rows.schema[k] for k in cell], *T.StructType.fromDDL("s_circ double, s_bar double, m bigint, k_max bigint")])
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from bestofk.operators.metrics import cell_gap, prompt_gap
 from bestofk.sources import logs
 from bestofk.streaming import jobs
+from bestofk.streaming.state import PROMPT_BUCKETS
 
 
 def schema(**kinds):
@@ -139,6 +140,17 @@ def test_a_batch_touches_its_own_prompts_only(spark, log, tmp_path):
     check_gap(spark, log, out)
 
 
+def test_prompts_share_states(spark, tmp_path):
+    """Many prompts, ids and cells that are null among them: the state function is called per bucket, not per prompt."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "gap")
+    for batch in range(2):
+        append(spark, path, [
+            (batch * 10_000 + i, i, [None, "e", "p3"][i % 3], None if i % 50 == 0 else f"p{i}", 0, ((i + batch) % 5) / 4) for i in range(10_000)])
+    query = jobs.running_cell_gap(stream(spark, path), ["experiment"], out)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= PROMPT_BUCKETS
+    check_gap(spark, path, out)
+
+
 CALLS = schema(ingest_seq=LONG, ts=TIME, model=TEXT, verdict_text=TEXT, a_is_candidate=T.BooleanType())
 
 
