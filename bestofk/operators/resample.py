@@ -65,33 +65,68 @@ def window(m: int) -> tuple[float, float]:
     return max(0.0, 1 - CLOCK_WIDTH / math.sqrt(m)), (m + CLOCK_WIDTH * math.sqrt(m) + 5) / m
 
 
+#: Prompts whose draws are worked out at once, and cells whose counts a task adds up before it gives them out.
+PROMPTS_AT_ONCE, CELLS_HELD = 64, 256
+
+
+def _clocks(names: Sequence[str], m: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of prompts in cells of ``m``: strokes counted per (prompt, resample); where each prompt's strokes of the window begin; their resample, time and number."""
+    start, end = window(m)
+    digests = b"".join([md5(f"{seed}|{h}|{name}".encode()).digest() for name in names for h in range(-(-n // 2))])
+    draws = np.frombuffer(digests, ">u4").reshape(len(names), -1, 2)[:, :n]
+    before = np.searchsorted(mass_bounds(start), draws[:, :, 0], "right")
+    after = np.searchsorted(mass_bounds(end - start), draws[:, :, 1], "right")
+    prompt, b = np.nonzero(after)
+    times = after[prompt, b]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+    prompt, b = np.repeat(prompt, times), np.repeat(b, times)
+    hashes = b"".join([md5(f"{seed}|{r}|{names[i]}|{j}".encode()).digest()[:4] for i, r, j in zip(prompt.tolist(), b.tolist(), nth.tolist())])
+    return before, np.searchsorted(prompt, np.arange(len(names) + 1)), (b, np.frombuffer(hashes, ">u4").astype(np.int64), nth)
+
+
 def _strokes(keys: Sequence[str], n: int, seed: int):
-    """Per batch of prompts: the counted strokes of each (cell, resample), added up, and every stroke of the window."""
+    """Per batch of prompts: every stroke of the window; and per task the counted strokes of each (cell, resample), added up.
+
+    The clocks of a prompt are the same in all cells of one size, so its hashes are taken once for all of them."""
+    shown = [*keys, "prompt_id", "m"]
+
+    def counted(held: dict) -> Iterator[pd.DataFrame]:
+        for row, counts, sums in held.values():
+            yield row.iloc[np.zeros(n, np.int64)].assign(b=np.arange(n), at=-1, nth=0, w=counts.astype(np.int64), total=sums)
+        held.clear()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
         for batch in batches:
-            for _, rows in batch.groupby("cell_hash", sort=False):
-                m = int(rows["m"].iat[0])
-                start, end = window(m)
-                early, late = mass_bounds(start), mass_bounds(end - start)
-                counts, sums, single = np.zeros(n, np.int64), np.zeros(n), []
-                for place, (name, v) in enumerate(zip(rows["name"], rows["v"])):
-                    digests = b"".join([md5(f"{seed}|{h}|{name}".encode()).digest() for h in range(-(-n // 2))])
-                    draws = np.frombuffer(digests, ">u4").reshape(-1, 2)[:n]
-                    before = np.searchsorted(early, draws[:, 0], "right")
-                    counts += before
-                    sums += before * v
-                    after = np.searchsorted(late, draws[:, 1], "right")
-                    for b in np.flatnonzero(after).tolist():
-                        for nth in range(1, int(after[b]) + 1):
-                            at = int.from_bytes(md5(f"{seed}|{b}|{name}|{nth}".encode()).digest()[:4], "big")
-                            single.append((b, at, nth, place))
-                b, at, nth, place = np.array(single, np.int64).reshape(-1, 4).T
-                taken = rows.iloc[np.concatenate([np.zeros(n, np.int64), place])]
-                yield taken[[*keys, "prompt_id", "m"]].assign(
-                    b=np.concatenate([np.arange(n), b]), at=np.concatenate([np.full(n, -1), at]), nth=np.concatenate([np.zeros(n, np.int64), nth]),
-                    w=np.concatenate([counts, np.ones(len(b), np.int64)]), total=np.concatenate([sums, rows["v"].to_numpy()[place]]),
-                )
+            for m, rows in batch.groupby("m", sort=False):
+                prompt, names = pd.factorize(rows["name"].astype(str))
+                rows, prompt = rows.iloc[np.argsort(prompt, kind="stable")], np.sort(prompt)
+                cell, cells = pd.factorize(rows["cell_hash"])
+                v, counts, sums, single = rows["v"].to_numpy(), np.zeros((len(cells), n)), np.zeros((len(cells), n)), []
+                for low in range(0, len(names), PROMPTS_AT_ONCE):
+                    some = names[low : low + PROMPTS_AT_ONCE].tolist()
+                    before, begin, strokes = _clocks(some, int(m), n, seed)
+                    at = np.arange(*np.searchsorted(prompt, [low, low + len(some)]))
+                    own, weight, value = prompt[at] - low, np.zeros((len(cells), len(some))), np.zeros((len(cells), len(some)))
+                    np.add.at(weight, (cell[at], own), 1.0)
+                    np.add.at(value, (cell[at], own), v[at])
+                    counts += weight @ before
+                    sums += value @ before
+                    size = begin[own + 1] - begin[own]
+                    taken = np.arange(size.sum()) + np.repeat(begin[own] - np.cumsum(size) + size, size)
+                    single.append((np.repeat(at, size), *(s[taken] for s in strokes)))
+                place, b, at, nth = (np.concatenate(parts) for parts in zip(*single))
+                yield rows.iloc[place][shown].assign(b=b, at=at, nth=nth, w=1, total=v[place])
+                _, first = np.unique(cell, return_index=True)
+                for c, name in enumerate(cells):
+                    if name in held:
+                        held[name][1] += counts[c]
+                        held[name][2] += sums[c]
+                    else:
+                        held[name] = [rows.iloc[first[c] : first[c] + 1][shown], counts[c], sums[c]]
+            if len(held) > CELLS_HELD:
+                yield from counted(held)
+        yield from counted(held)
 
     return run
 
@@ -102,7 +137,7 @@ def resample_draws(per_prompt: DataFrame, cell: Sequence[str], value: str, n_res
     Every prompt of a cell has a Poisson clock per resample; of clocks at one rate each stroke is a uniform draw of a prompt, so the first M
     strokes of the cell are a resample of exactly M draws with replacement. Strokes before 1 - 3 / sqrt(M) are only
     counted, at time -1, a row per task; the few in the window up to the end come one by one, with their time.
-    The clocks are hashes of (seed, resample, prompt): the work is row-local and what is shuffled per resample is the counts of the tasks and some
+    The clocks are hashes of (seed, resample, prompt), taken once for all cells of one size that hold the prompt: the work is local to a prompt and what is shuffled per resample is the counts of the tasks and some
     6 sqrt(M) strokes.
     """
     keys = list(cell)
@@ -110,7 +145,8 @@ def resample_draws(per_prompt: DataFrame, cell: Sequence[str], value: str, n_res
     timed = join_cells(known, known.groupBy(*keys).agg(F.count("*").alias("m")), keys).withColumns(
         {"cell_hash": F.xxhash64(F.lit(0), *keys), "name": F.col("prompt_id").cast("string")})
     out = T.StructType([timed.schema[c] for c in (*keys, "prompt_id", "m")] + list(T.StructType.fromDDL("b bigint, at bigint, nth bigint, w bigint, total double")))
-    return spread(timed).mapInPandas(_strokes(keys, n_attempts(n_resamples), seed), out)
+    together = spread(timed, "name").sortWithinPartitions("name")
+    return together.mapInPandas(_strokes(keys, n_attempts(n_resamples), seed), out)
 
 
 def bootstrap_means(
@@ -230,6 +266,20 @@ def sc_votes(keyed: DataFrame, sizes: Sequence[int], n_draws: int, k_max: int, c
     A prompt's K samples (K is bounded by design) are gathered once, in one row, and their keys get small numbers there. Everything else
     happens inside that row: no exchange follows.
     """
+    coded, fields = _coded_pools(keyed, sizes, n_draws, k_max, cell)
+    out = T.StructType([*fields, *T.StructType.fromDDL("k int, sc_n int, u double")])
+    return coded.mapInPandas(_voted_draws([*cell, "prompt_id"], sorted(set(sizes)), n_draws, seed), out)
+
+
+def sc_gaps(keyed: DataFrame, sizes: Sequence[int], n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """``prompt_gap`` of ``sc_votes`` by ``sc_n``: (cell..., prompt_id, sc_n, u_circ, u_bar, n_samples, r_hat), without a row per draw."""
+    coded, fields = _coded_pools(keyed, sizes, n_draws, k_max, cell)
+    out = T.StructType([*fields, *T.StructType.fromDDL("sc_n int, u_circ double, u_bar double, n_samples bigint, r_hat double")])
+    return coded.mapInPandas(_gaps_of_draws([*cell, "prompt_id"], sorted(set(sizes)), n_draws, seed), out)
+
+
+def _coded_pools(keyed: DataFrame, sizes: Sequence[int], n_draws: int, k_max: int, cell: Sequence[str]) -> tuple[DataFrame, list[T.StructField]]:
+    """A row per prompt with the key numbers and utilities of its samples, and the fields that name it."""
     if min(sizes, default=0) < 1:
         raise ValueError(f"sizes must be >= 1, got {list(sizes)}")
     if n_draws < 1:
@@ -238,15 +288,12 @@ def sc_votes(keyed: DataFrame, sizes: Sequence[int], n_draws: int, k_max: int, c
     pool = keyed.groupBy(*by_prompt).agg(F.array_sort(F.collect_list(F.struct("k", "vote_key", "u"))).alias("pool"))
     too_many = F.raise_error(F.lit(f"a prompt has more than {k_max} samples")).cast(pool.schema["pool"].dataType)
     checked = F.when(F.size("pool") > k_max, too_many).otherwise(F.col("pool"))
-    fields = [pool.schema[c] for c in by_prompt]
-    out = T.StructType([*fields, *(T.StructField(c, t) for c, t in (
-        ("k", T.IntegerType()), ("sc_n", T.IntegerType()), ("u", T.DoubleType())))])
     key_numbers = let(F.transform(F.col("pool"), lambda x: x["vote_key"]), lambda names: F.transform(
         names, lambda name: F.when(name.isNotNull(), F.array_position(names, name)).otherwise(0)))
     coded = pool.withColumn("pool", checked).select(
         *by_prompt, F.col("prompt_id").cast("string").alias("__name"), key_numbers.alias("__codes"),
         F.transform("pool", lambda x: x["u"].cast("double")).alias("__us"))
-    return coded.mapInPandas(_voted_draws(by_prompt, sorted(set(sizes)), n_draws, seed), out)
+    return coded, [pool.schema[c] for c in by_prompt]
 
 
 def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -254,19 +301,26 @@ def sc_vote(keyed: DataFrame, n: int, n_draws: int, k_max: int, cell: Sequence[s
     return sc_votes(keyed, [n], n_draws, k_max, cell, seed).drop("sc_n")
 
 
-def _voted_draws(by_prompt: Sequence[str], sizes: Sequence[int], n_draws: int, seed: int):
-    """Per prompt: the winner of every draw by counts over key numbers, all draws at once."""
-    longest = max(sizes)
+def _values(frame: pd.DataFrame, sizes: Sequence[int], n_draws: int, seed: int) -> np.ndarray:
+    """Utilities by (prompt, size, draw): the winner of every draw by counts over key numbers, the draws of several prompts at once."""
+    longest, parts = max(sizes), []
+    for low in range(0, len(frame), PROMPTS_AT_ONCE):
+        some = frame.iloc[low : low + PROMPTS_AT_ONCE]
+        hashes = b"".join([
+            md5(f"{seed}|{name}|{d}|{h}".encode()).digest() for name in some["__name"] for d in range(n_draws) for h in range(-(-longest // 4))])
+        size = some["__codes"].map(len).to_numpy()
+        picks = np.frombuffer(hashes, ">u4").reshape(len(some), n_draws, -1)[:, :, :longest].astype(np.int64) % size[:, None, None]
+        picks = (picks + (np.cumsum(size) - size)[:, None, None]).reshape(-1, longest)
+        codes, us = np.concatenate([np.asarray(c, np.int64) for c in some["__codes"]]), np.concatenate([np.asarray(u, float) for u in some["__us"]])
+        won = np.array(_winners(codes[picks], us[picks], sizes))
+        parts.append(won.reshape(len(sizes), len(some), n_draws).transpose(1, 0, 2))
+    return np.concatenate(parts)
+
 
+def _voted_draws(by_prompt: Sequence[str], sizes: Sequence[int], n_draws: int, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = []
-            for name, codes, us in zip(frame["__name"], frame["__codes"], frame["__us"]):
-                hashes = b"".join([md5(f"{seed}|{name}|{d}|{h}".encode()).digest() for d in range(n_draws) for h in range(-(-longest // 4))])
-                picks = np.frombuffer(hashes, ">u4").reshape(n_draws, -1)[:, :longest].astype(np.int64) % len(codes)
-                drawn, gains = np.asarray(codes, np.int64)[picks], np.asarray(us, float)[picks]
-                results.append(_winners(drawn, gains, sizes))
-            values = np.array(results).reshape(len(frame), len(sizes), n_draws)
+        for frame in (f for f in frames if len(f)):
+            values = _values(frame, sizes, n_draws, seed)
             each = frame[list(by_prompt)].iloc[np.repeat(np.arange(len(frame)), len(sizes) * n_draws)].reset_index(drop=True)
             yield each.assign(
                 k=np.tile(np.arange(n_draws, dtype=np.int32), len(frame) * len(sizes)),
@@ -275,6 +329,19 @@ def _voted_draws(by_prompt: Sequence[str], sizes: Sequence[int], n_draws: int, s
     return run
 
 
+def _gaps_of_draws(by_prompt: Sequence[str], sizes: Sequence[int], n_draws: int, seed: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in (f for f in frames if len(f)):
+            values = _values(frame, sizes, n_draws, seed).reshape(-1, n_draws)
+            n = (~np.isnan(values)).sum(1)
+            best = np.fmax.reduce(values, axis=1)
+            mean = np.where(n > 0, np.nansum(values, axis=1) / np.maximum(n, 1), np.nan)
+            each = frame[list(by_prompt)].iloc[np.repeat(np.arange(len(frame)), len(sizes))].reset_index(drop=True)
+            yield each.assign(sc_n=np.tile(np.array(sizes, np.int32), len(frame)), u_circ=best, u_bar=mean, n_samples=n, r_hat=best - mean)
+
+    return run
+
+
 def _winners(drawn: np.ndarray, gains: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
     """Utility of the winning key of each row's first n draws; 0 is no key. Counts grow with the positions, so every size reads them on the way."""
     n_draws = len(drawn)

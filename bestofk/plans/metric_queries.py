@@ -158,20 +158,23 @@ def procedure_sweep(spark, d, sizes=VOTE_SIZES, draws=I.K_TEXTS):
     does not have are null."""
     keyed = materialise(numeric_keyed(spark, d), "keyed")
     kinds = {"tau": "double", "sc_n": "int", "length": "int", "stage": "string"}
+    gap = ("u_circ", "u_bar", "n_samples")
 
-    def run(procedure, u, **setting):
-        cell = [F.lit(setting.get(c)).cast(kind).alias(c) if not hasattr(setting.get(c), "alias") else setting[c].alias(c) for c, kind in kinds.items()]
-        return F.struct(F.lit(procedure).alias("procedure"), *cell, u.alias("u"))
+    def cell(procedure, **setting):
+        return [F.lit(procedure).alias("procedure"), *[F.lit(setting.get(c)).cast(kind).alias(c) for c, kind in kinds.items()]]
 
     k, u = F.col("k"), F.col("u")
-    stage = F.element_at(F.array(*map(F.lit, I.STAGES)), (k % 3 + 1).cast("int"))
-    cells = [F.when(k % step == 0, run("direct", u, tau=tau)) for tau, step in ((0.0, I.K_TEXTS), (0.7, 2), (1.0, 1))]
-    cells += [run("budget", F.when(k < length, u).otherwise(0.0), length=length) for length in SWEEP_LENGTHS]
-    cells.append(run("stage", u, stage=stage))
-    runs = keyed.select("prompt_id", F.inline(F.array_compact(F.array(*cells))))
-    votes = R.sc_votes(keyed, sizes, n_draws=draws, k_max=I.K_TEXTS)
-    runs = runs.unionByName(votes.select("prompt_id", F.inline(F.array(run("sc", u, sc_n=F.col("sc_n"))))))
-    per_prompt = materialise(M.prompt_gap(runs, SWEEP_CELL), "sweep")
+    cells = [(cell("direct", tau=tau), F.when(k % step == 0, u)) for tau, step in ((0.0, I.K_TEXTS), (0.7, 2), (1.0, 1))]
+    cells += [(cell("budget", length=length), F.when(k < length, u).otherwise(0.0)) for length in SWEEP_LENGTHS]
+    cells += [(cell("stage", stage=stage), F.when(k % 3 == i, u)) for i, stage in enumerate(I.STAGES)]
+    # One row per prompt with the gap of every setting; a setting without samples has no row.
+    wide = keyed.groupBy("prompt_id").agg(*[
+        F.struct(*[f(x).alias(c) for f, c in zip((F.max, F.avg, F.count), gap)]).alias(f"gap_{i}") for i, (_, x) in enumerate(cells)])
+    points = [F.when(F.col(f"gap_{i}.n_samples") > 0, F.struct(*name, *[F.col(f"gap_{i}.{c}").alias(c) for c in gap])) for i, (name, _) in enumerate(cells)]
+    runs = wide.select("prompt_id", F.inline(F.array_compact(F.array(*points)))).withColumn("r_hat", F.col("u_circ") - F.col("u_bar"))
+    votes = R.sc_gaps(keyed, sizes, n_draws=draws, k_max=I.K_TEXTS)
+    votes = votes.withColumns({"procedure": F.lit("sc"), **{c: F.lit(None).cast(kind) for c, kind in kinds.items() if c != "sc_n"}})
+    per_prompt = materialise(runs.unionByName(votes), "sweep")
     ci = R.bootstrap_ci(per_prompt, SWEEP_CELL).select(*SWEEP_CELL, "ci_low", "ci_high")
     wide = join_cells(M.cell_gap(per_prompt, SWEEP_CELL).drop("k_max"), ci, SWEEP_CELL)
     return rounded(wide, "u_circ", "u_bar", "r_hat", "ci_low", "ci_high")
