@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bestofk.functions.joins import join_cells
-from bestofk.llm.common import fresh, stored, text_key
+from bestofk.llm.common import fresh, sieved, stored, text_key
 from bestofk.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -163,7 +163,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, copies, root, block, blocks with signature and shingles: the texts of ``wanted`` (one row of ``docs`` per class) are read again."""
-    rows = join_cells(_keyed(docs), wanted, KEY)
+    maybe = sieved(_keyed(docs), wanted, KEY, "maybe").where("maybe").drop("maybe")
+    rows = join_cells(maybe, wanted, KEY)
     schema = "cls bigint, copies bigint, root bigint, block int, blocks int, signature binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float =
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.withColumnRenamed("node", "cls").join(per_class.select("cls", "copies", "first.*"), "cls").select(
         *KEY, "cls", "copies", "root", "block", "blocks")
-    content = stored(_contents(docs, wanted), "candidates")
+    content = stored(_contents(docs, stored(wanted, "wanted")), "candidates")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))
     )
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` per class, that with the smallest id (without ids, that with the smallest text key), all columns unchanged; wordless texts all stay.
 
-    Only rows that leave or repeat are joined; of the rows of one id and text that stay, one is kept.
+    Only rows that may leave or repeat are joined; of the rows of one id and text that stay, one is kept.
     """
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)
     linked = _members(docs, **options).where("links + copies > 1")
@@ -305,8 +306,11 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     whole = text_key(F.col("text"))
     keyed = docs.withColumns({halves[0]: whole["a"], halves[1]: whole["b"]})
     known = known.withColumnsRenamed({"text_a": halves[0], "text_b": halves[1], "leaves": flag, "rows": times})
-    marked = join_cells(keyed, known, ["doc_id", *halves], "left")
+    maybe = fresh(docs, "maybe")
+    sifted = sieved(keyed, known, ["doc_id", *halves], maybe)
+    marked = join_cells(sifted.where(maybe), known, ["doc_id", *halves], "left")
     staying = marked.where(F.coalesce(F.col(flag), F.lit(0)) == 0)
     alone = staying.where(F.coalesce(F.col(times), F.lit(1)) == 1)
     repeated = staying.where(F.col(times) > 1).dropDuplicates(["doc_id", *halves])
-    return alone.unionByName(repeated).select(*docs.columns)
+    untouched = sifted.where(~F.col(maybe))
+    return untouched.select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(repeated.select(*docs.columns))
