@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bestofk.functions import text as T
@@ -101,10 +101,47 @@ def _without_outcomes() -> dict[str, Column]:
     return {n: refused for n in CODE_DATASETS}
 
 
-def native_dispatch(name: Column, text: Column, truth: Column) -> Column:
-    """Utility by the column-expression rule of ``name``, a key of ``dataset_key``; unknown names fail."""
-    rules = {n: s(text, truth) for n, s in _SCORERS.items() if n not in _PYTHON}
-    return _dispatch(name, _without_outcomes() | rules, "scorer")
+def native_scores(df: DataFrame, name: str, text: str, truth: str, utility: str) -> DataFrame:
+    """Add the utility by the column-expression rule of column ``name``, a key of ``dataset_key``; unknown names fail.
+
+    Rules in steps (``text.Steps``) get a projection for each step, in which a row evaluates its own rule's values only. The values of
+    rules share columns by name, and a step that several rules have is there once.
+    """
+    rules = {n: s.steps if isinstance(s, T.Steps) else (_one_step(s),) for n, s in _SCORERS.items() if n not in _PYTHON}
+    number = F
+    for i, n in enumerate(rules):
+        number = number.when(F.col(name) == n, i)
+    rule, added = F.col("__rule"), ["__rule"]
+    df = df.withColumn("__rule", number if rules else F.lit(None))
+    known = {n: {"text": text, "truth": truth} for n in rules}
+
+    def chosen(depth: int, last: bool) -> dict[str, Column]:
+        """The values of this step, each by rule."""
+        users: dict[tuple, list[str]] = {}
+        for n, steps in rules.items():
+            if (depth == len(steps) - 1) == last and depth < len(steps):
+                users.setdefault((steps[depth], *known[n].items()), []).append(n)
+        values: dict[str, Column] = {}
+        for (step, *columns), names in users.items():
+            made = step({value: F.col(column) for value, column in columns})
+            own = rule.isin([i for i, n in enumerate(rules) if n in names])
+            for value, result in (made if isinstance(made, Mapping) else {"": made}).items():
+                values[value] = values.get(value, F).when(own, result)
+                for n in names:
+                    known[n] = known[n] | {value: f"__{depth}_{value}"}
+        return {f"__{depth}_{value}": column for value, column in values.items()}
+
+    results = []
+    for depth in range(max(map(len, rules.values()), default=0)):
+        ends, between = chosen(depth, True), chosen(depth, False)
+        df, added, results = df.withColumns(ends | between), [*added, *ends, *between], [*results, *ends]
+    branches = _without_outcomes() | {n: F.lit(None).cast("double") for n in rules}
+    unscored = F.when(rule.isNull(), _dispatch(F.col(name), branches, "scorer"))
+    return df.withColumn(utility, F.coalesce(unscored, *[F.col(c) for c in results])).drop(*added)
+
+
+def _one_step(scorer: Scorer) -> T.Step:
+    return lambda v: scorer(v["text"], v["truth"])
 
 
 def score_dispatch(dataset: Column, text: Column, truth: Column, tests_passed: Column | None = None) -> Column:

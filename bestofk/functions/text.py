@@ -6,7 +6,7 @@ Character classes are ASCII (``\\d``, ``\\s``), in Spark as in the SQL oracle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +27,10 @@ FENCE = r"(?s)```(?:python|py)?\s*\n(.*?)```"
 METHOD = r"def\s+(\w+)\s*\(\s*self"
 TOLERANCE = 1e-9
 
-LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
-
 
 def strip(text: Column) -> Column:
     """Remove white space, not only blanks, from both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def rstrip(text: Column) -> Column:
@@ -59,6 +57,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+Step = Callable[[Mapping[str, Column]], Mapping[str, Column] | Column]
+
+
+class Steps:
+    """A rule (text, truth) -> value in steps: each adds named values made from those before it, the last gives the result.
+
+    As a call it is one expression, bound by ``let``, which Spark interprets row by row. ``scorers.native_scores`` makes a projection of
+    each step instead, so that Spark compiles it; there, values of one name made in the same step of several rules have one type.
+    """
+
+    def __init__(self, *steps: Step, inputs: tuple[str, ...] = ("text", "truth")) -> None:
+        self.steps, self.inputs = steps, inputs
+
+    def __call__(self, *inputs: Column) -> Column:
+        return self._bind(dict(zip(self.inputs, inputs, strict=True)), self.steps)
+
+    def _bind(self, known: dict[str, Column], steps: tuple[Step, ...]) -> Column:
+        made = steps[0](known)
+        if len(steps) == 1:
+            return made
+        pack = F.struct(*[value.alias(name) for name, value in made.items()])
+        return let(pack, lambda v: self._bind(known | {name: v[name] for name in made}, steps[1:]))
+
+
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
@@ -75,21 +97,26 @@ def number_value(token: Column) -> Column:
     return F.when(~token.rlike("[dDfF]"), bare.try_cast("double"))
 
 
-def last_number(text: Column) -> Column:
-    """The last number in the text that has a value.
+def _token_value(token: Column) -> Column:
+    """``number_value`` of a match of NUMBER, which holds no letters and no white space."""
+    return F.ltrim(F.translate(token, ",%", ""), F.lit("$")).try_cast("double")
 
-    The rightmost token nearly always has one, so the array walk behind ``coalesce`` is
-    evaluated for the remaining rows only.
-    """
-    tokens = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    values = F.filter(F.transform(tokens, number_value), lambda v: v.isNotNull())
-    return F.coalesce(number_value(F.try_element_at(tokens, F.lit(-1))), F.try_element_at(values, F.lit(-1)))
+
+#: The matches of NUMBER that have no value. No match holds a minus but at its start, so these are found at any place.
+VALUELESS = r"-\$\d{1,3}(?:,\d{3})+(?:\.\d+)?|-\$\d+(?:\.\d+)?%?"
 
 
+def last_number(text: Column) -> Column:
+    """The last number in the text that has a value."""
+    valued = F.when(text.contains("-$"), F.regexp_replace(text, VALUELESS, " ")).otherwise(text)
+    return _token_value(last_match(valued, NUMBER, 0))
+
+
+# Fixed text that a pattern needs is looked for first.
 NUMBER_RULES = {
-    "hashed": lambda text: number_value(last_match(text, HASHED)),
-    "boxed": lambda text: number_value(last_match(text, BOXED_NUMBER)),
-    "answer_is": lambda text: number_value(last_match(text, ANSWER_IS)),
+    "hashed": lambda text: F.when(text.contains("####"), _token_value(last_match(text, HASHED))),
+    "boxed": lambda text: F.when(text.contains("\\boxed"), _token_value(last_match(text, BOXED_NUMBER))),
+    "answer_is": lambda text: _token_value(last_match(text, ANSWER_IS)),
     "bare": last_number,
 }
 
@@ -128,8 +155,10 @@ def both_close(a: Column, b: Column) -> Column:
     return F.coalesce(let(pair, lambda v: is_close(v["a"], v["b"])), F.lit(False))
 
 
-def numeric_utility(text: Column, truth: Column) -> Column:
-    return both_close(number_in(text), number_in(truth)).cast("double")
+numeric_utility = Steps(
+    lambda v: {"got": number_in(v["text"]), "want": number_in(v["truth"])},
+    lambda v: F.coalesce(is_close(v["got"], v["want"]), F.lit(False)).cast("double"),
+)
 
 
 # --- boxed answers ---------------------------------------------------------
@@ -188,7 +217,8 @@ def _last_box_by_stack(text: Column) -> Column:
 
 def last_boxed(text: Column) -> Column:
     """Contents of the last balanced ``\\boxed{...}``; null when there is none."""
-    return F.when(text.rlike(OPEN_CASE), _last_box_by_stack(text)).otherwise(last_match(text, FLAT_BOX))
+    found = F.when(text.rlike(OPEN_CASE), _last_box_by_stack(text)).otherwise(last_match(text, FLAT_BOX))
+    return F.when(text.contains("\\boxed"), found)
 
 
 _PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)\z"
@@ -197,21 +227,28 @@ _FRACTION = r"^([+-]?)(?:\\[dt]?frac\{(-?\d+)\}\{(-?\d+)\}|(\d+)/(-?\d+))\z"
 
 def simple_value(expr: Column) -> Column:
     """Value of a plain number or a simple fraction, else null."""
-    def ratio(part: Column) -> Column:
-        sign = F.when(part[1] == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
-        top = F.when(part[2] != "", part[2]).otherwise(part[4]).try_cast("double")
-        bottom = F.when(part[3] != "", part[3]).otherwise(part[5]).try_cast("double")
-        return F.try_divide(sign * top, F.when(bottom != 0, bottom))
+    part = lambda groups: F.regexp_replace(expr, _FRACTION, groups).try_cast("double")
+    sign = F.when(expr.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    ratio = F.try_divide(sign * part("$2$4"), part("$3$5"))
+    fraction = (expr.contains("/") | expr.contains("frac")) & expr.rlike(_FRACTION)
+    return F.when(expr.rlike(_PLAIN_NUMBER), expr.try_cast("double")).when(fraction, ratio)
+
 
-    captured = F.array(*[F.regexp_extract(expr, _FRACTION, i) for i in range(6)])
-    return F.when(expr.rlike(_PLAIN_NUMBER), expr.try_cast("double")).when(expr.rlike(_FRACTION), let(captured, ratio))
+def _squashed(v: Mapping[str, Column]) -> dict[str, Column]:
+    return {"a": squash(v["answer"]), "b": squash(v["target"])}
 
 
-def same_expression(a: Column, b: Column) -> Column:
-    """Equal once white space is gone, or equal as plain numbers / simple fractions."""
-    pair = F.struct(squash(a).alias("a"), squash(b).alias("b"))
-    same = let(pair, lambda v: (v["a"] == v["b"]) | both_close(simple_value(v["a"]), simple_value(v["b"])))
-    return F.coalesce(same, F.lit(False))
+def _values_if_unlike(v: Mapping[str, Column]) -> dict[str, Column]:
+    unlike = v["a"] != v["b"]
+    return {"x": F.when(unlike, simple_value(v["a"])), "y": F.when(unlike, simple_value(v["b"]))}
+
+
+def _same(v: Mapping[str, Column]) -> Column:
+    return F.coalesce((v["a"] == v["b"]) | is_close(v["x"], v["y"]), F.lit(False))
+
+
+#: Equal once white space is gone, or equal as plain numbers / simple fractions.
+same_expression = Steps(_squashed, _values_if_unlike, _same, inputs=("answer", "target"))
 
 
 def boxed_reason(answer: Column, truth: Column) -> Column:
@@ -228,44 +265,53 @@ def boxed_truth(truth: Column) -> Column:
     return F.coalesce(last_boxed(truth), strip(truth))
 
 
-def _boxed_match(answer: Column, truth: Column) -> Column:
-    pair = F.struct(answer.alias("answer"), truth.alias("truth"))
-    return let(pair, lambda v: boxed_reason(v["answer"], v["truth"]) == "correct").cast("double")
+def _boxed_match(v: Mapping[str, Column]) -> Column:
+    """``boxed_reason`` is "correct"."""
+    return (v["answer"].isNotNull() & (F.coalesce(v["target"], F.lit("")) != "") & _same(v)).cast("double")
 
 
-def boxed_utility(text: Column, truth: Column) -> Column:
-    return _boxed_match(last_boxed(text), boxed_truth(truth))
+boxed_utility = Steps(
+    lambda v: {"answer": last_boxed(v["text"]), "target": boxed_truth(v["truth"])}, _squashed, _values_if_unlike, _boxed_match)
+#: Boxed answer against a reference that is never boxed itself.
+stripped_truth_utility = Steps(
+    lambda v: {"answer": last_boxed(v["text"]), "target": strip(v["truth"])}, _squashed, _values_if_unlike, _boxed_match)
 
 
-def stripped_truth_utility(text: Column, truth: Column) -> Column:
-    """Boxed answer against a reference that is never boxed itself."""
-    return _boxed_match(strip(last_boxed(text)), strip(truth))
+# --- answers by the shape of the target ------------------------------------
 
+#: All up to the end of the last trigger, match after match from the start on.
+_UP_TO_TRIGGER = r"\G(?is:.*?)" + TRIGGER
+_BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+#: A text in whole, its last line with content as the group.
+_LAST_LINE = rf"(?s)\A(?:.*[{_BREAKS}])?([^{_BREAKS}]*?[^\s{_BREAKS}][^{_BREAKS}]*).*\z"
 
-# --- answers by the shape of the target ------------------------------------
 
-def final_span(text: Column) -> Column:
-    """Text after the last answer trigger, else the last line with content, cut to a window."""
-    lines = F.filter(F.split(text, LINE_BREAK, -1), lambda line: line.rlike(r"\S"))
-    last_line = F.coalesce(F.try_element_at(lines, F.lit(-1)), text)
-    span = let(
-        F.split(text, TRIGGER, -1), lambda pieces: F.when(F.size(pieces) > 1, F.element_at(pieces, -1)).otherwise(last_line)
-    )
-    return F.substring(span, 1, SPAN_CHARS)
+def _after_trigger(v: Mapping[str, Column]) -> dict[str, Column]:
+    """The text after its last answer trigger, or all of it."""
+    text = v["text"]
+    return {"tail": F.when(F.lower(text).contains("answer"), F.regexp_replace(text, _UP_TO_TRIGGER, "")).otherwise(text)}
 
 
-def token_norm(text: Column) -> Column:
-    return F.lower(F.btrim(strip(text), F.lit(TOKEN_EDGES)))
+def _span(v: Mapping[str, Column]) -> Column:
+    text, tail = v["text"], v["tail"]
+    last_line = F.regexp_replace(text, _LAST_LINE, "$1")
+    return F.substring(F.when(F.length(tail) < F.length(text), tail).otherwise(last_line), 1, SPAN_CHARS)
 
 
-def _first_letter(text: Column, pattern: str) -> Column:
-    return let(F.lower(F.regexp_extract(text, pattern, 1)), lambda letter: F.when(letter != "", letter))
+#: Text after the last answer trigger, else the last line with content, cut to a window.
+final_span = Steps(_after_trigger, _span, inputs=("text",))
+
+
+def token_norm(text: Column) -> Column:
+    return F.lower(F.btrim(strip(text), F.lit(TOKEN_EDGES)))
 
 
 def choice_letter(span: Column, text: Column) -> Column:
-    return F.coalesce(
-        _first_letter(span, PAREN_LETTER), _first_letter(text, PAREN_LETTER), _first_letter(span, LONE_LETTER)
-    )
+    places = ((span, PAREN_LETTER), (text, PAREN_LETTER), (span, LONE_LETTER))
+    found = F
+    for where, pattern in places:
+        found = found.when(where.rlike(pattern), F.lower(F.regexp_extract(where, pattern, 1)))
+    return found
 
 
 def _plain_integer(token: Column) -> Column:
@@ -275,26 +321,40 @@ def _plain_integer(token: Column) -> Column:
 
 
 def _contains_word(span: Column, word: Column) -> Column:
+    """The word stands in the span, no letter beside it. Its pattern is compiled for spans that hold its text only."""
     quoted = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.regexp_like(F.lower(span), F.concat(F.lit("(?<![a-z])\\Q"), quoted, F.lit("\\E(?![a-z])")))
+    apart = F.regexp_like(F.lower(span), F.concat(F.lit("(?<![a-z])\\Q"), quoted, F.lit("\\E(?![a-z])")))
+    return F.contains(F.lower(span), word) & apart
+
+
+def _shape(v: Mapping[str, Column]) -> dict[str, Column]:
+    target = v["target"]
+    kind = (
+        F.when(target == "", "none").when(target.rlike(f"^{PAREN_LETTER}\\z"), "letter").when(target.rlike(f"^{INTEGER}\\z"), "count")
+        .otherwise("token")
+    )
+    return {"kind": kind, "gold": token_norm(target)}
 
 
-def shape_match(span: Column, text: Column, target: Column) -> Column:
-    """1.0 when the committed answer meets the target, read by the target's own shape."""
+def _shape_hit(v: Mapping[str, Column]) -> Column:
+    span, text, target, kind, gold = (v[n] for n in ("span", "text", "target", "kind", "gold"))
     counted = F.coalesce(last_match(span, INTEGER, 0), last_match(text, INTEGER, 0))
-    token = let(token_norm(target), lambda gold: (gold != "") & ((token_norm(span) == gold) | _contains_word(span, gold)))
     hit = (
-        F.when(target == "", False)
-        .when(target.rlike(f"^{PAREN_LETTER}\\z"), choice_letter(span, text) == _first_letter(target, PAREN_LETTER))
-        .when(target.rlike(f"^{INTEGER}\\z"), _plain_integer(counted) == _plain_integer(target))
-        .otherwise(token)
+        F.when(kind == "none", False)
+        .when(kind == "letter", choice_letter(span, text) == F.lower(F.regexp_extract(target, PAREN_LETTER, 1)))
+        .when(kind == "count", _plain_integer(counted) == _plain_integer(target))
+        .otherwise((gold != "") & ((token_norm(span) == gold) | _contains_word(span, gold)))
     )
     return F.coalesce(hit, F.lit(False)).cast("double")
 
 
-def shape_utility(text: Column, truth: Column) -> Column:
-    pair = F.struct(final_span(text).alias("span"), strip(truth).alias("target"))
-    return let(pair, lambda v: shape_match(v["span"], text, v["target"]))
+#: 1.0 when the committed answer meets the target, read by the target's own shape.
+shape_match = Steps(_shape, _shape_hit, inputs=("span", "text", "target"))
+shape_utility = Steps(
+    lambda v: {**_after_trigger(v), "target": strip(v["truth"])},
+    lambda v: {"span": _span(v), **_shape(v)},
+    _shape_hit,
+)
 
 
 # --- code answers ----------------------------------------------------------

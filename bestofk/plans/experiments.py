@@ -17,7 +17,7 @@ from bestofk.operators import judge as J
 from bestofk.operators import metrics as M
 from bestofk.operators import resample as R
 from bestofk.operators import scoring
-from bestofk.session import materialise
+from bestofk.session import compiled_by_operator, materialise
 from bestofk.sources.results import assemble_cells
 
 
@@ -42,7 +42,7 @@ def score_samples(
     vote_key = [scorers.named_key(name, text).alias("vote_key")] if with_keys else []
     apart = [*python, *programs]
     here = rows.where(~name.isin(apart) | name.isNull()) if apart else rows
-    scored = here.select(*keys, scorers.native_dispatch(name, text, truth).alias("u"), *vote_key)
+    scored = scorers.native_scores(here, NAME, "text", "ground_truth", "u").select(*keys, "u", *vote_key)
     for python_name, scorer in python.items():
         own = rows.where(name == python_name)
         scored = scored.unionByName(own.select(*keys, scorer(text, truth).alias("u"), *vote_key))
@@ -51,7 +51,8 @@ def score_samples(
         on = [c for c in dict.fromkeys([*(c for c in cell if c != "dataset"), NAME, "prompt_id", "k"]) if c in runs.columns]
         own = rows.where(name.isin(programs)).select(*dict.fromkeys([*keys, NAME]), *vote_key)
         scored = scored.unionByName(scoring.all_tests_pass(own, runs, on, "u").drop(NAME))
-    return materialise(scored, "utility")
+    with compiled_by_operator(samples.sparkSession):
+        return materialise(scored, "utility")
 
 
 def judged_utility(calls: DataFrame, cell: Sequence[str]) -> DataFrame:

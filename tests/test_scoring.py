@@ -281,3 +281,53 @@ def test_number_rules_on_real_pages(spark):
 
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", T.number_in(F.col("html")).alias("n")).collect()
     assert [r.n for r in pages] == [rule(r.html) for r in pages]
+
+
+def test_rules_are_compiled_not_interpreted(spark, rows, monkeypatch):
+    """No rule of ``score_samples`` is bound by a lambda, which Spark interprets, but the brace fold of odd boxes; methods stay short enough for the JVM."""
+    from bestofk import session
+
+    df = rows([("gsm8k", 0, 0, "#### 4", "4"), ("math", 1, 0, "\\boxed{4}", "4"), ("bbh ", 2, 0, "Final answer: yes", "Yes")],
+              "dataset string, prompt_id int, k int, text string, ground_truth string")
+    before = spark.conf.get(session.METHOD_LIMIT_CONF, None)
+    seen = []
+    monkeypatch.setattr(E, "materialise", lambda scored, name: seen.append(spark.conf.get(session.METHOD_LIMIT_CONF)) or scored)
+    scored = E.score_samples(df, ["dataset"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "filter(" not in plan and "split(" not in plan
+    assert seen == ["8000"] and spark.conf.get(session.METHOD_LIMIT_CONF, None) == before
+    assert [r.u for r in scored.orderBy("prompt_id").collect()] == [1.0, 1.0, 1.0]
+
+
+def test_steps_and_expressions_agree(rows):
+    """The same rule as projections (``score_samples``) and as one expression; a null text or reference scores 0."""
+    cases = [(n, t, g) for n, group in (("gsm8k", NUMBERS), ("math", EXPRESSIONS), ("matharena", EXPRESSIONS), ("bbh", SHAPES)) for t, g, _ in group]
+    cases += [(n, t, g) for n in ("gsm8k", "math", "matharena", "bbh") for t, g in ((None, "4"), ("#### 4 (A) \\boxed{4}", None), ("", ""))]
+    df = rows([(n, i, 0, t, g) for i, (n, t, g) in enumerate(cases)], "dataset string, prompt_id int, k int, text string, ground_truth string")
+    steps = {r.prompt_id: r.u for r in E.score_samples(df, ["dataset"]).collect()}
+    whole = df.withColumn("u", scorers.score_dispatch(F.col("dataset"), F.col("text"), F.col("ground_truth")))
+    assert steps == {r.prompt_id: r.u for r in whole.collect()}
+    assert None not in steps.values() and {0.0, 1.0} == set(steps.values())
+
+
+def test_final_span_by_plain_python(rows):
+    """Triggers match from the left, one after the other; without one the last line with content is taken whole."""
+    import random
+    import re
+
+    def rule(text):
+        pieces = re.split(T.TRIGGER, text, flags=re.ASCII)
+        lines = [x for x in re.split("\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]", text) if re.search(r"\S", x, re.ASCII)]
+        return (pieces[-1] if len(pieces) > 1 else lines[-1] if lines else text)[: T.SPAN_CHARS]
+
+    rng = random.Random(3)
+    parts = ["the answer is", "Final\nanswer", "answer", "ANSWER :", " - ", "\r\n", "\r", "\x1d", "\u2028", "\t", "  ", "so", "é", "x" * 90]
+    texts = ["".join(rng.choice(parts[rng.choice((0, 5)):]) for _ in range(rng.randint(0, 8))) for _ in range(800)]
+    df = rows(list(enumerate(texts)), "id int, text string").withColumn("span", T.final_span(F.col("text")))
+    assert by_id(df, "span") == [rule(t) for t in texts]
+
+
+def test_last_number_skips_tokens_without_value(rows):
+    cases = [("-$50", None), ("7 -$50", 7.0), ("7-$5012,345", 345.0), ("8 then -$1,234.5", 8.0), ("3 -$9%4", 4.0), ("-$1,234,56", 56.0), ("$9 -5%", -5.0)]
+    df = rows([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string").withColumn("n", T.last_number(F.col("text")))
+    assert by_id(df, "n") == [n for _, n in cases]
